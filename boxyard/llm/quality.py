@@ -42,19 +42,18 @@ def ngram_weights(docs: DataFrame, trusted: DataFrame, buckets: int = 1 << 16, i
     docs is the raw corpus (every row counts); `trusted` holds the ids of the target documents. The row has `buckets`
     entries whatever the corpus, so it may be sent to every task.
     """
+    # the ids grow with the corpus, so both sides are always shuffled, however small they are today
     t = trusted.select(F.col(id_col).alias("_tid")).where(F.col("_tid").isNotNull()).distinct()
-    d = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(t, F.col("_id") == F.col("_tid"), "left")
+    d = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(t.hint("merge"), F.col("_id") == F.col("_tid"), "left")
     d = d.select((F.col("_tid").isNotNull()).cast("int").alias("_target"), F.transform(words(F.col("_text")), lambda w: F.xxhash64(w)).alias("_h"))
     grams = d.select("_target", F.explode(ngram_buckets(F.col("_h"), buckets)).alias("b"))
     counts = grams.groupBy("b").agg(F.count(F.lit(1)).alias("n_raw"), F.sum("_target").alias("n_target"))
-    total = counts.agg(F.sum("n_raw").alias("all_raw"), F.sum("n_target").alias("all_target"))
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("b"))
     filled = every.join(counts, "b", "left").na.fill(0, ["n_raw", "n_target"])
-    one = filled.agg(F.sort_array(F.collect_list(F.struct("b", "n_raw", "n_target"))).alias("c"))
-    joined = one.join(F.broadcast(total))  # two one-row tables
+    joined = filled.agg(F.sort_array(F.collect_list(F.struct("b", "n_raw", "n_target"))).alias("c"), F.sum("n_raw").alias("all_raw"), F.sum("n_target").alias("all_target"))
     ratio = F.transform(
         F.col("c"),
-        lambda x: F.log((x["n_target"] + F.lit(1.0)) / (F.coalesce(F.col("all_target"), F.lit(0)) + F.lit(float(buckets)))) - F.log((x["n_raw"] + F.lit(1.0)) / (F.coalesce(F.col("all_raw"), F.lit(0)) + F.lit(float(buckets)))),
+        lambda x: F.log((x["n_target"] + F.lit(1.0)) / (F.col("all_target") + F.lit(float(buckets)))) - F.log((x["n_raw"] + F.lit(1.0)) / (F.col("all_raw") + F.lit(float(buckets)))),
     )
     return joined.select(ratio.alias("weights"))
 
