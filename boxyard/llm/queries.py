@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxyard.llm import decontaminate, neardup, packing, passages, perspective, quality, secrets, substrings, toxicity
+from boxyard.llm import decontaminate, neardup, packing, passages, perspective, quality, secrets, substrings, surrogates, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace_pii(table(spark, sf_dir, "documents"), b"a key that a user keeps secret")
+
+
 def op7_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perspective.rotate_perspectives(table(spark, sf_dir, "conversations"))
 
