@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxyard.llm.shared import keep, keyed
+from boxyard.llm.shared import keep, keyed, row_keys
 
 #: Units, after a number, that are one slot type.
 UNITS = "km|m|cm|mm|mi|miles|ft|feet|inches|kg|g|mg|lb|lbs|pounds|oz|l|ml|s|sec|seconds|min|minutes|h|hours|days|weeks|months|years|usd|eur|dollars|euros|cents|percent|mph|kmh"
@@ -124,3 +124,10 @@ def find_contamination(docs: DataFrame, items: DataFrame, k: int = 5, least: flo
         F.col("doc_id").alias(id_col), F.coalesce("contaminated", F.lit(False)).alias("contaminated"), F.coalesce("item_ids", F.array().cast(f"array<{kind}>")).alias("item_ids"),
         F.coalesce("coverage", F.lit(0.0)).alias("coverage"), F.coalesce("reparameterised", F.lit(False)).alias("reparameterised"),
     )
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs, with all their columns, that no benchmark item leaked into."""
+    own = row_keys(docs, id_col, text_col)
+    found = matches(keyed(docs, id_col, text_col), items, **options).select(F.col("_id").alias("_i"), F.col("_t").alias("_h")).distinct()
+    return docs.join(found, (own[0] == F.col("_i")) & (own[1] == F.col("_h")), "left_anti")

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxyard.llm.batches import Rolling, byte_values, mix, ranges, text_blocks, word_bounds
-from boxyard.llm.shared import keep, keyed
+from boxyard.llm.shared import keep, keyed, row_keys
 
 _ROLL = Rolling()
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -145,10 +145,9 @@ def components(links: DataFrame) -> DataFrame:
             return root
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, size: int = 252, rows: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of docs; kept is true for the least id of a component."""
+def _groups(d: DataFrame, shingle: int, percent: int, size: int, rows: int) -> DataFrame:
+    """(_id, _t, n, low, low_t) of the distinct rows of keyed(): the set's size, and the first text of the component (null for empty sets)."""
     least = percent / 100
-    d = keyed(docs, id_col, text_col)
     rows_ = keep(
         d.select("_id", "_t", "text").mapInArrow(lambda b: _sketch_rows(b, shingle, size, rows), "_id long, _t long, n long, s1 long, s2 long, f1 long, f2 long, bands array<long>"),
         "sketches",
@@ -176,16 +175,31 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, size:
     cross = order(cross, "l.cls", "r.cls").distinct().join(pairs, ["a", "b"], "left_anti")
     links = links.unionByName(_confirmed(cross, where, d, shingle, percent))
     root = components(links)
-    named = classes.join(root, classes["cls"] == root["node"], "left").select("s1", "s2", "_id", F.coalesce("root", "cls").alias("root"))
-    low = named.groupBy("root").agg(F.min("_id").alias("low"))
-    named = named.join(low, "root").select("s1", "s2", "low")
-    out = rows_.select("_id", "_t", "n", "s1", "s2").distinct().join(named, ["s1", "s2"], "left")
-    out = d.select("doc_id", "_id", "_t").join(out, ["_id", "_t"])
+    named = classes.join(root, classes["cls"] == root["node"], "left").select("s1", "s2", "_id", "_t", F.coalesce("root", "cls").alias("root"))
+    low = named.groupBy("root").agg(F.min(F.struct("_id", "_t")).alias("p")).select("root", F.col("p._id").alias("low"), F.col("p._t").alias("low_t"))
+    named = named.join(low, "root").select("s1", "s2", "low", "low_t")
+    return rows_.select("_id", "_t", "n", "s1", "s2").distinct().join(named, ["s1", "s2"], "left").select("_id", "_t", "n", "low", "low_t")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, size: int = 252, rows: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row of docs; kept is true for the least id of a component."""
+    d = keyed(docs, id_col, text_col)
+    out = d.select("doc_id", "_id", "_t").join(_groups(d, shingle, percent, size, rows), ["_id", "_t"])
     kind = docs.schema[id_col].dataType.simpleString()
     root_id = F.when(F.col("low").isNotNull(), F.col("low").cast(kind)).otherwise(F.col("doc_id"))
     return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), root_id.alias("component_id"), F.coalesce(F.col("low").isNull() | (F.col("_id") == F.col("low")), F.lit(True)).alias("kept"))
 
 
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, size: int = 252, rows: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns: of each component its first text (by id), once, and every text without words once."""
+    d = keyed(docs, id_col, text_col)
+    g = _groups(d, shingle, percent, size, rows)
+    g = g.where(F.col("low").isNull() | ((F.col("_id") == F.col("low")) & (F.col("_t") == F.col("low_t")))).select(F.col("_id").alias("_i"), F.col("_t").alias("_h"))
+    own = row_keys(docs, id_col, text_col)
+    kept = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), own[0].alias("_i"), own[1].alias("_h")).join(g, ["_i", "_h"])
+    return kept.dropDuplicates(["_i", "_h"]).select("row.*")
+
+
 def _neighbours(buckets: DataFrame, size: int, least: float) -> DataFrame:
     """Pairs of classes that follow each other in the random order of a bucket."""
     # the order is cut into slots of about two classes each, so a large bucket is many small groups and not one

@@ -156,3 +156,24 @@ def find_secrets(docs: DataFrame, with_text: bool = False, id_col: str = "doc_id
     kind = d.schema["_row"].dataType.simpleString()
     schema = f"_row {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string" + ", redacted string" * with_text
     return d.mapInArrow(lambda b: _scan_rows(b, with_text), schema).withColumnRenamed("_row", id_col)
+
+
+def redact_secrets(docs: DataFrame, text_col: str = "text", size_col: str | None = None) -> DataFrame:
+    """The rows of docs, with all their columns, `[SECRET]` standing for each secret. size_col: a column with the text's length, kept right."""
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+
+    def rewrite(batches):
+        for rows, data, bounds in text_blocks(batches):
+            raw = data.tobytes()
+            texts = []
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                found = scan(raw[a:b])
+                texts.append(redact(raw[a:b], found) if found else None)
+            yield pa.record_batch([rows.column(0), pa.array(texts, pa.binary()).cast(pa.string())], ["row", "new"])
+
+    out = whole.mapInArrow(rewrite, f"row {whole.schema['row'].dataType.simpleString()}, new string")
+    old = lambda c: F.col("row").getField(c)
+    new = {text_col: F.coalesce("new", old(text_col))}
+    if size_col:
+        new[size_col] = F.when(F.col("new").isNull(), old(size_col)).otherwise(F.char_length("new").cast(docs.schema[size_col].dataType))
+    return out.select(*[new.get(c, old(c)).alias(c) for c in docs.columns])

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -31,6 +31,10 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     (_id, _t), the id and a hash of the text, finds a row again in a join. Rows that agree in both are the same row
     twice, and have the same results. Other columns are left behind.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    d = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
-    return d.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_id"), F.xxhash64("text").alias("_t"), "text")
+    a, b = row_keys(docs, id_col, text_col)
+    return docs.select(docs[id_col].alias("doc_id"), a.alias("_id"), b.alias("_t"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+
+
+def row_keys(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, Column]:
+    """The columns _id and _t of keyed()."""
+    return F.coalesce(docs[id_col].cast("long"), F.lit(-(2**63))), F.xxhash64(F.coalesce(docs[text_col], F.lit("")))

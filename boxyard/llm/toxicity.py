@@ -272,3 +272,16 @@ def score_toxicity(docs: DataFrame, model: Model, folds: int = 5, id_col: str =
     d = docs.select(F.col(id_col).alias("_row"), (fold(F.col(id_col), folds) == 0).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = d.schema["_row"].dataType.simpleString()
     return d.mapInArrow(score, f"_row {kind}, held_out boolean, score double, predicted int, n_clauses int").withColumnRenamed("_row", id_col)
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, folds: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that a model trained on them and the labels doesn't call toxic."""
+    model = train(docs, labels, max_train, folds, id_col, text_col)
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+
+    def keep_clean(batches):
+        for rows, x in _matched(batches, model.insults):
+            clean = rows.filter(pa.array(model.score(x) < 0.5))
+            yield pa.record_batch([clean.column(0)], ["row"])
+
+    return whole.mapInArrow(keep_clean, f"row {whole.schema['row'].dataType.simpleString()}").select("row.*")
