@@ -76,7 +76,8 @@ def _slot_pairs(matched: DataFrame, docs: DataFrame, items: DataFrame, k: int, i
     who = matched.groupBy("_id", "_t", "item").agg(F.collect_set(F.struct("pos", "ipos")).alias("at"))
     # ids are compared as values, so that a null item finds its text
     b = items.select(F.col(item_id).alias("_item"), tokens(F.col(item_text)).alias("itok")).distinct()
-    d = docs.select("_id", "_t", "text").join(who, ["_id", "_t"]).dropDuplicates(["_id", "_t", "item"]).withColumn("tok", tokens(F.col("text"))).drop("text")
+    # texts are shuffled at every size: the matched documents grow with the corpus
+    d = docs.select("_id", "_t", "text").join(who.hint("merge"), ["_id", "_t"]).dropDuplicates(["_id", "_t", "item"]).withColumn("tok", tokens(F.col("text"))).drop("text")
     d = d.join(b, F.col("item").eqNullSafe(F.col("_item"))).drop("_item")
     p = d.select("_id", "_t", "item", "tok", "itok", F.explode("at").alias("m"))
     p = p.select("_id", "_t", "item", (F.col("m.pos") - F.col("m.ipos")).alias("diag"), F.explode(F.arrays_zip(F.slice("tok", F.col("m.pos") + 1, k).alias("dv"), F.slice("itok", F.col("m.ipos") + 1, k).alias("iv"))).alias("v"))
@@ -118,7 +119,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, k: int = 5, least: flo
     d = keyed(docs, id_col, text_col)
     m = matches(d, items, k, least, literals, broadcast_rows, item_id, item_text)
     m = m.groupBy("_id", "_t").agg(F.sort_array(F.collect_set("item")).alias("item_ids"), F.max("coverage").alias("coverage"), F.bool_or(~F.col("verbatim")).alias("reparameterised"), F.lit(True).alias("contaminated"))
-    j = d.select("doc_id", "_id", "_t").join(m, ["_id", "_t"], "left")
+    j = d.select("doc_id", "_id", "_t").join(m.hint("merge"), ["_id", "_t"], "left")
     kind = items.schema[item_id].dataType.simpleString()
     return j.select(
         F.col("doc_id").alias(id_col), F.coalesce("contaminated", F.lit(False)).alias("contaminated"), F.coalesce("item_ids", F.array().cast(f"array<{kind}>")).alias("item_ids"),
@@ -130,4 +131,4 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
     """The rows of docs, with all their columns, that no benchmark item leaked into."""
     own = row_keys(docs, id_col, text_col)
     found = matches(keyed(docs, id_col, text_col), items, **options).select(F.col("_id").alias("_i"), F.col("_t").alias("_h")).distinct()
-    return docs.join(found, (own[0] == F.col("_i")) & (own[1] == F.col("_h")), "left_anti")
+    return docs.join(found.hint("merge"), (own[0] == F.col("_i")) & (own[1] == F.col("_h")), "left_anti")
