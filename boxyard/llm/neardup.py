@@ -117,7 +117,7 @@ def _confirmed(pairs: DataFrame, where: DataFrame, docs: DataFrame, k: int, perc
     """Of pairs (a, b) of classes, those with 100 * intersection >= percent * union, on the full sets."""
     pairs = keep(pairs, "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    texts = docs.select("_id", "_t", "text").join(where.join(wanted, "cls").select("cls", "_id", "_t"), ["_id", "_t"]).select("cls", "text")
+    texts = docs.select("_id", "_t", "text").join(where.join(wanted, "cls").select("cls", "_id", "_t").hint("merge"), ["_id", "_t"]).select("cls", "text")
     sets = keep(texts.mapInArrow(lambda x: _set_rows(x, k), "cls long, members array<long>").dropDuplicates(["cls"]), "sets")
     left = pairs.join(sets.withColumnRenamed("cls", "a").withColumnRenamed("members", "ma"), "a")
     both = left.join(sets.withColumnRenamed("cls", "b").withColumnRenamed("members", "mb"), "b")

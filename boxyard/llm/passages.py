@@ -98,6 +98,6 @@ def remove_repeats(docs: DataFrame, window: int = 35, part: int = 18, bits: int
     """
     d = keyed(docs, id_col, text_col)
     hits = find_repeats(d, window, part, bits)
-    joined = d.join(hits, ["_id", "_t"], "left").select("doc_id", "text", "hits")
+    joined = d.join(hits.hint("merge"), ["_id", "_t"], "left").select("doc_id", "text", "hits")
     kind = docs.schema[id_col].dataType.simpleString()
     return joined.mapInArrow(lambda b: _cut(b, window), f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept string").withColumnRenamed("doc_id", id_col)

@@ -93,7 +93,7 @@ def with_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """Joins to each text its wanted runs: (text, runs array<struct<h, run, c, at, n>>). A list is no longer than its text."""
     lists = wanted.groupBy("_id", "_t").agg(F.collect_list(F.struct("h", "run", "c", "at", "n")).alias("runs"))
     once = docs.select("_id", "_t", "text")
-    return once.join(lists, ["_id", "_t"]).select("text", "runs")
+    return once.join(lists.hint("merge"), ["_id", "_t"]).select("text", "runs")
 
 
 def hits_by_text(runs: DataFrame, found: DataFrame) -> DataFrame:

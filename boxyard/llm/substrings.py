@@ -154,6 +154,6 @@ def remove_repeats(docs: DataFrame, window: int = 200, part: int = 32, shard_byt
     """
     d = keyed(docs, id_col, text_col)
     hits = find_repeats(d, window, part, shard_bytes)
-    joined = d.join(hits, ["_id", "_t"], "left").select("doc_id", "text", "hits")
+    joined = d.join(hits.hint("merge"), ["_id", "_t"], "left").select("doc_id", "text", "hits")
     kind = docs.schema[id_col].dataType.simpleString()
     return joined.mapInArrow(lambda b: _cut(b, window), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary").withColumnRenamed("doc_id", id_col)
