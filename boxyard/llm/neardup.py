@@ -9,8 +9,8 @@ coordinates share a bucket.
 
 Within a bucket, each class is paired with the first one and with its neighbour (in a random order of its own for each
 bucket), never all with all. Pairs are confirmed on the full sets. Confirmed links make components; where classes of one
-bucket still belong to different components, those pairs across components that a 128-bit fingerprint of the sketch does
-not rule out are confirmed as well. A pair at the similarity `least` misses all bands with a probability of
+family (all that such pairs connect, confirmed or not) still belong to different components, blocks of the family are
+compared as bits over what most of its members share, and pairs that can be similar are confirmed as well. A pair at the similarity `least` misses all bands with a probability of
 (1 - least**rows)**(size // rows), 3e-6 with the defaults.
 
 Defined results: null texts and texts without words have an empty set and are linked with nothing; texts with fewer
@@ -167,12 +167,11 @@ def _groups(d: DataFrame, shingle: int, percent: int, size: int, rows: int) -> D
     where = classes.select("cls", "_id", "_t")
     links = keep(_confirmed(pairs, where, d, shingle, percent), "links")
     root = components(links)
-    # what is left: classes that share a bucket but no component yet; buckets of two were settled above
-    wide = buckets.where(F.col("m") > 2).join(root.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    torn = wide.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-    wide = keep(wide.join(torn, "bucket"), "torn")
-    cross = wide.alias("l").join(wide.alias("r"), (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.root") < F.col("r.root")) & _agreeing("l", "r", size, least))
-    cross = order(cross, "l.cls", "r.cls").distinct().join(pairs, ["a", "b"], "left_anti")
+    # what is left: classes of one family of candidates that belong to different components so far
+    family = components(pairs).withColumnRenamed("root", "fam").withColumnRenamed("node", "cls")
+    parts = family.join(root.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    torn = parts.groupBy("fam").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi and m > 2").select("fam", "m")
+    cross = _across(keep(parts.join(torn, "fam"), "torn"), where, d, shingle, percent).join(pairs, ["a", "b"], "left_anti")
     links = links.unionByName(_confirmed(cross, where, d, shingle, percent))
     root = components(links)
     named = classes.join(root, classes["cls"] == root["node"], "left").select("s1", "s2", "_id", "_t", F.coalesce("root", "cls").alias("root"))
@@ -200,6 +199,69 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, s
     return kept.dropDuplicates(["_i", "_h"]).select("row.*")
 
 
+#: Members of a family that one task compares with as many others.
+_BLOCK = 2000
+
+
+def _against_core(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A member's set as bits over the family's core, and its other shingles as a filter of 1024 bits with its collisions."""
+    for got in batches:
+        out = []
+        for cls, root, n, own, core in zip(*(got.column(k) for k in ("cls", "root", "n", "members", "core")), strict=True):
+            own, core = own.values.to_numpy(), core.values.to_numpy()
+            bits = np.zeros(-(-max(1, len(core)) // 64) * 64, bool)
+            bits[: len(core)] = np.isin(core, own)
+            other = own[~np.isin(own, core)].view(np.uint64)
+            spots = np.zeros(1024, bool)
+            spots[(mix(other) % np.uint64(1024)).astype(np.int64)] = True
+            out.append((cls.as_py(), root.as_py(), n.as_py(), len(other) - int(spots.sum()), np.packbits(np.concatenate([bits, spots])).tobytes()))
+        cols = list(zip(*out, strict=True)) or [[]] * 5
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        yield pa.record_batch([got.column("fam"), got.column("m"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["fam", "m", "cls", "root", "n", "clash", "bits"])
+
+
+def _compare(table: pa.Table, percent: int) -> pa.Table:
+    """Pairs of two blocks of a family that differ in root and whose shared bits leave the similarity possible."""
+    i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+    mine = table.column("mine").to_numpy()
+    cls, root, n, clash = (table.column(c).to_numpy() for c in ("cls", "root", "n", "clash"))
+    bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(cls), -1)
+    left = np.flatnonzero(mine == i)
+    right = np.flatnonzero(mine == j)
+    found = []
+    step = max(1, 2_000_000 // max(1, len(right) * bits.shape[1]))
+    for lo in range(0, len(left), step):
+        x = left[lo : lo + step]
+        both = np.bitwise_count(bits[x][:, None, :] & bits[right][None, :, :]).sum(axis=2, dtype=np.int64)
+        both += np.minimum(clash[x][:, None], clash[right][None, :])
+        ok = ((100 + percent) * both >= percent * (n[x][:, None] + n[right][None, :])) & (root[x][:, None] != root[right][None, :])
+        if i == j:
+            ok &= cls[x][:, None] < cls[right][None, :]
+        p, q = np.nonzero(ok)
+        found.append(np.stack([cls[x[p]], cls[right[q]]], 1))
+    ab = np.sort(np.concatenate(found), axis=1) if found else np.zeros((0, 2), np.int64)
+    return pa.table({"a": ab[:, 0], "b": ab[:, 1]})
+
+
+def _across(parts: DataFrame, where: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Candidate pairs (a, b) between the components of families. parts: (fam, m, cls, root).
+
+    What most members of a family share is its core; a set is told by which of the core it has and by what else it has.
+    Sets in that form are small, so blocks of a family are compared bit by bit, and only pairs that can be similar come out.
+    """
+    texts = docs.select("_id", "_t", "text").join(where.join(parts.select("cls").distinct(), "cls").select("cls", "_id", "_t").hint("merge"), ["_id", "_t"]).select("cls", "text")
+    sets = texts.mapInArrow(lambda x: _set_rows(x, k), "cls long, members array<long>").dropDuplicates(["cls"])
+    sets = keep(parts.join(sets, "cls").withColumn("n", F.size("members").cast("long")), "families")
+    often = sets.select("fam", "m", F.explode("members").alias("s")).groupBy("fam", "m", "s").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") * 2 > F.col("m"))
+    core = often.groupBy("fam").agg(F.sort_array(F.collect_list("s")).alias("core"))  # less than twice a mean set
+    near = sets.join(core, "fam", "left").select("fam", "m", "cls", "root", "n", "members", F.coalesce("core", F.array().cast("array<bigint>")).alias("core"))
+    near = near.mapInArrow(_against_core, "fam long, m long, cls long, root long, n long, clash long, bits binary")
+    blocks = F.ceil(F.col("m") / F.lit(float(_BLOCK))).cast("int")
+    near = near.withColumn("mine", F.pmod(F.xxhash64("cls"), blocks).cast("int"))
+    near = near.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select("fam", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "cls", "root", "n", "clash", "bits")
+    return near.groupBy("fam", "i", "j").applyInArrow(lambda t: _compare(t, percent), "a long, b long").distinct()
+
+
 def _neighbours(buckets: DataFrame, size: int, least: float) -> DataFrame:
     """Pairs of classes that follow each other in the random order of a bucket."""
     # the order is cut into slots of about two classes each, so a large bucket is many small groups and not one
