@@ -71,5 +71,6 @@ def focus_window(boxes: DataFrame, images: DataFrame, expansion: float = 1.5, mi
     for lo, hi, size, names in (("x1", "x2", "width", ("left", "right")), ("y1", "y2", "height", ("top", "bottom"))):
         span = F.least(F.greatest((F.col(hi) - F.col(lo)) * expansion, F.col(size) * min_fraction), F.col(size).cast("double"))
         begin = F.greatest(F.lit(0.0), F.least((F.col(lo) + F.col(hi)) / 2 - span / 2, F.col(size) - span))
-        out += [F.coalesce(begin, F.lit(0.0)).alias(names[0]), F.coalesce(begin + span, F.col(size).cast("double")).alias(names[1])]
+        bare = F.col(lo).isNull()
+        out += [F.when(bare, F.lit(0.0)).otherwise(begin).alias(names[0]), F.when(bare, F.col(size).cast("double")).otherwise(begin + span).alias(names[1])]
     return d.select("dataset", "image_id", *out)
