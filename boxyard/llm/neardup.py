@@ -113,12 +113,14 @@ def _agreeing(a: str, b: str, size: int, least: float) -> Column:
     return (off <= F.lit(int(n - floor) + 1)) & (F.lit(100.0) * F.least(f"{a}.n", f"{b}.n") >= F.lit(100.0 * least) * F.greatest(f"{a}.n", f"{b}.n"))
 
 
-def _confirmed(pairs: DataFrame, where: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def _sets_of(classes: DataFrame, where: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(cls, members) of the wanted classes, from one text of each: the only time that texts are looked up again."""
+    texts = docs.select("_id", "_t", "text").join(where.join(classes, "cls").select("cls", "_id", "_t").hint("merge"), ["_id", "_t"]).select("cls", "text")
+    return keep(texts.mapInArrow(lambda x: _set_rows(x, k), "cls long, members array<long>").dropDuplicates(["cls"]), "sets")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b) of classes, those with 100 * intersection >= percent * union, on the full sets."""
-    pairs = keep(pairs, "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    texts = docs.select("_id", "_t", "text").join(where.join(wanted, "cls").select("cls", "_id", "_t").hint("merge"), ["_id", "_t"]).select("cls", "text")
-    sets = keep(texts.mapInArrow(lambda x: _set_rows(x, k), "cls long, members array<long>").dropDuplicates(["cls"]), "sets")
     left = pairs.join(sets.withColumnRenamed("cls", "a").withColumnRenamed("members", "ma"), "a")
     both = left.join(sets.withColumnRenamed("cls", "b").withColumnRenamed("members", "mb"), "b")
     same = F.size(F.array_intersect("ma", "mb"))
@@ -163,16 +165,17 @@ def _groups(d: DataFrame, shingle: int, percent: int, size: int, rows: int) -> D
     star = buckets.alias("l").join(head.alias("r"), (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.cls") != F.col("r.cls")) & _agreeing("l", "r", size, least))
     slots = _neighbours(buckets, size, least)
     order = lambda x, a, b: x.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    pairs = order(star, "l.cls", "r.cls").unionByName(slots).distinct()
+    pairs = keep(order(star, "l.cls", "r.cls").unionByName(slots).distinct(), "pairs")
     where = classes.select("cls", "_id", "_t")
-    links = keep(_confirmed(pairs, where, d, shingle, percent), "links")
+    sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), where, d, shingle)
+    links = keep(_confirmed(pairs, sets, percent), "links")
     root = components(links)
     # what is left: classes of one family of candidates that belong to different components so far
     family = components(pairs).withColumnRenamed("root", "fam").withColumnRenamed("node", "cls")
     parts = family.join(root.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     torn = parts.groupBy("fam").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi and m > 2").select("fam", "m")
-    cross = _across(keep(parts.join(torn, "fam"), "torn"), where, d, shingle, percent).join(pairs, ["a", "b"], "left_anti")
-    links = links.unionByName(_confirmed(cross, where, d, shingle, percent))
+    cross = keep(_across(parts.join(torn, "fam"), sets, percent).join(pairs, ["a", "b"], "left_anti"), "cross")
+    links = links.unionByName(_confirmed(cross, sets, percent))
     root = components(links)
     named = classes.join(root, classes["cls"] == root["node"], "left").select("s1", "s2", "_id", "_t", F.coalesce("root", "cls").alias("root"))
     low = named.groupBy("root").agg(F.min(F.struct("_id", "_t")).alias("p")).select("root", F.col("p._id").alias("low"), F.col("p._t").alias("low_t"))
@@ -243,14 +246,12 @@ def _compare(table: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": ab[:, 0], "b": ab[:, 1]})
 
 
-def _across(parts: DataFrame, where: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def _across(parts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs (a, b) between the components of families. parts: (fam, m, cls, root).
 
     What most members of a family share is its core; a set is told by which of the core it has and by what else it has.
     Sets in that form are small, so blocks of a family are compared bit by bit, and only pairs that can be similar come out.
     """
-    texts = docs.select("_id", "_t", "text").join(where.join(parts.select("cls").distinct(), "cls").select("cls", "_id", "_t").hint("merge"), ["_id", "_t"]).select("cls", "text")
-    sets = texts.mapInArrow(lambda x: _set_rows(x, k), "cls long, members array<long>").dropDuplicates(["cls"])
     sets = keep(parts.join(sets, "cls").withColumn("n", F.size("members").cast("long")), "families")
     often = sets.select("fam", "m", F.explode("members").alias("s")).groupBy("fam", "m", "s").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") * 2 > F.col("m"))
     core = often.groupBy("fam").agg(F.sort_array(F.collect_list("s")).alias("core"))  # less than twice a mean set
