@@ -16,10 +16,14 @@ from boxyard.functions.geometry import AREAS, box, crowd_iou
 #: linspace(0.5, 0.95, 10), whose ninth value is below 0.9.
 IOU_THRESHOLDS = [0.5 + (0.95 - 0.5) / 9 * i for i in range(9)] + [0.95]
 GROUP = ["dataset", "mode", "image_id", "category_id"]
-CELL = ["dataset", "mode", "category_id", "thr", "area"]
+CLASS = ["dataset", "mode", "category_id"]
 _ULP = 2.220446049250313e-16
 
 
+def _cells(thresholds: list[float], areas: tuple[str, ...]) -> list[tuple[float, str]]:
+    return [(t, a) for t in thresholds for a in areas]
+
+
 def ranked(predictions: DataFrame, max_dets: int) -> DataFrame:
     """The first max_dets detections of each image and class, with their rank."""
     w = W.partitionBy(*GROUP).orderBy(F.desc("score"), "det_ord")
@@ -44,13 +48,13 @@ def _fold(pairs: Column) -> Column:
 
 
 def coco_match(gt: DataFrame, predictions: DataFrame, thresholds: list[float] = IOU_THRESHOLDS, areas: tuple[str, ...] = ("all",), max_dets: int = 500) -> DataFrame:
-    """One row per matched detection: the group, thr, area, det_ord, ann_id, ig (1: with an ignored object)."""
+    """One row per matched detection: the group, cell (number of thr and area), thr, area, det_ord, ann_id, ig (1: with an ignored object)."""
     g = _with_defaults(gt).select("dataset", "image_id", "category_id", "ann_id", "x", "y", "w", "h", F.col("area").alias("gt_area"), "iscrowd").alias("g")
     p = ranked(predictions, max_dets).alias("p")
     c = p.join(g, ["dataset", "image_id", "category_id"]).select(*GROUP, "score", "det_ord", "ann_id", "gt_area", "iscrowd", crowd_iou(box("p"), box("g"), F.col("iscrowd")).alias("iou"))
     c = c.where(F.col("iou") >= min(thresholds))
     groups = c.groupBy(*GROUP).agg(F.collect_list(F.struct("score", "det_ord", "iou", "ann_id", "gt_area", "iscrowd")).alias("c"))
-    cells = F.array(*[F.struct(F.lit(t).alias("thr"), F.lit(a).alias("area"), F.lit(AREAS[a][0]).alias("lo"), F.lit(AREAS[a][1]).alias("hi")) for t in thresholds for a in areas])
+    cells = F.array(*[F.struct(F.lit(i).alias("cell"), F.lit(t).alias("thr"), F.lit(a).alias("area"), F.lit(AREAS[a][0]).alias("lo"), F.lit(AREAS[a][1]).alias("hi")) for i, (t, a) in enumerate(_cells(thresholds, areas))])
     e = groups.select(*GROUP, "c", F.explode(cells).alias("k")).select(*GROUP, "c", "k.*")
     # a pair's overlap only has to reach the threshold, or 1 within rounding
     near = F.filter("c", lambda x: x["iou"] >= F.least(F.col("thr"), F.lit(1 - 1e-10)))
@@ -62,53 +66,70 @@ def coco_match(gt: DataFrame, predictions: DataFrame, thresholds: list[float] =
             (-x["iou"]).alias("neg_iou"), (-x["ann_id"]).alias("neg_ann"), x["ann_id"].alias("ann_id"), x["iscrowd"].alias("crowd"),
         ),
     )
-    hits = e.where(F.size(near) > 0).select(*GROUP, "thr", "area", F.explode(_fold(F.sort_array(keyed))).alias("m"))
-    return hits.select(*GROUP, "thr", "area", "m.*")
-
-
-def coco_curves(gt: DataFrame, predictions: DataFrame, thresholds: list[float], areas: tuple[str, ...], max_dets: int, weights: DataFrame | None = None) -> DataFrame:
-    """(cell, npig, ap, ar) of each (dataset, mode, category_id, thr, area) with counted objects."""
-    g = _with_defaults(gt)
-    hits = coco_match(g, predictions, thresholds, areas, max_dets)
-    cells = F.array(*[F.struct(F.lit(t).alias("thr"), F.lit(a).alias("area"), F.lit(AREAS[a][0]).alias("lo"), F.lit(AREAS[a][1]).alias("hi")) for t in thresholds for a in areas])
-    d = ranked(predictions, max_dets).select(*GROUP, "det_ord", "score", (F.col("w") * F.col("h")).alias("det_area"), F.explode(cells).alias("k")).select(*GROUP, "det_ord", "score", "det_area", "k.*")
-    d = d.join(hits, [*GROUP, "thr", "area", "det_ord"], "left")
-    outside = (F.col("det_area") < F.col("lo")) | (F.col("det_area") > F.col("hi"))
-    ignored = F.coalesce(F.col("ig") == 1, outside)
-    d = d.where(~ignored).select(*CELL, "score", "image_id", "det_ord", F.col("ann_id").isNotNull().cast("int").alias("tp"))
-    return accumulate(d, counted_objects(g, predictions, thresholds, areas))
-
+    hits = e.where(F.size(near) > 0).select(*GROUP, "cell", "thr", "area", F.explode(_fold(F.sort_array(keyed))).alias("m"))
+    return hits.select(*GROUP, "cell", "thr", "area", "m.*")
 
-def counted_objects(g: DataFrame, predictions: DataFrame, thresholds: list[float], areas: tuple[str, ...]) -> DataFrame:
-    """npig of every cell that has any."""
-    ranges = F.array(*[F.struct(F.lit(a).alias("area_name"), F.lit(AREAS[a][0]).alias("lo"), F.lit(AREAS[a][1]).alias("hi")) for a in areas])
-    n = g.where(F.col("iscrowd") == 0).select("dataset", "category_id", "area", F.explode(ranges).alias("k")).where((F.col("area") >= F.col("k.lo")) & (F.col("area") <= F.col("k.hi")))
-    n = n.groupBy("dataset", "category_id", F.col("k.area_name").alias("area")).agg(F.count(F.lit(1)).alias("npig"))
-    modes = predictions.select("dataset", "mode").distinct()
-    return n.join(modes, "dataset").select("dataset", "mode", "category_id", F.explode(F.array(*[F.lit(t) for t in thresholds])).alias("thr"), "area", "npig")
 
+def coco_curves(gt: DataFrame, predictions: DataFrame, thresholds: list[float], areas: tuple[str, ...], max_dets: int) -> DataFrame:
+    """(dataset, mode, category_id, thr, area, npig, ap, ar) of every cell with counted objects.
 
-def accumulate(d: DataFrame, npig: DataFrame, cell: list[str] = CELL) -> DataFrame:
-    """Interpolated average precision at 101 recall points, and final recall, of each cell.
-
-    d: cell columns, score, image_id, det_ord, tp (0 or 1). Only rows where recall grows are carried on: between two of
-    them precision falls, and the recall points up to a row are counted, not joined.
+    A detection carries one bit per cell (threshold and area range; at most 62): whether it is a hit, and whether it is
+    ignored. So the detections of a class are sorted once, and running sums are kept for all cells side by side: in the
+    order of the scores for precision and recall, and backwards for the best precision from a position on. The recall
+    points that a hit adds are counted, not joined.
     """
-    order = W.partitionBy(*cell).orderBy(F.desc("score"), "image_id", "det_ord").rowsBetween(W.unboundedPreceding, 0)
-    d = d.withColumn("tps", F.sum("tp").over(order)).withColumn("n", F.count(F.lit(1)).over(order)).where(F.col("tp") == 1)
-    d = d.join(npig, cell)
-    rc, before = F.col("tps") / F.col("npig"), (F.col("tps") - 1) / F.col("npig")
+    cells = _cells(thresholds, areas)
+    g = _with_defaults(gt)
+    hits = coco_match(g, predictions, thresholds, areas, max_dets)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("cell"))
+    masks = hits.groupBy(*GROUP, "det_ord").agg(F.bit_or(bit).alias("hit"), F.bit_or(F.when(F.col("ig") == 1, bit).otherwise(F.lit(0).cast("long"))).alias("hit_ig"))
+    d = ranked(predictions, max_dets).select(*GROUP, "det_ord", "score", (F.col("w") * F.col("h")).alias("det_area")).join(masks, [*GROUP, "det_ord"], "left").na.fill(0, ["hit", "hit_ig"])
+    outside = F.lit(0).cast("long")
+    for a in areas:
+        of_area = sum(1 << i for i, c in enumerate(cells) if c[1] == a)
+        outside = outside.bitwiseOR(F.when((F.col("det_area") < AREAS[a][0]) | (F.col("det_area") > AREAS[a][1]), F.lit(of_area)).otherwise(F.lit(0)).cast("long"))
+    tp = F.col("hit").bitwiseAND(F.bitwise_not("hit_ig"))
+    ignored = F.col("hit_ig").bitwiseOR(outside.bitwiseAND(F.bitwise_not("hit")))
+    d = d.select(*CLASS, "score", "image_id", "det_ord", tp.alias("tp"), ignored.alias("ignored"))
+
+    def bit_of(c: str, k: int) -> Column:
+        return F.call_function("shiftright", F.col(c), F.lit(k)).bitwiseAND(F.lit(1).cast("long"))
+
+    fore = W.partitionBy(*CLASS).orderBy(F.desc("score"), "image_id", "det_ord").rowsBetween(W.unboundedPreceding, 0)
+    back = W.partitionBy(*CLASS).orderBy("score", F.desc("image_id"), F.desc("det_ord")).rowsBetween(W.unboundedPreceding, 0)
+    every = range(len(cells))
+    d = d.select("*", *[F.sum(bit_of("tp", k)).over(fore).alias(f"tps{k}") for k in every], *[F.sum(1 - bit_of("ignored", k)).over(fore).alias(f"n{k}") for k in every])
+    d = d.select("*", *[F.max(F.when(bit_of("ignored", k) == 0, F.col(f"tps{k}") / (F.col(f"n{k}") + F.lit(_ULP)))).over(back).alias(f"best{k}") for k in every])
+    counted = counted_objects(g, areas)
+    d = d.join(counted, ["dataset", "category_id"])
 
     def points(r: Column) -> Column:
         k = F.floor(r * 100)
-        return F.when((k + 1) * F.lit(0.01) <= r, k + 2).when(k * F.lit(0.01) <= r, k + 1).otherwise(k)
-
-    d = d.withColumn("prec", F.col("tps") / (F.col("n") + F.lit(_ULP)))
-    ahead = W.partitionBy(*cell).orderBy("tps").rowsBetween(0, W.unboundedFollowing)
-    d = d.withColumn("best", F.max("prec").over(ahead))
-    gained = F.least(points(rc), F.lit(101)) - F.when(F.col("tps") == 1, 0).otherwise(points(before))
-    got = d.groupBy(*cell).agg((F.sum(gained * F.col("best")) / 101).alias("ap"), F.max(F.col("tps")).alias("tps"))
-    return npig.join(got, cell, "left").select(*cell, "npig", F.coalesce("ap", F.lit(0.0)).alias("ap"), F.coalesce(F.col("tps") / F.col("npig"), F.lit(0.0)).alias("ar"))
+        return F.least(F.when((k + 1) * F.lit(0.01) <= r, k + 2).when(k * F.lit(0.01) <= r, k + 1).otherwise(k), F.lit(101))
+
+    def gained(k: int, a: str) -> Column:
+        n = F.col(f"npig_{a}")
+        before = F.when(F.col(f"tps{k}") == 1, F.lit(0)).otherwise(points((F.col(f"tps{k}") - 1) / n))
+        return F.when((bit_of("tp", k) == 1) & (n > 0), (points(F.col(f"tps{k}") / n) - before) * F.col(f"best{k}"))
+
+    sums = d.groupBy(*CLASS).agg(*[x for k, (_, a) in enumerate(cells) for x in ((F.sum(gained(k, a)) / 101).alias(f"ap{k}"), F.max(f"tps{k}").alias(f"tps{k}"))])
+    full = counted.join(predictions.select("dataset", "mode").distinct(), "dataset").join(sums, CLASS, "left")
+    rows = F.array(
+        *[
+            F.struct(
+                F.lit(t).alias("thr"), F.lit(a).alias("area"), F.col(f"npig_{a}").alias("npig"), F.coalesce(f"ap{k}", F.lit(0.0)).alias("ap"),
+                F.when(F.col(f"npig_{a}") > 0, F.coalesce(F.col(f"tps{k}"), F.lit(0)) / F.col(f"npig_{a}")).alias("ar"),
+            )
+            for k, (t, a) in enumerate(cells)
+        ]
+    )
+    return full.select(*CLASS, F.inline(rows)).where("npig > 0")
+
+
+def counted_objects(g: DataFrame, areas: tuple[str, ...]) -> DataFrame:
+    """(dataset, category_id, npig_<area>...): objects that count in each area range."""
+    inside = lambda a: (F.col("iscrowd") == 0) & (F.col("area") >= AREAS[a][0]) & (F.col("area") <= AREAS[a][1])
+    return g.groupBy("dataset", "category_id").agg(*[F.count_if(inside(a)).alias(f"npig_{a}") for a in areas])
 
 
 def _mean(value: str, when: Column) -> Column:

@@ -180,7 +180,7 @@ _ALL = {"all": geometry.AREAS["all"]}
 @register("c1_coco_match", oracle("with " + _coco_sql(_ALL, 500) + " select dataset, mode, image_id, category_id, round(thr, 6) as thr, area, det_ord, ann_id, cast(ig as int) as ig from hits", "det_annotations", "det_predictions"))
 def c1_coco_match(spark, sf_dir):
     t = load(spark, sf_dir)
-    return rounded(coco.coco_match(t["det_annotations"], t["det_predictions"]))
+    return rounded(coco.coco_match(t["det_annotations"], t["det_predictions"]).drop("cell"))
 
 
 @register(
