@@ -57,7 +57,8 @@ def coco_match(gt: DataFrame, predictions: DataFrame, thresholds: list[float] =
     cells = F.array(*[F.struct(F.lit(i).alias("cell"), F.lit(t).alias("thr"), F.lit(a).alias("area"), F.lit(AREAS[a][0]).alias("lo"), F.lit(AREAS[a][1]).alias("hi")) for i, (t, a) in enumerate(_cells(thresholds, areas))])
     e = groups.select(*GROUP, "c", F.explode(cells).alias("k")).select(*GROUP, "c", "k.*")
     # a pair's overlap only has to reach the threshold, or 1 within rounding
-    near = F.filter("c", lambda x: x["iou"] >= F.least(F.col("thr"), F.lit(1 - 1e-10)))
+    e = e.withColumn("near", F.filter("c", lambda x: x["iou"] >= F.least(F.col("thr"), F.lit(1 - 1e-10)))).where(F.size("near") > 0)
+    near = F.col("near")
     keyed = F.transform(
         near,
         lambda x: F.struct(
@@ -66,7 +67,7 @@ def coco_match(gt: DataFrame, predictions: DataFrame, thresholds: list[float] =
             (-x["iou"]).alias("neg_iou"), (-x["ann_id"]).alias("neg_ann"), x["ann_id"].alias("ann_id"), x["iscrowd"].alias("crowd"),
         ),
     )
-    hits = e.where(F.size(near) > 0).select(*GROUP, "cell", "thr", "area", F.explode(_fold(F.sort_array(keyed))).alias("m"))
+    hits = e.select(*GROUP, "cell", "thr", "area", F.explode(F.when(F.size(near) == 1, _fold(keyed)).otherwise(_fold(F.sort_array(keyed)))).alias("m"))
     return hits.select(*GROUP, "cell", "thr", "area", "m.*")
 
 
