@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -599,7 +600,7 @@ def t1_stream_progress(spark, sf_dir):
     view, table = f"events_{uuid.uuid4().hex}", f"latest_{uuid.uuid4().hex}"
     s.createOrReplaceTempView(view)
     log = spark.sql(TABLES["task_log"].replace("from events", f"from {view}"))
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/boxyard-streams"
+    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-streams-")
     q = streams.stream_progress(log, table, f"{folder}/{table}")
     q.awaitTermination()
     return spark.table(table).groupBy("mode", "status").agg(F.count(F.lit(1)).alias("n"))
