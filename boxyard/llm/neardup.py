@@ -130,21 +130,22 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, root): the least node that the links (a, b) connect each node with.
 
-    Every round, each node takes the least root among its neighbours' and then its root's root, until nothing changes.
-    The number of rounds follows the logarithm of the longest chain; only a count comes to the driver.
+    Every round, each node joins its least neighbour and that one's least neighbour, and links between what has become
+    one node are dropped, so the links shrink quickly. The least node of a component always stays itself, and is the
+    root when no link is left. Only whether any link is left comes to the driver.
     """
     edges = keep(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
-    root = keep(edges.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node"), "roots")
+    total = None
     while True:
-        told = edges.join(root, edges["b"] == root["node"]).groupBy("a").agg(F.min("root").alias("near"))
-        new = root.join(told, root["node"] == told["a"]).select("node", F.least("root", "near").alias("root"))
-        up = root.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
-        new = new.join(up, F.col("root") == F.col("_n"), "left").select("node", F.least("root", F.coalesce("_r", "root")).alias("root"))
-        new = keep(new, "roots")
-        changed = new.join(root.withColumnRenamed("root", "old"), "node").where("root <> old").limit(1).count()
-        root = new
-        if not changed:
-            return root
+        near = edges.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node")
+        up = near.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
+        step = keep(near.join(up, F.col("root") == F.col("_n"), "left").select("node", F.least("root", F.coalesce("_r", "root")).alias("root")), "step")
+        moved = step.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
+        total = step if total is None else keep(total.join(moved, F.col("root") == F.col("_n"), "left").select("node", F.coalesce("_r", "root").alias("root")), "roots")
+        left = edges.join(step.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(step.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
+        edges = keep(left.where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "edges")
+        if not edges.limit(1).count():
+            return total
 
 
 def _groups(d: DataFrame, shingle: int, percent: int, size: int, rows: int) -> DataFrame:
@@ -175,8 +176,9 @@ def _groups(d: DataFrame, shingle: int, percent: int, size: int, rows: int) -> D
     parts = family.join(root.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     torn = parts.groupBy("fam").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi and m > 2").select("fam", "m")
     cross = keep(_across(parts.join(torn, "fam"), sets, percent).join(pairs, ["a", "b"], "left_anti"), "cross")
-    links = links.unionByName(_confirmed(cross, sets, percent))
-    root = components(links)
+    more = keep(_confirmed(cross, sets, percent), "more")
+    if more.limit(1).count():
+        root = components(links.unionByName(more))
     named = classes.join(root, classes["cls"] == root["node"], "left").select("s1", "s2", "_id", "_t", F.coalesce("root", "cls").alias("root"))
     low = named.groupBy("root").agg(F.min(F.struct("_id", "_t")).alias("p")).select("root", F.col("p._id").alias("low"), F.col("p._t").alias("low_t"))
     named = named.join(low, "root").select("s1", "s2", "low", "low_t")
