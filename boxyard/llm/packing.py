@@ -1,17 +1,23 @@
-"""Lexical retrieval packing: documents that share rare words fill a training sequence together.
+"""Lexical retrieval packing: documents that share words fill a training sequence together.
 
-Documents are dealt to shards by a hash of their row, so that a hot source or a group of copies spreads over all of
-them. Each shard tokenizes its texts and builds its own BM25 inverted index over word hashes. Beginning with the
-first unused document as seed, the index returns unused neighbours of the seed by falling score until the window is
-full; the document that overruns the window is cut there and its rest opens the next window, as its seed. A seed
-without unused neighbours is followed by the next unused document. So only the last sequence of a shard is short.
-A shard is at most `shard_docs` documents and `shard_chars` characters long (one longer text is a shard alone);
-a partition is cut into as many shards as it needs, in the order of the row hash.
+Retrieval is over the whole corpus. Its texts, copies counted once, give the statistics of BM25 (number of texts that
+have a word, mean length), and every text finds the one text that scores best for all of its words that another text
+has too. This is exact: the texts are dealt to blocks, and each two blocks meet in a task that scores every text of one
+against every text of the other, so the work grows with the square of the number of different texts. Scores are sums of
+whole numbers (2**20 to one), so they do not depend on blocks; ties go to the text with the smaller hash.
+
+What these links connect is a group. The rows are laid out by group, in it by the text that they found, and cut into
+partitions and shards of at most `shard_docs` documents and `shard_chars` characters (one longer text is a shard alone),
+which bound memory only. Beginning with a shard's first unused document as seed, its copies, the text it found and those
+that found it follow by falling score until the window is full; the document that overruns the window is cut there and
+its rest opens the next window, as its seed. A seed without unused neighbours is followed by the next unused document. So
+only the last sequence of a shard is short.
 
 A document's tokens are those of the given byte-level BPE file, special strings being ordinary text, then `end_id`.
 
-Defined results: a null text is empty and has the end id alone; every row has its pieces, also repeated ones; ties of
-score go to the document that comes first in the shard; tables without rows give none; extra columns are ignored.
+Defined results: a null text is empty and has the end id alone; every row has its pieces, also repeated ones; texts that
+share no word with another find nothing and are groups of their own; tables without rows give none; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -24,10 +30,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxyard.llm.batches import Rolling, byte_values, word_bounds
+from boxyard.llm.batches import Rolling, byte_values, ranges, text_blocks, word_bounds
+from boxyard.llm.neardup import components
+from boxyard.llm.shared import keep
 
 _ROLL = Rolling()
 
@@ -59,62 +68,123 @@ def tokenizer(path: str) -> ByteBPE:
     return ByteBPE(path)
 
 
+_SCALE = float(1 << 20)
+K1, B = 1.2, 0.75
+
+
+def bags(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(word hashes, how often, text, words of each text): the distinct words of each text of a block, A-Z lowered, in order."""
+    data = np.where((data > 64) & (data < 91), data + np.uint8(32), data)
+    start, end, each = word_bounds(data, bounds)
+    word = np.empty(len(start), np.uint64)
+    # hashes piece by piece, so that the prefix sums stay small
+    step = 1 << 20
+    for lo in range(0, len(data), step):
+        i, j = np.searchsorted(start, [lo, lo + step])
+        if j > i:
+            hi = int(end[j - 1])
+            word[i:j] = _ROLL.of(_ROLL.prefix(byte_values(data[lo:hi])), start[i:j] - lo, end[i:j] - lo)
+    text = np.repeat(np.arange(len(each)), each)
+    order = np.lexsort((word, text))
+    word, text = word[order], text[order]
+    at = np.flatnonzero((np.diff(word, prepend=word[:1]) != 0) | (np.diff(text, prepend=-1) != 0))
+    return word[at], np.diff(np.append(at, len(word))), text[at], each
+
+
+def gains(df, tf, length, n: float, mean: float):
+    """BM25 of a word in a text, in whole numbers; for numpy arrays."""
+    return np.rint(_SCALE * np.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / max(1.0, mean))))
+
+
 class Index:
-    """BM25 over the words of a shard's texts (bytes)."""
-
-    def __init__(self, texts: list[bytes], query_words: int = 8, k1: float = 1.2, b: float = 0.75):
-        data = np.frombuffer(b"\n".join(texts).lower(), np.uint8)
-        size = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
-        bounds = np.concatenate([[0], np.cumsum(size)])
-        bounds[-1] = len(data)
-        start, end, each = word_bounds(data, bounds)
-        word = np.empty(len(start), np.uint64)
-        # hashes piece by piece, so that the prefix sums stay small
-        step = 1 << 20
-        for lo in range(0, len(data), step):
-            i, j = np.searchsorted(start, [lo, lo + step])
-            if j > i:
-                hi = int(end[j - 1])
-                word[i:j] = _ROLL.of(_ROLL.prefix(byte_values(data[lo:hi])), start[i:j] - lo, end[i:j] - lo)
-        n = len(texts)
-        # word and document in one number, so that one plain sort brings the postings together
-        width = np.uint64(max(1, int(n).bit_length()))
-        pair = np.sort((word << width) | np.repeat(np.arange(n, dtype=np.uint64), each))
-        at = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.zeros(0, np.int64)
-        tf = np.diff(np.append(at, len(pair)))
-        pair = pair[at]
-        doc = (pair & ((np.uint64(1) << width) - np.uint64(1))).astype(np.int64)
-        word = pair >> width
-        first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.zeros(0, np.int64)
+    """BM25 over texts (bytes), or over postings whose gains are known; postings are in the order of their documents."""
+
+    def __init__(self, texts: list[bytes] | None = None, postings: tuple[np.ndarray, np.ndarray, np.ndarray, int] | None = None):
+        if postings is None:
+            data = np.frombuffer(b"\n".join(texts), np.uint8)
+            bounds = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+            bounds[-1] = len(data)
+            word, tf, doc, each = bags(data, bounds)
+            _, term, df = np.unique(word, return_inverse=True, return_counts=True)
+            gain = gains(df[term], tf, each[doc], len(texts), each.mean() if len(texts) else 1.0)
+            postings = word, doc, gain, len(texts)
+        word, doc, gain, n = postings
+        order = np.argsort(word, kind="stable")
+        self.words, first, self.df = np.unique(word[order], return_index=True, return_counts=True)
         self.begin = np.append(first, len(word))
-        df = np.diff(self.begin)
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        term = np.repeat(np.arange(len(df)), df)
-        norm = k1 * (1 - b + b * each / max(1.0, each.mean() if n else 1.0))
-        self.doc = doc
-        self.gain = idf[term] * tf * (k1 + 1) / (tf + norm[doc])
-        # a document asks for its weightiest words that some but not most other documents have
-        useful = np.flatnonzero((df[term] > 1) & (df[term] <= max(2, n // 20)))
-        top = self.gain[useful].max() * 1.001 if len(useful) else 1.0
-        useful = useful[np.argsort(doc[useful] + 1 - self.gain[useful] / top, kind="stable")]
-        lo = np.searchsorted(doc[useful], np.arange(n + 1))
-        self.queries = [term[useful[a : min(a + query_words, z)]] for a, z in zip(lo[:-1].tolist(), lo[1:].tolist(), strict=True)]
+        self.doc, self.gain = doc[order], gain[order]
+        self.word, self.at = word, np.searchsorted(doc, np.arange(n + 1))
         self.used = np.zeros(n, bool)
 
+    def scores(self, words: list[np.ndarray]) -> np.ndarray:
+        """What each document scores for each list of distinct words; exact."""
+        n = len(self.used)
+        out = np.zeros((len(words), n))
+        if not len(self.words):
+            return out
+        size = np.array([len(w) for w in words])
+        q = np.concatenate(words)
+        who = np.repeat(np.arange(len(words)), size)
+        t = np.minimum(np.searchsorted(self.words, q), len(self.words) - 1)
+        known = self.words[t] == q
+        t, who = t[known], who[known]
+        heavy = self.df * 50 > n
+        # frequent words as products of matrices, some hundred at a time; the others posting by posting
+        wide = np.flatnonzero(heavy)
+        for lo in range(0, len(wide), 512):
+            slab = wide[lo : lo + 512]
+            mine, theirs = np.zeros((len(words), len(slab))), np.zeros((len(slab), n))
+            place = np.full(len(self.words), -1)
+            place[slab] = np.arange(len(slab))
+            has = place[t] >= 0
+            mine[who[has], place[t[has]]] = 1
+            p = ranges(self.begin[slab], self.df[slab])
+            theirs[np.repeat(np.arange(len(slab)), self.df[slab]), self.doc[p]] = self.gain[p]
+            out += mine @ theirs
+        rare = ~heavy[t]
+        t, who = t[rare], who[rare]
+        cut = np.searchsorted(who, np.arange(len(words) + 1))
+        for i in range(len(words)):
+            x = t[cut[i] : cut[i + 1]]
+            if len(x):
+                p = ranges(self.begin[x], self.df[x])
+                out[i] += np.bincount(self.doc[p], self.gain[p], n)
+        return out
+
     def neighbours(self, seed: int) -> np.ndarray:
         """Unused documents that share words with the seed, best first."""
-        spans = [slice(self.begin[t], self.begin[t + 1]) for t in self.queries[seed].tolist()]
-        if not spans:
-            return np.zeros(0, np.int64)
-        doc = np.concatenate([self.doc[s] for s in spans])
-        gain = np.concatenate([self.gain[s] for s in spans])
-        free = ~self.used[doc]
-        docs, i = np.unique(doc[free], return_inverse=True)
-        score = np.bincount(i, gain[free], len(docs))
+        score = self.scores([self.word[self.at[seed] : self.at[seed + 1]]])[0]
+        docs = np.flatnonzero((score > 0) & ~self.used)
+        return docs[np.lexsort((docs, -score[docs]))]
+
+
+class Links:
+    """A shard's documents by what they found in the corpus: copies, the text found, the texts that found it."""
+
+    def __init__(self, key: list[int], found: list[int | None], score: list[float | None]):
+        self.used = np.zeros(len(key), bool)
+        self._key, self._found, self._score = key, found, score
+        self._have, self._finders = {}, {}
+        for i, (k, f) in enumerate(zip(key, found, strict=True)):
+            self._have.setdefault(k, []).append(i)
+            if f is not None:
+                self._finders.setdefault(f, []).append(i)
+
+    def neighbours(self, seed: int) -> np.ndarray:
+        """Unused documents that are linked with the seed, best first."""
+        k, f = self._key[seed], self._found[seed]
+        got = {i: self._score[i] for i in self._finders.get(k, ())}
+        if f is not None:
+            got |= {i: max(self._score[seed], got.get(i, 0.0)) for i in self._have.get(f, ())}
+        got |= dict.fromkeys(self._have[k], np.inf)
+        docs = np.fromiter(got, np.int64, len(got))
+        score = np.fromiter(got.values(), float, len(got))
+        free = ~self.used[docs]
+        docs, score = docs[free], score[free]
         return docs[np.lexsort((docs, -score))]
 
 
-def order_by_neighbours(index: Index, sizes: np.ndarray, window: int) -> Iterator[int]:
+def order_by_neighbours(index: Index | Links, sizes: np.ndarray, window: int) -> Iterator[int]:
     """All documents of a shard, each once, in the order in which they fill windows."""
     n = len(sizes)
     fill, unused = 0, 0
@@ -147,12 +217,12 @@ def order_by_neighbours(index: Index, sizes: np.ndarray, window: int) -> Iterato
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack_shard(ids: list, texts: list[bytes], tokens: list[bytes], window: int, first_sequence: int) -> tuple[pa.Array, list[np.ndarray]]:
+def pack_shard(ids: list, links: Links, tokens: list[bytes], window: int, first_sequence: int) -> tuple[pa.Array, list[np.ndarray]]:
     """The pieces of a shard's documents, and the ids they belong to."""
     sizes = np.fromiter((len(t) // 4 for t in tokens), np.int64, len(tokens))
     who, rows = [], []
     at = 0
-    for d in order_by_neighbours(Index(texts), sizes, window):
+    for d in order_by_neighbours(links, sizes, window):
         t, size, done = tokens[d], int(sizes[d]), 0
         while done < size:
             take = min(size - done, window - at % window)
@@ -170,37 +240,101 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, end_id: int, window: int
     end = np.uint32(end_id).tobytes()
     part = TaskContext.get().partitionId() if TaskContext.get() else 0
     n_shard = held = 0
-    ids, texts, tokens = [], [], []
+    ids, links, tokens = [], [], []
 
     def flush():
         # a sequence's id: partition, shard in it, sequence in that
         first = (part << 40) | (n_shard << 24)
-        who, rows = pack_shard(ids, texts, tokens, window, first)
+        who, rows = pack_shard(ids, Links(*zip(*links, strict=True)), tokens, window, first)
         cols = list(zip(*rows, strict=True))
         return pa.record_batch([who.cast(kind), *(pa.array(c, pa.int64()) for c in cols)], ["_row", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     for batch in batches:
-        for row, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        for row, text, *link in zip(batch.column(0).to_pylist(), batch.column(1), *(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
             raw = text.as_py()
             if ids and (len(ids) >= shard_docs or held + len(raw) > shard_chars):
                 yield flush()
-                ids, texts, tokens, held, n_shard = [], [], [], 0, n_shard + 1
+                ids, links, tokens, held, n_shard = [], [], [], 0, n_shard + 1
             ids.append(row)
-            texts.append(raw.encode())
+            links.append(link)
             tokens.append(bpe.encode(raw) + end)
             held += len(raw)
     if ids:
         yield flush()
 
 
-def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, shard_docs: int = 5000, shard_chars: int = 12_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _bag_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for got, data, bounds in text_blocks(batches):
+        word, tf, text, each = bags(data, bounds)
+        at = np.searchsorted(text, np.arange(len(each) + 1)).astype(np.int32)
+        lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(x)) for x in (word.view(np.int64), tf.astype(np.int32))]
+        yield pa.record_batch([got.column(0), pa.array(each.astype(np.int64)), *lists], ["_k", "size", "words", "tf"])
+
+
+def _meet(table: pa.Table) -> pa.Table:
+    """Of two blocks (or a block and itself), what each text finds in the other one: (_k, found, score)."""
+    i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+    table = table.take(pa.compute.sort_indices(table, [("_k", "ascending")]))
+    mine = table.column("mine").to_numpy()
+    sides = []
+    for x in {i, j}:
+        at = table.filter(pa.array(mine == x)).combine_chunks()
+        sides.append((at.column("_k").to_numpy(), [np.frombuffer(w, np.uint64) for w in at.column("words").to_pylist()], [np.frombuffer(g, np.int32) for g in at.column("gains").to_pylist()]))
+    out = []
+    for (key, words, _), (keys, others, gain) in ((sides[0], sides[-1]), (sides[-1], sides[0]))[: len(sides)]:
+        if not len(key) or not len(keys):
+            continue
+        doc = np.repeat(np.arange(len(keys)), [len(w) for w in others])
+        index = Index(postings=(np.concatenate(others), doc, np.concatenate(gain).astype(np.float64), len(keys)))
+        step = 256
+        for lo in range(0, len(key), step):
+            k = key[lo : lo + step]
+            s = index.scores(words[lo : lo + step])
+            s[k[:, None] == keys[None, :]] = 0  # no text finds itself
+            best = s.argmax(axis=1)  # the first of equal ones has the smaller key
+            top = s[np.arange(len(k)), best]
+            out.append((k[top > 0], keys[best[top > 0]], top[top > 0]))
+    cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+    return pa.table(dict(zip(("_k", "found", "score"), cols, strict=True)))
+
+
+def best_neighbours(texts: DataFrame, block: int = 8192) -> DataFrame:
+    """(_k, found, score): for each of the different texts (_k, text) the one that scores best of all, if any shares a word."""
+    bag = keep(texts.mapInArrow(_bag_rows, "_k long, size long, words array<long>, tf array<int>"), "bags")
+    n, total = bag.agg(F.count(F.lit(1)), F.sum("size")).first()
+    # words that one text alone has lead nowhere
+    df = keep(bag.select(F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "frequencies")
+    p = bag.select("_k", "size", F.explode(F.arrays_zip("words", "tf")).alias("x")).select("_k", "size", F.col("x.words").alias("w"), F.col("x.tf").alias("tf")).join(df, "w")
+    mean = max(1.0, (total or 0) / max(1, n))
+    idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    gain = F.rint(F.lit(_SCALE) * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.lit(mean))))
+    found = p.select("_k", "w", gain.cast("int").alias("g")).groupBy("_k").agg(F.collect_list("w").alias("words"), F.collect_list("g").alias("gains"))
+    blocks = max(1, -(-n // block))
+    packed = keep(found.mapInArrow(_as_bytes, "_k long, words binary, gains binary").withColumn("mine", F.pmod("_k", F.lit(blocks)).cast("int")), "postings")
+    both = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    both = both.select(F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "_k", "words", "gains")
+    got = both.groupBy("i", "j").applyInArrow(_meet, "_k long, found long, score double")
+    return keep(got.groupBy("_k").agg(F.max(F.struct("score", F.bitwise_not("found").alias("f"))).alias("x")).select("_k", F.bitwise_not("x.f").alias("found"), "x.score"), "found")
+
+
+def _as_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for got in batches:
+        cols = [pa.array([x.values.to_numpy().tobytes() for x in got.column(c)], pa.binary()) for c in (1, 2)]
+        yield pa.record_batch([got.column(0), *cols], ["_k", "words", "gains"])
+
+
+def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, shard_docs: int = 5000, shard_chars: int = 12_000_000, id_col: str = "doc_id", text_col: str = "text", block: int = 8192) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset): a row for each piece of each row's tokens.
 
-    path is the tokenizer's file, at the same place on every machine.
+    path is the tokenizer's file, at the same place on every machine. block: texts of a block, of which two meet in a task.
     """
-    d = docs.select(F.col(id_col).alias("_row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    d = d.withColumn("_key", F.xxhash64("_row", "text"))
-    d = d.repartition("_key").sortWithinPartitions("_key").select("_row", "text")
+    d = docs.select(F.col(id_col).alias("_row"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("_k", F.xxhash64("text"))
+    found = best_neighbours(d.select("_k", "text").dropDuplicates(["_k"]), block)
+    root = components(found.select(F.col("_k").alias("a"), F.col("found").alias("b")))
+    tree = keep(found.join(root.withColumnRenamed("node", "_k"), "_k"), "tree")
+    d = d.join(tree.hint("merge"), "_k", "left").withColumn("root", F.coalesce("root", "_k"))
+    order = ["root", "found", "_k", "_o"]
+    d = d.withColumn("_o", F.xxhash64("_row")).repartitionByRange(*order).sortWithinPartitions(*order).select("_row", "text", "_k", "found", "score")
     arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[d.schema["_row"].dataType.simpleString()]
     kind = d.schema["_row"].dataType.simpleString()
     return d.mapInArrow(lambda b: _pack(b, path, end_id, window, shard_docs, shard_chars, arrow), f"_row {kind}, {PIECES}").withColumnRenamed("_row", id_col)

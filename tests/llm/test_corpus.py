@@ -334,6 +334,30 @@ def test_packing_follows_neighbours():
     assert order[:4] == [0, 2, 1, 3] and sorted(order) == list(range(len(texts)))
 
 
+def test_packing_finds_neighbours_in_the_whole_corpus(spark):
+    """Best neighbours against brute force on plain words, whatever the blocks; pairs end up together however small the shards are."""
+    r = np.random.default_rng(3)
+    texts = [" ".join(f"w{int(x)}" for x in r.zipf(1.3, int(r.integers(5, 80))) % 3000) for _ in range(150)]
+    texts += [f"{texts[i]} tail{i}" for i in range(0, 150, 3)] + [f"lone{i}" for i in range(5)] + [""]
+    bag = [collections.Counter(t.split()) for t in texts]
+    df = collections.Counter(w for b in bag for w in b)
+    n, mean = len(texts), sum(sum(b.values()) for b in bag) / len(texts)
+    gain = [{w: float(packing.gains(df[w], c, sum(b.values()), n, mean)) for w, c in b.items()} for b in bag]
+    score = [[sum(g.get(w, 0.0) for w in b) if i != j else 0.0 for j, g in enumerate(gain)] for i, b in enumerate(bag)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    key = {x["_k"]: x["doc_id"] for x in d.select("doc_id", F.xxhash64("text").alias("_k")).collect()}
+    for block in (8192, 40):
+        got = {key[x["_k"]]: (key[x["found"]], x["score"]) for x in packing.best_neighbours(d.select(F.xxhash64("text").alias("_k"), "text"), block).collect()}
+        assert set(got) == {i for i in range(n) if max(score[i]) > 0}
+        # equal up to the last whole number of each word's gain, which two logarithms may round apart
+        assert all(abs(s - max(score[i])) <= 80 and max(score[i]) - score[i][j] <= 160 for i, (j, s) in got.items())
+    # each group's two texts share words that nobody else has; formerly they were dealt to shards at random
+    pairs = [(10 * i + k, f"a{i} b{i} c{i} d{i} common {'x' if k else 'y'}{i}") for i in range(400) for k in (0, 1)]
+    p = packing.pack(spark.createDataFrame(pairs, "doc_id long, text string"), queries.tokenizer_file(), shard_docs=20).where("start = 0").toPandas()
+    shard = dict(zip(p.doc_id, p.sequence_id // (1 << 24), strict=True))
+    assert sum(shard[10 * i] == shard[10 * i + 1] for i in range(400)) > 340
+
+
 def test_pipeline(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{SF}/documents.parquet")
