@@ -13,7 +13,8 @@ that found it follow by falling score until the window is full; the document tha
 its rest opens the next window, as its seed. A seed without unused neighbours is followed by the next unused document. So
 only the last sequence of a shard is short.
 
-A document's tokens are those of the given byte-level BPE file, special strings being ordinary text, then `end_id`.
+A document's tokens are those of the given byte-level BPE file, then `end_id`. With `marks` the file's special strings
+in a text become their one id, as the tokenizers library does it unless told otherwise; without, they are ordinary text.
 
 Defined results: a null text is empty and has the end id alone; every row has its pieces, also repeated ones; texts that
 share no word with another find nothing and are groups of their own; tables without rows give none; extra columns are
@@ -51,16 +52,20 @@ class ByteBPE:
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
-            vocab = json.load(f)["model"]["vocab"]
+            file = json.load(f)
+        vocab = file["model"]["vocab"]
+        special = {x["content"]: x["id"] for x in file["added_tokens"] if x["special"]}
         # the 256 bytes stand in such files as printable characters: their own, or the next free ones from 256
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in own]
         byte_of = {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(others)}
-        ranks = {bytes(byte_of[c] for c in word): i for word, i in vocab.items() if all(c in byte_of for c in word) and word != "<|endoftext|>"}
-        self._whole = tiktoken.Encoding("file", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
+        ranks = {bytes(byte_of[c] for c in word): i for word, i in vocab.items() if all(c in byte_of for c in word) and word not in special}
+        self._whole = tiktoken.Encoding("file", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        self._special = set(special)
 
-    def encode(self, text: str) -> bytes:
-        return array.array("I", self._whole.encode_ordinary(text)).tobytes()
+    def encode(self, text: str, marks: bool = False) -> bytes:
+        ids = self._whole.encode(text, allowed_special=self._special) if marks else self._whole.encode_ordinary(text)
+        return array.array("I", ids).tobytes()
 
 
 @functools.cache
@@ -233,7 +238,7 @@ def pack_shard(ids: list, links: Links, tokens: list[bytes], window: int, first_
     return pa.array([ids[d] for d in who]), rows
 
 
-def _pack(batches: Iterator[pa.RecordBatch], path: str, end_id: int, window: int, shard_docs: int, shard_chars: int, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+def _pack(batches: Iterator[pa.RecordBatch], path: str, end_id: int, window: int, shard_docs: int, shard_chars: int, kind: pa.DataType, marks: bool) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     bpe = tokenizer(path)
@@ -257,7 +262,7 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, end_id: int, window: int
                 ids, links, tokens, held, n_shard = [], [], [], 0, n_shard + 1
             ids.append(row)
             links.append(link)
-            tokens.append(bpe.encode(raw) + end)
+            tokens.append(bpe.encode(raw, marks) + end)
             held += len(raw)
     if ids:
         yield flush()
@@ -323,7 +328,7 @@ def _as_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([got.column(0), *cols], ["_k", "words", "gains"])
 
 
-def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, shard_docs: int = 5000, shard_chars: int = 12_000_000, id_col: str = "doc_id", text_col: str = "text", block: int = 8192) -> DataFrame:
+def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, shard_docs: int = 5000, shard_chars: int = 12_000_000, id_col: str = "doc_id", text_col: str = "text", block: int = 8192, marks: bool = False) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset): a row for each piece of each row's tokens.
 
     path is the tokenizer's file, at the same place on every machine. block: texts of a block, of which two meet in a task.
@@ -337,4 +342,4 @@ def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, shard_
     d = d.withColumn("_o", F.xxhash64("_row")).repartitionByRange(*order).sortWithinPartitions(*order).select("_row", "text", "_k", "found", "score")
     arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[d.schema["_row"].dataType.simpleString()]
     kind = d.schema["_row"].dataType.simpleString()
-    return d.mapInArrow(lambda b: _pack(b, path, end_id, window, shard_docs, shard_chars, arrow), f"_row {kind}, {PIECES}").withColumnRenamed("_row", id_col)
+    return d.mapInArrow(lambda b: _pack(b, path, end_id, window, shard_docs, shard_chars, arrow, marks), f"_row {kind}, {PIECES}").withColumnRenamed("_row", id_col)

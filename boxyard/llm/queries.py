@@ -60,7 +60,7 @@ def tokenizer_file() -> str:
 
 
 def op10_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file())
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file(), marks=True)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

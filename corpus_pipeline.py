@@ -35,7 +35,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Training sequences of 2048 tokens."""
-    return packing.pack(docs, tokenizer_file())
+    return packing.pack(docs, tokenizer_file(), marks=True)
 
 
 STAGES = [("toxicity", toxic), ("near_dedup", near_duplicates), ("decontamination", benchmark_leaks), ("secrets", secret_scan), ("packing", pack)]

@@ -334,6 +334,18 @@ def test_packing_follows_neighbours():
     assert order[:4] == [0, 2, 1, 3] and sorted(order) == list(range(len(texts)))
 
 
+def test_packing_keeps_special_strings_whole(spark, monkeypatch):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(queries.tokenizer_file())
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n\n y", "  <|endoftext|>  ", "<|endoftext|", "plain  text <|endoftext|>'s"]
+    monkeypatch.setattr(queries, "table", lambda *_: spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = {x["doc_id"]: (x["doc_tokens"], x["ids_crc32"]) for x in queries.op10_retrieval_packing(spark, "").collect() if x["length"] == x["doc_tokens"]}
+    want = [[*tok.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    assert 50256 in want[0]
+    assert got == {i: (len(w), zlib.crc32(np.array(w, np.uint32).tobytes())) for i, w in enumerate(want)}
+
+
 def test_packing_finds_neighbours_in_the_whole_corpus(spark):
     """Best neighbours against brute force on plain words, whatever the blocks; pairs end up together however small the shards are."""
     r = np.random.default_rng(3)
