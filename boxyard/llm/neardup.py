@@ -7,10 +7,13 @@ size + j hashes everything to coordinate j, so that every coordinate fills. A te
 coordinates are filled, which for most texts is after two or three. Classes whose sketches agree on a band of `rows`
 coordinates share a bucket.
 
-Within a bucket, each class is paired with the first one and with its neighbour (in a random order of its own for each
-bucket), never all with all. Pairs are confirmed on the full sets. Confirmed links make components; where classes of one
-family (all that such pairs connect, confirmed or not) still belong to different components, blocks of the family are
-compared as bits over what most of its members share, and pairs that can be similar are confirmed as well. A pair at the similarity `least` misses all bands with a probability of
+Within a bucket, each class is first paired with the first one and with those in its slot of a random order (half a class
+a slot on average). All classes that such pairs connect, if their fingerprints leave the similarity possible, are a family.
+Then all members of a bucket that belong to different families are compared by fingerprint, large buckets block by
+block, and families with such a pair become one. Pairs are confirmed on the full sets and confirmed links make
+components; where classes of one family still belong to different components, blocks of the family are compared as bits
+over what most of its members share, and pairs that can be similar are confirmed as well. So every pair of a bucket is
+tested, or is in one component already. A pair at the similarity `least` misses all bands with a probability of
 (1 - least**rows)**(size // rows), 3e-6 with the defaults.
 
 Defined results: null texts and texts without words have an empty set and are linked with nothing; texts with fewer
@@ -104,13 +107,18 @@ def _set_rows(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
         yield pa.record_batch([got.column(0), pa.ListArray.from_arrays(pa.array(b.astype(np.int32)), pa.array(h.view(np.int64)))], ["cls", "members"])
 
 
-def _agreeing(a: str, b: str, size: int, least: float) -> Column:
-    """Whether the fingerprints leave a similarity of `least` possible: eight deviations below what it would show."""
+def _most_off(size: int, least: float) -> int:
+    """Bits in which the fingerprints of two sets of the similarity `least` may differ: eight deviations more than expected."""
     n = min(128, size)
     want = n * (1 + least) / 2
     floor = want - 8 * (n * (1 + least) / 2 * (1 - least) / 2) ** 0.5
+    return int(n - floor) + 1
+
+
+def _agreeing(a: str, b: str, size: int, least: float) -> Column:
+    """Whether the fingerprints leave a similarity of `least` possible."""
     off = F.bit_count(F.col(f"{a}.f1").bitwiseXOR(F.col(f"{b}.f1"))) + F.bit_count(F.col(f"{a}.f2").bitwiseXOR(F.col(f"{b}.f2")))
-    return (off <= F.lit(int(n - floor) + 1)) & (F.lit(100.0) * F.least(f"{a}.n", f"{b}.n") >= F.lit(100.0 * least) * F.greatest(f"{a}.n", f"{b}.n"))
+    return (off <= F.lit(_most_off(size, least))) & (F.lit(100.0) * F.least(f"{a}.n", f"{b}.n") >= F.lit(100.0 * least) * F.greatest(f"{a}.n", f"{b}.n"))
 
 
 def _sets_of(classes: DataFrame, where: DataFrame, docs: DataFrame, k: int) -> DataFrame:
@@ -167,12 +175,16 @@ def _groups(d: DataFrame, shingle: int, percent: int, size: int, rows: int) -> D
     slots = _neighbours(buckets, size, least)
     order = lambda x, a, b: x.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     pairs = keep(order(star, "l.cls", "r.cls").unionByName(slots).distinct(), "pairs")
+    family = components(pairs).withColumnRenamed("root", "fam").withColumnRenamed("node", "cls")
+    late = keep(_between(buckets, family, size, percent), "late")
+    if late.limit(1).count():
+        pairs = keep(pairs.unionByName(late).distinct(), "pairs")
+        family = components(pairs).withColumnRenamed("root", "fam").withColumnRenamed("node", "cls")
     where = classes.select("cls", "_id", "_t")
     sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), where, d, shingle)
     links = keep(_confirmed(pairs, sets, percent), "links")
     root = components(links)
     # what is left: classes of one family of candidates that belong to different components so far
-    family = components(pairs).withColumnRenamed("root", "fam").withColumnRenamed("node", "cls")
     parts = family.join(root.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     torn = parts.groupBy("fam").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi and m > 2").select("fam", "m")
     cross = keep(_across(parts.join(torn, "fam"), sets, percent).join(pairs, ["a", "b"], "left_anti"), "cross")
@@ -266,9 +278,54 @@ def _across(parts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _neighbours(buckets: DataFrame, size: int, least: float) -> DataFrame:
-    """Pairs of classes that follow each other in the random order of a bucket."""
-    # the order is cut into slots of about two classes each, so a large bucket is many small groups and not one
+    """Pairs of classes that are close in the random order of a bucket."""
+    # the order is cut into two slots for each class, so a large bucket is many small groups and not one
     span = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(2.0**63) / F.col("m")).cast("long"))
     slotted = buckets.withColumn("slot", F.floor(F.col("ord") / span))
     pair = slotted.alias("l").join(slotted.alias("r"), (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.slot") == F.col("r.slot")) & (F.col("l.cls") < F.col("r.cls")) & _agreeing("l", "r", size, least))
     return pair.select(F.col("l.cls").alias("a"), F.col("r.cls").alias("b"))
+
+
+#: Members of a bucket up to which its pairs come from a join; larger ones are compared in blocks.
+_FEW = 32
+
+
+def _between(buckets: DataFrame, family: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes that share a bucket, belong to different families and agree in their fingerprints.
+
+    Of large buckets, one pair of each two families that meet in two blocks: it makes them one family.
+    """
+    b = buckets.where("m > 2").join(family, "cls", "left").withColumn("fam", F.coalesce("fam", "cls"))
+    torn = b.groupBy("bucket").agg(F.min("fam").alias("lo"), F.max("fam").alias("hi")).where("lo <> hi").select("bucket")
+    b = keep(b.join(torn, "bucket").select("bucket", "m", "cls", "fam", "n", "f1", "f2"), "torn")
+    few = b.where(F.col("m") <= _FEW)
+    few = few.alias("l").join(few.alias("r"), (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.cls") < F.col("r.cls")) & (F.col("l.fam") != F.col("r.fam")) & _agreeing("l", "r", size, percent / 100))
+    blocks = F.ceil(F.col("m") / F.lit(float(_BLOCK))).cast("int")
+    many = b.where(F.col("m") > _FEW).withColumn("mine", F.pmod(F.xxhash64("cls", "bucket"), blocks).cast("int"))
+    many = many.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "cls", "fam", "n", "f1", "f2")
+    most = _most_off(size, percent / 100)
+    many = many.groupBy("bucket", "i", "j").applyInArrow(lambda t: _compare_prints(t, most, percent), "a long, b long")
+    return few.select(F.col("l.cls").alias("a"), F.col("r.cls").alias("b")).unionByName(many).distinct()
+
+
+def _compare_prints(table: pa.Table, most: int, percent: int) -> pa.Table:
+    """One agreeing pair of each two families of two blocks of a bucket."""
+    i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+    mine = table.column("mine").to_numpy()
+    cls, fam, n = (table.column(c).to_numpy() for c in ("cls", "fam", "n"))
+    f1, f2 = (table.column(c).to_numpy().view(np.uint64) for c in ("f1", "f2"))
+    left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
+    found = {}
+    step = max(1, 2_000_000 // max(1, len(right)))
+    for lo in range(0, len(left), step):
+        x = left[lo : lo + step]
+        off = np.bitwise_count(f1[x][:, None] ^ f1[right][None, :]).astype(np.int16) + np.bitwise_count(f2[x][:, None] ^ f2[right][None, :])
+        sizes = n[x][:, None], n[right][None, :]
+        ok = (off <= most) & (100 * np.minimum(*sizes) >= percent * np.maximum(*sizes)) & (fam[x][:, None] != fam[right][None, :])
+        p, q = np.nonzero(ok)
+        p, q = x[p], right[q]
+        ends = np.stack([np.minimum(fam[p], fam[q]), np.maximum(fam[p], fam[q])], 1)
+        for k in np.unique(ends, axis=0, return_index=True)[1].tolist():
+            found.setdefault(tuple(ends[k].tolist()), (min(cls[p[k]], cls[q[k]]), max(cls[p[k]], cls[q[k]])))
+    ab = np.array(list(found.values()), np.int64).reshape(-1, 2)
+    return pa.table({"a": ab[:, 0], "b": ab[:, 1]})

@@ -9,6 +9,7 @@ import zlib
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -254,6 +255,30 @@ def test_near_duplicates_of_a_torn_family(spark):
     assert got == want and 1 < len({x[2] for x in want}) < 120
 
 
+@pytest.mark.parametrize("few, block", [(32, 2000), (2, 50)])
+def test_near_duplicates_in_crowded_buckets(spark, monkeypatch, few, block):
+    """Buckets full of mutually unlike texts, with some similar pairs: every pair must be found, however the bucket is ordered."""
+    monkeypatch.setattr(neardup, "_FEW", few, raising=False)
+    monkeypatch.setattr(neardup, "_BLOCK", block)
+    sketch_rows = neardup._sketch_rows
+
+    def one_bucket(batches, k, size, rows):
+        # all texts share the one bucket of the first band, and no other band tells anything
+        for b in sketch_rows(batches, k, size, rows):
+            yield b.set_column(7, "bands", pa.array([[7]] * len(b), pa.list_(pa.int64())))
+
+    monkeypatch.setattr(neardup, "_sketch_rows", one_bucket)
+    r = np.random.default_rng(8)
+    rows = []
+    for i in range(150):
+        w = [f"w{x}" for x in r.integers(0, 10**6, 60)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join([*w[:-2], f"n{i}"]) if i % 3 == 0 else " ".join(f"z{x}" for x in r.integers(0, 10**6, 60)))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_components(rows, 2, 80)
+    got = sorted((x["doc_id"], x["n_shingles"], x["component_id"]) for x in neardup.near_duplicates(d, shingle=2).collect())
+    assert got == want and len({x[2] for x in want}) == 250
+
+
 def test_sketch_estimates_similarity():
     r = np.random.default_rng(1)
     common, a, b = r.integers(0, 2**63, 600, np.uint64), r.integers(0, 2**63, 100, np.uint64), r.integers(0, 2**63, 100, np.uint64)
