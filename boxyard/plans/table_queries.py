@@ -464,6 +464,12 @@ def j5_leave_image_out(spark, sf_dir):
     return references.leave_image_out_references(random_references(t, 4).select("dataset", "category_id", "rank", "ann_id", "image_id"), t["det_images"].where("image_id % 20 = 0"), 3).drop("image_id")
 
 
+@register("j5_leave_image_out_whole")
+def j5_leave_image_out_whole(spark, sf_dir):
+    t = load(spark, sf_dir)
+    return references.leave_image_out_references(random_references(t, 4).select("dataset", "category_id", "rank", "ann_id", "image_id"), t["det_images"], 3).drop("image_id")
+
+
 @register("j6_calibration_split", oracle(f"with {_AREA}, {_FIRST}, l as (select * from det_annotations a where not exists (select 1 from r1 where r1.dataset = a.dataset and r1.image_id = a.image_id)) select c.dataset, c.category_id, count(l.ann_id) as n_left from (select distinct dataset, category_id from det_annotations) c left join l using (dataset, category_id) group by all", *BOXES))
 def j6_calibration_split(spark, sf_dir):
     t = load(spark, sf_dir)
@@ -504,11 +510,21 @@ def p18_reference_payloads(spark, sf_dir):
 @register("p19_request_parts", oracle(f"with {_RANDOM}, {_MATRIX}, g as (select distinct dataset, category_id, image_id from rr where rank <= 2) select m.dataset, m.task_key, cast(2 + 2 * count(g.image_id) as int) as n_parts, max(i.file_name) as last_content from m left join g on g.dataset = m.dataset and (m.category_id is null or g.category_id = m.category_id) join det_images i on i.dataset = m.dataset and i.image_id = m.image_id where m.image_id % 25 = 0 group by m.dataset, m.task_key", "det_images", "det_categories", "det_annotations"))
 def p19_request_parts(spark, sf_dir):
     t = load(spark, sf_dir)
-    m = tasks.task_matrix(t["det_images"].where("image_id % 25 = 0"), conditions_of(spark), t["det_categories"]).withColumn("task_key", F.concat_ws("/", "dataset", "task_key"))
+    return request_part_counts(spark, t, t["det_images"].where("image_id % 25 = 0"))
+
+
+def request_part_counts(spark, t, images):
+    m = tasks.task_matrix(images, conditions_of(spark), t["det_categories"]).withColumn("task_key", F.concat_ws("/", "dataset", "task_key"))
     d = tasks.request_parts(m, tasks.reference_payloads(reference_rows(t).where("rank <= 2"), 2), t["det_images"], "Find all objects.")
     return d.select(F.substring_index("task_key", "/", 1).alias("dataset"), F.substring_index("task_key", "/", -1).alias("task_key"), F.size("parts").alias("n_parts"), F.element_at("parts", -1)["content"].alias("last_content"))
 
 
+@register("p19_request_parts_whole")
+def p19_request_parts_whole(spark, sf_dir):
+    t = load(spark, sf_dir)
+    return request_part_counts(spark, t, t["det_images"])
+
+
 # --- merging
 
 
