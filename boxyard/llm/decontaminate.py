@@ -11,8 +11,11 @@ contaminated. Coverage by identical values only tells verbatim copies from re-pa
 The benchmark is joined by broadcast only if its windows, which are counted first, are at most `broadcast_rows`;
 beyond that the same join is shuffled.
 
-Defined results: null texts have no tokens; texts and items with fewer than k tokens have no windows and never match;
-windows with fewer than `literals` distinct literal tokens are too general and are not used. A null item id is an item of
+Windows with fewer than `literals` distinct literal tokens are too general and are not used. An item without any usable
+window, because it is short or mostly numbers and names, matches verbatim: where all its tokens, values included, stand
+in a row.
+
+Defined results: null texts have no tokens and items without tokens never match. A null item id is an item of
 its own; items that occur twice count once. A document row that occurs twice is reported twice. Tables without rows give
 no rows, a missing benchmark text or an empty benchmark leaves every document clean. Extra columns are ignored.
 """
@@ -88,6 +91,27 @@ def _slot_pairs(matched: DataFrame, docs: DataFrame, items: DataFrame, k: int, i
     )
 
 
+def _usable(tok: Column, k: int, literals: int) -> Column:
+    """Whether any window of the tokens is used."""
+    starts = F.sequence(F.lit(0), F.greatest(F.size(tok) - k, F.lit(0)))
+    return (F.size(tok) >= k) & F.exists(starts, lambda i: F.size(F.array_distinct(F.filter(F.slice(tok, i + 1, k), lambda x: ~_is_slot(x)))) >= literals)
+
+
+def _whole_matches(docs: DataFrame, items: DataFrame, k: int, literals: int, broadcast_rows: int, item_id: str, item_text: str) -> DataFrame | None:
+    """(_id, _t, item) where an item without usable windows stands as a whole; None if there are no such items."""
+    # whether a capital makes a name depends on what stands before it, so marks do not count here
+    bare = lambda c: F.transform(tokens(c), lambda x: F.regexp_replace(x, "[\u0001-\u0003]", ""))
+    b = items.where(~_usable(tokens(F.col(item_text)), k, literals)).select(F.col(item_id).alias("item"), bare(F.col(item_text)).alias("tok"))
+    b = b.where(F.size("tok") > 0).select("item", F.size("tok").alias("len"), F.xxhash64("tok").alias("wh")).distinct()
+    lengths = sorted(r["len"] for r in b.select("len").distinct().collect())
+    if not lengths:
+        return None
+    side = F.broadcast if b.count() <= broadcast_rows else lambda x: x
+    d = docs.select("_id", "_t", bare(F.col("text")).alias("tok")).withColumn("len", F.explode(F.lit(lengths))).where(F.size("tok") >= F.col("len"))
+    hashes = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("tok") - F.col("len") + 1), lambda i: F.xxhash64(F.slice("tok", i, F.col("len")))))
+    return d.select("_id", "_t", "len", F.explode(hashes).alias("wh")).join(side(b), ["len", "wh"]).select("_id", "_t", "item").distinct()
+
+
 def matches(docs: DataFrame, items: DataFrame, k: int = 5, least: float = 0.8, literals: int = 3, broadcast_rows: int = 1_000_000, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(_id, _t, item, coverage, verbatim) of contaminated documents; docs comes from keyed()."""
     w, sizes = benchmark_windows(items, k, literals, item_id, item_text)
@@ -108,7 +132,9 @@ def matches(docs: DataFrame, items: DataFrame, k: int = 5, least: float = 0.8, l
     same = (F.col("a._id") == F.col("b._id")) & (F.col("a._t") == F.col("b._t")) & F.col("a.item").eqNullSafe(F.col("b.item")) & (F.col("a.diag") == F.col("b.diag"))
     judged = a.join(b, same, "left").select("a.*", F.coalesce("b.bad", F.lit(False)).alias("bad"), F.coalesce("b.changed", F.lit(False)).alias("changed")).where(~F.col("bad"))
     got = judged.groupBy("_id", "_t", "item").agg(F.count_distinct("ipos").alias("n"), F.max("n_windows").alias("n_windows"), F.count_distinct(F.when(~F.col("changed"), F.col("ipos"))).alias("n_same"))
-    return got.where(enough).select("_id", "_t", "item", F.round(F.col("n") / F.col("n_windows"), 6).alias("coverage"), (F.col("n_same") >= F.lit(least) * F.col("n_windows")).alias("verbatim"))
+    got = got.where(enough).select("_id", "_t", "item", F.round(F.col("n") / F.col("n_windows"), 6).alias("coverage"), (F.col("n_same") >= F.lit(least) * F.col("n_windows")).alias("verbatim"))
+    whole = _whole_matches(docs, items, k, literals, broadcast_rows, item_id, item_text)
+    return got if whole is None else got.unionByName(whole.withColumn("coverage", F.lit(1.0)).withColumn("verbatim", F.lit(True)))
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, k: int = 5, least: float = 0.8, literals: int = 3, broadcast_rows: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:

@@ -330,6 +330,18 @@ def test_decontamination(spark, docs, empty):
     assert kept.columns == docs.columns and kept.count() == docs.count()
 
 
+@pytest.mark.parametrize("bound", [1_000_000, 0])
+def test_decontamination_by_items_without_windows(spark, empty, bound):
+    b = spark.createDataFrame([(1, "12 + 34 = 46"), (2, "Who wrote Emma"), (3, "1, 2, 3, 5, 8, 13, 21"), (None, "Anna Bob Clara Dave"), (5, ""), (6, None)], "item_id long, text string")
+    texts = ["We know that 12 + 34 = 46 holds.", "We know that 12 + 35 = 47 holds.", "asked: who wrote Emma?", "who wrote about Emma", "so 1, 2, 3, 5, 8, 13, 21 go on", "so 1, 2, 3, 5, 8, 13, 22 go on", "with Anna Bob Clara Dave", None, ""]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["item_ids"], r["coverage"], r["reparameterised"]) for r in decontaminate.find_contamination(d, b, broadcast_rows=bound).collect() if r["contaminated"]}
+    assert set(got) == {0, 2, 4, 6}
+    assert got[0] == ([1], 1.0, False) and got[2] == ([2], 1.0, False) and got[4] == ([3], 1.0, False)
+    assert sorted(r["doc_id"] for r in decontaminate.drop_contaminated(d, b, broadcast_rows=bound).collect()) == [1, 3, 5, 7, 8]
+    assert decontaminate.find_contamination(empty, b).count() == 0
+
+
 def test_packing(spark, docs, empty):
     from tokenizers import Tokenizer
 
