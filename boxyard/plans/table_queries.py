@@ -617,9 +617,10 @@ def t1_stream_progress(spark, sf_dir):
     s.createOrReplaceTempView(view)
     log = spark.sql(TABLES["task_log"].replace("from events", f"from {view}"))
     folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-streams-")
-    q = streams.stream_progress(log, table, f"{folder}/{table}")
+    path = f"{folder}/{table}"
+    q = streams.stream_progress(log, path, f"{path}-checkpoint")
     q.awaitTermination()
-    return spark.table(table).groupBy("mode", "status").agg(F.count(F.lit(1)).alias("n"))
+    return streams.progress_table(spark, path).groupBy("mode", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register(

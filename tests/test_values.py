@@ -251,3 +251,22 @@ def test_record_stream_parses_each_task_once(spark, tmp_path):
     q = rate.writeStream.format("memory").outputMode("complete").queryName("rate").option("checkpointLocation", str(tmp_path / "ck2")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("rate").agg(F.max("calls")).first()[0] == 2
+
+
+def test_stream_progress_stays_on_executors(spark, tmp_path):
+    """Batch after batch, the latest state of each task is in the shared folder and no table is held in memory."""
+    schema = "event_id long, task_key string, mode string, status string, completed_at timestamp"
+    at = [(pd.Timestamp("2024-01-01") + pd.Timedelta(minutes=i)).to_pydatetime() for i in range(4)]
+    end = runs.TERMINAL[0] if isinstance(runs.TERMINAL, (list, tuple)) else sorted(runs.TERMINAL)[0]
+    rows = [[(1, "a", "m", "waiting", at[0]), (2, "b", "m", "waiting", at[0])], [(3, "a", "m", end, at[1])], [(4, "a", "m", "waiting", at[2]), (5, "b", "m", "again", at[3])]]
+    source, path = str(tmp_path / "in"), f"file://{tmp_path}/out"
+    spark.createDataFrame([], schema).write.parquet(source)
+    for part in [[], *rows]:
+        if part:
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+        q = streams.stream_progress(spark.readStream.schema(schema).parquet(source), path, f"{path}-checkpoint")
+        q.awaitTermination()
+        got = sorted(map(tuple, streams.progress_table(spark, path).collect()))
+        assert bool(got) == bool(part)
+    assert got == [("a", "m", end), ("b", "m", "again")]
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("latest_")]
