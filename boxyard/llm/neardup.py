@@ -7,14 +7,13 @@ size + j hashes everything to coordinate j, so that every coordinate fills. A te
 coordinates are filled, which for most texts is after two or three. Classes whose sketches agree on a band of `rows`
 coordinates share a bucket.
 
-Within a bucket, each class is first paired with the first one and with those in its slot of a random order (half a class
-a slot on average). All classes that such pairs connect, if their fingerprints leave the similarity possible, are a family.
-Then all members of a bucket that belong to different families are compared by fingerprint, large buckets block by
-block, and families with such a pair become one. Pairs are confirmed on the full sets and confirmed links make
-components; where classes of one family still belong to different components, blocks of the family are compared as bits
-over what most of its members share, and pairs that can be similar are confirmed as well. So every pair of a bucket is
-tested, or is in one component already. A pair at the similarity `least` misses all bands with a probability of
-(1 - least**rows)**(size // rows), 3e-6 with the defaults.
+Links are confirmed on the full sets as soon as they are looked at, a few bands first. In every bucket the first class (or
+what it has become one component with) is held against one member of each other component, confirmed links make
+components, and the other bands only see what is still apart: a large family costs a few pairs for each class. Then
+buckets that still hold different components are searched as a whole, in blocks of bounded size: fingerprints tell which
+members can be similar to one of another component, and those are compared on their full sets inside the task, which
+returns a forest of links and never pairs. So every pair of a bucket is tested, or is in one component already. A pair
+at the similarity `least` misses all bands with a probability of (1 - least**rows)**(size // rows), 3e-6 with the defaults.
 
 Defined results: null texts and texts without words have an empty set and are linked with nothing; texts with fewer
 words than a shingle have their whole word sequence as the one shingle; a row that occurs twice is linked with itself
@@ -23,11 +22,12 @@ and has one component; null ids count as the least possible id; tables without r
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxyard.llm.batches import Rolling, byte_values, mix, ranges, text_blocks, word_bounds
@@ -91,13 +91,13 @@ def _sketch_rows(batches: Iterator[pa.RecordBatch], k: int, size: int, rows: int
         key = np.zeros(folded.shape[:2], np.uint64) + np.arange(bands, dtype=np.uint64)
         for j in range(rows):
             key = mix(key * np.uint64(0x9E3779B97F4A7C15) + folded[:, :, j])
-        bits = (mix(s[:, : size // 128 * 128 or size]) & np.uint64(1)).astype(np.uint8)
-        packed = np.packbits(np.pad(bits, ((0, 0), (0, max(0, 128 - bits.shape[1]))))[:, :128], axis=1).view(np.int64)
+        bits = (mix(s[:, :256]) & np.uint64(1)).astype(np.uint8)
+        packed = np.packbits(np.pad(bits, ((0, 0), (0, 256 - bits.shape[1]))), axis=1).view(np.int64)
         full = n > 0
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(n) + 1) * bands, bands, dtype=np.int32)), pa.array(key.view(np.int64).ravel()))
         yield pa.record_batch(
-            [got.column(0), got.column(1), pa.array(n.astype(np.int64)), pa.array(sig[0], mask=~full), pa.array(sig[1], mask=~full), pa.array(packed[:, 0]), pa.array(packed[:, 1]), lists],
-            ["_id", "_t", "n", "s1", "s2", "f1", "f2", "bands"],
+            [got.column(0), got.column(1), pa.array(n.astype(np.int64)), pa.array(sig[0], mask=~full), pa.array(sig[1], mask=~full), pa.array(packed[:, 0]), pa.array(packed[:, 1]), lists, pa.array(packed[:, 2]), pa.array(packed[:, 3])],
+            ["_id", "_t", "n", "s1", "s2", "f1", "f2", "bands", "f3", "f4"],
         )
 
 
@@ -109,18 +109,12 @@ def _set_rows(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
 
 def _most_off(size: int, least: float) -> int:
     """Bits in which the fingerprints of two sets of the similarity `least` may differ: eight deviations more than expected."""
-    n = min(128, size)
+    n = min(256, size)
     want = n * (1 + least) / 2
     floor = want - 8 * (n * (1 + least) / 2 * (1 - least) / 2) ** 0.5
     return int(n - floor) + 1
 
 
-def _agreeing(a: str, b: str, size: int, least: float) -> Column:
-    """Whether the fingerprints leave a similarity of `least` possible."""
-    off = F.bit_count(F.col(f"{a}.f1").bitwiseXOR(F.col(f"{b}.f1"))) + F.bit_count(F.col(f"{a}.f2").bitwiseXOR(F.col(f"{b}.f2")))
-    return (off <= F.lit(_most_off(size, least))) & (F.lit(100.0) * F.least(f"{a}.n", f"{b}.n") >= F.lit(100.0 * least) * F.greatest(f"{a}.n", f"{b}.n"))
-
-
 def _sets_of(classes: DataFrame, where: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """(cls, members) of the wanted classes, from one text of each: the only time that texts are looked up again."""
     texts = docs.select("_id", "_t", "text").join(where.join(classes, "cls").select("cls", "_id", "_t").hint("merge"), ["_id", "_t"]).select("cls", "text")
@@ -156,41 +150,54 @@ def components(links: DataFrame) -> DataFrame:
             return total
 
 
+def joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, root) after further links between nodes; nodes without links may be missing."""
+    if roots is None:
+        return components(links)
+    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"_{c}"))
+    lifted = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+    new = components(lifted)
+    moved = new.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
+    old = roots.join(moved, F.col("root") == F.col("_n"), "left").select("node", F.coalesce("_r", "root").alias("root"))
+    return keep(old.unionByName(new.join(roots.select("node"), "node", "left_anti").select("node", "root")), "joined")
+
+
+def _with_roots(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Adds to rows with a class its root, which is the class itself where it has no link yet."""
+    if roots is None:
+        return members.withColumn("root", F.col("cls"))
+    return members.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+
+
+def _stars(buckets: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Pairs (a, b): in every bucket, a member of each component and the first member; one pair of each two components."""
+    each = _with_roots(buckets, roots).groupBy("bucket", "root").agg(F.min("cls").alias("cls"))
+    head = each.groupBy("bucket").agg(F.min(F.struct("root", "cls")).alias("h")).select("bucket", F.col("h.root").alias("_root"), F.col("h.cls").alias("a"))
+    apart = each.join(head, "bucket").where(F.col("root") != F.col("_root"))
+    return apart.groupBy("_root", "root").agg(F.min(F.struct(F.xxhash64("a", "cls"), "a", F.col("cls").alias("b"))).alias("p")).select("p.a", "p.b")
+
+
 def _groups(d: DataFrame, shingle: int, percent: int, size: int, rows: int) -> DataFrame:
     """(_id, _t, n, low, low_t) of the distinct rows of keyed(): the set's size, and the first text of the component (null for empty sets)."""
     least = percent / 100
     rows_ = keep(
-        d.select("_id", "_t", "text").mapInArrow(lambda b: _sketch_rows(b, shingle, size, rows), "_id long, _t long, n long, s1 long, s2 long, f1 long, f2 long, bands array<long>"),
+        d.select("_id", "_t", "text").mapInArrow(lambda b: _sketch_rows(b, shingle, size, rows), "_id long, _t long, n long, s1 long, s2 long, f1 long, f2 long, bands array<long>, f3 long, f4 long"),
         "sketches",
     )
     # a class is all texts with one set; it is called by the least id that has it, and the first of its texts is read again
-    classes = rows_.where(F.col("s1").isNotNull()).groupBy("s1", "s2").agg(F.min(F.struct("_id", "_t")).alias("p"), F.max("n").alias("n"), F.max("f1").alias("f1"), F.max("f2").alias("f2"), F.min("bands").alias("bands"))
+    classes = rows_.where(F.col("s1").isNotNull()).groupBy("s1", "s2").agg(F.min(F.struct("_id", "_t")).alias("p"), F.max("n").alias("n"), F.max("f1").alias("f1"), F.max("f2").alias("f2"), F.max("f3").alias("f3"), F.max("f4").alias("f4"), F.min("bands").alias("bands"))
     # two sets can share the least id only where an id occurs with different texts: the hash then tells them apart
-    classes = keep(classes.select("s1", "s2", F.xxhash64("s1", "s2").alias("cls"), F.col("p._id").alias("_id"), F.col("p._t").alias("_t"), "n", "f1", "f2", "bands"), "classes")
-    buckets = classes.select("cls", "n", "f1", "f2", F.explode("bands").alias("bucket"))
-    crowded = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > 1)
-    buckets = keep(buckets.join(crowded, "bucket").withColumn("ord", F.xxhash64("bucket", "cls")), "buckets")
-    head = buckets.groupBy("bucket").agg(F.min(F.struct("ord", "cls", "n", "f1", "f2")).alias("x")).select("bucket", F.col("x.*"))
-    star = buckets.alias("l").join(head.alias("r"), (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.cls") != F.col("r.cls")) & _agreeing("l", "r", size, least))
-    slots = _neighbours(buckets, size, least)
-    order = lambda x, a, b: x.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    pairs = keep(order(star, "l.cls", "r.cls").unionByName(slots).distinct(), "pairs")
-    family = components(pairs).withColumnRenamed("root", "fam").withColumnRenamed("node", "cls")
-    late = keep(_between(buckets, family, size, percent), "late")
-    if late.limit(1).count():
-        pairs = keep(pairs.unionByName(late).distinct(), "pairs")
-        family = components(pairs).withColumnRenamed("root", "fam").withColumnRenamed("node", "cls")
-    where = classes.select("cls", "_id", "_t")
-    sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), where, d, shingle)
-    links = keep(_confirmed(pairs, sets, percent), "links")
-    root = components(links)
-    # what is left: classes of one family of candidates that belong to different components so far
-    parts = family.join(root.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    torn = parts.groupBy("fam").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi and m > 2").select("fam", "m")
-    cross = keep(_across(parts.join(torn, "fam"), sets, percent).join(pairs, ["a", "b"], "left_anti"), "cross")
-    more = keep(_confirmed(cross, sets, percent), "more")
-    if more.limit(1).count():
-        root = components(links.unionByName(more))
+    classes = keep(classes.select("s1", "s2", F.xxhash64("s1", "s2").alias("cls"), F.col("p._id").alias("_id"), F.col("p._t").alias("_t"), "n", "f1", "f2", "f3", "f4", "bands"), "classes")
+    buckets = classes.select("cls", F.posexplode("bands").alias("band", "bucket"))
+    crowded = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > 1).select("bucket")
+    buckets = keep(buckets.join(crowded, "bucket"), "buckets")
+    sets = _sets_of(buckets.select("cls").distinct(), classes.select("cls", "_id", "_t"), d, shingle)
+    root = None
+    for some in (F.col("band") < _FIRST_BANDS, F.col("band") >= _FIRST_BANDS):
+        links = keep(_confirmed(keep(_stars(buckets.where(some), root), "stars"), sets, percent), "links")
+        root = joined(root, links)
+    links = keep(_search(buckets, root, classes.select("cls", "n", "f1", "f2", "f3", "f4"), sets, size, percent), "forest")
+    root = joined(root, links)
     named = classes.join(root, classes["cls"] == root["node"], "left").select("s1", "s2", "_id", "_t", F.coalesce("root", "cls").alias("root"))
     low = named.groupBy("root").agg(F.min(F.struct("_id", "_t")).alias("p")).select("root", F.col("p._id").alias("low"), F.col("p._t").alias("low_t"))
     named = named.join(low, "root").select("s1", "s2", "low", "low_t")
@@ -216,116 +223,111 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, s
     return kept.dropDuplicates(["_i", "_h"]).select("row.*")
 
 
-#: Members of a family that one task compares with as many others.
-_BLOCK = 2000
+#: Bands that are looked at first.
+_FIRST_BANDS = 4
 
+#: Members, and shingles in all, of a block of a bucket, of which two meet in a task.
+_BLOCK, _BLOCK_SHINGLES = 1000, 500_000
 
-def _against_core(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A member's set as bits over the family's core, and its other shingles as a filter of 1024 bits with its collisions."""
-    for got in batches:
-        out = []
-        for cls, root, n, own, core in zip(*(got.column(k) for k in ("cls", "root", "n", "members", "core")), strict=True):
-            own, core = own.values.to_numpy(), core.values.to_numpy()
-            bits = np.zeros(-(-max(1, len(core)) // 64) * 64, bool)
-            bits[: len(core)] = np.isin(core, own)
-            other = own[~np.isin(own, core)].view(np.uint64)
-            spots = np.zeros(1024, bool)
-            spots[(mix(other) % np.uint64(1024)).astype(np.int64)] = True
-            out.append((cls.as_py(), root.as_py(), n.as_py(), len(other) - int(spots.sum()), np.packbits(np.concatenate([bits, spots])).tobytes()))
-        cols = list(zip(*out, strict=True)) or [[]] * 5
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        yield pa.record_batch([got.column("fam"), got.column("m"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["fam", "m", "cls", "root", "n", "clash", "bits"])
-
-
-def _compare(table: pa.Table, percent: int) -> pa.Table:
-    """Pairs of two blocks of a family that differ in root and whose shared bits leave the similarity possible."""
-    i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-    mine = table.column("mine").to_numpy()
-    cls, root, n, clash = (table.column(c).to_numpy() for c in ("cls", "root", "n", "clash"))
-    bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(cls), -1)
-    left = np.flatnonzero(mine == i)
-    right = np.flatnonzero(mine == j)
-    found = []
-    step = max(1, 2_000_000 // max(1, len(right) * bits.shape[1]))
-    for lo in range(0, len(left), step):
-        x = left[lo : lo + step]
-        both = np.bitwise_count(bits[x][:, None, :] & bits[right][None, :, :]).sum(axis=2, dtype=np.int64)
-        both += np.minimum(clash[x][:, None], clash[right][None, :])
-        ok = ((100 + percent) * both >= percent * (n[x][:, None] + n[right][None, :])) & (root[x][:, None] != root[right][None, :])
-        if i == j:
-            ok &= cls[x][:, None] < cls[right][None, :]
-        p, q = np.nonzero(ok)
-        found.append(np.stack([cls[x[p]], cls[right[q]]], 1))
-    ab = np.sort(np.concatenate(found), axis=1) if found else np.zeros((0, 2), np.int64)
-    return pa.table({"a": ab[:, 0], "b": ab[:, 1]})
-
-
-def _across(parts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) between the components of families. parts: (fam, m, cls, root).
-
-    What most members of a family share is its core; a set is told by which of the core it has and by what else it has.
-    Sets in that form are small, so blocks of a family are compared bit by bit, and only pairs that can be similar come out.
-    """
-    sets = keep(parts.join(sets, "cls").withColumn("n", F.size("members").cast("long")), "families")
-    often = sets.select("fam", "m", F.explode("members").alias("s")).groupBy("fam", "m", "s").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") * 2 > F.col("m"))
-    core = often.groupBy("fam").agg(F.sort_array(F.collect_list("s")).alias("core"))  # less than twice a mean set
-    near = sets.join(core, "fam", "left").select("fam", "m", "cls", "root", "n", "members", F.coalesce("core", F.array().cast("array<bigint>")).alias("core"))
-    near = near.mapInArrow(_against_core, "fam long, m long, cls long, root long, n long, clash long, bits binary")
-    blocks = F.ceil(F.col("m") / F.lit(float(_BLOCK))).cast("int")
-    near = near.withColumn("mine", F.pmod(F.xxhash64("cls"), blocks).cast("int"))
-    near = near.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select("fam", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "cls", "root", "n", "clash", "bits")
-    return near.groupBy("fam", "i", "j").applyInArrow(lambda t: _compare(t, percent), "a long, b long").distinct()
-
-
-def _neighbours(buckets: DataFrame, size: int, least: float) -> DataFrame:
-    """Pairs of classes that are close in the random order of a bucket."""
-    # the order is cut into two slots for each class, so a large bucket is many small groups and not one
-    span = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(2.0**63) / F.col("m")).cast("long"))
-    slotted = buckets.withColumn("slot", F.floor(F.col("ord") / span))
-    pair = slotted.alias("l").join(slotted.alias("r"), (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.slot") == F.col("r.slot")) & (F.col("l.cls") < F.col("r.cls")) & _agreeing("l", "r", size, least))
-    return pair.select(F.col("l.cls").alias("a"), F.col("r.cls").alias("b"))
-
-
-#: Members of a bucket up to which its pairs come from a join; larger ones are compared in blocks.
-_FEW = 32
 
-
-def _between(buckets: DataFrame, family: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes that share a bucket, belong to different families and agree in their fingerprints.
-
-    Of large buckets, one pair of each two families that meet in two blocks: it makes them one family.
+def _groups_of(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Rows that arrive in the order of their first `keys` columns, as one table for each value of these."""
+    held: list[pa.RecordBatch] = []
+    for got in batches:
+        if not len(got):
+            continue
+        cols = [got.column(i).to_numpy(zero_copy_only=False) for i in range(keys)]
+        new = np.zeros(len(got), bool)
+        for c in cols:
+            new[1:] |= c[1:] != c[:-1]
+        if held:
+            last = held[-1]
+            new[0] = any(last.column(i)[len(last) - 1] != got.column(i)[0] for i in range(keys))
+        at = [0, *np.flatnonzero(new).tolist(), len(got)] if not new[0] else [*np.flatnonzero(new).tolist(), len(got)]
+        if held and new[0]:
+            yield pa.Table.from_batches(held)
+            held = []
+        for lo, hi in itertools.pairwise(at):
+            if hi == lo:
+                continue
+            held.append(got.slice(lo, hi - lo))
+            if hi < len(got):
+                yield pa.Table.from_batches(held)
+                held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _screen(batches: Iterator[pa.RecordBatch], most: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Of two blocks of a bucket: the members whose fingerprint leaves them similar to one of another component.
+
+    The group that they form is called by a hash of its members, so equal groups of several bands are compared once.
     """
-    b = buckets.where("m > 2").join(family, "cls", "left").withColumn("fam", F.coalesce("fam", "cls"))
-    torn = b.groupBy("bucket").agg(F.min("fam").alias("lo"), F.max("fam").alias("hi")).where("lo <> hi").select("bucket")
-    b = keep(b.join(torn, "bucket").select("bucket", "m", "cls", "fam", "n", "f1", "f2"), "torn")
-    few = b.where(F.col("m") <= _FEW)
-    few = few.alias("l").join(few.alias("r"), (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.cls") < F.col("r.cls")) & (F.col("l.fam") != F.col("r.fam")) & _agreeing("l", "r", size, percent / 100))
-    blocks = F.ceil(F.col("m") / F.lit(float(_BLOCK))).cast("int")
-    many = b.where(F.col("m") > _FEW).withColumn("mine", F.pmod(F.xxhash64("cls", "bucket"), blocks).cast("int"))
-    many = many.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "cls", "fam", "n", "f1", "f2")
+    for t in _groups_of(batches, 3):
+        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        mine, cls, root, n = (t.column(c).to_numpy() for c in ("mine", "cls", "root", "n"))
+        f = [t.column(f"f{k}").to_numpy().view(np.uint64) for k in range(1, 5)]
+        left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
+        some = np.zeros(len(cls), bool)
+        step = max(1, 1_000_000 // max(1, len(right)))
+        for lo in range(0, len(left), step):
+            x = left[lo : lo + step]
+            off = sum(np.bitwise_count(y[x][:, None] ^ y[right][None, :]).astype(np.int16) for y in f)
+            sizes = n[x][:, None], n[right][None, :]
+            ok = (off <= most) & (100 * np.minimum(*sizes) >= percent * np.maximum(*sizes)) & (root[x][:, None] != root[right][None, :])
+            some[x] |= ok.any(axis=1)
+            some[right] |= ok.any(axis=0)
+        if not some.any():
+            continue
+        side = np.where(mine == j, 1, 0)[some] if i != j else np.zeros(int(some.sum()), np.int64)
+        cls, root = cls[some], root[some]
+        with np.errstate(over="ignore"):
+            name = mix(np.array([mix(mix(cls.view(np.uint64)) + side.astype(np.uint64)).sum(dtype=np.uint64)])).view(np.int64)[0]
+        yield pa.record_batch([pa.array(np.full(len(cls), name)), pa.array(cls), pa.array(root), pa.array(side.astype(np.int32)), pa.array(np.full(len(cls), i != j))], ["g", "cls", "root", "side", "two"])
+
+
+def _forest(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Links between the components of a group's members, confirmed on the full sets: at most one less than members."""
+    for t in _groups_of(batches, 1):
+        cls, label, side = (t.column(c).to_numpy() for c in ("cls", "root", "side"))
+        label, two = label.copy(), t.column("two")[0].as_py()
+        sets = t.column("members").combine_chunks()
+        flat, at = sets.values.to_numpy(), sets.offsets.to_numpy().astype(np.int64)
+        flat, at = flat[at[0] : at[-1]], at - at[0]
+        n = np.diff(at)
+        _, token = np.unique(flat, return_inverse=True)
+        has = np.zeros(int(token.max(initial=0)) + 1, bool)
+        out = []
+        for i in range(len(cls)):
+            open_ = label != label[i]
+            open_[: i + 1] = False
+            if two:
+                open_ &= side != side[i]
+            if not open_.any():
+                continue
+            has[token[at[i] : at[i + 1]]] = True
+            both = np.add.reduceat(has[token], at[:-1], dtype=np.int64)
+            has[token[at[i] : at[i + 1]]] = False
+            for j in np.flatnonzero(open_ & (100 * both >= percent * (n[i] + n - both))).tolist():
+                if label[j] != label[i]:
+                    out.append((cls[i], cls[j]))
+                    label[label == label[j]] = label[i]
+        if out:
+            ab = np.array(out, np.int64)
+            yield pa.record_batch([pa.array(ab[:, 0]), pa.array(ab[:, 1])], ["a", "b"])
+
+
+def _search(buckets: DataFrame, roots: DataFrame, prints: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) that make one component of all similar members of a bucket; buckets of one component are left alone."""
+    b = _with_roots(buckets.select("bucket", "cls"), roots)
+    torn = b.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
+    b = keep(b.join(torn, "bucket").join(prints, "cls"), "torn")
+    many = b.groupBy("bucket").agg(F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(float(_BLOCK)), F.sum("n") / F.lit(float(_BLOCK_SHINGLES)))).cast("int").alias("blocks"))
+    b = b.join(many, "bucket").withColumn("mine", F.pmod(F.xxhash64("cls", "bucket"), "blocks").cast("int"))
+    b = b.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    b = b.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "cls", "root", "n", "f1", "f2", "f3", "f4")
     most = _most_off(size, percent / 100)
-    many = many.groupBy("bucket", "i", "j").applyInArrow(lambda t: _compare_prints(t, most, percent), "a long, b long")
-    return few.select(F.col("l.cls").alias("a"), F.col("r.cls").alias("b")).unionByName(many).distinct()
-
-
-def _compare_prints(table: pa.Table, most: int, percent: int) -> pa.Table:
-    """One agreeing pair of each two families of two blocks of a bucket."""
-    i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-    mine = table.column("mine").to_numpy()
-    cls, fam, n = (table.column(c).to_numpy() for c in ("cls", "fam", "n"))
-    f1, f2 = (table.column(c).to_numpy().view(np.uint64) for c in ("f1", "f2"))
-    left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
-    found = {}
-    step = max(1, 2_000_000 // max(1, len(right)))
-    for lo in range(0, len(left), step):
-        x = left[lo : lo + step]
-        off = np.bitwise_count(f1[x][:, None] ^ f1[right][None, :]).astype(np.int16) + np.bitwise_count(f2[x][:, None] ^ f2[right][None, :])
-        sizes = n[x][:, None], n[right][None, :]
-        ok = (off <= most) & (100 * np.minimum(*sizes) >= percent * np.maximum(*sizes)) & (fam[x][:, None] != fam[right][None, :])
-        p, q = np.nonzero(ok)
-        p, q = x[p], right[q]
-        ends = np.stack([np.minimum(fam[p], fam[q]), np.maximum(fam[p], fam[q])], 1)
-        for k in np.unique(ends, axis=0, return_index=True)[1].tolist():
-            found.setdefault(tuple(ends[k].tolist()), (min(cls[p[k]], cls[q[k]]), max(cls[p[k]], cls[q[k]])))
-    ab = np.array(list(found.values()), np.int64).reshape(-1, 2)
-    return pa.table({"a": ab[:, 0], "b": ab[:, 1]})
+    met = b.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(lambda x: _screen(x, most, percent), "g long, cls long, root long, side int, two boolean")
+    met = keep(met.distinct(), "met")
+    full = met.join(sets, "cls").select("g", "cls", "root", "side", "two", "members")
+    return full.repartition("g").sortWithinPartitions("g").mapInArrow(lambda x: _forest(x, percent), "a long, b long")

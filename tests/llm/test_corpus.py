@@ -279,6 +279,28 @@ def test_near_duplicates_in_crowded_buckets(spark, monkeypatch, few, block):
     assert got == want and len({x[2] for x in want}) == 250
 
 
+def test_links_of_a_large_family_grow_with_its_members(spark, monkeypatch):
+    """Rows looked at for a torn family of four times the members are about four times as many, not sixteen."""
+    seen = {}
+    real = neardup.keep
+    monkeypatch.setattr(neardup, "keep", lambda df, name: seen.setdefault(name, []).append(real(df, name)) or seen[name][-1])
+    made = []
+    for m in (300, 1200):
+        seen.clear()
+        r = np.random.default_rng(m)
+        base = [f"w{x}" for x in r.integers(0, 5000, 120)]
+        rows = []
+        for i in range(m):
+            w = list(base)
+            for p in r.choice(len(w), int(r.integers(2, 12)), replace=False):
+                w[p] = f"n{r.integers(0, 10**6)}"
+            rows.append((i, " ".join(w)))
+        neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=2).count()
+        made.append({k: sum(d.count() for d in seen[k]) for k in ("stars", "links", "met", "forest", "edges")})
+    assert all(made[1][k] <= 5 * made[0][k] + 1200 for k in made[0]), made
+    assert made[1]["stars"] <= 5 * 1200 and made[1]["forest"] < 1200
+
+
 def test_sketch_estimates_similarity():
     r = np.random.default_rng(1)
     common, a, b = r.integers(0, 2**63, 600, np.uint64), r.integers(0, 2**63, 100, np.uint64), r.integers(0, 2**63, 100, np.uint64)
