@@ -1,23 +1,23 @@
 """Lexical retrieval packing: documents that share words fill a training sequence together.
 
-Retrieval is over the whole corpus. Its texts, copies counted once, give the statistics of BM25 (number of texts that
-have a word, mean length), and every text finds the one text that scores best for all of its words that another text
-has too. This is exact: the texts are dealt to blocks, and each two blocks meet in a task that scores every text of one
-against every text of the other, so the work grows with the square of the number of different texts. Scores are sums of
-whole numbers (2**20 to one), so they do not depend on blocks; ties go to the text with the smaller hash.
-
-What these links connect is a group. The rows are laid out by group, in it by the text that they found, and cut into
-partitions and shards of at most `shard_docs` documents and `shard_chars` characters (one longer text is a shard alone),
-which bound memory only. Beginning with a shard's first unused document as seed, its copies, the text it found and those
-that found it follow by falling score until the window is full; the document that overruns the window is cut there and
-its rest opens the next window, as its seed. A seed without unused neighbours is followed by the next unused document. So
-only the last sequence of a shard is short.
+The BM25 index is sharded, and documents are dealt to shards by content. Every document has `keys` minimal hashes of its
+`shingle`-word runs; it joins the family of the key that most documents of the corpus share, and a document that shares
+none is a family of its own. Families lie in the order of their topic, the nearest of `topics` centers of hashed word
+vectors, which are fitted on the `sample` different texts of the least hash (a bound; every document is dealt and
+indexed). Rows in that order are cut into partitions, and these into shards of at most `shard_docs` documents and
+`shard_chars` characters (one longer text is a shard alone); a family beyond a shard goes on in the next one.
+
+Within a shard the inverted index has all words of all texts, and a seed asks with all of its words. Beginning with the
+first unused document as seed, unused neighbours follow by falling score until the window is full; the document that
+overruns the window is cut there and its rest opens the next window, as its seed. A seed without unused neighbours is
+followed by the next unused document. So only the last sequence of a shard is short. best_neighbours() is the exact
+search over the whole corpus, whose work grows with its square; it measures what the shards find.
 
 A document's tokens are those of the given byte-level BPE file, then `end_id`. With `marks` the file's special strings
 in a text become their one id, as the tokenizers library does it unless told otherwise; without, they are ordinary text.
 
 Defined results: a null text is empty and has the end id alone; every row has its pieces, also repeated ones; texts that
-share no word with another find nothing and are groups of their own; tables without rows give none; extra columns are
+share no word with another are families of their own and find nothing; tables without rows give none; extra columns are
 ignored.
 """
 
@@ -35,8 +35,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxyard.llm.batches import Rolling, byte_values, ranges, text_blocks, word_bounds
-from boxyard.llm.neardup import components
+from boxyard.llm.batches import Rolling, byte_values, mix, ranges, text_blocks, word_bounds
 from boxyard.llm.shared import keep
 
 _ROLL = Rolling()
@@ -114,9 +113,9 @@ class Index:
             gain = gains(df[term], tf, each[doc], len(texts), each.mean() if len(texts) else 1.0)
             postings = word, doc, gain, len(texts)
         word, doc, gain, n = postings
-        order = np.argsort(word, kind="stable")
-        self.words, first, self.df = np.unique(word[order], return_index=True, return_counts=True)
-        self.begin = np.append(first, len(word))
+        self.words, self.term, self.df = np.unique(word, return_inverse=True, return_counts=True)
+        order = np.argsort(self.term, kind="stable")
+        self.begin = np.append(0, np.cumsum(self.df))
         self.doc, self.gain = doc[order], gain[order]
         self.word, self.at = word, np.searchsorted(doc, np.arange(n + 1))
         self.used = np.zeros(n, bool)
@@ -158,38 +157,16 @@ class Index:
 
     def neighbours(self, seed: int) -> np.ndarray:
         """Unused documents that share words with the seed, best first."""
-        score = self.scores([self.word[self.at[seed] : self.at[seed + 1]]])[0]
-        docs = np.flatnonzero((score > 0) & ~self.used)
-        return docs[np.lexsort((docs, -score[docs]))]
+        t = self.term[self.at[seed] : self.at[seed + 1]]
+        t = t[self.df[t] > 1]  # a word that no other text has finds nothing
+        p = ranges(self.begin[t], self.df[t])
+        score = np.bincount(self.doc[p], self.gain[p], len(self.used))
+        score[self.used] = 0
+        docs = np.flatnonzero(score)
+        return docs[np.argsort(-score[docs], kind="stable")]
 
 
-class Links:
-    """A shard's documents by what they found in the corpus: copies, the text found, the texts that found it."""
-
-    def __init__(self, key: list[int], found: list[int | None], score: list[float | None]):
-        self.used = np.zeros(len(key), bool)
-        self._key, self._found, self._score = key, found, score
-        self._have, self._finders = {}, {}
-        for i, (k, f) in enumerate(zip(key, found, strict=True)):
-            self._have.setdefault(k, []).append(i)
-            if f is not None:
-                self._finders.setdefault(f, []).append(i)
-
-    def neighbours(self, seed: int) -> np.ndarray:
-        """Unused documents that are linked with the seed, best first."""
-        k, f = self._key[seed], self._found[seed]
-        got = {i: self._score[i] for i in self._finders.get(k, ())}
-        if f is not None:
-            got |= {i: max(self._score[seed], got.get(i, 0.0)) for i in self._have.get(f, ())}
-        got |= dict.fromkeys(self._have[k], np.inf)
-        docs = np.fromiter(got, np.int64, len(got))
-        score = np.fromiter(got.values(), float, len(got))
-        free = ~self.used[docs]
-        docs, score = docs[free], score[free]
-        return docs[np.lexsort((docs, -score))]
-
-
-def order_by_neighbours(index: Index | Links, sizes: np.ndarray, window: int) -> Iterator[int]:
+def order_by_neighbours(index: Index, sizes: np.ndarray, window: int) -> Iterator[int]:
     """All documents of a shard, each once, in the order in which they fill windows."""
     n = len(sizes)
     fill, unused = 0, 0
@@ -222,12 +199,12 @@ def order_by_neighbours(index: Index | Links, sizes: np.ndarray, window: int) ->
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack_shard(ids: list, links: Links, tokens: list[bytes], window: int, first_sequence: int) -> tuple[pa.Array, list[np.ndarray]]:
+def pack_shard(ids: list, texts: list[bytes], tokens: list[bytes], window: int, first_sequence: int) -> tuple[pa.Array, list[np.ndarray]]:
     """The pieces of a shard's documents, and the ids they belong to."""
     sizes = np.fromiter((len(t) // 4 for t in tokens), np.int64, len(tokens))
     who, rows = [], []
     at = 0
-    for d in order_by_neighbours(links, sizes, window):
+    for d in order_by_neighbours(Index(texts), sizes, window):
         t, size, done = tokens[d], int(sizes[d]), 0
         while done < size:
             take = min(size - done, window - at % window)
@@ -245,23 +222,23 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, end_id: int, window: int
     end = np.uint32(end_id).tobytes()
     part = TaskContext.get().partitionId() if TaskContext.get() else 0
     n_shard = held = 0
-    ids, links, tokens = [], [], []
+    ids, texts, tokens = [], [], []
 
     def flush():
         # a sequence's id: partition, shard in it, sequence in that
         first = (part << 40) | (n_shard << 24)
-        who, rows = pack_shard(ids, Links(*zip(*links, strict=True)), tokens, window, first)
+        who, rows = pack_shard(ids, texts, tokens, window, first)
         cols = list(zip(*rows, strict=True))
         return pa.record_batch([who.cast(kind), *(pa.array(c, pa.int64()) for c in cols)], ["_row", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     for batch in batches:
-        for row, text, *link in zip(batch.column(0).to_pylist(), batch.column(1), *(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
+        for row, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             raw = text.as_py()
             if ids and (len(ids) >= shard_docs or held + len(raw) > shard_chars):
                 yield flush()
-                ids, links, tokens, held, n_shard = [], [], [], 0, n_shard + 1
+                ids, texts, tokens, held, n_shard = [], [], [], 0, n_shard + 1
             ids.append(row)
-            links.append(link)
+            texts.append(raw.encode())
             tokens.append(bpe.encode(raw, marks) + end)
             held += len(raw)
     if ids:
@@ -328,18 +305,86 @@ def _as_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([got.column(0), *cols], ["_k", "words", "gains"])
 
 
-def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, shard_docs: int = 5000, shard_chars: int = 12_000_000, id_col: str = "doc_id", text_col: str = "text", block: int = 8192, marks: bool = False) -> DataFrame:
+def topic_vectors(data: np.ndarray, bounds: np.ndarray, dims: int) -> np.ndarray:
+    """For each text of a block, the logarithms of how often its words fall into each of `dims` cells, of length one."""
+    start, end, each = word_bounds(data, bounds)
+    cell = (_ROLL.of(_ROLL.prefix(byte_values(np.where((data > 64) & (data < 91), data + np.uint8(32), data))), start, end) % np.uint64(dims)).astype(np.int64)
+    text = np.repeat(np.arange(len(each)), each)
+    v = np.log1p(np.bincount(text * dims + cell, minlength=len(each) * dims).reshape(len(each), dims)).astype(np.float32)
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+
+
+def fit_topics(texts: DataFrame, topics: int = 16, sample: int = 2000, dims: int = 512) -> np.ndarray:
+    """Centers of topics from the `sample` different texts (_k, text) of the least hash _k: `topics` rows of `dims` numbers."""
+    last = texts.select("_k").distinct().orderBy("_k").limit(sample).agg(F.max("_k")).first()[0]
+    if last is None:
+        return np.zeros((1, dims), np.float32)
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for got, data, bounds in text_blocks(batches):
+            v = topic_vectors(data, bounds, dims)
+            yield pa.record_batch([got.column(0), pa.array([x.tobytes() for x in v], pa.binary())], ["_k", "v"])
+
+    rows = texts.where(F.col("_k") <= last).mapInArrow(vectors, "_k long, v binary").groupBy("_k").agg(F.min("v").alias("v")).orderBy("_k").collect()
+    v = np.frombuffer(b"".join(bytes(r["v"]) for r in rows), np.float32).reshape(-1, dims)
+    # words that all topics have tell nothing
+    v = v * np.log((1 + len(v)) / (1 + (v > 0).sum(axis=0)), dtype=np.float32)
+    centers = v[np.linspace(0, len(v) - 1, min(topics, len(v))).astype(int)]
+    for _ in range(10):
+        own = (v @ (centers / np.maximum(np.linalg.norm(centers, axis=1, keepdims=True), 1e-9)).T).argmax(axis=1)
+        centers = np.stack([v[own == k].mean(axis=0) if (own == k).any() else centers[k] for k in range(len(centers))])
+    return centers / np.maximum(np.linalg.norm(centers, axis=1, keepdims=True), 1e-9)
+
+
+def least_hashes(data: np.ndarray, bounds: np.ndarray, shingle: int, keys: int) -> np.ndarray:
+    """For each text of a block the least of its word runs under each of `keys` orders; of a shorter text the whole is the run."""
+    data = np.where((data > 64) & (data < 91), data + np.uint8(32), data)
+    start, end, each = word_bounds(data, bounds)
+    words = _ROLL.of(_ROLL.prefix(byte_values(data)), start, end)
+    first = np.cumsum(each) - each
+    n = np.maximum(np.minimum(each, 1), each - shingle + 1)
+    at = ranges(first, n)
+    h = _ROLL.of(_ROLL.prefix(words), at, at + np.repeat(np.minimum(each, shingle), n))
+    out = np.zeros((len(each), keys), np.uint64)
+    full = np.flatnonzero(n)
+    if len(full):
+        cut = (np.cumsum(n) - n)[full]
+        for k in range(keys):
+            out[full, k] = np.minimum.reduceat(mix(h + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)), cut)
+    return out
+
+
+def routes(texts: DataFrame, centers: np.ndarray, shingle: int = 4, keys: int = 6) -> DataFrame:
+    """(_r, topic, family) of the rows (_r, text)."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for got, data, bounds in text_blocks(batches):
+            topic = (topic_vectors(data, bounds, centers.shape[1]) @ centers.T).argmax(axis=1)
+            least = least_hashes(data, bounds, shingle, keys).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, least.size + 1, keys, dtype=np.int32)), pa.array(least.ravel()))
+            yield pa.record_batch([got.column(0), pa.array(topic.astype(np.int32)), lists], ["_r", "topic", "keys"])
+
+    found = keep(texts.mapInArrow(find, "_r long, topic int, keys array<long>"), "keys")
+    each = found.select("_r", "topic", F.explode("keys").alias("key"))
+    shared = each.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("topic").alias("topic")).where("n > 1")
+    joins = each.select("_r", "key").join(shared, "key").groupBy("_r").agg(F.max(F.struct("n", "key", "topic")).alias("f"))
+    return keep(found.join(joins, "_r", "left").select("_r", F.coalesce("f.topic", "topic").alias("topic"), F.coalesce("f.key", F.get("keys", F.lit(0))).alias("family")).dropDuplicates(["_r"]), "routes")
+
+
+def pack(
+    docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, shard_docs: int = 5000, shard_chars: int = 12_000_000, id_col: str = "doc_id", text_col: str = "text",
+    marks: bool = False, topics: int = 16, sample: int = 2000, shingle: int = 4, keys: int = 6,
+) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset): a row for each piece of each row's tokens.
 
-    path is the tokenizer's file, at the same place on every machine. block: texts of a block, of which two meet in a task.
+    path is the tokenizer's file, at the same place on every machine.
     """
-    d = docs.select(F.col(id_col).alias("_row"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("_k", F.xxhash64("text"))
-    found = best_neighbours(d.select("_k", "text").dropDuplicates(["_k"]), block)
-    root = components(found.select(F.col("_k").alias("a"), F.col("found").alias("b")))
-    tree = keep(found.join(root.withColumnRenamed("node", "_k"), "_k"), "tree")
-    d = d.join(tree.hint("merge"), "_k", "left").withColumn("root", F.coalesce("root", "_k"))
-    order = ["root", "found", "_k", "_o"]
-    d = d.withColumn("_o", F.xxhash64("_row")).repartitionByRange(*order).sortWithinPartitions(*order).select("_row", "text", "_k", "found", "score")
+    d = docs.select(F.col(id_col).alias("_row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    centers = fit_topics(d.select(F.xxhash64("text").alias("_k"), "text"), topics, sample)
+    d = d.withColumn("_r", F.xxhash64("_row", "text"))
+    route = routes(d.select("_r", "text"), centers, shingle, keys)
+    order = ["topic", "family", "_r"]
+    d = d.join(route.hint("merge"), "_r").repartitionByRange(*order).sortWithinPartitions(*order).select("_row", "text")
     arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[d.schema["_row"].dataType.simpleString()]
     kind = d.schema["_row"].dataType.simpleString()
     return d.mapInArrow(lambda b: _pack(b, path, end_id, window, shard_docs, shard_chars, arrow, marks), f"_row {kind}, {PIECES}").withColumnRenamed("_row", id_col)
