@@ -63,8 +63,9 @@ class ByteBPE:
         self._special = set(special)
 
     def encode(self, text: str, marks: bool = False) -> bytes:
-        ids = self._whole.encode(text, allowed_special=self._special) if marks else self._whole.encode_ordinary(text)
-        return array.array("I", ids).tobytes()
+        if marks and any(x in text for x in self._special):
+            return array.array("I", self._whole.encode(text, allowed_special=self._special)).tobytes()
+        return self._whole.encode_to_numpy(text, disallowed_special=()).tobytes()
 
 
 @functools.cache
@@ -76,8 +77,8 @@ _SCALE = float(1 << 20)
 K1, B = 1.2, 0.75
 
 
-def bags(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(word hashes, how often, text, words of each text): the distinct words of each text of a block, A-Z lowered, in order."""
+def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a hash of each word of a block, A-Z lowered; words of each text)"""
     data = np.where((data > 64) & (data < 91), data + np.uint8(32), data)
     start, end, each = word_bounds(data, bounds)
     word = np.empty(len(start), np.uint64)
@@ -88,11 +89,16 @@ def bags(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         if j > i:
             hi = int(end[j - 1])
             word[i:j] = _ROLL.of(_ROLL.prefix(byte_values(data[lo:hi])), start[i:j] - lo, end[i:j] - lo)
-    text = np.repeat(np.arange(len(each)), each)
-    order = np.lexsort((word, text))
-    word, text = word[order], text[order]
-    at = np.flatnonzero((np.diff(word, prepend=word[:1]) != 0) | (np.diff(text, prepend=-1) != 0))
-    return word[at], np.diff(np.append(at, len(word))), text[at], each
+    return word, each
+
+
+def bags(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(words of the block, then for each text and each of its words: word, how often, text; words of each text)."""
+    word, each = word_hashes(data, bounds)
+    words, term = np.unique(word, return_inverse=True)
+    key, tf = np.unique(np.repeat(np.arange(len(each)), each) * max(1, len(words)) + term, return_counts=True)
+    text, term = np.divmod(key, max(1, len(words)))
+    return words, term, tf, text, each
 
 
 def gains(df, tf, length, n: float, mean: float):
@@ -108,17 +114,18 @@ class Index:
             data = np.frombuffer(b"\n".join(texts), np.uint8)
             bounds = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
             bounds[-1] = len(data)
-            word, tf, doc, each = bags(data, bounds)
-            _, term, df = np.unique(word, return_inverse=True, return_counts=True)
-            gain = gains(df[term], tf, each[doc], len(texts), each.mean() if len(texts) else 1.0)
-            postings = word, doc, gain, len(texts)
-        word, doc, gain, n = postings
-        self.words, self.term, self.df = np.unique(word, return_inverse=True, return_counts=True)
+            self.words, self.term, tf, doc, each = bags(data, bounds)
+            n, self.df = len(texts), np.bincount(self.term, minlength=len(self.words))
+            gain = gains(self.df[self.term], tf, each[doc], n, each.mean() if n else 1.0)
+        else:
+            word, doc, gain, n = postings
+            self.words, self.term, self.df = np.unique(word, return_inverse=True, return_counts=True)
         order = np.argsort(self.term, kind="stable")
         self.begin = np.append(0, np.cumsum(self.df))
         self.doc, self.gain = doc[order], gain[order]
-        self.word, self.at = word, np.searchsorted(doc, np.arange(n + 1))
+        self.at = np.searchsorted(doc, np.arange(n + 1))
         self.used = np.zeros(n, bool)
+        self._asked, self._left = 0, n
 
     def scores(self, words: list[np.ndarray]) -> np.ndarray:
         """What each document scores for each list of distinct words; exact."""
@@ -155,15 +162,30 @@ class Index:
                 out[i] += np.bincount(self.doc[p], self.gain[p], n)
         return out
 
-    def neighbours(self, seed: int) -> np.ndarray:
+    def _forget_used(self) -> None:
+        """Drops the postings of used documents."""
+        free = ~self.used[self.doc]
+        self.begin = np.append(0, np.cumsum(free))[self.begin]
+        self.doc, self.gain = self.doc[free], self.gain[free]
+        self._left = np.count_nonzero(~self.used)
+
+    def neighbours(self, seed: int) -> Iterator[int]:
         """Unused documents that share words with the seed, best first."""
+        self._asked += 1
+        if self._asked % 64 == 0 and np.count_nonzero(~self.used) < 0.7 * self._left:
+            self._forget_used()
         t = self.term[self.at[seed] : self.at[seed + 1]]
-        t = t[self.df[t] > 1]  # a word that no other text has finds nothing
-        p = ranges(self.begin[t], self.df[t])
+        p = ranges(self.begin[t], self.begin[t + 1] - self.begin[t])
         score = np.bincount(self.doc[p], self.gain[p], len(self.used))
         score[self.used] = 0
+        most = 64
         docs = np.flatnonzero(score)
-        return docs[np.argsort(-score[docs], kind="stable")]
+        while len(docs):
+            # the best ones first; few seeds ask for more
+            top = docs if len(docs) <= most else docs[score[docs] >= np.partition(score[docs], len(docs) - most)[len(docs) - most]]
+            yield from top[np.argsort(-score[top], kind="stable")].tolist()
+            score[top] = 0
+            docs, most = np.flatnonzero(score), 16 * most
 
 
 def order_by_neighbours(index: Index, sizes: np.ndarray, window: int) -> Iterator[int]:
@@ -183,7 +205,7 @@ def order_by_neighbours(index: Index, sizes: np.ndarray, window: int) -> Iterato
             fill = (fill + int(sizes[seed])) % window
             continue
         room, last = window - fill, None
-        for d in index.neighbours(seed).tolist():
+        for d in index.neighbours(seed):
             index.used[d] = True
             yield d
             last = d
@@ -247,7 +269,8 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, end_id: int, window: int
 
 def _bag_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for got, data, bounds in text_blocks(batches):
-        word, tf, text, each = bags(data, bounds)
+        words, term, tf, text, each = bags(data, bounds)
+        word = words[term]
         at = np.searchsorted(text, np.arange(len(each) + 1)).astype(np.int32)
         lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(x)) for x in (word.view(np.int64), tf.astype(np.int32))]
         yield pa.record_batch([got.column(0), pa.array(each.astype(np.int64)), *lists], ["_k", "size", "words", "tf"])
@@ -307,8 +330,8 @@ def _as_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def topic_vectors(data: np.ndarray, bounds: np.ndarray, dims: int) -> np.ndarray:
     """For each text of a block, the logarithms of how often its words fall into each of `dims` cells, of length one."""
-    start, end, each = word_bounds(data, bounds)
-    cell = (_ROLL.of(_ROLL.prefix(byte_values(np.where((data > 64) & (data < 91), data + np.uint8(32), data))), start, end) % np.uint64(dims)).astype(np.int64)
+    word, each = word_hashes(data, bounds)
+    cell = (word % np.uint64(dims)).astype(np.int64)
     text = np.repeat(np.arange(len(each)), each)
     v = np.log1p(np.bincount(text * dims + cell, minlength=len(each) * dims).reshape(len(each), dims)).astype(np.float32)
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
@@ -338,9 +361,7 @@ def fit_topics(texts: DataFrame, topics: int = 16, sample: int = 2000, dims: int
 
 def least_hashes(data: np.ndarray, bounds: np.ndarray, shingle: int, keys: int) -> np.ndarray:
     """For each text of a block the least of its word runs under each of `keys` orders; of a shorter text the whole is the run."""
-    data = np.where((data > 64) & (data < 91), data + np.uint8(32), data)
-    start, end, each = word_bounds(data, bounds)
-    words = _ROLL.of(_ROLL.prefix(byte_values(data)), start, end)
+    words, each = word_hashes(data, bounds)
     first = np.cumsum(each) - each
     n = np.maximum(np.minimum(each, 1), each - shingle + 1)
     at = ranges(first, n)
