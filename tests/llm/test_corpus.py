@@ -345,7 +345,7 @@ def test_decontamination(spark, docs, empty):
     d = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
     for bound in (1_000_000, 0):
         got = {r["doc_id"]: r for r in decontaminate.find_contamination(d, b, broadcast_rows=bound).collect() if r["contaminated"]}
-        assert set(got) == {4000, 4001, 4003} or set(got) == {4001, 4003}
+        assert set(got) == {4000, 4001, 4003}
         assert got[4001]["reparameterised"] and got[4001]["item_ids"] == [1] and not got[4003]["reparameterised"]
     assert decontaminate.find_contamination(d, b).count() == d.count() and decontaminate.find_contamination(empty, b).count() == 0
     assert decontaminate.find_contamination(d, b.limit(0)).where("contaminated").count() == 0
@@ -353,6 +353,83 @@ def test_decontamination(spark, docs, empty):
     assert kept.columns == docs.columns and kept.count() == docs.count()
 
 
+def brute_leaks(texts, items, k=5, least=0.8, literals=3):
+    """{(document, item): (coverage, verbatim)} by looking at every window of every document and item."""
+
+    def toks(text):
+        t = re.sub(r"(?<![^\W_])(\d+(?:[.,]\d+)*)", "\u0001\\1", text)
+        t = re.sub(rf"(?i)(\u0001[0-9.,]+ ?)({decontaminate.UNITS})(?![^\W\d_])", "\\1 \u0003\\2", t)
+        t = "".join(f"\u0002{w}" if len(w) > 1 and w[0].isupper() and w[1:].islower() and w.isalpha() else w for w in re.split(r"([^\W_]+)", t))
+        return [x for x in re.sub(r"[^\w.,\u0001-\u0003]+|[.,](?!\d)|(?<!\d)[.,]", " ", t.lower()).split(" ") if x]
+
+    value = lambda x: x[1:] if x < "\u0004" else x
+    forms = (lambda x: x[0] if x < "\u0004" else x), (lambda x: x[1:] if x[0] == "\u0002" else x[0] if x < "\u0004" else x)
+    out = {}
+    for j, item in items:
+        it = toks(item or "")
+        usable = {}
+        for p in range(len(it) - k + 1):
+            for v, f in enumerate(forms):
+                win = tuple(map(f, it[p : p + k]))
+                if len({x for x in win if not x < "\u0004"}) >= literals:
+                    usable.setdefault(p, {})[v] = win
+        for i, text in texts:
+            dt = toks(text or "")
+            if not usable:
+                n = len(it)
+                if n and any([*map(value, dt[q : q + n])] == [*map(value, it)] for q in range(len(dt) - n + 1)):
+                    out[i, j] = (1.0, True)
+                continue
+            lines = {}
+            for q in range(len(dt) - k + 1):
+                for p, ws in usable.items():
+                    if any(tuple(map(f, dt[q : q + k])) == w for w in ws.values() for f in forms):
+                        lines.setdefault(q - p, []).append((p, [(value(a), value(b)) for a, b in zip(it[p : p + k], dt[q : q + k], strict=True) if a < "\u0004"]))
+            good, same = set(), set()
+            for ws in lines.values():
+                every = {x for _, s in ws for x in s}
+                broken = {x for x in every for y in every if (x[0] == y[0]) != (x[1] == y[1])}
+                for p, s in ws:
+                    if not broken & set(s):
+                        good.add(p)
+                        if all(a == b for a, b in s):
+                            same.add(p)
+            if len(good) >= least * len(usable) - 1e-9:
+                out[i, j] = (round(len(good) / len(usable), 6), len(same) >= least * len(usable) - 1e-9)
+    return out
+
+
+def test_decontamination_by_brute_force(spark, docs):
+    """Verbatim in any case, names and numbers changed, at sentence starts too, ties, repeated items and rows, very long texts."""
+    items = [
+        (1, "Tom has 5 apples and gives 3 of them to his sister who eats one at once"), (2, "In May Anna bought 12 apples and 7 pears for Bob and paid 19 dollars for all of them"), (3, "12 + 34 = 46"), (4, "who wrote Emma"),
+        (5, "The river Danube flows through 10 countries over 2,850 km into the Black Sea"), (5, "The river Danube flows through 10 countries over 2,850 km into the Black Sea"), (None, "every good bird of the far north sings at dawn when cold winds fall"), (7, None), (8, ""),
+        (9, "a rose is a rose is a rose is a rose is a rose and 4 is 4 is 4 is 4"),
+    ]
+    change = [("Tom", "Eve"), ("5", "9"), ("3", "4"), ("Anna", "Zoe"), ("Bob", "Jim"), ("May", "July"), ("12", "30"), ("7", "8"), ("19", "38"), ("Danube", "Rhine"), ("10", "9"), ("2,850", "1,230")]
+    texts = []
+    for _, t in items:
+        for u in (t, (t or "").lower(), (t or "").upper(), f"So it goes: {t} And more of it follows here.", " ".join((t or "").split()[:-3]), " ".join((t or "").split()[:5])):
+            texts += [u, u]
+        u = " ".join(dict(change).get(w, w) for w in (t or "").split())
+        texts += [u, f"x y z {u} x y z", " ".join({"12": "30", "7": "30", "5": "3", "Anna": "Bob"}.get(w, w) for w in (t or "").split())]
+    texts += [LONG[:15_000] + " " + items[1][1] + " " + LONG[:15_000], " ".join([items[0][1], items[0][1].replace("5", "6")] * 3), None]
+    rows = list(enumerate(texts))
+    want = brute_leaks(rows, dict(items).items())
+    d = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, ipos int")
+    b = spark.createDataFrame([(*x, "y") for x in items], "item_id long, text string, wh string")
+    for bound in (1_000_000, 0):
+        keyed = decontaminate.keyed(d)
+        ms = decontaminate.matches(keyed, b, broadcast_rows=bound).collect()
+        assert len(ms) == len({(r["_id"], r["item"]) for r in ms})
+        assert {(r["_id"], r["item"]): (r["coverage"], r["verbatim"]) for r in ms} == want
+    hit = {i for i, _ in want}
+    for n, (_, t) in enumerate(items):
+        for k in range(8):
+            assert not t or 15 * n + k in hit  # whole copies in any case, alone or inside a text
+    assert {r["doc_id"] for r in decontaminate.find_contamination(d, b).collect() if r["contaminated"]} == hit
+
+
 @pytest.mark.parametrize("bound", [1_000_000, 0])
 def test_decontamination_by_items_without_windows(spark, empty, bound):
     b = spark.createDataFrame([(1, "12 + 34 = 46"), (2, "Who wrote Emma"), (3, "1, 2, 3, 5, 8, 13, 21"), (None, "Anna Bob Clara Dave"), (5, ""), (6, None)], "item_id long, text string")
