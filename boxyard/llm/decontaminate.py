@@ -15,8 +15,8 @@ Windows with fewer than `literals` distinct literal tokens are too general and a
 window, because it is short or mostly numbers and names, matches verbatim: where all its tokens, values included, stand
 in a row.
 
-Documents that cannot match are left alone early, which loses none: of every item, the windows with its rarest words are
-taken (rarest in the documents) until the others are too few for `least`; whoever holds none of those words is clean.
+Documents that cannot match are left alone early, which loses none: of every window of an item its rarest word is taken
+(rarest in the documents), and only documents that hold it for enough windows of one item to reach `least` are looked at.
 
 The benchmark is joined by broadcast only if its rows, which are counted first, are at most `broadcast_rows`; beyond that
 the same join is shuffled.
@@ -113,28 +113,30 @@ def _whole_items(items: DataFrame, k: int, literals: int, item_id: str, item_tex
     return b.where(~usable).select("item", F.transform("tok", _value).alias("tok")).distinct()
 
 
-def _anchors(docs: DataFrame, windows: DataFrame, whole: DataFrame, least: float, broadcast_rows: int) -> DataFrame:
-    """(piece): words of which a document that can match has one."""
+def _rarest(docs: DataFrame, windows: DataFrame, whole: DataFrame, least: float, broadcast_rows: int) -> DataFrame:
+    """(piece, item, whole, n, need): the rarest words of an item's windows, for how many windows each stands, and how many are needed."""
     parts = lambda ws: F.filter(F.flatten(F.transform(ws, lambda x: F.split(x, "[.,]"))), lambda x: x != "")
     # a window that is usable in both forms can match in either: only what is literal in both tells
     w = windows.groupBy("item", "ipos").agg(F.min_by("words", F.size("words")).alias("words"))
     each = keep(w.select("item", "ipos", F.explode(parts(F.col("words"))).alias("piece")).unionByName(whole.select("item", F.lit(-1).alias("ipos"), F.explode(parts(F.col("tok"))).alias("piece"))), "words")
     known = each.select("piece").distinct()
     side = F.broadcast if known.count() <= broadcast_rows else lambda x: x
-    often = keep(docs.select(F.explode(pieces(F.col("text"))).alias("piece")).join(side(known), "piece").groupBy("piece").agg(F.count(F.lit(1)).alias("n")), "often")
-    rarest = each.join(often, "piece", "left").groupBy("item", "ipos").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("best"))
-    n = F.size("all")
-    last = F.get("all", F.floor(n - F.ceil(F.lit(least) * n - 1e-9)).cast("int"))
-    bound = rarest.where("ipos >= 0").groupBy("item").agg(F.sort_array(F.collect_list("best")).alias("all")).select(F.col("item").alias("_i"), last.alias("last"))
-    some = rarest.join(bound, F.col("item").eqNullSafe(F.col("_i")), "left").where((F.col("ipos") < 0) | F.col("last").isNull() | (F.col("best") <= F.col("last")))
-    return keep(some.select("best.piece").distinct(), "anchors")
+    often = keep(docs.select(F.explode(F.array_distinct(pieces(F.col("text")))).alias("piece")).join(side(known), "piece").groupBy("piece").agg(F.count(F.lit(1)).alias("often")), "often")
+    best = each.join(often, "piece", "left").groupBy("item", "ipos").agg(F.min(F.struct(F.coalesce("often", F.lit(0)), "piece")).alias("best"))
+    # texts without usable windows have one row
+    best = best.select("item", (F.col("ipos") < 0).alias("whole"), "best.piece")
+    need = best.groupBy("item", "whole").agg(F.ceil(F.lit(least) * F.count(F.lit(1)) - 1e-9).alias("need")).withColumnsRenamed({"item": "_i", "whole": "_w"})
+    n = best.groupBy("item", "whole", "piece").agg(F.count(F.lit(1)).alias("n"))
+    return keep(n.join(need, F.col("item").eqNullSafe(F.col("_i")) & (F.col("whole") == F.col("_w"))).select("piece", "item", "whole", "n", "need"), "rarest")
 
 
 def suspects(docs: DataFrame, windows: DataFrame, whole: DataFrame, least: float, broadcast_rows: int) -> DataFrame:
-    """(_id, _t, text) of the documents that hold an anchor, each once."""
-    anchors = _anchors(docs, windows, whole, least, broadcast_rows)
-    side = F.broadcast if anchors.count() <= broadcast_rows else lambda x: x
-    held = docs.select("_id", "_t", F.explode(pieces(F.col("text"))).alias("piece")).join(side(anchors), "piece", "left_semi").select("_id", "_t").distinct()
+    """(_id, _t, text) of the documents that can match an item, each once."""
+    rarest = _rarest(docs, windows, whole, least, broadcast_rows)
+    side = F.broadcast if rarest.count() <= broadcast_rows else lambda x: x
+    # a row that occurs twice counts twice here, which lets more through and loses none
+    held = docs.select("_id", "_t", F.explode(F.array_distinct(pieces(F.col("text")))).alias("piece")).join(side(rarest), "piece")
+    held = held.groupBy("_id", "_t", "item", "whole").agg(F.sum("n").alias("n"), F.max("need").alias("need")).where("n >= need").select("_id", "_t").distinct()
     # texts are shuffled at every size: the documents found grow with the corpus
     return keep(docs.select("_id", "_t", "text").join(keep(held, "held").hint("merge"), ["_id", "_t"], "left_semi").dropDuplicates(["_id", "_t"]), "suspects")
 
