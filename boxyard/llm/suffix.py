@@ -1,19 +1,19 @@
 """Suffix arrays by induced sorting, and permuted common prefixes, on numpy arrays.
 
-The work of a bucket is done in whole slices: everything that the suffixes of one slice induce is filed at once, in a
-stable order, so the number of numpy calls depends on the alphabet and on the longest run of one symbol.
+Leftmost-smaller substrings are named by comparing neighbours, and the text of their names is sorted in the same way until
+all names differ. With a small alphabet the work of a bucket is done in whole slices: everything that the suffixes of
+one slice induce is filed at once, in a stable order, so the number of numpy calls depends on the alphabet and on the longest
+run of one symbol. Names are a large alphabet of small buckets, where suffixes are induced one by one; both are linear.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-from boxyard.llm.batches import Rolling
+from boxyard.llm.batches import ranges
 
-#: Beyond so many names a bucket holds few suffixes, and the reduced text is sorted by doubling instead.
-MANY_NAMES = 3000
-
-_ROLL = Rolling()
+#: Symbols up to which buckets are filed in slices.
+FEW_SYMBOLS = 3000
 
 
 def _smaller_types(t: np.ndarray) -> np.ndarray:
@@ -94,54 +94,69 @@ def _induce(t: np.ndarray, smaller: np.ndarray, lms: np.ndarray, sizes: np.ndarr
     return sa
 
 
-def _doubling(names: np.ndarray) -> np.ndarray:
-    """Suffix array of names by prefix doubling."""
-    n = len(names)
-    rank = names.astype(np.int64)
-    k = 1
-    while True:
-        key = rank * (n + 1)
-        key[: n - k] += rank[k:] + 1
-        sa = np.argsort(key, kind="stable")
-        s = key[sa]
-        fresh = np.zeros(n, np.int64)
-        fresh[1:] = s[1:] != s[:-1]
-        fresh = np.cumsum(fresh)
-        rank = np.empty(n, np.int64)
-        rank[sa] = fresh
-        k *= 2
-        if fresh[-1] == n - 1 or k >= n:
-            return sa.astype(np.int32)
+def _induce_each(t: np.ndarray, smaller: np.ndarray, lms: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The same for alphabets of many symbols: one suffix after the other."""
+    ends = np.cumsum(sizes)
+    text, less, ptr = t.tolist(), smaller.tolist(), ends.tolist()
+    sa = [0] * len(text)  # 0 induces nothing
+    for j in lms[::-1].tolist():
+        c = text[j]
+        ptr[c] -= 1
+        sa[ptr[c]] = j
+    ptr = (ends - sizes).tolist()
+    for j in sa:  # what is written ahead of here is read in its turn
+        if j and not less[j - 1]:
+            c = text[j - 1]
+            sa[ptr[c]] = j - 1
+            ptr[c] += 1
+    ptr = ends.tolist()
+    for i in range(len(sa) - 1, -1, -1):
+        j = sa[i]
+        if j and less[j - 1]:
+            c = text[j - 1]
+            ptr[c] -= 1
+            sa[ptr[c]] = j - 1
+    sa[0] = len(text) - 1
+    return np.array(sa, np.int32)
+
+
+def _same_as_before(t: np.ndarray, order: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Which of the substrings t[order[i] : order[i] + length[i]] equals the one before it."""
+    same = np.zeros(len(order), bool)
+    i = np.flatnonzero(length[1:] == length[:-1]) + 1
+    if len(i):
+        n = length[i]
+        equal = t[ranges(order[i], n)] == t[ranges(order[i - 1], n)]
+        same[i] = np.logical_and.reduceat(equal, np.cumsum(n) - n)
+    return same
 
 
 def _sorted(t: np.ndarray, n_symbols: int) -> np.ndarray:
     n = len(t)
     if n < 3:
         return np.arange(n, dtype=np.int32)[::-1].copy()
+    induce = _induce if n_symbols <= FEW_SYMBOLS else _induce_each
     smaller = _smaller_types(t)
     is_lms = smaller.copy()
     is_lms[0] = False
     is_lms[1:] &= ~smaller[:-1]
     lms = np.flatnonzero(is_lms).astype(np.int32)
     sizes = np.bincount(t, minlength=n_symbols)
-    sa = _induce(t, smaller, lms, sizes)
-    order = sa[is_lms[sa]]
+    sa = induce(t, smaller, lms, sizes)
+    order = sa[is_lms[sa]].astype(np.int64)
     # leftmost-smaller substrings, each up to the next one's first symbol, get names in their order
     length = np.zeros(n, np.int64)
     length[lms[:-1]] = np.diff(lms) + 1
     length[lms[-1]] = 1
-    prefix = _ROLL.prefix((t.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9FB21C651E98DF25))
-    code = _ROLL.of(prefix, order.astype(np.int64), order + length[order])
-    differs = np.zeros(len(order), np.int64)
-    differs[1:] = (code[1:] != code[:-1]) | (length[order[1:]] != length[order[:-1]])
+    differs = ~_same_as_before(t, order, length[order])
+    differs[0] = False
     name_of = np.zeros(n, np.int64)
     name_of[order] = np.cumsum(differs)
     names = name_of[lms]
     n_names = int(differs.sum()) + 1
     if n_names < len(lms):
-        reduced = _doubling(names) if n_names > MANY_NAMES else _sorted(names.astype(np.uint16), n_names)
-        order = lms[reduced]
-    return _induce(t, smaller, order, sizes)
+        order = lms[_sorted(names.astype(np.uint16 if n_names < 1 << 16 else np.int64), n_names)]
+    return induce(t, smaller, order.astype(np.int32), sizes)
 
 
 def suffix_array(data: np.ndarray) -> np.ndarray:
