@@ -34,8 +34,10 @@ _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 _HEX = re.compile(rb"[0-9a-f]{16,}")  # whole runs, as a run that is long enough is matched from its start
 _GITHUB = re.compile(rb"gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])")
 _NPM = re.compile(rb"npm_[A-Za-z0-9]{36}(?![A-Za-z0-9])")
-_JWT = re.compile(rb"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-_KEY = re.compile(rb"-----BEGIN ([A-Z ]*)PRIVATE KEY-----\s+([A-Za-z0-9+/=\s]+?)\s*-----END \1PRIVATE KEY-----")
+_JWT = re.compile(rb"eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]*+")
+_JWT_RUN = re.compile(rb"[A-Za-z0-9_-]++")
+# possessive, so that a block without an end is read once
+_KEY = re.compile(rb"-----BEGIN ([A-Z ]*)PRIVATE KEY-----\s++([A-Za-z0-9+/=\s]++)-----END \1PRIVATE KEY-----")
 _DIGITS = b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 
@@ -96,10 +98,15 @@ def scan(text: bytes) -> list[tuple[int, int, int]]:
     free = [0] * len(KINDS)
     for end, (size, kind, pattern, good) in _automaton().iter(text.lower().decode("latin-1")):
         start = end + 1 - size
-        if start >= free[kind] and (m := pattern.match(text, start)):
+        if start < free[kind]:
+            continue
+        if m := pattern.match(text, start):
             free[kind] = m.end()
             if good(m):
                 found.append((start, kind, m.end()))
+        elif pattern is _JWT:
+            # whatever else begins in this run of characters fails as well
+            free[kind] = _JWT_RUN.match(text, start).end()
     found.sort()
     return found
 
