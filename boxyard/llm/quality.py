@@ -79,7 +79,11 @@ def base_counts(df: DataFrame) -> DataFrame:
     same = lambda x, k: (key(x) == key(F.get("_packed", k - 1))) | (key(x) == key(F.get("_packed", k + 1)))
     d = d.withColumn("_again", F.filter("_packed", lambda x, k: F.coalesce(same(x, k), F.lit(False))))
     mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_bits")) - 1
-    starts = F.sort_array(F.transform("_again", lambda x: x.bitwiseAND(mask)))
+    # long texts leave few bits of the hash: what they find is held against the whole hashes
+    spot = F.transform("_again", lambda x: x.bitwiseAND(mask).cast("int"))
+    d = d.withColumn("_full", F.sort_array(F.transform(spot, lambda i: F.struct(F.xxhash64(F.get("_h", i), F.get("_h", i + 1), F.get("_h", i + 2)).alias("w"), i.alias("i")))))
+    twin = lambda x, k: (x["w"] == F.get("_full", k - 1)["w"]) | (x["w"] == F.get("_full", k + 1)["w"])
+    starts = F.sort_array(F.transform(F.filter("_full", lambda x, k: F.coalesce(twin(x, k), F.lit(False))), lambda x: x["i"].cast("long")))
     covered = F.aggregate(
         starts,
         F.struct(F.lit(-3).cast("long").alias("last"), F.lit(0).cast("long").alias("c")),
