@@ -1,9 +1,11 @@
 """The corpus operators against brute force, on the smallest documents and on rows made to be awkward."""
 
+import base64
 import collections
 import hashlib
 import itertools
 import re
+import time
 import zlib
 
 import duckdb
@@ -73,7 +75,7 @@ def test_runs_cut_long_texts_alike(monkeypatch):
 
 @pytest.mark.parametrize("many", [2, 3000])
 def test_suffix_arrays(monkeypatch, many):
-    monkeypatch.setattr(suffix, "MANY_NAMES", many)
+    monkeypatch.setattr(suffix, "FEW_SYMBOLS", many)
     r = np.random.default_rng(many)
     for _ in range(150):
         d = r.integers(0, int(r.integers(1, 5)), int(r.integers(1, 90))).astype(np.uint8)
@@ -84,6 +86,15 @@ def test_suffix_arrays(monkeypatch, many):
         assert list(suffix.repeated(d, w)) == [i + w <= len(d) and seen[text[i : i + w]] > 1 for i in range(len(d))]
 
 
+def test_suffix_array_of_a_real_text():
+    """A text with many more names than symbols of a small alphabet, and one of long runs."""
+    t = b"".join(x.encode() for x in pd.read_parquet(f"{SF}/documents.parquet").text[:60])[:120_000]
+    for text in (t, b"ab" * 3000 + b"a" * 3000, t[:5000] * 3):
+        sa = suffix.suffix_array(np.frombuffer(text, np.uint8)).tolist()
+        assert sorted(sa) == list(range(len(text)))
+        assert all(text[i:] < text[j:] for i, j in itertools.pairwise(sa))
+
+
 @pytest.mark.parametrize("shard_bytes", [3_000_000, 8_000])
 def test_repeated_bytes(docs, empty, shard_bytes):
     rows = [(i, (t or "").encode()) for i, t in local(docs)]
@@ -165,6 +176,20 @@ def test_secrets(spark, docs, empty):
     assert kept.columns == docs.columns and kept.count() == docs.count()
 
 
+def test_secrets_in_hostile_texts():
+    """Texts of one repeated beginning take time in proportion to their length."""
+    begin = b"-----BEGIN PRIVATE KEY-----"
+    hostile = [begin + b" " * 300_000, begin * 20_000, (begin + b"\n" * 20) * 10_000, b"eyJ" * 200_000, b"eyJa." * 100_000, b"token " * 100_000, b"token" + b" " * 300_000, b"AKIA" * 100_000, b"A " * 200_000]
+    for text in hostile:
+        started = time.process_time()
+        secrets.scan(text)
+        assert time.process_time() - started < 5
+    body = base64.b64encode(bytes(range(64)))
+    key = b"-----BEGIN RSA PRIVATE KEY-----\n" + body + b"\n-----END RSA PRIVATE KEY-----"
+    assert [k for _, k, _ in secrets.scan(b"x " + key + b" y")] == [6]
+    assert not [k for _, k, _ in secrets.scan(key.replace(b"END RSA", b"END EC"))]
+
+
 def test_surrogates(spark, docs, empty):
     more = [(3000, "Mr. Peter Smith met Mrs Anna Smith. Mr. Smith: a.b@corp.example.com, A.B@corp.example.com, +1 (017) 555-7713, +1 017 555 7713, 4111111111111111, 10.20.30.40"), (3001, "Dr. Иван Петров 10.20.30.40 and 10.20.30.41")]
     d = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
@@ -195,7 +220,7 @@ def test_surrogates_never_collide(spark):
 
 
 def test_perspectives(spark):
-    rows = [(1, 0, "system", "rules"), (1, 1, "ann", "hi <|im_end|>"), (1, 2, "b b", None), (1, 2, "b b", None), (1, 3, None, "x"), (2, 0, "system", "alone"), (None, 0, "ann", "lost")]
+    rows = [(1, 0, "system", "rules"), (1, 1, "ann", "hi <|im_end|>"), (1, 2, "b b", None), (1, 2, "b b", None), (1, 3, None, "x"), (1, 3, "ann", "y"), (1, 3, "ann", "z"), (1, 4, "ann", "word " * 20_000), (2, 0, "system", "alone"), (None, 0, "ann", "lost")]
     d = spark.createDataFrame([(*r, "z") for r in rows], "conv_id long, turn long, role string, text string, perspective string")
     got = perspective.rotate_perspectives(d)
     c = duckdb.connect()
@@ -207,6 +232,7 @@ def test_perspectives(spark):
         if r["trained"]:
             assert r["segment"][r["mask_start"] : r["mask_end"]].endswith("<|im_end|>") and r["out_role"] == "assistant"
     assert {(r["conv_id"], r["perspective"]) for r in got.collect()} == {(1, "ann"), (1, "b b"), (1, "unknown"), (None, "ann")}
+    assert got.select("conv_id", "perspective", "turn", "turn_key", "turn_seq").distinct().count() == got.count()  # an order without ties
     assert perspective.rotate_perspectives(d.limit(0)).count() == 0
 
 
