@@ -30,7 +30,7 @@ def first_reference(with_area: DataFrame, strategy: str = "largest") -> DataFram
 
 def seeded_random_references(with_area: DataFrame, k: int, seed: int) -> DataFrame:
     """k references per class: the largest, then the others by a hash of seed, dataset, class and id; longer lists begin with shorter ones."""
-    key = F.sha2(F.concat_ws("\u0001", F.lit(str(seed)), "dataset", F.col("category_id").cast("string"), F.col("ann_id").cast("string")), 256)
+    key = F.sha2(F.concat_ws("\u0000", F.lit(str(seed)), "dataset", F.col("category_id").cast("string"), F.col("ann_id").cast("string")), 256)
     top = first_reference(with_area).select(*CLASS, F.col("ann_id").alias("_top"))
     d = with_area.join(top, CLASS)
     w = W.partitionBy(*CLASS).orderBy((F.col("ann_id") != F.col("_top")).cast("int"), key, "ann_id")

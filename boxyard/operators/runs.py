@@ -6,6 +6,9 @@ A record is one attempt at a task: (task_key, mode, status, completed_at, infere
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +17,10 @@ TOKENS = ("prompt_tokens", "cached_tokens", "completion_tokens")
 
 
 def token_cost(prompt: Column, cached: Column, completion: Column, prices: tuple[float, float, float] = (2.0, 0.25, 6.0)) -> Column:
-    """List price per million tokens of uncached, cached and written ones; null where more is cached than sent."""
+    """List price per million tokens of uncached, cached and written ones; null where more is cached than sent.
+
+    The default prices are whole numbers of quarters, so the sum is exact and the division rounds once.
+    """
     p, c, o = (F.coalesce(x, F.lit(0)) for x in (prompt, cached, completion))
     return F.when(p >= c, ((p - c) * prices[0] + c * prices[1] + o * prices[2]) / 1e6)
 
@@ -56,21 +62,32 @@ def attempts_of(records: DataFrame) -> DataFrame:
     return records.select("task_key", "mode", F.posexplode_outer("attempts").alias("attempt", "a")).select("task_key", "mode", "attempt", "a.*")
 
 
-#: Words in an error text that tell its kind; fixed values.
-RETRYABLE = r"timeout|timed out|rate limit|429|500|502|503|504|overloaded|connection"
-REJECTED = r"content policy|safety|blocked|rejected|invalid_prompt|inappropriate"
-PROVIDER = r"api|provider|http|status code|upstream|400|401|403|404"
+#: What tells the kind of an error: HTTP statuses, and words in its name or text; fixed values.
+STATUSES = (408, 409, 429, 500, 502, 503, 504)
+RETRYABLE = ("timeout", "timed out", "connection", "rate limit", "too many requests", "internalerror.algo", "<408>", "<409>", "<429>", "<500>", "<502>", "<503>", "<504>")
+REJECTED = ("data_inspection_failed", "datainspectionfailed", "data inspection failed", "input image data may contain inappropriate content")
+PROVIDER = (
+    "apierror", "apiconnectionerror", "apitimeouterror", "ratelimiterror", "internalservererror", "error code: 5", "http/1.1 5",
+    "<408>", "<409>", "<429>", "<500>", "<502>", "<503>", "<504>", "connection reset", "connection refused", "request timed out",
+)
 
 
 def classify_failure(records: DataFrame) -> DataFrame:
     """Adds retryable, rejection, provider_error, rate_limited, timed_out, and final_status and failure_type.
 
-    An error that names the provider, after at least one attempt, is a model failure for scoring; others stay errors.
+    An error of the provider, after at least one attempt, is a model failure for scoring; others, such as local faults, stay
+    errors. Where there is a column status_code, a status that is set decides before the words do.
     """
     text = F.lower(F.coalesce(F.col("error"), F.lit("")))
+    has = lambda words: functools.reduce(operator.or_, [text.contains(w) for w in words])
+    rejection, retryable, provider = has(REJECTED), has(RETRYABLE), has(PROVIDER)
+    if "status_code" in records.columns:
+        code = F.coalesce(F.col("status_code").isin(*STATUSES), F.lit(False))
+        retryable = code | retryable
+        provider = F.when(F.col("status_code").isNotNull(), code).otherwise(provider)
     d = records.withColumns({
-        "retryable": text.rlike(RETRYABLE), "rejection": text.rlike(REJECTED), "provider_error": text.rlike(PROVIDER) | text.rlike(RETRYABLE) | text.rlike(REJECTED),
-        "rate_limited": text.rlike(r"rate limit|429"), "timed_out": text.rlike(r"timeout|timed out"),
+        "retryable": retryable, "rejection": rejection, "provider_error": rejection | provider,
+        "rate_limited": has(("rate limit", "too many requests", "<429>")), "timed_out": has(("timeout", "timed out")),
     })
     promoted = (F.col("status") == "error") & (F.coalesce(F.col("n_attempts"), F.lit(0)) > 0) & F.col("provider_error")
     kind = F.when(F.col("rejection"), F.lit("provider_content_rejection")).otherwise(F.lit("provider_request_failure"))

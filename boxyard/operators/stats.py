@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Two-sided 95 % points of Student's t by number of repeats; fixed values.
-T_CRITICAL = {3: 4.3027, 5: 2.7764}
+T_CRITICAL = {3: 4.302652729911275, 5: 2.7764451051977987}
 
 
 def draw(seed: int, it: Column, pos: Column, n: Column) -> Column:
@@ -30,12 +30,12 @@ def repeat_noise(rows: DataFrame, groups: list[str], value: str) -> DataFrame:
 
 
 def repeat_ci(runs: DataFrame, baseline: str, score: str = "map5095", groups: tuple[str, ...] = ("dataset", "mode")) -> DataFrame:
-    """Paired uplift over repeats with its 95 % interval (3 or 5 repeats), by dataset and mode."""
+    """Paired uplift over repeats with its 95 % interval, by dataset and mode; other numbers of repeats than 3 and 5 are an error."""
     deltas = paired_deltas(runs, baseline, [g for g in groups if g != "mode"] + ["repeat"], score)
     noise = repeat_noise(deltas, list(groups), "delta")
-    t = noise.sparkSession.createDataFrame([(k, v) for k, v in T_CRITICAL.items()], "n long, t double")
-    half = F.col("t") * F.col("sd") / F.sqrt(F.col("n").cast("double"))
-    return noise.join(F.broadcast(t), "n").select(*groups, "n", "mean", "sd", "tie_threshold", (F.col("mean") - half).alias("low"), (F.col("mean") + half).alias("high"))
+    t = F.coalesce(*[F.when(F.col("n") == k, F.lit(v)) for k, v in T_CRITICAL.items()], F.raise_error(F.concat(F.lit("no critical value for so many repeats: "), F.col("n").cast("string"))).cast("double"))
+    half = t * F.col("sd") / F.sqrt(F.col("n").cast("double"))
+    return noise.select(*groups, "n", "mean", "sd", "tie_threshold", (F.col("mean") - half).alias("low"), (F.col("mean") + half).alias("high"))
 
 
 def macro_by_repeat(runs: DataFrame, score: str = "map5095") -> DataFrame:

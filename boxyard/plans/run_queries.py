@@ -21,11 +21,11 @@ def tasks_of(t):
     return log.select("task_key", "mode").distinct().unionByName(log.where("event_id % 7 = 0").select(F.concat("task_key", F.lit("_next")).alias("task_key"), "mode").distinct())
 
 
-@register("p9_token_cost", oracle(f"select dataset, mode, repeat, round({_COST}, 6) as cost from run_scores where prompt_tokens >= cached_tokens", "run_scores"))
+@register("p9_token_cost", oracle(f"select dataset, mode, repeat, {_COST} as cost from run_scores where prompt_tokens >= cached_tokens", "run_scores"))
 def p9_token_cost(spark, sf_dir):
     r = load(spark, sf_dir)["run_scores"]
     d = r.select("dataset", "mode", "repeat", runs.token_cost(F.col("prompt_tokens"), F.col("cached_tokens"), F.col("completion_tokens")).alias("cost"))
-    return rounded(d.where(F.col("cost").isNotNull()))
+    return d.where(F.col("cost").isNotNull())
 
 
 @register(
@@ -104,15 +104,16 @@ def a5_macro_summary(spark, sf_dir):
 @register(
     "p11_classify_failure",
     oracle(
-        """with e as (select event_id, case when event_type = 'error' then 'error' else 'success' end as status, case event_id % 5 when 0 then 'HTTP 429 rate limit' when 1 then 'Request timed out' when 2 then 'content policy violation' when 3 then 'disk full' end as error, event_id % 3 as n_attempts from events)
-select event_id, status = 'error' and n_attempts > 0 and event_id % 5 in (0, 1, 2) as promoted, event_id % 5 in (0, 1) as retryable, event_id % 5 = 2 as rejection, event_id % 5 = 0 as rate_limited, event_id % 5 = 1 as timed_out,
-       case when status = 'error' and n_attempts > 0 and event_id % 5 in (0, 1, 2) then 'model_failure' else status end as final_status,
-       case when status = 'error' and n_attempts > 0 and event_id % 5 = 2 then 'provider_content_rejection' when status = 'error' and n_attempts > 0 and event_id % 5 in (0, 1) then 'provider_request_failure' end as failure_type from e""",
+        """with e as (select event_id, case when event_type = 'error' then 'error' else 'success' end as status, event_id % 7 as k, event_id % 3 as n_attempts from events),
+f as (select *, status = 'error' and n_attempts > 0 and k in (0, 1, 2, 5) as promoted from e)
+select event_id, promoted, k in (0, 1, 5) as retryable, k = 2 as rejection, k = 0 as rate_limited, k = 1 as timed_out, case when promoted then 'model_failure' else status end as final_status,
+       case when promoted and k = 2 then 'provider_content_rejection' when promoted then 'provider_request_failure' end as failure_type from f""",
     ),
 )
 def p11_classify_failure(spark, sf_dir):
     e = load(spark, sf_dir)["events"]
-    text = F.element_at(F.array(*[F.lit(x) for x in ("HTTP 429 rate limit", "Request timed out", "content policy violation", "disk full", None)]), (F.col("event_id") % 5 + 1).cast("int"))
+    said = ("RateLimitError: <429> Too Many Requests", "Request timed out", "400 DataInspectionFailed", "disk full", "1500 tokens of a capital", "Connection reset by peer", None)
+    text = F.element_at(F.array(*[F.lit(x) for x in said]), (F.col("event_id") % 7 + 1).cast("int"))
     r = e.select("event_id", F.when(F.col("event_type") == "error", "error").otherwise("success").alias("status"), text.alias("error"), (F.col("event_id") % 3).alias("n_attempts"))
     d = runs.classify_failure(r)
     return d.select("event_id", (F.col("failure_type").isNotNull()).alias("promoted"), "retryable", "rejection", "rate_limited", "timed_out", "final_status", "failure_type")
@@ -173,7 +174,7 @@ def a10_repeat_noise(spark, sf_dir):
     "a11_repeat_ci",
     oracle(
         f"""with d as (select a.dataset, a.mode, a.map5095 - b.map5095 as v from run_scores a join run_scores b on a.dataset = b.dataset and a.repeat = b.repeat and b.mode = 'names' where a.mode <> 'names'),
-n as (select dataset, mode, {_NOISE} from d group by all), t as (select 3 as n, 4.3027 as t union all select 5, 2.7764)
+n as (select dataset, mode, {_NOISE} from d group by all), t as (select 3 as n, 4.302652729911275 as t union all select 5, 2.7764451051977987)
 select dataset, mode, n.n, round(mean, 6) as mean, round(sd, 6) as sd, round(greatest(range, 1.96 * sqrt(2.0) * sd), 6) as tie_threshold, round(mean - t * sd / sqrt(n.n), 6) as low, round(mean + t * sd / sqrt(n.n), 6) as high from n join t on n.n = t.n""",
         "run_scores",
     ),

@@ -181,7 +181,7 @@ def raw_answers(t):
     g = p.groupBy("dataset", "mode", "image_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("det_ord", item.alias("i")))), lambda v: v["i"]).alias("items"))
     body = F.array_join("items", ",")
     k = F.col("image_id") % 6
-    other = F.replace(F.replace(body, F.lit("bbox_2d"), F.lit("box")), F.lit('"label"'), F.lit('"class"'))
+    other = F.replace(F.replace(body, F.lit("bbox_2d"), F.lit("box_2d")), F.lit('"label"'), F.lit('"class"'))
     text = (
         F.when(k == 0, F.concat(F.lit("["), body, F.lit("]"))).when(k == 1, F.concat(F.lit("Here:\n```json\n["), body, F.lit("]\n```"))).when(k == 2, F.concat(F.lit("<think>[1]</think> ```["), body, F.lit("]```")))
         .when(k == 3, F.concat(F.lit("["), body, F.lit(",]"))).when(k == 4, F.concat(F.lit('{"objects":['), other, F.lit("]}"))).otherwise(F.concat(F.lit("["), body, F.lit(',{"bbox_2d":[1,2')))
@@ -205,16 +205,16 @@ def p12_parse_responses(spark, sf_dir):
 @register(
     "p13_parse_decisions",
     oracle(
-        """select image_id, case when image_id % 3 = 0 then 'continue' when image_id % 3 = 1 then 'stop' end as action, case when image_id % 5 = 0 then 1.5 else 0.5 end::double as confidence,
-  case when image_id % 3 = 2 then 'no_action' when image_id % 5 = 0 then 'confidence' when image_id % 7 = 0 then 'unknown_label' when image_id % 3 = 0 and image_id % 11 = 0 then 'no_label' end as error,
+        """select image_id, case when image_id % 3 = 0 then 'request_examples' when image_id % 3 = 1 then 'detect' end as action, case when image_id % 5 = 0 then 1.5 when image_id % 13 <> 0 then 0.5 end::double as confidence,
+  case when image_id % 3 = 2 then 'no_action' when image_id % 5 = 0 then 'confidence' when image_id % 7 = 0 then 'unknown_label' when image_id % 3 = 1 and image_id % 11 <> 0 then 'labels_of_detect' when image_id % 3 = 0 and image_id % 11 = 0 then 'no_label' end as error,
   case when image_id % 7 = 0 then 1 when image_id % 11 = 0 then 0 else 2 end as n_labels from det_images""", "det_images"),
 )
 def p13_parse_decisions(spark, sf_dir):
     t = load(spark, sf_dir)
     i = F.col("image_id")
-    word = F.when(i % 3 == 0, "More").when(i % 3 == 1, "ready").otherwise("perhaps")
+    word = F.when(i % 3 == 0, "Request-Examples").when(i % 3 == 1, "ready").otherwise("perhaps")
     names = F.when(i % 7 == 0, '["cat","dog"]').when(i % 11 == 0, "[]").otherwise('["Cat","caterpillar","CAT"]')
-    text = F.format_string('I think {"route": "%s", "confidence": %s, "labels": %s} is right', word, F.when(i % 5 == 0, "1.5").otherwise("0.5"), names)
+    text = F.format_string('I think {"action": "%s", "confidence": %s, "labels": %s} is right%s', word, F.when(i % 5 == 0, "1.5").when(i % 13 == 0, "null").otherwise("0.5"), names, F.when(i % 2 == 0, ', not {"action": "stop"}').otherwise(""))
     d = parsing.parse_decisions(t["det_images"].select("dataset", "image_id", text.alias("raw_response")), t["det_categories"])
     return d.select("image_id", "action", "confidence", "error", F.size("labels").alias("n_labels"))
 
@@ -233,7 +233,7 @@ def p14_parse_names(spark, sf_dir):
 @register(
     "p16_rotate_sections",
     oracle(
-        "select doc_id, concat('intro', chr(10), '# Object Classes', chr(10), 'all', chr(10), '## A', chr(10), substr(md5(text), 21, 8), chr(10), '## B', chr(10), substr(md5(text), 1, 10), chr(10), '## C', chr(10), substr(md5(text), 11, 10)) as rotated from documents"
+        "select doc_id, concat('intro', chr(10), '# Object Classes', chr(10), 'all', chr(10), '## A', chr(10), substr(md5(text), 11, 10), chr(10), '## B', chr(10), substr(md5(text), 21, 8), chr(10), '## C', chr(10), substr(md5(text), 1, 10), chr(10)) as rotated from documents"
     ),
 )
 def p16_rotate_sections(spark, sf_dir):
@@ -243,6 +243,23 @@ def p16_rotate_sections(spark, sf_dir):
     return parsing.rotate_sections(load(spark, sf_dir)["documents"].select("doc_id", text.alias("text"))).select("doc_id", "rotated")
 
 
+@register(
+    "p16_rotate_guidance",
+    oracle(
+        """with m as (select doc_id, [substr(md5(text), 1, 10), substr(md5(text), 11, 10), substr(md5(text), 21, 8)] as p from documents)
+select doc_id, case when doc_id % 4 <> 0 then concat('intro', chr(10), '- **A**: of b', p[1], chr(10), '- **B**: of a', p[2], chr(10), '# Object Classes', chr(10), '## A', chr(10), p[2], chr(10), '## B', chr(10), p[3], chr(10), '## C', chr(10), p[1], chr(10)) end as rotated from m"""
+    ),
+)
+def p16_rotate_guidance(spark, sf_dir):
+    """Both levels of a guide; every fourth has one definition only."""
+    m = F.md5("text")
+    part = [F.substring(m, 1, 10), F.substring(m, 11, 10), F.substring(m, 21, 8)]
+    one = F.concat(F.lit("intro\n- **A**: of a"), part[1], F.lit("\n"))
+    intro = F.when(F.col("doc_id") % 4 == 0, one).otherwise(F.concat(one, F.lit("- **B**: of b"), part[0], F.lit("\n")))
+    text = F.concat(intro, F.lit("# Object Classes\n## A\n"), part[0], F.lit("\n## B\n"), part[1], F.lit("\n## C\n"), part[2])
+    return parsing.rotate_guidance(load(spark, sf_dir)["documents"].select("doc_id", text.alias("text"))).select("doc_id", "rotated")
+
+
 # --- validation
 
 
@@ -416,7 +433,7 @@ def with_area(t):
 
 _AREA = "ar as (select a.*, i.file_name, w * h / (width * height) as rel_area from det_annotations a join det_images i using (dataset, image_id))"
 _FIRST = "r1 as (select * from (select *, row_number() over (partition by dataset, category_id order by rel_area desc, file_name, ann_id) as rn from ar) where rn = 1)"
-_RANDOM = f"{_AREA}, {_FIRST}, rr as (select * exclude (rn), row_number() over (partition by dataset, category_id order by case when ann_id = (select ann_id from r1 where r1.dataset = ar.dataset and r1.category_id = ar.category_id) then 0 else 1 end, sha256(concat_ws(chr(1), '5', dataset, cast(category_id as string), cast(ann_id as string))), ann_id) as rank from (select *, 0 as rn from ar) ar)"
+_RANDOM = f"{_AREA}, {_FIRST}, rr as (select * exclude (rn), row_number() over (partition by dataset, category_id order by case when ann_id = (select ann_id from r1 where r1.dataset = ar.dataset and r1.category_id = ar.category_id) then 0 else 1 end, sha256(concat_ws(chr(0), '5', dataset, cast(category_id as string), cast(ann_id as string))), ann_id) as rank from (select *, 0 as rn from ar) ar)"
 
 
 def random_references(t, k):

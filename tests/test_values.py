@@ -1,5 +1,7 @@
 """Hand values of matching, scoring, noise, routing, parsing and checks."""
 
+import time
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -126,7 +128,7 @@ def test_normalized_detections(spark):
     ("text", "status", "boxes"),
     [
         ('<think>[0]</think>```json\n[{"bbox_2d":[1,2,3,4],"label":"a"}]\n```', "ok", [[1, 2, 3, 4]]), ('{"bbox_2d":[1,2,3,4],"label":"a"}', "ok", [[1, 2, 3, 4]]), ("[]", "ok", []),
-        ("{'objects': [{'box': [1, 2, 3, '4'], 'class': 'a'}]}", "ok", [[1, 2, 3, 4]]), ('[{"bbox_2d":[1,2,3,4],"label":"a"},{"bbox_2d":[5,6,7,8],"label":"b"},{"bbox_2d":[9', "salvaged", [[1, 2, 3, 4], [5, 6, 7, 8]]),
+        ("{'objects': [{'box_2d': [1, 2, 3, '4'], 'class': 'a'}]}", "ok", [[1, 2, 3, 4]]), ('[{"bbox_2d":[1,2,3,4],"label":"a"},{"bbox_2d":[5,6,7,8],"label":"b"},{"bbox_2d":[9', "salvaged", [[1, 2, 3, 4], [5, 6, 7, 8]]),
         ('[{"bbox_2d":[1,2,3,4],"label":"a"},]', "ok", [[1, 2, 3, 4]]), ("there is nothing", "invalid_response", []), (None, "invalid_response", []), ('[{"bbox_2d":[true,2,3,4],"label":"a"}]', "ok", [[None, 2, 3, 4]]),
     ],
 )
@@ -136,6 +138,57 @@ def test_answers(spark, text, status, boxes):
     assert parsing.salvage(text)[0] == status
 
 
+@pytest.mark.parametrize(
+    ("text", "status", "n"),
+    [
+        ("it's [see {below}] {'boxes': [{'bbox': (1, 2, 3, 4), 'name': \"it's\",},]}", "ok", 1), ('note [1 {"bounding_box":[1,2,3,4],"class_label":"a"} {"bounding_box":[1,2,3,4],"class_label":"a"} x', "salvaged", 1),
+        ('```json\n{"a":1}\n``` then [{"bbox":[1,2,3,4],"label":"a"}]', "invalid_response", 0), ('{"x": [{"bbox":[1,2,3,4],"label":"a"}]}', "invalid_response", 0), ("{'bbox': [1,2,3,4], 'label': None} and more", "ok", 0), ('[{"bbox":[1,2,3,4],"label":"a"},]', "ok", 1),
+    ],
+)
+def test_answers_in_odd_notations(text, status, n):
+    got = parsing.salvage(text)
+    assert got[0] == status and len(got[1]) == n
+
+
+def test_long_hostile_answers_take_linear_time():
+    for text in ("[" * 200_000, "[{" * 100_000, '[{"a' * 60_000, "{'" * 100_000, '[{"bbox_2d":[1,2,3,4],"label":"a"},' * 20_000, "[1," * 100_000):
+        started = time.process_time()
+        parsing.salvage(text)
+        assert time.process_time() - started < 20
+
+
+def test_decisions(spark):
+    cats = spark.createDataFrame([("d", 3, "Cat"), ("d", 4, "dog")], "dataset string, category_id int, name string")
+    texts = ['{"action":"More","labels":[" CAT ","cat","Dog"]}', '{"action":"detect","labels":["cat"]}', '{"action":"stop","confidence":"0.5"} {"action":"more"}', '{"action":"more","labels":[1]}', '{"action":"request more","labels":[]}', '{"action":"x"}', '{"action":"ready","confidence":2}', "{bad} {\"action\": \"ready\", \"more\": {}}", None]
+    d = spark.createDataFrame([(i, "d", t) for i, t in enumerate(texts)], "i int, dataset string, raw_response string")
+    r = {x["i"]: (x["action"], x["confidence"], x["labels"], x["error"]) for x in parsing.parse_decisions(d, cats).collect()}
+    assert r[0] == ("request_examples", None, [3, 4], None) and r[1][3] == "labels_of_detect" and r[2] == ("detect", 0.5, [], None)
+    assert [r[i][3] for i in range(3, 9)] == ["labels", "no_label", "no_action", "confidence", None, "no_action"]
+
+
+def test_provider_failures_are_told_narrowly(spark):
+    said = ["used 1500 tokens", "capital", "401 unauthorized", "content blocked for safety", "<503> upstream", "Error code: 502", "APIConnectionError", "input image data may contain inappropriate content"]
+    d = spark.createDataFrame([(i, "error", 1, t) for i, t in enumerate(said)], "i int, status string, n_attempts int, error string")
+    r = {x["i"]: x["failure_type"] for x in runs.classify_failure(d).collect()}
+    assert [r[i] for i in range(8)] == [None] * 4 + ["provider_request_failure"] * 3 + ["provider_content_rejection"]
+    coded = d.withColumn("status_code", F.when(F.col("i") == 0, 409).when(F.col("i") == 4, 400))
+    r = {x["i"]: x["failure_type"] for x in runs.classify_failure(coded).collect()}
+    assert r[0] == "provider_request_failure" and r[4] is None
+
+
+def test_repeats_without_a_critical_value_are_an_error(spark):
+    rows = [("d", m, r, 10.0 + r) for r in range(4) for m in ("a", "b")]
+    with pytest.raises(Exception, match="no critical value"):
+        stats.repeat_ci(spark.createDataFrame(rows, "dataset string, mode string, repeat int, map5095 double"), "a").collect()
+
+
+def test_sections_are_headed_by_lines_of_their_own(spark):
+    text = "about # Object Classes here\n# Object Classes\n\n## A\nof a\n### not one\n## B\nof b"
+    d = spark.createDataFrame([(1, text), (2, "no heading ## A\n## B\n"), (3, "# Object Classes\n## A\nx\n"), (4, None)], "i int, text string")
+    r = {x["i"]: x["rotated"] for x in parsing.rotate_sections(d).collect()}
+    assert r[1] == "about # Object Classes here\n# Object Classes\n\n## A\nof b\n## B\nof a\n### not one\n" and r[2] is r[3] is r[4] is None
+
+
 def test_wire_coordinates(spark):
     b = one(spark.range(1).select(geometry.xywh_to_norm1000(*(F.lit(v) for v in (160.0, 48.0, 320.0, 384.0, 640, 480))).alias("b")))["b"]
     assert tuple(b) == (250, 100, 750, 900)
@@ -237,6 +290,25 @@ def test_turn_stream_equals_batch(spark, tmp_path):
     assert got == want == {(1, 2, 600, 1)}
 
 
+def test_turn_stream_takes_late_turns(spark, tmp_path):
+    """Turns out of order over several batches, conversations without an end, ties and null texts: the last row of each equals the batch fold."""
+    schema = "conv_id long, turn long, text string"
+    parts = [[(1, 1, "b" * 300), (2, 0, "x")], [(1, 0, "a" * 300), (3, 5, None)], [(1, 2, "c"), (2, 3, "y" * 499), (2, 3, "z")], [(2, 1, "w" * 9), (3, 5, "v")]]
+    source = str(tmp_path / "in")
+    spark.createDataFrame([], schema).write.parquet(source)
+    s = streams.fold_turn_stream(spark.readStream.schema(schema).parquet(source), 500, "update")
+    last = {}
+
+    def note(batch, n):
+        last.update({r["conv_id"]: tuple(r) for r in batch.collect()})
+
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+        s.writeStream.outputMode("update").foreachBatch(note).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+    every = spark.createDataFrame([(c, t, x or "") for p in parts for c, t, x in p], schema)
+    assert last == {r["conv_id"]: tuple(r) for r in streams.fold_turns(every, 500).collect()}
+
+
 def test_record_stream_parses_each_task_once(spark, tmp_path):
     rows = [("t1", "d", "m", 1, '[{"bbox_2d":[0,0,500,500],"label":"cat"}]', "2024-01-01 00:00:00"), ("t1", "d", "m", 1, "[]", "2024-01-01 00:00:01")]
     r = spark.createDataFrame(rows, "task_key string, dataset string, mode string, image_id long, raw_response string, completed_at string").withColumn("completed_at", F.col("completed_at").cast("timestamp"))
