@@ -329,11 +329,11 @@ def _as_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def topic_vectors(data: np.ndarray, bounds: np.ndarray, dims: int) -> np.ndarray:
-    """For each text of a block, the logarithms of how often its words fall into each of `dims` cells, of length one."""
+    """For each text of a block, how often its words fall into each of `dims` cells, as a vector of length one; a text's length tells nothing."""
     word, each = word_hashes(data, bounds)
     cell = (word % np.uint64(dims)).astype(np.int64)
     text = np.repeat(np.arange(len(each)), each)
-    v = np.log1p(np.bincount(text * dims + cell, minlength=len(each) * dims).reshape(len(each), dims)).astype(np.float32)
+    v = np.bincount(text * dims + cell, minlength=len(each) * dims).reshape(len(each), dims).astype(np.float32)
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
 
 

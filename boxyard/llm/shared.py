@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -10,12 +11,14 @@ from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests on one machine) a new temporary one."""
+    """The folder in spark.checkpoint.dir; where that is unset (one machine, as in tests) a temporary one of the application."""
     got = spark.conf.get("spark.checkpoint.dir", None)
-    if not got:
-        got = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", got)
-    return got.rstrip("/")
+    return (got or _own(spark.sparkContext.applicationId)).rstrip("/")
+
+
+@functools.cache
+def _own(application: str) -> str:
+    return "file://" + tempfile.mkdtemp(prefix=f"spark-shared-{application}-")
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
