@@ -96,27 +96,31 @@ def _induce(t: np.ndarray, smaller: np.ndarray, lms: np.ndarray, sizes: np.ndarr
 
 def _induce_each(t: np.ndarray, smaller: np.ndarray, lms: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The same for alphabets of many symbols: one suffix after the other."""
-    ends = np.cumsum(sizes)
-    text, less, ptr = t.tolist(), smaller.tolist(), ends.tolist()
-    sa = [0] * len(text)  # 0 induces nothing
-    for j in lms[::-1].tolist():
-        c = text[j]
-        ptr[c] -= 1
-        sa[ptr[c]] = j
-    ptr = (ends - sizes).tolist()
-    for j in sa:  # what is written ahead of here is read in its turn
-        if j and not less[j - 1]:
-            c = text[j - 1]
-            sa[ptr[c]] = j - 1
-            ptr[c] += 1
+    t, ends = t.astype(np.int64), np.cumsum(sizes)
     ptr = ends.tolist()
+    sa = [0] * len(t)  # 0 induces nothing
+    for j, c in zip(lms[::-1].tolist(), t[lms[::-1]].tolist(), strict=True):
+        p = ptr[c] = ptr[c] - 1
+        sa[p] = j
+    # by suffix, the bucket of the one before it, or -1 if that is not induced in this direction
+    before = np.full(len(t), -1, np.int64)
+    before[1:] = np.where(smaller[:-1], -1, t[:-1])
+    bucket, ptr = before.tolist(), (ends - sizes).tolist()
+    for j in sa:  # what is written ahead of here is read in its turn
+        c = bucket[j]
+        if c >= 0:
+            p = ptr[c]
+            sa[p] = j - 1
+            ptr[c] = p + 1
+    before[1:] = np.where(smaller[:-1], t[:-1], -1)
+    bucket, ptr = before.tolist(), ends.tolist()
     for i in range(len(sa) - 1, -1, -1):
         j = sa[i]
-        if j and less[j - 1]:
-            c = text[j - 1]
-            ptr[c] -= 1
-            sa[ptr[c]] = j - 1
-    sa[0] = len(text) - 1
+        c = bucket[j]
+        if c >= 0:
+            p = ptr[c] = ptr[c] - 1
+            sa[p] = j - 1
+    sa[0] = len(t) - 1
     return np.array(sa, np.int32)
 
 
