@@ -23,7 +23,7 @@ def register(name: str, oracle: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from boxyard.plans import box_queries, run_queries, table_queries  # noqa: F401  they fill the registry
+    from boxyard.plans import box_queries, file_queries, run_queries, table_queries  # noqa: F401  they fill the registry
 
     return dict(_QUERIES)
 

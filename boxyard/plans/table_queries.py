@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -13,7 +12,7 @@ from boxyard.operators import detections, merge, parsing, references, runs, task
 from boxyard.plans.box_queries import iou_sql, rounded
 from boxyard.plans.catalog import register
 from boxyard.plans.run_queries import _LAST, tasks_of
-from boxyard.sources import files
+from boxyard.sources import files, tables
 from boxyard.streaming import streams
 
 BOXES = ("det_images", "det_annotations")
@@ -124,17 +123,22 @@ _ANSWERS = """with q as (select p.*, i.width, i.height, case when det_ord % 6 =
 k as (select *, cx2 - cx1 > 0 and cy2 - cy1 > 0 as solid, row_number() over (partition by dataset, mode, image_id, category_id, round(cx1, 6), round(cy1, 6), round(cx2 - cx1, 6), round(cy2 - cy1, 6) order by det_ord) as rn from q where unknown = 0)"""
 
 
-@register(
-    "p4_normalize_detections",
-    oracle(
-        _ANSWERS + """, n as (select dataset, mode, image_id, sum(times) as parsed, sum(case when unknown = 1 then times else 0 end) as ignored from q group by all),
+_NORMALIZED = (
+    _ANSWERS
+    + """, n as (select dataset, mode, image_id, sum(times) as parsed, sum(case when unknown = 1 then times else 0 end) as ignored from q group by all),
 m as (select dataset, mode, image_id, count(*) filter (where rn = 1 and solid) as accepted, sum(times) filter (where not solid) as invalid, sum(times) filter (where solid) as solid from k group by all)
 select n.dataset, n.mode, n.image_id, cast(parsed as int) as parsed_detections, cast(coalesce(accepted, 0) as int) as accepted_detections, cast(coalesce(invalid, 0) as int) as invalid_boxes, cast(coalesce(solid, 0) - coalesce(accepted, 0) as int) as duplicate_boxes, cast(ignored as int) as n_ignored
-from n left join m using (dataset, mode, image_id)""", *ALL),
-)
+from n left join m using (dataset, mode, image_id)"""
+)
+
+
+@register("p4_normalize_detections", oracle(_NORMALIZED, *ALL))
 def p4_normalize_detections(spark, sf_dir):
     t = load(spark, sf_dir)
-    d = detections.normalize_detections(parsed_answers(t), t["det_images"], t["det_categories"])
+    return counters_of(detections.normalize_detections(parsed_answers(t), t["det_images"], t["det_categories"]))
+
+
+def counters_of(d):
     return d.select("dataset", "mode", "image_id", "parsed_detections", "accepted_detections", "invalid_boxes", "duplicate_boxes", F.size("ignored_labels").alias("n_ignored"))
 
 
@@ -474,15 +478,9 @@ def w6_stratified_subset(spark, sf_dir):
 
 @register(
     "j5_leave_image_out",
-    oracle(f"with {_RANDOM}, rf as (select * from rr where rank <= 4), t as (select dataset, image_id as target_id from det_images where image_id % 20 = 0), j as (select t.dataset, target_id, category_id, ann_id, row_number() over (partition by t.dataset, target_id, category_id order by rank) as new_rank from t join rf on t.dataset = rf.dataset and rf.image_id <> target_id) select dataset, target_id, category_id, cast(new_rank as int) as new_rank, ann_id from j where new_rank <= 3", *BOXES),
+    oracle(f"with {_RANDOM}, rf as (select * from rr where rank <= 4), t as (select dataset, image_id as target_id from det_images), j as (select t.dataset, target_id, category_id, ann_id, row_number() over (partition by t.dataset, target_id, category_id order by rank) as new_rank from t join rf on t.dataset = rf.dataset and rf.image_id <> target_id) select dataset, target_id, category_id, cast(new_rank as int) as new_rank, ann_id from j where new_rank <= 3", *BOXES),
 )
 def j5_leave_image_out(spark, sf_dir):
-    t = load(spark, sf_dir)
-    return references.leave_image_out_references(random_references(t, 4).select("dataset", "category_id", "rank", "ann_id", "image_id"), t["det_images"].where("image_id % 20 = 0"), 3).drop("image_id")
-
-
-@register("j5_leave_image_out_whole")
-def j5_leave_image_out_whole(spark, sf_dir):
     t = load(spark, sf_dir)
     return references.leave_image_out_references(random_references(t, 4).select("dataset", "category_id", "rank", "ann_id", "image_id"), t["det_images"], 3).drop("image_id")
 
@@ -524,10 +522,10 @@ def p18_reference_payloads(spark, sf_dir):
     return tasks.reference_payloads(reference_rows(load(spark, sf_dir)), 4)
 
 
-@register("p19_request_parts", oracle(f"with {_RANDOM}, {_MATRIX}, g as (select distinct dataset, category_id, image_id from rr where rank <= 2) select m.dataset, m.task_key, cast(2 + 2 * count(g.image_id) as int) as n_parts, max(i.file_name) as last_content from m left join g on g.dataset = m.dataset and (m.category_id is null or g.category_id = m.category_id) join det_images i on i.dataset = m.dataset and i.image_id = m.image_id where m.image_id % 25 = 0 group by m.dataset, m.task_key", "det_images", "det_categories", "det_annotations"))
+@register("p19_request_parts", oracle(f"with {_RANDOM}, {_MATRIX}, g as (select distinct dataset, category_id, image_id from rr where rank <= 2) select m.dataset, m.task_key, cast(2 + 2 * count(g.image_id) as int) as n_parts, max(i.file_name) as last_content from m left join g on g.dataset = m.dataset and (m.category_id is null or g.category_id = m.category_id) join det_images i on i.dataset = m.dataset and i.image_id = m.image_id group by m.dataset, m.task_key", "det_images", "det_categories", "det_annotations"))
 def p19_request_parts(spark, sf_dir):
     t = load(spark, sf_dir)
-    return request_part_counts(spark, t, t["det_images"].where("image_id % 25 = 0"))
+    return request_part_counts(spark, t, t["det_images"])
 
 
 def request_part_counts(spark, t, images):
@@ -536,12 +534,6 @@ def request_part_counts(spark, t, images):
     return d.select(F.substring_index("task_key", "/", 1).alias("dataset"), F.substring_index("task_key", "/", -1).alias("task_key"), F.size("parts").alias("n_parts"), F.element_at("parts", -1)["content"].alias("last_content"))
 
 
-@register("p19_request_parts_whole")
-def p19_request_parts_whole(spark, sf_dir):
-    t = load(spark, sf_dir)
-    return request_part_counts(spark, t, t["det_images"])
-
-
 # --- merging
 
 
@@ -630,11 +622,9 @@ def t1_stream_progress(spark, sf_dir):
     from boxyard.functions.fixtures import TABLES
 
     s = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).parquet(f"{sf_dir}/events.parque[t]")
-    view, table = f"events_{uuid.uuid4().hex}", f"latest_{uuid.uuid4().hex}"
+    view, path = f"events_{uuid.uuid4().hex}", tables.new_folder(spark, "latest")
     s.createOrReplaceTempView(view)
     log = spark.sql(TABLES["task_log"].replace("from events", f"from {view}"))
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-streams-")
-    path = f"{folder}/{table}"
     q = streams.stream_progress(log, path, f"{path}-checkpoint")
     q.awaitTermination()
     return streams.progress_table(spark, path).groupBy("mode", "status").agg(F.count(F.lit(1)).alias("n"))

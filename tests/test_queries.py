@@ -39,14 +39,3 @@ def test_query(spark, duck, name):
         want = duck.sql(catalog.oracle_sql()[name]).df()
         assert sorted(got.columns) == sorted(want.columns)
         assert plain(got) == plain(want)
-
-
-@pytest.mark.parametrize("name, subset", [("j5_leave_image_out", "where image_id % 20 = 0"), ("p19_request_parts", "where m.image_id % 25 = 0")])
-def test_whole_query(spark, duck, name, subset):
-    """The queries over all images against the DuckDB text of those over some, without its filter."""
-    sql = catalog.oracle_sql()[name]
-    assert sql.count(subset) == 1
-    got = catalog.queries()[f"{name}_whole"](spark, SF).toPandas()
-    want = duck.sql(sql.replace(subset, "")).df()
-    assert sorted(got.columns) == sorted(want.columns)
-    assert plain(got) == plain(want)

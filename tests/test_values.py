@@ -241,17 +241,17 @@ def test_files_round_trip(spark, tmp_path):
     d = tmp_path / "coco" / "ds" / "train"
     d.mkdir(parents=True)
     doc = {"images": [{"id": 1, "file_name": "a.jpg", "width": 10, "height": 10}], "annotations": [{"id": 5, "image_id": 1, "category_id": 2, "bbox": [1, 2, 3, 4]}], "categories": [{"id": 2, "name": "cat"}]}
-    (d / "_annotations.coco.json").write_text(json.dumps(doc))
+    (d / "_annotations.coco.json").write_text(json.dumps(doc, indent=2))
     i, a, c = files.read_coco(spark, str(tmp_path / "coco"))
     assert one(a)["w"] == 3.0 and one(i)["dataset"] == "ds" and one(c)["cat_ord"] == 0
     back = json.loads(one(files.to_coco_document(i, a, c))["document"])
     assert back["images"] == doc["images"] and back["annotations"][0]["bbox"] == [1.0, 2.0, 3.0, 4.0]
-    (d / "more_annotations.coco.json").write_text(json.dumps(doc))
+    (d / "more_annotations.coco.json").write_text(json.dumps(doc, indent=2))
     with pytest.raises(merge.ContractError):
         files.read_coco(spark, str(tmp_path / "coco"))
     p = tmp_path / "pred" / "ds"
     p.mkdir(parents=True)
-    (p / "names.json").write_text(json.dumps([{"image_id": 1, "category_id": 2, "bbox": [1, 2, 3, 4]}] * 2))
+    (p / "names.json").write_text(json.dumps([{"image_id": 1, "category_id": 2, "bbox": [1, 2, 3, 4]}] * 2, indent=2))
     assert [r["det_ord"] for r in files.read_predictions(spark, str(tmp_path / "pred")).collect()] == [1, 2]
     r = tmp_path / "records"
     r.mkdir()
@@ -259,7 +259,7 @@ def test_files_round_trip(spark, tmp_path):
     (r / "b.json").write_text("not json")
     good, bad = files.read_records(spark, str(r))
     assert good.count() == 1 and bad.count() == 1
-    (tmp_path / "cond.json").write_text(json.dumps({"conditions": [{"mode": "a"}, {"mode": "b", "boxes": 2, "representation": "drawn"}]}))
+    (tmp_path / "cond.json").write_text(json.dumps({"conditions": [{"mode": "a"}, {"mode": "b", "boxes": 2, "representation": "drawn"}]}, indent=2))
     assert files.read_conditions(spark, str(tmp_path / "cond.json")).count() == 2
     (tmp_path / "bad.json").write_text(json.dumps([{"mode": "a", "boxes": 2}]))
     with pytest.raises(merge.ContractError):
