@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from boxyard.sources.tables import keep
+
 CLASS = ["dataset", "category_id"]
 
 
@@ -51,32 +51,27 @@ def farthest_points(vectors: np.ndarray, first: int, k: int, allowed: np.ndarray
 
 
 def diverse_references(features: DataFrame, k: int, group: str = "label", distinct: str | None = None) -> DataFrame:
-    """k diverse examples per class from (group, item_id, vector): starts with the least id.
+    """k diverse examples per class from (group, item_id, vector): starts with the least id, then farthest_points() of the class.
 
-    distinct: a column (the image) of which every value is used once before any is used again. A class's candidates are
-    one group, so bound them first (best_per_image).
+    distinct: a column (the image) of which every value is used once before any is used again. Each round is one pass over
+    all candidates with a partial aggregate; what it joins is a row for each class, the vectors taken so far.
     """
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("item_id", ignore_index=True)
-        v = np.stack(pdf["vector"].to_numpy()).astype(np.float64)
-        if distinct is None:
-            got = farthest_points(v, 0, k)
-        else:
-            firsts = ~pdf[distinct].duplicated().to_numpy()
-            got = farthest_points(v, 0, k, firsts)
-            if len(got) < k:
-                rest = ~np.isin(np.arange(len(v)), got)
-                near = np.min(((v[:, None, :] - v[None, got, :]) ** 2).sum(axis=2), axis=1)
-                while len(got) < k and rest.any():
-                    i = int(np.argmax(np.where(rest, near, -1.0)))
-                    got.append(i)
-                    rest[i] = False
-                    near = np.minimum(near, ((v - v[i]) ** 2).sum(axis=1))
-        return pd.DataFrame({group: pdf[group].iloc[0], "item_id": pdf["item_id"].to_numpy()[got], "rank": np.arange(1, len(got) + 1, dtype=np.int32)})
-
-    kind = features.schema[group].dataType.simpleString()
-    return features.groupBy(group).applyInPandas(pick, f"{group} {kind}, item_id long, rank int")
+    f = features.select(F.col(group).alias("g"), "item_id", F.col("vector").cast("array<double>").alias("v"), F.lit(True).alias("first"))
+    if distinct is not None:
+        ids = features.groupBy(group, distinct).agg(F.min("item_id").alias("_least")).select(F.col(group).alias("_g"), F.col("_least"))
+        f = f.drop("first").join(ids, F.col("g").eqNullSafe(F.col("_g")) & (F.col("item_id") == F.col("_least")), "left").withColumn("first", F.col("_least").isNotNull()).drop("_g", "_least")
+    taken = f.groupBy("g").agg(F.min_by("v", "item_id").alias("v"), F.min("item_id").alias("item_id"))
+    taken = keep(taken.select("g", F.array("item_id").alias("ids"), F.array("v").alias("vs")), "references")
+    for _ in range(k - 1):
+        t = taken.withColumnRenamed("g", "_g")
+        d = f.join(t, F.col("g").eqNullSafe(F.col("_g"))).where(~F.array_contains("ids", F.col("item_id")))
+        square = lambda p: F.aggregate(F.zip_with(F.col("v"), p, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+        near = F.array_min(F.transform("vs", square))
+        best = d.groupBy("g").agg(F.max_by(F.struct("item_id", "v"), F.struct("first", near.alias("near"), -F.col("item_id"))).alias("b")).withColumnRenamed("g", "_g")
+        more = taken.join(best, F.col("g").eqNullSafe(F.col("_g")), "left")
+        add = lambda c, x: F.when(F.col("b").isNull(), F.col(c)).otherwise(F.concat(F.col(c), F.array(x))).alias(c)
+        taken = keep(more.select("g", add("ids", F.col("b.item_id")), add("vs", F.col("b.v"))), "references")
+    return taken.select(F.col("g").alias(group), F.posexplode("ids").alias("pos", "item_id")).select(group, "item_id", (F.col("pos") + 1).alias("rank"))
 
 
 def class_reference_images(with_area: DataFrame) -> DataFrame:
@@ -102,14 +97,28 @@ def _greedy_cover(pdf: pd.DataFrame, n: int) -> list:
     return sorted(got)
 
 
-def stratified_subset(annotations: DataFrame, n: int, cover: Callable = _greedy_cover) -> DataFrame:
-    """(dataset, image_id) of n images per dataset that cover its classes; the group of a dataset holds its image-class counts only."""
-    per = annotations.groupBy("dataset", "image_id", "category_id").agg(F.count(F.lit(1)).alias("n"))
+def stratified_subset(annotations: DataFrame, n: int) -> DataFrame:
+    """(dataset, image_id) of n images per dataset that cover its classes, chosen as _greedy_cover() does.
 
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"dataset": pdf["dataset"].iloc[0], "image_id": cover(pdf, n)})
-
-    return per.groupBy("dataset").applyInPandas(pick, "dataset string, image_id long")
+    An image's counts by class are one row. Each round is one pass over these rows with a partial aggregate; what it joins is
+    a row for each dataset: the images taken so far and the totals of its classes.
+    """
+    per = annotations.groupBy("dataset", "image_id", "category_id").agg(F.count(F.lit(1)).alias("n"))
+    per = keep(per.groupBy("dataset", "image_id").agg(F.array_sort(F.collect_list(F.struct("category_id", F.col("n").cast("double").alias("n")))).alias("counts"), F.sum("n").alias("objects")), "counts")
+    totals = per.select("dataset", F.explode("counts").alias("c")).select("dataset", "c.category_id").distinct().groupBy("dataset")
+    state = keep(totals.agg(F.map_from_entries(F.collect_list(F.struct("category_id", F.lit(0.0).alias("t")))).alias("totals")).withColumn("ids", F.array().cast("array<bigint>")), "subset")
+    for _ in range(n):
+        d = per.join(state, "dataset").where(~F.array_contains("ids", F.col("image_id").cast("long")))
+        so_far = lambda c: F.element_at("totals", c["category_id"])
+        fresh = F.size(F.filter("counts", lambda c: so_far(c) == 0))
+        rare = F.aggregate("counts", F.lit(0.0), lambda s, c: s + c["n"] / (1 + so_far(c)))
+        best = d.groupBy("dataset").agg(F.max_by(F.struct(F.col("image_id").cast("long").alias("image_id"), "counts"), F.struct(fresh.alias("fresh"), rare.alias("rare"), "objects", -F.col("image_id"))).alias("b"))
+        counts = F.map_from_entries("b.counts")
+        more = F.transform_values("totals", lambda c, t: t + F.coalesce(F.element_at(counts, c), F.lit(0.0)))
+        some = F.col("b").isNotNull()
+        d = state.join(best, "dataset", "left").select("dataset", F.when(some, more).otherwise(F.col("totals")).alias("totals"), F.when(some, F.concat("ids", F.array("b.image_id"))).otherwise(F.col("ids")).alias("ids"))
+        state = keep(d, "subset")
+    return state.select("dataset", F.explode("ids").alias("image_id"))
 
 
 def uncovered_classes(subset: DataFrame, annotations: DataFrame) -> DataFrame:

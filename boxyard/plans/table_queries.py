@@ -459,7 +459,18 @@ def w3_seeded_random(spark, sf_dir):
     return random_references(load(spark, sf_dir), 10).select("dataset", "category_id", "ann_id", "rank")
 
 
-@register("w4_diverse_references")
+def _farthest(k):
+    """DuckDB text of k rounds of farthest points."""
+    parts = ["e as (select label, vec_id, embedding::double[] as v from embeddings)", "p1 as (select label, vec_id, v, 1 as rank from (select *, row_number() over (partition by label order by vec_id) as rn from e) where rn = 1)"]
+    for i in range(2, k + 1):
+        near = "min(list_sum(list_transform(range(1, len(e.v) + 1), lambda j: (e.v[j] - p.v[j]) * (e.v[j] - p.v[j]))))"
+        parts.append(f"d{i} as materialized (select e.label, e.vec_id, {near} as near from e join p{i - 1} p on e.label is not distinct from p.label where not exists (select 1 from p{i - 1} q where q.vec_id = e.vec_id and q.label is not distinct from e.label) group by all)")
+        parts.append(f"n{i} as (select label, vec_id from (select *, row_number() over (partition by label order by near desc, vec_id) as rn from d{i}) where rn = 1)")
+        parts.append(f"p{i} as materialized (select * from p{i - 1} union all select e.label, e.vec_id, e.v, {i} from n{i} join e on e.label is not distinct from n{i}.label and e.vec_id = n{i}.vec_id)")
+    return "with " + ",\n".join(parts) + f"\nselect label, vec_id as item_id, rank from p{k}"
+
+
+@register("w4_diverse_references", _farthest(5))
 def w4_diverse_references(spark, sf_dir):
     e = load(spark, sf_dir)["embeddings"]
     return references.diverse_references(e.select("label", F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector")), 5)
@@ -471,7 +482,17 @@ def w5_class_reference_images(spark, sf_dir):
     return d.select("dataset", "category_id", "image_id", F.array_join(F.transform("ann_ids", lambda x: x.cast("string")), ",").alias("ann_ids"))
 
 
-@register("w6_stratified_subset")
+def _cover(n):
+    """DuckDB text of n rounds of greedy cover."""
+    parts = ["c as materialized (select dataset, image_id, category_id, count(*) as n from det_annotations group by all)", "p0 as (select dataset, image_id from c where false)"]
+    for i in range(1, n + 1):
+        parts.append(f"t{i} as materialized (select dataset, category_id, sum(n) as t from c join p{i - 1} using (dataset, image_id) group by all)")
+        parts.append(f"s{i} as materialized (select dataset, image_id, count(*) filter (where t is null) as fresh, sum(n / (1.0::double + coalesce(t, 0)) order by category_id) as rare, sum(n) as objects from c left join t{i} using (dataset, category_id) where not exists (select 1 from p{i - 1} p where p.dataset = c.dataset and p.image_id = c.image_id) group by all)")
+        parts.append(f"p{i} as materialized (select * from p{i - 1} union all select dataset, image_id from (select *, row_number() over (partition by dataset order by fresh desc, rare desc, objects desc, image_id) as rn from s{i}) where rn = 1)")
+    return "with " + ",\n".join(parts) + f"\nselect dataset, image_id from p{n}"
+
+
+@register("w6_stratified_subset", oracle(_cover(10), *BOXES))
 def w6_stratified_subset(spark, sf_dir):
     return references.stratified_subset(load(spark, sf_dir)["det_annotations"], 10)
 
