@@ -101,11 +101,21 @@ def completeness(tasks: DataFrame, records: DataFrame) -> DataFrame:
     return d.groupBy("mode").agg(F.count(F.lit(1)).alias("n_tasks"), F.count("done").alias("n_done")).withColumn("complete", F.col("n_tasks") == F.col("n_done"))
 
 
-def finalize_runs(tasks: DataFrame, records: DataFrame, scores: DataFrame) -> DataFrame:
-    """One row per mode: completeness, statuses, usage of the records that count, and the score only if complete."""
+def finalize_runs(tasks: DataFrame, records: DataFrame, scores: DataFrame, predictions: DataFrame | None = None) -> DataFrame:
+    """One row per mode: completeness, statuses, usage of the records that count, attempts a task, and the score only if complete.
+
+    With predictions (mode, ...) their number; where records have a failure_type, a map from each type to how many tasks ended with it.
+    """
     last = latest(records).where(F.col("status").isin(*TERMINAL))
     status = progress(tasks, records).where("mode <> 'all'").withColumn("errors", F.col("error") + F.col("pending")).drop("error", "pending")
     d = status.join(completeness(tasks, records).select("mode", "complete"), "mode").join(usage_summary(last), "mode", "left").join(scores, "mode", "left")
+    calls = records.groupBy("mode").agg(F.count(F.lit(1)).alias("_calls"))
+    d = d.join(calls, "mode", "left").withColumn("calls_per_task", F.coalesce("_calls", F.lit(0)) / F.col("total")).drop("_calls")
+    if predictions is not None:
+        d = d.join(predictions.groupBy("mode").agg(F.count(F.lit(1)).alias("n_predictions")), "mode", "left").na.fill(0, ["n_predictions"])
+    if "failure_type" in records.columns:
+        kinds = last.where(F.col("failure_type").isNotNull()).groupBy("mode", "failure_type").agg(F.count(F.lit(1)).alias("n"))
+        d = d.join(kinds.groupBy("mode").agg(F.map_from_entries(F.collect_list(F.struct("failure_type", "n"))).alias("failure_types")), "mode", "left")
     return d.withColumn("map5095", F.when(F.col("complete"), F.col("map5095")))
 
 

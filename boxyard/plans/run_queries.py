@@ -79,16 +79,16 @@ p as (select t.mode, count(*) as total, count(*) filter (where l.status = 'succe
         count(*) filter (where l.status is null or l.status = 'error') as errors from tasks t left join last l using (task_key) group by t.mode),
 u as (select mode, count(*) as requests, cast(sum(coalesce(prompt_tokens, 0)) as bigint) as prompt_tokens, cast(sum(coalesce(cached_tokens, 0)) as bigint) as cached_tokens, cast(sum(completion_tokens) as bigint) as completion_tokens,
         round(avg(inference_seconds), 6) as mean_seconds, round(sum(inference_seconds), 4) as total_seconds from fin group by mode),
-s as (select mode, avg(map5095) as map5095 from mode_scores group by mode)
-select p.mode, total, success, model_failure, errors, errors = 0 as complete, requests, prompt_tokens, cached_tokens, completion_tokens, mean_seconds, total_seconds, case when errors = 0 then round(map5095, 6) end as map5095
-from p left join u using (mode) left join s using (mode)""",
-        "task_log", "run_scores", "mode_scores",
+s as (select mode, avg(map5095) as map5095 from mode_scores group by mode), q as (select mode, count(*) as n_predictions from det_predictions group by mode), c as (select mode, count(*) as attempts from task_log group by mode)
+select p.mode, round(attempts / total::double, 6) as calls_per_task, n_predictions, total, success, model_failure, errors, errors = 0 as complete, requests, prompt_tokens, cached_tokens, completion_tokens, mean_seconds, total_seconds, case when errors = 0 then round(map5095, 6) end as map5095
+from p left join u using (mode) left join s using (mode) left join q using (mode) left join c using (mode)""",
+        "task_log", "run_scores", "mode_scores", "det_images", "det_annotations", "det_predictions",
     ),
 )
 def a3_finalize_runs(spark, sf_dir):
     t = load(spark, sf_dir)
     s = t["mode_scores"].groupBy("mode").agg(F.avg("map5095").alias("map5095"))
-    return rounded(runs.finalize_runs(tasks_of(t), t["task_log"], s)).withColumn("total_seconds", F.round("total_seconds", 4))
+    return rounded(runs.finalize_runs(tasks_of(t), t["task_log"], s, t["det_predictions"])).withColumn("total_seconds", F.round("total_seconds", 4))
 
 
 @register(
@@ -262,16 +262,18 @@ _DRAW = "((7 + it*7919 + pos*104729) * 48271 % 2147483647) % n"
 @register(
     "a15_cluster_bootstrap",
     oracle(
-        f"""with {_ROWS}, s as (select dataset, sum(flag) as n1, sum(case when flag = 1 then y else 0.0 end) as s1, sum(1 - flag) as n0, sum(case when flag = 0 then y else 0.0 end) as s0, row_number() over (order by dataset) - 1 as i from r where mode = 'ten' group by dataset),
-k as (select count(*)::bigint as n from s), dr as (select it, {_DRAW} as i from (select unnest(range(0, 1000)) as it), k, (select unnest(range(0, (select n from k))) as pos)),
-e as (select it, sum(s1) / nullif(sum(n1), 0) - sum(s0) / nullif(sum(n0), 0) as effect from dr join s using (i) group by it)
-select (select round(sum(s1) / nullif(sum(n1), 0) - sum(s0) / nullif(sum(n0), 0), 6) from s) as estimate, count(effect) as n_valid, round(quantile_cont(effect, 0.025), 6) as low, round(quantile_cont(effect, 0.975), 6) as high, count(effect) >= 950 as enough from e""",
+        f"""with {_ROWS}, s as (select mode, dataset, sum(flag) as n1, sum(case when flag = 1 then y else 0.0 end) as s1, sum(1 - flag) as n0, sum(case when flag = 0 then y else 0.0 end) as s0, row_number() over (partition by mode order by dataset) - 1 as i from r group by mode, dataset),
+k as (select mode, count(*)::bigint as n from s group by mode), dr as (select mode, it, {_DRAW} as i from (select mode, n, unnest(range(0, n)) as pos from k), (select unnest(range(0, 1000)) as it)),
+e as (select mode, it, sum(s1) / nullif(sum(n1), 0) - sum(s0) / nullif(sum(n0), 0) as effect from dr join s using (mode, i) group by mode, it),
+p as (select mode, sum(s1) / nullif(sum(n1), 0) - sum(s0) / nullif(sum(n0), 0) as estimate from s group by mode)
+select mode, round(any_value(estimate), 6) as estimate, count(effect) as n_valid, round(quantile_cont(effect, 0.025), 6) as low, round(quantile_cont(effect, 0.975), 6) as high, count(effect) >= 950 as enough from e join p using (mode) group by mode""",
         "det_images", "det_categories", "run_scores", "class_flags", "mode_scores",
     ),
 )
 def a15_cluster_bootstrap(spark, sf_dir):
-    r = class_rows(load(spark, sf_dir)).where("mode = 'ten'")
-    return rounded(stats.cluster_bootstrap(r, "flag", "y", 1000, 7))
+    r = class_rows(load(spark, sf_dir))
+    one, ten = (stats.cluster_bootstrap(r.where(F.col("mode") == m), "flag", "y", 1000, 7).withColumn("mode", F.lit(m)) for m in ("one", "ten"))
+    return rounded(one.unionByName(ten))
 
 
 @register(

@@ -591,11 +591,15 @@ def u3_validate_plan(spark, sf_dir):
     return merge.validate_plan(plan.unionByName(done.withColumn("shard_id", F.lit(0))), sizes, done)
 
 
-@register("u4_merge_shards", oracle("select count(*) as n_datasets, round(avg(map5095), 6) as map5095, round(avg(map50), 6) as map50, cast(sum(task_count) as bigint) as task_count from mode_scores where mode = 'one'", "run_scores", "mode_scores"))
+@register("u4_merge_shards", oracle("select mode, count(*) as n_datasets, round(avg(map5095), 6) as map5095, round(avg(map50), 6) as map50, cast(sum(task_count) as bigint) as task_count from mode_scores group by mode", "run_scores", "mode_scores"))
 def u4_merge_shards(spark, sf_dir):
-    s = load(spark, sf_dir)["mode_scores"].where("mode = 'one'").select("dataset", "map5095", "map50", "task_count")
-    base, rest = s.where("dataset < 'ds08'"), s.where("dataset >= 'ds08'")
-    return rounded(merge.merge_shards(base, rest, rest.select("dataset"))).withColumn("task_count", F.col("task_count").cast("long"))
+    """Each mode is a run of its own."""
+    scores, out = load(spark, sf_dir)["mode_scores"], []
+    for mode in ("names", "one", "ten"):
+        s = scores.where(F.col("mode") == mode).select("dataset", "map5095", "map50", "task_count")
+        base, rest = s.where("dataset < 'ds08'"), s.where("dataset >= 'ds08'")
+        out.append(merge.merge_shards(base, rest, rest.select("dataset")).withColumn("mode", F.lit(mode)))
+    return rounded(out[0].unionByName(out[1]).unionByName(out[2])).withColumn("task_count", F.col("task_count").cast("long"))
 
 
 @register("u5_artifact_counts", oracle("select dataset, count(*) as n_images, count(*) filter (where image_id % 50 <> 0) as n_records, count(*) = count(*) filter (where image_id % 50 <> 0) as equal from det_images group by dataset", "det_images"))

@@ -182,6 +182,16 @@ def test_repeats_without_a_critical_value_are_an_error(spark):
         stats.repeat_ci(spark.createDataFrame(rows, "dataset string, mode string, repeat int, map5095 double"), "a").collect()
 
 
+def test_finished_runs_tell_what_failed(spark):
+    at = pd.Timestamp("2024-01-01").to_pydatetime()
+    rows = [(1, "a", "m", "error", None), (2, "a", "m", "model_failure", "provider_request_failure"), (3, "b", "m", "success", None)]
+    records = spark.createDataFrame([(*r, at, 1.0, 1, 0, 1) for r in rows], "event_id long, task_key string, mode string, status string, failure_type string, completed_at timestamp, inference_seconds double, prompt_tokens long, cached_tokens long, completion_tokens long")
+    tasks = spark.createDataFrame([("a", "m"), ("b", "m")], "task_key string, mode string")
+    scores = spark.createDataFrame([("m", 5.0)], "mode string, map5095 double")
+    r = one(runs.finalize_runs(tasks, records, scores, spark.createDataFrame([("m",)] * 3, "mode string")))
+    assert (r["complete"], r["map5095"], r["calls_per_task"], r["n_predictions"], r["failure_types"]) == (True, 5.0, 1.5, 3, {"provider_request_failure": 1})
+
+
 def test_sections_are_headed_by_lines_of_their_own(spark):
     text = "about # Object Classes here\n# Object Classes\n\n## A\nof a\n### not one\n## B\nof b"
     d = spark.createDataFrame([(1, text), (2, "no heading ## A\n## B\n"), (3, "# Object Classes\n## A\nx\n"), (4, None)], "i int, text string")
