@@ -81,15 +81,27 @@ def slope_effect(rows: DataFrame, groups: list[str], x: str, y: str) -> DataFram
     return rows.groupBy(*groups).agg(F.regr_slope(y, x).alias("slope"))
 
 
-def repeatability(predictions: DataFrame, repeats: str = "mode") -> DataFrame:
-    """Over images that every repeat has: shares with the same predictions in any order, the same number, the same number by class."""
+def repeatability(predictions: DataFrame, repeats: str = "mode", answers: DataFrame | None = None) -> DataFrame:
+    """Over images that every repeat has: shares with the same predictions in any order, the same number, the same number by class.
+
+    With answers (dataset, image_id, repeats, raw_response) also same_answer: the share of those images whose texts are the
+    same in every repeat; a null text is a text of its own.
+    """
     n_rep = predictions.select("dataset", repeats).distinct().groupBy("dataset").agg(F.count(F.lit(1)).alias("n_rep"))
     box = F.struct("category_id", "x", "y", "w", "h", "score")
     per = predictions.groupBy("dataset", "image_id", repeats).agg(F.sha2(F.to_json(F.array_sort(F.collect_list(box))), 256).alias("content"), F.count(F.lit(1)).alias("n"), F.to_json(F.array_sort(F.collect_list("category_id"))).alias("classes"))
     img = per.groupBy("dataset", "image_id").agg(F.count(F.lit(1)).alias("seen"), *[F.count_distinct(c).alias(c) for c in ("content", "n", "classes")])
     img = img.join(n_rep, "dataset").where(F.col("seen") == F.col("n_rep"))
     share = lambda c: F.avg((F.col(c) == 1).cast("double"))
-    return img.groupBy("dataset").agg(F.count(F.lit(1)).alias("n_images"), share("content").alias("same_content"), share("n").alias("same_count"), share("classes").alias("same_classes"))
+    shares = {"content": "same_content", "n": "same_count", "classes": "same_classes"}
+    if answers is not None:
+        text = F.coalesce(F.sha2("raw_response", 256), F.lit(""))
+        told = answers.join(n_rep, "dataset").groupBy("dataset", "image_id").agg(F.count_distinct(repeats).alias("_told"), F.max("n_rep").alias("_all"), F.count_distinct(text).alias("_texts"))
+        # an image without an answer in some repeat is not the same in all
+        told = told.select("dataset", "image_id", F.when(F.col("_told") == F.col("_all"), F.col("_texts")).otherwise(0).alias("answer"))
+        img = img.join(told, ["dataset", "image_id"], "left").na.fill(0, ["answer"])
+        shares["answer"] = "same_answer"
+    return img.groupBy("dataset").agg(F.count(F.lit(1)).alias("n_images"), *[share(c).alias(n) for c, n in shares.items()])
 
 
 def cluster_bootstrap(rows: DataFrame, flag: str, outcome: str, iterations: int, seed: int) -> DataFrame:

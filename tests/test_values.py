@@ -182,6 +182,13 @@ def test_repeats_without_a_critical_value_are_an_error(spark):
         stats.repeat_ci(spark.createDataFrame(rows, "dataset string, mode string, repeat int, map5095 double"), "a").collect()
 
 
+def test_same_answers_of_repeats(spark):
+    p = spark.createDataFrame([("d", m, i, 1, 0.0, 0.0, 1.0, 1.0, 1.0, 1) for m in "ab" for i in (1, 2, 3, 4)], PRED)
+    a = spark.createDataFrame([("d", "a", 1, "x"), ("d", "b", 1, "x"), ("d", "a", 2, "x"), ("d", "b", 2, "y"), ("d", "a", 3, "x"), ("d", "a", 4, None), ("d", "b", 4, "")], "dataset string, mode string, image_id long, raw_response string")
+    r = one(stats.repeatability(p, answers=a))
+    assert (r["n_images"], r["same_content"], r["same_answer"]) == (4, 1.0, 0.25)
+
+
 def test_finished_runs_tell_what_failed(spark):
     at = pd.Timestamp("2024-01-01").to_pydatetime()
     rows = [(1, "a", "m", "error", None), (2, "a", "m", "model_failure", "provider_request_failure"), (3, "b", "m", "success", None)]
