@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxyard.llm import decontaminate, neardup, packing, passages, perspective, quality, secrets, substrings, surrogates, toxicity
+from boxyard.llm import decontaminate, manifest, neardup, packing, passages, perspective, quality, secrets, spelling, substrings, surrogates, toxicity, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,9 +63,21 @@ def op10_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file(), marks=True)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(spelling.word_counts(table(spark, sf_dir, "documents"), shortest=7, least=2, every=31))
+
+
+def op12_subspace_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.merkle_manifest(table(spark, sf_dir, "documents")).drop("copied")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_perspective_rotation": perspective.ORACLE}
+    return {"op7_perspective_rotation": perspective.ORACLE, "op12_subspace_join": vectors.ORACLE, "op13_merkle_manifest": manifest.ORACLE}
