@@ -12,12 +12,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from boxyard.functions.geometry import AREAS, box, crowd_iou
+from boxyard.operators.curves import CLASS, average_precisions, bit_of, sorted_detections
 
 #: linspace(0.5, 0.95, 10), whose ninth value is below 0.9.
 IOU_THRESHOLDS = [0.5 + (0.95 - 0.5) / 9 * i for i in range(9)] + [0.95]
 GROUP = ["dataset", "mode", "image_id", "category_id"]
-CLASS = ["dataset", "mode", "category_id"]
-_ULP = 2.220446049250313e-16
 
 
 def _cells(thresholds: list[float], areas: tuple[str, ...]) -> list[tuple[float, str]]:
@@ -30,7 +29,8 @@ def ranked(predictions: DataFrame, max_dets: int) -> DataFrame:
     return predictions.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max_dets)
 
 
-def _with_defaults(gt: DataFrame) -> DataFrame:
+def with_defaults(gt: DataFrame) -> DataFrame:
+    """Objects with iscrowd (0) and area (of the box) where they lack them."""
     if "iscrowd" not in gt.columns:
         gt = gt.withColumn("iscrowd", F.lit(0))
     return gt if "area" in gt.columns else gt.withColumn("area", F.col("w") * F.col("h"))
@@ -49,7 +49,7 @@ def _fold(pairs: Column) -> Column:
 
 def coco_match(gt: DataFrame, predictions: DataFrame, thresholds: list[float] = IOU_THRESHOLDS, areas: tuple[str, ...] = ("all",), max_dets: int = 500) -> DataFrame:
     """One row per matched detection: the group, cell (number of thr and area), thr, area, det_ord, ann_id, ig (1: with an ignored object)."""
-    g = _with_defaults(gt).select("dataset", "image_id", "category_id", "ann_id", "x", "y", "w", "h", F.col("area").alias("gt_area"), "iscrowd").alias("g")
+    g = with_defaults(gt).select("dataset", "image_id", "category_id", "ann_id", "x", "y", "w", "h", F.col("area").alias("gt_area"), "iscrowd").alias("g")
     p = ranked(predictions, max_dets).alias("p")
     c = p.join(g, ["dataset", "image_id", "category_id"]).select(*GROUP, "score", "det_ord", "ann_id", "gt_area", "iscrowd", crowd_iou(box("p"), box("g"), F.col("iscrowd")).alias("iou"))
     c = c.where(F.col("iou") >= min(thresholds))
@@ -71,60 +71,40 @@ def coco_match(gt: DataFrame, predictions: DataFrame, thresholds: list[float] =
     return hits.select(*GROUP, "cell", "thr", "area", "m.*")
 
 
-def coco_curves(gt: DataFrame, predictions: DataFrame, thresholds: list[float], areas: tuple[str, ...], max_dets: int) -> DataFrame:
-    """(dataset, mode, category_id, thr, area, npig, ap, ar) of every cell with counted objects.
-
-    A detection carries one bit per cell (threshold and area range; at most 62): whether it is a hit, and whether it is
-    ignored. So the detections of a class are sorted once, and running sums are kept for all cells side by side: in the
-    order of the scores for precision and recall, and backwards for the best precision from a position on. The recall
-    points that a hit adds are counted, not joined.
-    """
+def judged(gt: DataFrame, predictions: DataFrame, thresholds: list[float], areas: tuple[str, ...], max_dets: int) -> DataFrame:
+    """Every detection with its rank and one bit for each cell (threshold and area range; at most 62): tp, whether it is a hit, and ignored."""
     cells = _cells(thresholds, areas)
-    g = _with_defaults(gt)
-    hits = coco_match(g, predictions, thresholds, areas, max_dets)
+    hits = coco_match(gt, predictions, thresholds, areas, max_dets)
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("cell"))
     masks = hits.groupBy(*GROUP, "det_ord").agg(F.bit_or(bit).alias("hit"), F.bit_or(F.when(F.col("ig") == 1, bit).otherwise(F.lit(0).cast("long"))).alias("hit_ig"))
-    d = ranked(predictions, max_dets).select(*GROUP, "det_ord", "score", (F.col("w") * F.col("h")).alias("det_area")).join(masks, [*GROUP, "det_ord"], "left").na.fill(0, ["hit", "hit_ig"])
+    d = ranked(predictions, max_dets).select(*GROUP, "det_ord", "score", "rank", (F.col("w") * F.col("h")).alias("det_area")).join(masks, [*GROUP, "det_ord"], "left").na.fill(0, ["hit", "hit_ig"])
     outside = F.lit(0).cast("long")
     for a in areas:
         of_area = sum(1 << i for i, c in enumerate(cells) if c[1] == a)
         outside = outside.bitwiseOR(F.when((F.col("det_area") < AREAS[a][0]) | (F.col("det_area") > AREAS[a][1]), F.lit(of_area)).otherwise(F.lit(0)).cast("long"))
     tp = F.col("hit").bitwiseAND(F.bitwise_not("hit_ig"))
     ignored = F.col("hit_ig").bitwiseOR(outside.bitwiseAND(F.bitwise_not("hit")))
-    d = d.select(*CLASS, "score", "image_id", "det_ord", tp.alias("tp"), ignored.alias("ignored"))
+    return d.select(*CLASS, "score", "image_id", "det_ord", "rank", tp.alias("tp"), ignored.alias("ignored"))
+
 
-    def bit_of(c: str, k: int) -> Column:
-        return F.call_function("shiftright", F.col(c), F.lit(k)).bitwiseAND(F.lit(1).cast("long"))
+def coco_curves(gt: DataFrame, predictions: DataFrame, thresholds: list[float], areas: tuple[str, ...], max_dets: int, few: tuple[int, ...] = ()) -> DataFrame:
+    """(dataset, mode, category_id, thr, area, npig, ap, ar, ar_<few>...) of every cell with counted objects.
 
-    fore = W.partitionBy(*CLASS).orderBy(F.desc("score"), "image_id", "det_ord").rowsBetween(W.unboundedPreceding, 0)
-    back = W.partitionBy(*CLASS).orderBy("score", F.desc("image_id"), F.desc("det_ord")).rowsBetween(W.unboundedPreceding, 0)
-    every = range(len(cells))
-    d = d.select("*", *[F.sum(bit_of("tp", k)).over(fore).alias(f"tps{k}") for k in every], *[F.sum(1 - bit_of("ignored", k)).over(fore).alias(f"n{k}") for k in every])
-    d = d.select("*", *[F.max(F.when(bit_of("ignored", k) == 0, F.col(f"tps{k}") / (F.col(f"n{k}") + F.lit(_ULP)))).over(back).alias(f"best{k}") for k in every])
+    ar_<n> is the recall of the first n detections of each image and class: the first ones are matched the same whether
+    others follow or not, so one matching serves all.
+    """
+    cells = _cells(thresholds, areas)
+    g = with_defaults(gt)
     counted = counted_objects(g, areas)
-    d = d.join(counted, ["dataset", "category_id"])
-
-    def points(r: Column) -> Column:
-        k = F.floor(r * 100)
-        return F.least(F.when((k + 1) * F.lit(0.01) <= r, k + 2).when(k * F.lit(0.01) <= r, k + 1).otherwise(k), F.lit(101))
-
-    def gained(k: int, a: str) -> Column:
-        n = F.col(f"npig_{a}")
-        before = F.when(F.col(f"tps{k}") == 1, F.lit(0)).otherwise(points((F.col(f"tps{k}") - 1) / n))
-        return F.when((bit_of("tp", k) == 1) & (n > 0), (points(F.col(f"tps{k}") / n) - before) * F.col(f"best{k}"))
-
-    sums = d.groupBy(*CLASS).agg(*[x for k, (_, a) in enumerate(cells) for x in ((F.sum(gained(k, a)) / 101).alias(f"ap{k}"), F.max(f"tps{k}").alias(f"tps{k}"))])
-    full = counted.join(predictions.select("dataset", "mode").distinct(), "dataset").join(sums, CLASS, "left")
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(t).alias("thr"), F.lit(a).alias("area"), F.col(f"npig_{a}").alias("npig"), F.coalesce(f"ap{k}", F.lit(0.0)).alias("ap"),
-                F.when(F.col(f"npig_{a}") > 0, F.coalesce(F.col(f"tps{k}"), F.lit(0)) / F.col(f"npig_{a}")).alias("ar"),
-            )
-            for k, (t, a) in enumerate(cells)
-        ]
-    )
-    return full.select(*CLASS, F.inline(rows)).where("npig > 0")
+    rows = F.array(*[F.struct(F.lit(k).alias("cell"), F.lit(t).alias("thr"), F.lit(a).alias("area"), F.col(f"npig_{a}").alias("npig")) for k, (t, a) in enumerate(cells)])
+    objects = counted.select("dataset", "category_id", F.inline(rows)).where("npig > 0")
+    d = sorted_detections(judged(g, predictions, thresholds, areas, max_dets))
+    ap = average_precisions(d, len(cells), objects.select("dataset", "category_id", "cell", F.array(F.col("npig").cast("double")).alias("npig"))).select(*CLASS, "cell", F.get("ap", F.lit(0)).alias("ap"))
+    hits = [F.struct(F.lit(k).alias("cell"), *[F.sum(F.when(F.col("rank") <= n, bit_of("tp", k))).alias(f"ar_{n}") for n in (max_dets, *few)]) for k in range(len(cells))]
+    found = d.groupBy(*CLASS).agg(F.array(*hits).alias("h")).select(*CLASS, F.inline("h"))
+    full = objects.join(predictions.select("dataset", "mode").distinct(), "dataset").join(ap, [*CLASS, "cell"], "left").join(found, [*CLASS, "cell"], "left")
+    recall = lambda n: F.coalesce(F.col(f"ar_{n}"), F.lit(0)) / F.col("npig")
+    return full.select(*CLASS, "thr", "area", "npig", F.coalesce("ap", F.lit(0.0)).alias("ap"), recall(max_dets).alias("ar"), *[recall(n).alias(f"ar_{n}") for n in few])
 
 
 def counted_objects(g: DataFrame, areas: tuple[str, ...]) -> DataFrame:
@@ -146,13 +126,22 @@ def coco_score_by_category(gt: DataFrame, predictions: DataFrame, max_dets: int
 
 def coco_score(gt: DataFrame, predictions: DataFrame, areas: tuple[str, ...] = ("all", "small", "medium", "large"), max_dets: tuple[int, ...] = (1, 10, 500)) -> DataFrame:
     """The summary of each (dataset, mode): ap, ap50, ap75, ap_<area>, ar_<max dets>, ar_<area>; -1 where nothing counts."""
-    c = coco_curves(gt, predictions, IOU_THRESHOLDS, areas, max_dets[-1])
+    c = coco_curves(gt, predictions, IOU_THRESHOLDS, areas, max_dets[-1], max_dets[:-1])
     at = lambda t: (F.col("area") == "all") & (F.abs(F.col("thr") - t) < 1e-9)
     whole = F.col("area") == "all"
     agg = [_mean("ap", whole).alias("ap"), _mean("ap", at(0.5)).alias("ap50"), _mean("ap", at(0.75)).alias("ap75")]
     agg += [_mean("ap", F.col("area") == a).alias(f"ap_{a}") for a in areas if a != "all"] + [_mean("ar", F.col("area") == a).alias(f"ar_{a}") for a in areas if a != "all"]
-    out = c.groupBy("dataset", "mode").agg(*agg, _mean("ar", whole).alias(f"ar_{max_dets[-1]}"))
-    for n in max_dets[:-1]:
-        few = coco_curves(gt, predictions, IOU_THRESHOLDS, ("all",), n).groupBy("dataset", "mode").agg(F.avg("ar").alias(f"ar_{n}"))
-        out = out.join(few, ["dataset", "mode"], "left").na.fill(-1.0, [f"ar_{n}"])
-    return out
+    agg += [_mean("ar", whole).alias(f"ar_{max_dets[-1]}")] + [_mean(f"ar_{n}", whole).alias(f"ar_{n}") for n in max_dets[:-1]]
+    return c.groupBy("dataset", "mode").agg(*agg)
+
+
+def coco_recalls(gt: DataFrame, predictions: DataFrame, max_dets: tuple[int, ...]) -> DataFrame:
+    """(dataset, mode, ar_<n>...): the recall of the first n detections of each image and class, for every n, from one matching."""
+    few = tuple(sorted(max_dets)[:-1])
+    most = max(max_dets)
+    g = with_defaults(gt)
+    d = judged(g, predictions, IOU_THRESHOLDS, ("all",), most)
+    cells = range(len(IOU_THRESHOLDS))
+    per = d.groupBy(*CLASS).agg(*[sum((F.sum(F.when(F.col("rank") <= n, bit_of("tp", k))) for k in cells), F.lit(0)).alias(f"n_{n}") for n in (*few, most)])
+    counted = counted_objects(g, ("all",)).where("npig_all > 0").join(predictions.select("dataset", "mode").distinct(), "dataset").join(per, CLASS, "left")
+    return counted.groupBy("dataset", "mode").agg(*[F.avg(F.coalesce(F.col(f"n_{n}"), F.lit(0)) / (F.col("npig_all") * len(cells))).alias(f"ar_{n}") for n in max_dets])

@@ -6,9 +6,14 @@ element ((seed + it*7919 + pos*104729) * 48271 mod 2147483647) mod n.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from boxyard.operators import coco, curves
+from boxyard.operators.ranges import numbered
+
 #: Two-sided 95 % points of Student's t by number of repeats; fixed values.
 T_CRITICAL = {3: 4.302652729911275, 5: 2.7764451051977987}
 
@@ -139,6 +144,90 @@ def image_bootstrap(per_image: DataFrame, a: str, b: str, iterations: int, seed:
     return rows.groupBy("dataset", "it").agg((f1(b) - f1(a)).alias("delta"))
 
 
+#: Images of a dataset whose draws one task counts.
+_IMAGES = 1 << 17
+
+
+def _counted_draws(t: pa.Table, iterations: int, seeds: tuple[int, ...]) -> pa.Table:
+    """How often each image of a range of a dataset is drawn: first once, as it is, then for every seed and iteration."""
+    n, places = t.column("total")[0].as_py(), t.column("pos").to_numpy()
+    low, m = int(places.min()), len(t)
+    out = np.zeros((int(places.max()) - low + 1, 1 + len(seeds) * iterations), np.uint16)
+    out[:, 0] = 1
+    for at in range(0, n, 1 << 20):
+        pos = np.arange(at, min(n, at + (1 << 20)), dtype=np.int64)
+        for k, (seed, it) in enumerate([(s, i) for s in seeds for i in range(iterations)], 1):
+            pick = (seed + it * 7919 + pos * 104729) * 48271 % 2147483647 % n - low
+            out[:, k] += np.bincount(pick[(pick >= 0) & (pick < len(out))], minlength=len(out)).astype(np.uint16)
+    rows = out[places - low]
+    return pa.table({"dataset": t.column("dataset"), "image_id": t.column("image_id"), "weights": pa.array([rows[i].tobytes() for i in range(m)], pa.binary())})
+
+
+def draw_weights(images: DataFrame, iterations: int, seeds: tuple[int, ...]) -> DataFrame:
+    """(dataset, image_id, weights): how often each image is drawn in each sample of its dataset, as 16-bit numbers.
+
+    The first sample is the dataset itself. A sample draws as many images as the dataset has, numbered in the order of their
+    ids. A task counts the draws of a bounded range of images, so no row is made for a draw.
+    """
+    d = numbered(images.select("dataset", "image_id").distinct(), ["dataset"], ["image_id"]).withColumn("_part", F.floor(F.col("pos") / _IMAGES).cast("long"))
+    schema = f"dataset string, image_id {images.schema['image_id'].dataType.simpleString()}, weights binary"
+    return d.groupBy("dataset", "_part").applyInArrow(lambda t: _counted_draws(t, iterations, seeds), schema)
+
+
+def _objects_drawn(t: pa.Table) -> pa.Table:
+    w = np.frombuffer(b"".join(t.column("weights").to_pylist()), np.uint16).reshape(len(t), -1)
+    total = (w * t.column("n").to_numpy()[:, None].astype(float)).sum(axis=0)
+    return pa.table({"dataset": t.column("dataset")[:1], "category_id": t.column("category_id")[:1], "part": t.column("part")[:1], "npig": pa.array([total.tolist()], pa.list_(pa.float64()))})
+
+
+def _added_up(t: pa.Table) -> pa.Table:
+    total = np.array(t.column("npig").to_pylist()).sum(axis=0)
+    return pa.table({"dataset": t.column("dataset")[:1], "category_id": t.column("category_id")[:1], "npig": pa.array([total.tolist()], pa.list_(pa.float64()))})
+
+
+def sampled_scores(gt: DataFrame, predictions: DataFrame, images: DataFrame, iterations: int, seeds: tuple[int, ...], max_dets: int = 500) -> DataFrame:
+    """(dataset, mode, seed, it, ap, ap50), times 100, of samples of whole images; seed and it are null for the dataset itself.
+
+    Detections are matched once, since a match is inside an image. A class without an object in a sample does not count there;
+    a sample without any object has the score -100. Copies of a detection stand
+    at its place in the order of equal scores, which is that of image ids and of the answer's list.
+    """
+    weights = draw_weights(images, iterations, seeds)
+    d = coco.judged(coco.with_defaults(gt), predictions, coco.IOU_THRESHOLDS, ("all",), max_dets).join(weights, ["dataset", "image_id"])
+    cells = len(coco.IOU_THRESHOLDS)
+    g = coco.with_defaults(gt).where("iscrowd = 0").groupBy("dataset", "category_id", "image_id").agg(F.count(F.lit(1)).alias("n")).join(weights, ["dataset", "image_id"])
+    kind = f"dataset string, category_id {gt.schema['category_id'].dataType.simpleString()}"
+    part = g.withColumn("part", F.pmod(F.xxhash64("image_id"), F.lit(64)).cast("int")).select("dataset", "category_id", "part", "n", "weights")
+    npig = part.groupBy("dataset", "category_id", "part").applyInArrow(_objects_drawn, f"{kind}, part int, npig array<double>").groupBy("dataset", "category_id").applyInArrow(_added_up, f"{kind}, npig array<double>")
+    objects = npig.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
+    ap = curves.average_precisions(curves.sorted_detections(d), cells, objects)
+    # classes that a mode detects nothing of count as well
+    full = objects.join(predictions.select("dataset", "mode").distinct(), "dataset").join(ap, [*curves.CLASS, "cell"], "left")
+    samples = F.arrays_zip("npig", F.coalesce("ap", F.array_repeat(F.lit(0.0), F.size("npig"))).alias("ap"))
+    rows = full.select("dataset", "mode", "cell", F.posexplode(samples).alias("k", "x")).where("x.npig > 0")
+    score = lambda when: 100 * F.coalesce(F.avg(F.when(when, F.col("x.ap"))), F.lit(-1.0))
+    per = rows.groupBy("dataset", "mode", "k").agg(score(F.lit(True)).alias("ap"), score(F.col("cell") == 0).alias("ap50"))
+    at = F.col("k") - 1
+    return per.select("dataset", "mode", F.when(at >= 0, F.get(F.array(*[F.lit(s) for s in seeds]), F.floor(at / iterations).cast("int"))).alias("seed"), F.when(at >= 0, at % iterations).alias("it"), "ap", "ap50")
+
+
+def ap_bootstrap(gt: DataFrame, predictions: DataFrame, images: DataFrame, a: str, b: str, iterations: int, seeds: tuple[int, ...], margin: float = 1.0) -> DataFrame:
+    """Paired bootstrap of b against a over images: (dataset, seed, metric, point, mean, low, high, p_better, resolved, equivalent).
+
+    metric is ap or ap50; point is the difference on the dataset itself. An interval that holds zero is no proof of
+    equality: only a point difference within the margin is.
+    """
+    s = sampled_scores(gt, predictions.where(F.col("mode").isin(a, b)), images, iterations, seeds)
+    s = s.select("dataset", "mode", "seed", "it", F.explode(F.map_from_arrays(F.array(F.lit("ap"), F.lit("ap50")), F.array("ap", "ap50"))).alias("metric", "score"))
+    delta = s.groupBy("dataset", "seed", "it", "metric").agg((F.max(F.when(F.col("mode") == b, F.col("score"))) - F.max(F.when(F.col("mode") == a, F.col("score")))).alias("delta"))
+    point = delta.where(F.col("it").isNull()).select("dataset", "metric", F.col("delta").alias("point"))
+    got = delta.where(F.col("it").isNotNull()).groupBy("dataset", "seed", "metric").agg(
+        F.avg("delta").alias("mean"), F.percentile("delta", F.lit(0.025)).alias("low"), F.percentile("delta", F.lit(0.975)).alias("high"), F.avg((F.col("delta") > 0).cast("double")).alias("p_better")
+    )
+    got = got.join(point, ["dataset", "metric"])
+    return got.select("dataset", "seed", "metric", "point", "mean", "low", "high", "p_better", ((F.col("low") > 0) | (F.col("high") < 0)).alias("resolved"), (F.abs("point") <= margin).alias("equivalent"))
+
+
 def bootstrap_interval(draws: DataFrame) -> DataFrame:
     """(dataset, mean, low, high, p_better) of bootstrapped deltas."""
     return draws.groupBy("dataset").agg(F.avg("delta").alias("mean"), F.percentile("delta", F.lit(0.025)).alias("low"), F.percentile("delta", F.lit(0.975)).alias("high"), F.avg((F.col("delta") > 0).cast("double")).alias("p_better"))

@@ -202,7 +202,21 @@ def c2_coco_score(spark, sf_dir):
 @register("c2_coco_recall_few", oracle("with " + _coco_sql(_ALL, 1) + " select dataset, mode, round(avg(ar), 6) as ar_1 from cell group by all", "det_annotations", "det_predictions"))
 def c2_coco_recall_few(spark, sf_dir):
     t = load(spark, sf_dir)
-    return rounded(coco.coco_curves(t["det_annotations"], t["det_predictions"], coco.IOU_THRESHOLDS, ("all",), 1).groupBy("dataset", "mode").agg(F.avg("ar").alias("ar_1")))
+    return rounded(coco.coco_recalls(t["det_annotations"], t["det_predictions"], (1,)))
+
+
+@register(
+    "c2_coco_summary",
+    oracle(
+        "with " + _coco_sql(_ALL, 500) + """, first as (select h.dataset, h.mode, h.category_id, h.thr, count(*) filter (where rk <= 1) as r1, count(*) filter (where rk <= 10) as r10 from hits h join pr using (dataset, mode, image_id, category_id, det_ord) where h.ig = 0 group by all)
+select dataset, mode, round(avg(cell.ap), 6) as ap, round(avg(coalesce(r1, 0) / cell.npig::double), 6) as ar_1, round(avg(coalesce(r10, 0) / cell.npig::double), 6) as ar_10, round(avg(cell.ar), 6) as ar_500
+from cell left join first using (dataset, mode, category_id, thr) group by all""",
+        "det_annotations", "det_predictions",
+    ),
+)
+def c2_coco_summary(spark, sf_dir):
+    t = load(spark, sf_dir)
+    return rounded(coco.coco_score(t["det_annotations"], t["det_predictions"], ("all",), (1, 10, 500)).select("dataset", "mode", "ap", "ar_1", "ar_10", "ar_500"))
 
 
 @register(

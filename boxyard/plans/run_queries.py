@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from boxyard.functions.fixtures import load, oracle
-from boxyard.operators import matching, runs, selection, stats
-from boxyard.plans.box_queries import _F1, rounded
+from boxyard.operators import coco, matching, runs, selection, stats
+from boxyard.plans.box_queries import _F1, iou_sql, rounded
 from boxyard.plans.catalog import register
 
 _COST = "((prompt_tokens - cached_tokens) * 2.0::double + cached_tokens * 0.25::double + completion_tokens * 6.0::double) / 1e6"
@@ -296,6 +296,49 @@ def a14_image_bootstrap(spark, sf_dir):
     return rounded(stats.equivalence_decision(stats.bootstrap_interval(stats.image_bootstrap(per, "names", "ten", 20, 7)), "mean", 0.2))
 
 
+def _ap_sql(iterations: int, seeds: tuple[int, ...], a: str, b: str) -> str:
+    """Bootstrapped AP in DuckDB: a row for every detection, threshold and sample."""
+    thr = ", ".join(repr(x) for x in coco.IOU_THRESHOLDS)
+    its = f"(select unnest([{', '.join(map(str, seeds))}]) as seed) cross join (select unnest(range(0, {iterations})) as it)"
+    return f"""p2 as (select * from det_predictions where mode in ('{a}', '{b}')), thrs as (select unnest([{thr}]::double[]) as thr),
+pairs as (select p.dataset, p.mode, p.image_id, p.category_id, p.score, p.det_ord, a.ann_id, {iou_sql("p", "a")} as iou from p2 p join det_annotations a on a.dataset = p.dataset and a.image_id = p.image_id and a.category_id = p.category_id),
+fold as (select dataset, mode, image_id, category_id, thr, list_reduce(list([det_ord, ann_id] order by score desc, det_ord, iou desc, ann_id desc),
+             lambda a, p: case when list_contains(a[1], p[1]) or list_contains(a[2], p[2]) then a else [list_append(a[1], p[1]), list_append(a[2], p[2])] end, [[], []]::bigint[][]) as m
+         from pairs join thrs on iou >= thr group by all),
+hits as (select dataset, mode, image_id, category_id, thr, unnest(m[1]) as det_ord from fold),
+im as (select dataset, image_id, row_number() over (partition by dataset order by image_id) - 1 as i, count(*) over (partition by dataset) as n from det_images),
+dr as (select dataset, seed, it, ((seed + it*7919 + i*104729) * 48271 % 2147483647) % n as i from im cross join {its}),
+k as (select dataset, seed, it, image_id, count(*) as k from dr join im using (dataset, i) group by all union all select dataset, null, null, image_id, 1 from im),
+d as (select p.dataset, p.mode, p.category_id, t.thr, p.score, p.image_id, p.det_ord, case when h.det_ord is null then 0 else 1 end as tp from p2 p cross join thrs t
+      left join hits h on h.dataset = p.dataset and h.mode = p.mode and h.image_id = p.image_id and h.category_id = p.category_id and h.thr = t.thr and h.det_ord = p.det_ord),
+npig as (select dataset, category_id, seed, it, sum(k) as npig from det_annotations join k using (dataset, image_id) group by all),
+run as (select d.dataset, mode, category_id, thr, seed, it, tp, k, sum(tp * k) over w as tps, sum(k) over w as n from d join k using (dataset, image_id)
+        window w as (partition by d.dataset, mode, category_id, thr, seed, it order by score desc, d.image_id, det_ord rows unbounded preceding)),
+env as (select dataset, mode, category_id, thr, seed, it, tps, k, max(tps / (n + 2.220446049250313e-16)) over (partition by dataset, mode, category_id, thr, seed, it order by tps desc) as best from run where tp = 1),
+aps as (select e.dataset, mode, e.category_id, thr, e.seed, e.it, sum(best * len(list_filter(range(0, 101), lambda q: q * 0.01::double <= tps / npig::double and (tps = k or q * 0.01::double > (tps - k) / npig::double)))) / 101 as ap
+        from env e join npig on npig.dataset = e.dataset and npig.category_id = e.category_id and npig.seed is not distinct from e.seed and npig.it is not distinct from e.it group by all),
+ap as (select x.dataset, m.mode, x.seed, x.it, 100 * avg(coalesce(ap, 0.0)) as ap, 100 * avg(coalesce(ap, 0.0)) filter (where t.thr = 0.5) as ap50
+       from npig x cross join thrs t join (select distinct dataset, mode from p2) m on m.dataset = x.dataset
+       left join aps on aps.dataset = x.dataset and aps.mode = m.mode and aps.category_id = x.category_id and aps.thr = t.thr and aps.seed is not distinct from x.seed and aps.it is not distinct from x.it group by all)"""
+
+
+@register(
+    "a14_ap_bootstrap",
+    oracle(
+        "with " + _ap_sql(20, (7, 20260811), "names", "ten") + """,
+dl as (select x.dataset, x.seed, x.it, m.metric, case m.metric when 'ap' then y.ap - x.ap else y.ap50 - x.ap50 end as delta from ap x join ap y on y.dataset = x.dataset and x.mode = 'names' and y.mode = 'ten' and x.seed is not distinct from y.seed and x.it is not distinct from y.it
+  cross join (select unnest(['ap', 'ap50']) as metric) m)
+select b.dataset, b.seed, b.metric, round(any_value(o.delta), 6) as point, round(avg(b.delta), 6) as mean, round(quantile_cont(b.delta, 0.025), 6) as low, round(quantile_cont(b.delta, 0.975), 6) as high, round(avg(case when b.delta > 0 then 1.0 else 0.0 end), 6) as p_better,
+  quantile_cont(b.delta, 0.025) > 0 or quantile_cont(b.delta, 0.975) < 0 as resolved, abs(any_value(o.delta)) <= 1.0 as equivalent
+from dl b join dl o on o.dataset = b.dataset and o.metric = b.metric and o.it is null where b.it is not null group by all""",
+        "det_images", "det_annotations", "det_predictions",
+    ),
+)
+def a14_ap_bootstrap(spark, sf_dir):
+    t = load(spark, sf_dir)
+    return rounded(stats.ap_bootstrap(t["det_annotations"], t["det_predictions"], t["det_images"], "names", "ten", 20, (7, 20260811)))
+
+
 @register(
     "w7_efficient_best",
     oracle("with t as (select *, max(map5095) over (partition by dataset) as top from mode_scores), r as (select *, row_number() over (partition by dataset order by task_count, prompt_tokens, map5095 desc, mode) as rn from t where map5095 >= top - 5.0) select dataset, mode, round(map5095, 6) as map5095, cast(task_count as bigint) as task_count from r where rn = 1", "run_scores", "mode_scores"),
