@@ -6,8 +6,8 @@ the other word too, at the same place or shifted by one, since that word has m o
 its positional grams of the chunk's length; grams further away than the shift can meet no chunk and are not written. Words
 that agree on a chunk share a bucket, and are verified there.
 
-A bucket with more than `most` words is not compared: its words agree on one half and can differ only in the rest, so
-the rest is halved in the same way, and each half of it that stays is a longer chunk. This goes on until a bucket is small, or
+A bucket with more than `most` words, or with a long rest, is not compared: its words agree on one half and can differ only in
+the rest, so the rest is halved in the same way, and each half of it that stays is a longer chunk. This goes on until a bucket is small, or
 until the rest is one code point, when its words are all near. No bucket is dropped, no task holds a large one, and the
 words written are at most twice the words of large buckets in each round.
 
@@ -34,6 +34,9 @@ from boxyard.llm.shared import keep
 #: Code points of words, after A-Z became a-z.
 LETTERS = "a-zÀ-ÿ"
 
+#: Code points of a rest that is compared.
+_REST = 64
+
 #: Distinct words that a task holds before it hands on their counts.
 _HELD = 200_000
 
@@ -101,16 +104,21 @@ def near_pairs(words: DataFrame, most: int = 64) -> DataFrame:
         # a bucket without a word of the full length has nothing to compare
         sizes = rows.groupBy("chunk").agg(F.count(F.lit(1)).alias("size"), F.min("short").alias("least_short")).where((F.col("size") > 1) & (F.col("least_short") == 0)).select("chunk", "size")
         rows = keep(rows.join(sizes, "chunk"), "buckets")
-        last = F.col("hi") - F.col("lo") == 1
-        small = rows.where((F.col("size") <= most) | last).drop("size")
-        a = small.where("short = 0").select("chunk", "hi", "length", F.col("word").alias("a"), F.col("n").alias("na"))
-        b = small.select("chunk", F.col("word").alias("b"), F.col("n").alias("nb"), F.col("short").alias("_short"))
+        span = F.col("hi") - F.col("lo")
+        ready = ((F.col("size") <= most) & (span <= _REST)) | (span == 1)
+        of = lambda c: [F.col("word").alias(c), F.col("n").alias(f"n{c}"), F.substring("word", F.col("lo") + 1, span - F.col("short")).alias(f"rest_{c}")]  # noqa: E731, B023
+        small = rows.where(ready)
+        a = small.where("short = 0").select("chunk", "lo", "hi", "length", *of("a"))
+        b = small.select("chunk", F.col("short").alias("_short"), *of("b"))
         once = (F.col("_short") == 1) | (F.col("a") < F.col("b"))
-        first_here = (F.col("hi") == F.col("length")) | (F.substring("a", F.lit(1), F.col("hi")) != F.substring("b", F.lit(1), F.col("hi")))
-        got = a.join(b, (a["chunk"] == b["chunk"]) & once & (F.levenshtein("a", "b", 1) == 1) & first_here).select("a", "na", "b", "nb")
+        one_edit = F.levenshtein("rest_a", "rest_b", 1) == 1
+        prefix = lambda to: F.substring("a", F.lit(1), to) == F.substring("b", F.lit(1), to)
+        suffix = F.substring("a", F.col("hi") + 1, F.col("length")) == F.substring("b", F.col("hi") - F.col("_short") + 1, F.col("length"))
+        first_here = (F.col("hi") == F.col("length")) | ~prefix(F.col("hi"))
+        got = a.join(b, (a["chunk"] == b["chunk"]) & once & one_edit & prefix(F.col("lo")) & suffix & first_here).select("a", "na", "b", "nb")
         got = keep(got, "near")
         found = got if found is None else found.unionByName(got)
-        rest = rows.where((F.col("size") > most) & ~last).drop("size", "chunk")
+        rest = rows.where(~ready).drop("size", "chunk")
         if not rest.limit(1).count():
             return found
 
