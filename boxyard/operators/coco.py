@@ -12,7 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from boxyard.functions.geometry import AREAS, box, crowd_iou
-from boxyard.operators.curves import CLASS, average_precisions, bit_of, sorted_detections
+from boxyard.operators.curves import CLASS, average_precisions, bit_of, range_sums, sorted_detections
+from boxyard.sources.tables import keep
 
 #: linspace(0.5, 0.95, 10), whose ninth value is below 0.9.
 IOU_THRESHOLDS = [0.5 + (0.95 - 0.5) / 9 * i for i in range(9)] + [0.95]
@@ -47,17 +48,32 @@ def _fold(pairs: Column) -> Column:
     return F.aggregate(pairs, F.array().cast(kind), take)
 
 
-def coco_match(gt: DataFrame, predictions: DataFrame, thresholds: list[float] = IOU_THRESHOLDS, areas: tuple[str, ...] = ("all",), max_dets: int = 500) -> DataFrame:
-    """One row per matched detection: the group, cell (number of thr and area), thr, area, det_ord, ann_id, ig (1: with an ignored object)."""
+def _candidates(gt: DataFrame, first: DataFrame, least: float) -> DataFrame:
+    """(group, c, plain): the pairs of each image and class from the lowest threshold on; plain: no side is in two of them."""
     g = with_defaults(gt).select("dataset", "image_id", "category_id", "ann_id", "x", "y", "w", "h", F.col("area").alias("gt_area"), "iscrowd").alias("g")
-    p = ranked(predictions, max_dets).alias("p")
+    p = first.alias("p")
     c = p.join(g, ["dataset", "image_id", "category_id"]).select(*GROUP, "score", "det_ord", "ann_id", "gt_area", "iscrowd", crowd_iou(box("p"), box("g"), F.col("iscrowd")).alias("iou"))
-    c = c.where(F.col("iou") >= min(thresholds))
+    c = c.where(F.col("iou") >= least)
     groups = c.groupBy(*GROUP).agg(F.collect_list(F.struct("score", "det_ord", "iou", "ann_id", "gt_area", "iscrowd")).alias("c"))
+    once = lambda f: F.size(F.array_distinct(F.transform("c", lambda x: x[f]))) == F.size("c")
+    return groups.withColumn("plain", once("det_ord") & once("ann_id"))
+
+
+def _outside(area: str) -> Column:
+    """Whether an object of a pair does not count in an area range."""
+    return (F.col("iscrowd") == 1) | (F.col("gt_area") < AREAS[area][0]) | (F.col("gt_area") > AREAS[area][1])
+
+
+def _reaches(iou: Column, threshold: Column | float) -> Column:
+    """A pair's overlap only has to reach the threshold, or 1 within rounding."""
+    return iou >= F.least(F.lit(threshold) if isinstance(threshold, float) else threshold, F.lit(1 - 1e-10))
+
+
+def _folded(groups: DataFrame, thresholds: list[float], areas: tuple[str, ...]) -> DataFrame:
+    """(group, cell, thr, area, det_ord, ann_id, ig) of groups in which pairs compete."""
     cells = F.array(*[F.struct(F.lit(i).alias("cell"), F.lit(t).alias("thr"), F.lit(a).alias("area"), F.lit(AREAS[a][0]).alias("lo"), F.lit(AREAS[a][1]).alias("hi")) for i, (t, a) in enumerate(_cells(thresholds, areas))])
-    e = groups.select(*GROUP, "c", F.explode(cells).alias("k")).select(*GROUP, "c", "k.*")
-    # a pair's overlap only has to reach the threshold, or 1 within rounding
-    e = e.withColumn("near", F.filter("c", lambda x: x["iou"] >= F.least(F.col("thr"), F.lit(1 - 1e-10)))).where(F.size("near") > 0)
+    e = groups.where(~F.col("plain")).select(*GROUP, "c", F.explode(cells).alias("k")).select(*GROUP, "c", "k.*")
+    e = e.withColumn("near", F.filter("c", lambda x: _reaches(x["iou"], F.col("thr")))).where(F.size("near") > 0)
     near = F.col("near")
     keyed = F.transform(
         near,
@@ -71,13 +87,40 @@ def coco_match(gt: DataFrame, predictions: DataFrame, thresholds: list[float] =
     return hits.select(*GROUP, "cell", "thr", "area", "m.*")
 
 
+def _pairs(groups: DataFrame) -> DataFrame:
+    """The pairs of groups in which no pair competes: each is matched wherever it reaches the threshold."""
+    return groups.where("plain").select(*GROUP, F.inline("c"))
+
+
+def coco_match(gt: DataFrame, predictions: DataFrame, thresholds: list[float] = IOU_THRESHOLDS, areas: tuple[str, ...] = ("all",), max_dets: int = 500) -> DataFrame:
+    """One row per matched detection: the group, cell (number of thr and area), thr, area, det_ord, ann_id, ig (1: with an ignored object)."""
+    groups = _candidates(gt, ranked(predictions, max_dets), min(thresholds))
+    cells = F.array(*[F.struct(F.lit(i).alias("cell"), F.lit(t).alias("thr"), F.lit(a).alias("area"), _outside(a).cast("int").alias("ig")) for i, (t, a) in enumerate(_cells(thresholds, areas))])
+    plain = _pairs(groups).select(*GROUP, "det_ord", "ann_id", "iou", F.inline(cells)).where(_reaches(F.col("iou"), F.col("thr")))
+    columns = [*GROUP, "cell", "thr", "area", F.col("det_ord").cast("long").alias("det_ord"), F.col("ann_id").cast("long").alias("ann_id"), "ig"]
+    return plain.select(*columns).unionByName(_folded(groups, thresholds, areas))
+
+
+def _masks(groups: DataFrame, thresholds: list[float], areas: tuple[str, ...]) -> DataFrame:
+    """(group, det_ord, hit, hit_ig): the cells in which a detection is matched, and those in which with an ignored object, as bits."""
+    nothing = F.lit(0).cast("long")
+    hit, ignored = nothing, nothing
+    for i, (t, a) in enumerate(_cells(thresholds, areas)):
+        here = F.when(_reaches(F.col("iou"), t), F.lit(1 << i)).otherwise(F.lit(0)).cast("long")
+        hit = hit.bitwiseOR(here)
+        ignored = ignored.bitwiseOR(F.when(_outside(a), here).otherwise(nothing))
+    plain = _pairs(groups).select(*GROUP, F.col("det_ord").cast("long").alias("det_ord"), hit.alias("hit"), ignored.alias("hit_ig"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("cell"))
+    folded = _folded(groups, thresholds, areas).groupBy(*GROUP, "det_ord").agg(F.bit_or(bit).alias("hit"), F.bit_or(F.when(F.col("ig") == 1, bit).otherwise(nothing)).alias("hit_ig"))
+    return plain.unionByName(folded)
+
+
 def judged(gt: DataFrame, predictions: DataFrame, thresholds: list[float], areas: tuple[str, ...], max_dets: int) -> DataFrame:
     """Every detection with its rank and one bit for each cell (threshold and area range; at most 62): tp, whether it is a hit, and ignored."""
     cells = _cells(thresholds, areas)
-    hits = coco_match(gt, predictions, thresholds, areas, max_dets)
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("cell"))
-    masks = hits.groupBy(*GROUP, "det_ord").agg(F.bit_or(bit).alias("hit"), F.bit_or(F.when(F.col("ig") == 1, bit).otherwise(F.lit(0).cast("long"))).alias("hit_ig"))
-    d = ranked(predictions, max_dets).select(*GROUP, "det_ord", "score", "rank", (F.col("w") * F.col("h")).alias("det_area")).join(masks, [*GROUP, "det_ord"], "left").na.fill(0, ["hit", "hit_ig"])
+    first = keep(ranked(predictions, max_dets), "ranked")  # read twice
+    masks = _masks(_candidates(gt, first, min(thresholds)), thresholds, areas)
+    d = first.select(*GROUP, "det_ord", "score", "rank", (F.col("w") * F.col("h")).alias("det_area")).join(masks, [*GROUP, "det_ord"], "left").na.fill(0, ["hit", "hit_ig"])
     outside = F.lit(0).cast("long")
     for a in areas:
         of_area = sum(1 << i for i, c in enumerate(cells) if c[1] == a)
@@ -98,10 +141,11 @@ def coco_curves(gt: DataFrame, predictions: DataFrame, thresholds: list[float],
     counted = counted_objects(g, areas)
     rows = F.array(*[F.struct(F.lit(k).alias("cell"), F.lit(t).alias("thr"), F.lit(a).alias("area"), F.col(f"npig_{a}").alias("npig")) for k, (t, a) in enumerate(cells)])
     objects = counted.select("dataset", "category_id", F.inline(rows)).where("npig > 0")
-    d = sorted_detections(judged(g, predictions, thresholds, areas, max_dets))
-    ap = average_precisions(d, len(cells), objects.select("dataset", "category_id", "cell", F.array(F.col("npig").cast("double")).alias("npig"))).select(*CLASS, "cell", F.get("ap", F.lit(0)).alias("ap"))
-    hits = [F.struct(F.lit(k).alias("cell"), *[F.sum(F.when(F.col("rank") <= n, bit_of("tp", k))).alias(f"ar_{n}") for n in (max_dets, *few)]) for k in range(len(cells))]
-    found = d.groupBy(*CLASS).agg(F.array(*hits).alias("h")).select(*CLASS, F.inline("h"))
+    d = sorted_detections(keep(judged(g, predictions, thresholds, areas, max_dets), "judged"))
+    sums = range_sums(d, len(cells), (max_dets, *few))
+    ap = average_precisions(d, len(cells), objects.select("dataset", "category_id", "cell", F.array(F.col("npig").cast("double")).alias("npig")), sums)
+    ap = ap.select(*CLASS, "cell", F.get("ap", F.lit(0)).alias("ap"))
+    found = sums.groupBy(*CLASS, "cell").agg(*[F.sum(f"first_{n}").alias(f"ar_{n}") for n in (max_dets, *few)])
     full = objects.join(predictions.select("dataset", "mode").distinct(), "dataset").join(ap, [*CLASS, "cell"], "left").join(found, [*CLASS, "cell"], "left")
     recall = lambda n: F.coalesce(F.col(f"ar_{n}"), F.lit(0)) / F.col("npig")
     return full.select(*CLASS, "thr", "area", "npig", F.coalesce("ap", F.lit(0.0)).alias("ap"), recall(max_dets).alias("ar"), *[recall(n).alias(f"ar_{n}") for n in few])

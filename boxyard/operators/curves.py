@@ -11,12 +11,16 @@ stand together at its place in the order. So all samples share one order, and on
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxyard.operators.ranges import in_ranges
+from boxyard.sources.tables import keep
 
 CLASS = ["dataset", "mode", "category_id"]
 _ULP = 2.220446049250313e-16
@@ -49,7 +53,7 @@ def _doubles(x: np.ndarray) -> pa.Array:
     return pa.array(x.tolist(), pa.list_(pa.float64()))
 
 
-def _sums(cells: int):
+def _weighted_sums(cells: int):
     def of(t: pa.Table) -> pa.Table:
         w, every = _weights(t), np.arange(cells)
         hit, counted = _bits(t, "tp", every).astype(float), 1.0 - _bits(t, "ignored", every)
@@ -58,6 +62,36 @@ def _sums(cells: int):
     return of
 
 
+def _partial_sums(batches: Iterator[pa.RecordBatch], cells: int, ranks: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
+    """Of each run of rows of one class and range: hits and counted detections of every cell, and the hits among the first of an image."""
+    keys, every = [*CLASS, "_range"], np.arange(cells)
+    for t in batches:
+        new = np.ones(len(t), bool)
+        new[1:] = False
+        for c in keys:
+            x = t.column(c)
+            new[1:] |= pc.fill_null(pc.not_equal(x.slice(1), x.slice(0, len(t) - 1)), True).to_numpy(zero_copy_only=False)
+        at = np.flatnonzero(new)
+        hit, counted = _bits(t, "tp", every), 1 - _bits(t, "ignored", every)
+        rank = t.column("rank").to_numpy() if ranks else None
+        values = [hit, counted, *[hit * (rank <= r)[:, None] for r in ranks]]
+        first = pa.array(np.repeat(at, cells))
+        sums = [pa.array(np.add.reduceat(v, at, axis=0).ravel().astype(np.int64)) for v in values]
+        yield pa.record_batch([*[t.column(c).take(first) for c in keys], pa.array(np.tile(every, len(at)), pa.int32()), *sums], [*keys, "cell", "tps", "n", *[f"first_{r}" for r in ranks]])
+
+
+def _own(ranked: DataFrame) -> str:
+    return ", ".join(f"{c} {ranked.schema[c].dataType.simpleString()}" for c in CLASS)
+
+
+def range_sums(ranked: DataFrame, cells: int, ranks: tuple[int, ...] = ()) -> DataFrame:
+    """(CLASS, _range, cell, tps, n, first_<rank>...) of sorted_detections(): sums of each range, without dealing rows anew."""
+    names = ["tps", "n", *[f"first_{r}" for r in ranks]]
+    d = ranked.select(*CLASS, "_range", "tp", "ignored", *(["rank"] if ranks else []))
+    part = d.mapInArrow(lambda b: _partial_sums(b, cells, ranks), f"{_own(ranked)}, _range long, cell int, " + ", ".join(f"{c} long" for c in names))
+    return keep(part.groupBy(*CLASS, "_range", "cell").agg(*[F.sum(c).alias(c) for c in names]), "sums")
+
+
 def _before(t: pa.Table) -> pa.Table:
     """Of a class and cell: the sums of all ranges before each."""
     t = t.sort_by("_range")
@@ -116,20 +150,20 @@ def sorted_detections(detections: DataFrame) -> DataFrame:
     return in_ranges(detections, *CLASS, F.desc("score"), "image_id", "det_ord")
 
 
-def average_precisions(ranked: DataFrame, cells: int, objects: DataFrame) -> DataFrame:
+def average_precisions(ranked: DataFrame, cells: int, objects: DataFrame, sums: DataFrame | None = None) -> DataFrame:
     """(CLASS, cell, ap), ap an array of a value for each sample; without a column weights there is one, of all images once.
 
     ranked: sorted_detections(), where bit k of tp and of ignored tells what a detection is in cell k. objects: (dataset,
-    category_id, cell, npig), npig an array of the objects that count in each sample. Classes without detections have no row.
+    category_id, cell, npig), npig an array of the objects that count in each sample. sums: range_sums(), if there are any
+    already. Classes without detections have no row.
     """
     kept = ["_range", "_at", "tp", "ignored", *(["weights"] if "weights" in ranked.columns else [])]
     rows = ranked.select(*CLASS, *kept)
-    own = ", ".join(f"{c} {ranked.schema[c].dataType.simpleString()}" for c in CLASS)
+    own = _own(ranked)
     if "weights" in ranked.columns:
-        sums = rows.groupBy(*CLASS, "_range").applyInArrow(_sums(cells), f"{own}, _range long, cell int, tps array<double>, n array<double>")
+        sums = rows.groupBy(*CLASS, "_range").applyInArrow(_weighted_sums(cells), f"{own}, _range long, cell int, tps array<double>, n array<double>")
     else:
-        each = [F.struct(F.lit(k).alias("cell"), F.array(F.sum(bit_of("tp", k)).cast("double")).alias("tps"), F.array(F.sum(1 - bit_of("ignored", k)).cast("double")).alias("n")) for k in range(cells)]
-        sums = rows.groupBy(*CLASS, "_range").agg(F.array(*each).alias("s")).select(*CLASS, "_range", F.inline("s"))
+        sums = (range_sums(ranked, cells) if sums is None else sums).select(*CLASS, "_range", "cell", *[F.array(F.col(c).cast("double")).alias(c) for c in ("tps", "n")])
     offsets = sums.groupBy(*CLASS, "cell").applyInArrow(_before, f"{own}, _range long, cell int, tps array<double>, n array<double>").join(objects, ["dataset", "category_id", "cell"])
     key = [*CLASS, "_range"]
     told = f"{own}, _range long, cell int, peak array<double>, sample array<long>, points array<long>, best array<double>"

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from boxyard.operators import coco, curves
 from boxyard.operators.ranges import numbered
+from boxyard.sources.tables import keep
 
 #: Two-sided 95 % points of Student's t by number of repeats; fixed values.
 T_CRITICAL = {3: 4.302652729911275, 5: 2.7764451051977987}
@@ -200,7 +201,8 @@ def sampled_scores(gt: DataFrame, predictions: DataFrame, images: DataFrame, ite
     part = g.withColumn("part", F.pmod(F.xxhash64("image_id"), F.lit(64)).cast("int")).select("dataset", "category_id", "part", "n", "weights")
     npig = part.groupBy("dataset", "category_id", "part").applyInArrow(_objects_drawn, f"{kind}, part int, npig array<double>").groupBy("dataset", "category_id").applyInArrow(_added_up, f"{kind}, npig array<double>")
     objects = npig.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
-    ap = curves.average_precisions(curves.sorted_detections(d), cells, objects)
+    # ranges are found by reading their rows twice
+    ap = curves.average_precisions(curves.sorted_detections(keep(d, "judged")), cells, objects)
     # classes that a mode detects nothing of count as well
     full = objects.join(predictions.select("dataset", "mode").distinct(), "dataset").join(ap, [*curves.CLASS, "cell"], "left")
     samples = F.arrays_zip("npig", F.coalesce("ap", F.array_repeat(F.lit(0.0), F.size("npig"))).alias("ap"))
