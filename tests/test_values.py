@@ -1,5 +1,6 @@
 """Hand values of matching, scoring, noise, routing, parsing and checks."""
 
+import json
 import time
 
 import numpy as np
@@ -253,7 +254,6 @@ def test_merges_refuse_overlap(spark):
 
 
 def test_files_round_trip(spark, tmp_path):
-    import json
 
     d = tmp_path / "coco" / "ds" / "train"
     d.mkdir(parents=True)
@@ -276,11 +276,6 @@ def test_files_round_trip(spark, tmp_path):
     (r / "b.json").write_text("not json")
     good, bad = files.read_records(spark, str(r))
     assert good.count() == 1 and bad.count() == 1
-    (tmp_path / "cond.json").write_text(json.dumps({"conditions": [{"mode": "a"}, {"mode": "b", "boxes": 2, "representation": "drawn"}]}, indent=2))
-    assert files.read_conditions(spark, str(tmp_path / "cond.json")).count() == 2
-    (tmp_path / "bad.json").write_text(json.dumps([{"mode": "a", "boxes": 2}]))
-    with pytest.raises(merge.ContractError):
-        files.read_conditions(spark, str(tmp_path / "bad.json"))
     s = tmp_path / "runs" / "ds"
     s.mkdir(parents=True)
     (s / "comparison_summary.json").write_text(json.dumps({"rows": [{"mode": "a", "map5095": 1.0, "complete": True}, {"mode": "b", "complete": False}]}))
@@ -359,3 +354,38 @@ def test_stream_progress_stays_on_executors(spark, tmp_path):
         assert bool(got) == bool(part)
     assert got == [("a", "m", end), ("b", "m", "again")]
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("latest_")]
+
+
+ARM = {"mode": "a", "formulation": "multi", "semantics": "class_names", "representation": "numeric", "box_count": 2}
+
+
+@pytest.mark.parametrize(
+    ("change", "rule"),
+    [
+        ({"formulation": "all"}, "formulation"), ({"semantics": "names"}, "semantics"), ({"representation": "crop"}, "representation"), ({"reasoning_effort": "high"}, "reasoning_effort"), ({"instruction_mode": "annotator"}, "instruction_mode"),
+        ({"box_count": 11}, "box_count"), ({"box_count": -1}, "box_count"), ({"box_count": 0}, "no_boxes_but_representation"), ({"representation": "none"}, "boxes_without_representation"),
+        ({"semantics": "anonymous_explicit", "box_count": 0, "representation": "none"}, "anonymous_without_references"), ({"semantics": "anonymous_minimal", "box_count": 0, "representation": "none"}, "anonymous_without_references"),
+        ({"semantics": "self_name_only"}, "self_name_only_with_references"), ({"explicit_sparse_references": True, "box_count": 0, "representation": "none"}, "sparse_without_references"), ({"all_available_references": True}, "all_available_needs_ten"),
+        ({"group_reference_instances_by_image": True, "representation": "drawn"}, "grouped_needs_numeric"), ({"instruction_mode": "permuted", "semantics": "self_name"}, "instructions_need_class_names"), ({"mode": "b"}, "mode_repeated"),
+        ({"boxes": 2}, "unknown_field"), ({"semantics": None}, "semantics_missing"),
+    ],
+)
+def test_each_condition_rule(spark, tmp_path, change, rule):
+    (tmp_path / "c.json").write_text(json.dumps([{**ARM, "mode": "b"}, {**ARM, **change}]))
+    arms = files.parse_conditions(spark.read.text(str(tmp_path / "c.json"), wholetext=True))
+    found = [v for x in files.condition_violations(arms).collect() for v in x["violations"]]
+    assert set(found) == {rule}
+    with pytest.raises(merge.ContractError, match=rule):
+        files.read_conditions(spark, str(tmp_path / "c.json"))
+
+
+def test_conditions_are_read_with_defaults(spark, tmp_path):
+    full = {**ARM, "mode": "full", "box_count": 10, "all_available_references": True, "group_reference_instances_by_image": True, "explicit_sparse_references": True, "reasoning_effort": "low", "seed": 5, "instruction_mode": "strict_permuted"}
+    (tmp_path / "c.json").write_text(json.dumps({"conditions": [ARM, full]}, indent=2))
+    got = {r["mode"]: r.asDict() for r in files.read_conditions(spark, str(tmp_path / "c.json")).collect()}
+    assert got["full"] == full
+    assert got["a"] == ARM | {"reasoning_effort": "none", "seed": 1234, "group_reference_instances_by_image": False, "explicit_sparse_references": False, "all_available_references": False, "instruction_mode": "none"}
+    for text in ("[]", '{"conditions": []}', '{"arms": 1}', "not json"):
+        (tmp_path / "none.json").write_text(text)
+        with pytest.raises(merge.ContractError, match="at least one"):
+            files.read_conditions(spark, str(tmp_path / "none.json"))
