@@ -13,7 +13,7 @@ from boxyard.plans.box_queries import iou_sql, rounded
 from boxyard.plans.catalog import register
 from boxyard.plans.run_queries import _LAST, tasks_of
 from boxyard.sources import files, tables
-from boxyard.streaming import streams
+from boxyard.streaming import adaptive, streams
 
 BOXES = ("det_images", "det_annotations")
 ALL = ("det_images", "det_categories", "det_annotations", "det_predictions")
@@ -661,3 +661,59 @@ def t1_stream_progress(spark, sf_dir):
 )
 def t4_fold_turns(spark, sf_dir):
     return streams.fold_turns(load(spark, sf_dir)["conversations"], 500).na.fill(-1, ["stop_turn"])
+
+
+#: Rounds of tasks from the turns of conversations; two numbers are the classes that are asked for. One text serves Spark and DuckDB.
+_TURNS = """select concat('task_', cast(conv_id as string)) as task_key, cast(row_number() over (partition by conv_id order by turn) - 1 as int) as round_index,
+  case when k % 41 = 0 then 'error' when k % 43 = 0 then 'model_failure' else 'success' end as status, case when k % 41 = 0 then 'provider_request_failure' when k % 43 = 0 then 'content_filter' end as failure_type,
+  case when k % 17 = 0 then 'no_action' end as error, case when k % 17 = 0 then null when k % 13 = 0 then 'detect' else 'request_examples' end as action, cast(k % 3 as int) as one, cast(floor(k / 3) % 3 as int) as two,
+  cast(n as bigint) as prompt_tokens, cast(floor(n / 3) as bigint) as completion_tokens, cast(floor(n / 5) as bigint) as cached_tokens, cast(floor(n / 7) as bigint) as reasoning_tokens, n / 4.0 as inference_seconds
+from (select conv_id, turn, n, n * 7 + conv_id * 3 + turn as k from (select conv_id, turn, max(length(text)) as n from conversations where conv_id is not null and text is not null group by conv_id, turn) u) t"""
+
+_OUTCOME = f"""with r as ({_TURNS}), q as (select distinct task_key, round_index, unnest([one, two]) as c from r where status = 'success' and error is null and action = 'request_examples'),
+k as (select *, row_number() over (partition by task_key, c order by round_index) as rank from q), a as (select * from k where rank <= case c when 0 then 1 when 1 then 3 else 4 end),
+n as (select task_key, round_index, count(*) as added from a group by all),
+e as (select r.*, coalesce(added, 0) as added, case when status <> 'success' then status when error is not null then 'model_failure' when action = 'detect' or coalesce(added, 0) = 0 then 'ready' end as ends from r left join n using (task_key, round_index)),
+f as (select task_key, coalesce(min(round_index) filter (where ends is not null), 1000000) as last from e group by task_key),
+u as (select e.* from e join f using (task_key) where round_index <= last),
+c as (select task_key, c, max(rank) as rank from a join f using (task_key) where round_index <= last group by all), cs as (select task_key, string_agg(c::varchar || ':' || rank::varchar, ',' order by c) as counts from c group by task_key)
+select task_key, coalesce(max(ends), 'in_progress') as status, max(case when ends is null then null when status <> 'success' then failure_type when error is not null then 'invalid_context_decision' end) as failure_type,
+  max(case when ends = 'ready' then case when action = 'detect' then 'model_ready' else 'requested_labels_exhausted' end end) as stop_reason, count(*)::int as n_rounds, sum(added)::int as n_references, coalesce(any_value(counts), '') as counts,
+  sum(prompt_tokens)::bigint as prompt_tokens, sum(completion_tokens)::bigint as completion_tokens, sum(cached_tokens)::bigint as cached_tokens, sum(reasoning_tokens)::bigint as reasoning_tokens, round(sum(inference_seconds)::double, 6) as inference_seconds
+from u left join cs using (task_key) group by task_key"""
+
+
+def _rounds(spark, sf_dir):
+    load(spark, sf_dir)
+    d = spark.sql(_TURNS)
+    return d.select("task_key", "round_index", "status", "failure_type", "action", F.array("one", "two").alias("labels"), "error", *adaptive.USAGE, F.col("inference_seconds").cast("double").alias("inference_seconds"))
+
+
+def _told(outcome):
+    counts = F.array_join(F.transform(F.array_sort(F.map_entries("counts")), lambda x: F.concat_ws(":", x["key"].cast("string"), x["value"].cast("string"))), ",")
+    return rounded(outcome.withColumn("counts", counts))
+
+
+@register("t4_adaptive_rounds", oracle(_OUTCOME))
+def t4_adaptive_rounds(spark, sf_dir):
+    available = spark.createDataFrame([(0, 1), (1, 3), (2, 9)], "category_id int, n int")
+    return _told(adaptive.fold_rounds(_rounds(spark, sf_dir), available, 4))
+
+
+@register("t4_adaptive_stream", oracle(_OUTCOME))
+def t4_adaptive_stream(spark, sf_dir):
+    """The same rounds as they arrive: the odd ones first, then the even ones, then some again."""
+    r, root = tables.keep(_rounds(spark, sf_dir), "rounds"), tables.new_folder(spark, "turns")
+    for part in ("round_index % 2 = 1", "round_index % 2 = 0", "round_index % 5 = 0"):
+        r.where(part).repartition(4).write.mode("append").parquet(f"{root}/in")
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        s = adaptive.stream_rounds(spark.readStream.schema(r.schema).option("maxFilesPerTrigger", 4).parquet(f"{root}/in"), {0: 1, 1: 3, 2: 4})
+        # a batch that comes again after a failure takes its own place
+        q = s.writeStream.outputMode("update").foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{root}/out/batch={n}")).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        spark.conf.set(name, before)
+    return _told(adaptive.outcome_table(spark.read.schema(s.schema).parquet(f"{root}/out")))
