@@ -9,9 +9,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from boxyard.operators import coco, curves
+from boxyard.functions.geometry import iou
+from boxyard.operators import coco, curves, matching
 from boxyard.operators.ranges import numbered
 from boxyard.sources.tables import keep
 
@@ -110,6 +112,43 @@ def repeatability(predictions: DataFrame, repeats: str = "mode", answers: DataFr
     return img.groupBy("dataset").agg(F.count(F.lit(1)).alias("n_images"), *[share(c).alias(n) for c, n in shares.items()])
 
 
+def repeat_agreement(predictions: DataFrame, answers: DataFrame, threshold: float = 0.5, repeats: str = "mode") -> DataFrame:
+    """How repeats of one experiment agree: a row for each dataset.
+
+    answers: (dataset, image_id, repeats, raw_response), a row for each image of a repeat, also where nothing was found.
+    n_images, n_repeats; the shares same_answer, same_content, same_count, same_classes of images that are alike in every
+    repeat; over all images and pairs of repeats n_pairs, mean_f1 (1 where neither found anything), and n_matches and
+    mean_iou of boxes matched one to one in a class. Repeats that cover different images are an error.
+    """
+    a = answers.groupBy("dataset", "image_id").agg(F.count_distinct(repeats).alias("_seen"), F.count_distinct(F.coalesce(F.sha2("raw_response", 256), F.lit(""))).alias("_texts"))
+    n = answers.groupBy("dataset").agg(F.count_distinct(repeats).alias("n_repeats"))
+    p = predictions.select("dataset", "image_id", F.col(repeats).alias("_r"), "category_id", "det_ord", "x", "y", "w", "h", "score").join(answers.select("dataset", "image_id", F.col(repeats).alias("_r")).distinct(), ["dataset", "image_id", "_r"])
+    box = F.struct("category_id", "x", "y", "w", "h", "score")
+    per = p.groupBy("dataset", "image_id", "_r").agg(F.sha2(F.to_json(F.array_sort(F.collect_list(box))), 256).alias("content"), F.count(F.lit(1)).alias("n"), F.to_json(F.array_sort(F.collect_list("category_id"))).alias("classes"))
+    images = per.groupBy("dataset", "image_id").agg(F.count(F.lit(1)).alias("_some"), *[F.count_distinct(c).alias(f"_{c}") for c in ("content", "n", "classes")])
+    d = a.join(n, "dataset").join(images, ["dataset", "image_id"], "left").na.fill(0, ["_some", "_content", "_n", "_classes"])
+    bare = F.col("n_repeats") - F.col("_some")  # repeats that found nothing in the image
+    alike = lambda c: F.avg((F.col(f"_{c}") + (bare > 0).cast("int") == 1).cast("double")).alias
+    uneven = F.max((F.col("_seen") != F.col("n_repeats")).cast("int")) == 1
+    shares = d.groupBy("dataset").agg(
+        F.when(uneven, F.raise_error(F.concat(F.lit("repeats cover different images of "), F.first("dataset"))).cast("long")).otherwise(F.count(F.lit(1))).alias("n_images"), F.first("n_repeats").alias("n_repeats"),
+        F.avg((F.col("_texts") == 1).cast("double")).alias("same_answer"), alike("content")("same_content"), alike("n")("same_count"), alike("classes")("same_classes"),
+        F.sum(F.col("n_repeats") * (F.col("n_repeats") - 1) / 2).cast("long").alias("n_pairs"), F.sum(bare * (bare - 1) / 2).alias("_both_bare"),
+    )
+    keys = ["dataset", "image_id", "category_id", "_a", "_b"]
+    left, right = (p.select("dataset", "image_id", "category_id", F.col("_r").alias(c), F.col("det_ord").cast("long").alias(o), *[F.col(v).alias(f"{v}{c}") for v in matching.BOX]) for c, o in (("_a", "l"), ("_b", "r")))
+    pairs = left.join(right, ["dataset", "image_id", "category_id"]).where("_a < _b")
+    overlap = iou([F.col(f"{v}_a") for v in matching.BOX], [F.col(f"{v}_b") for v in matching.BOX])
+    pairs = pairs.select(*keys, "l", "r", overlap.alias("iou")).where(F.col("iou") >= threshold)
+    met = matching.greedy_match(pairs, keys).groupBy("dataset", "image_id", "_a", "_b").agg(F.count(F.lit(1)).alias("m"), F.sum("iou").alias("iou"))
+    for c in ("_a", "_b"):
+        met = met.join(per.select("dataset", "image_id", F.col("_r").alias(c), F.col("n").alias(f"n{c}")), ["dataset", "image_id", c])
+    met = met.groupBy("dataset").agg(F.sum(2 * F.col("m") / (F.col("n_a") + F.col("n_b"))).alias("_f1"), F.sum("m").alias("n_matches"), F.sum("iou").alias("_iou"))
+    out = shares.join(met, "dataset", "left").na.fill(0, ["n_matches"])
+    f1 = (F.coalesce("_f1", F.lit(0.0)) + F.col("_both_bare")) / F.nullif(F.col("n_pairs"), F.lit(0))
+    return out.select("dataset", "n_images", "n_repeats", "same_answer", "same_content", "same_count", "same_classes", "n_pairs", f1.alias("mean_f1"), "n_matches", (F.col("_iou") / F.nullif(F.col("n_matches"), F.lit(0))).alias("mean_iou"))
+
+
 def cluster_bootstrap(rows: DataFrame, flag: str, outcome: str, iterations: int, seed: int) -> DataFrame:
     """Interval of the flag effect when whole datasets are drawn with replacement: estimate, low, high, n_valid.
 
@@ -128,6 +167,42 @@ def cluster_bootstrap(rows: DataFrame, flag: str, outcome: str, iterations: int,
     return point.join(got).withColumn("enough", F.col("n_valid") >= 0.95 * iterations)  # two one-row tables
 
 
+def _effect(kind: Column, n: Column, x: Column, y: Column, xx: Column, xy: Column) -> Column:
+    """From sums over rows: `flag`, the mean of y where x is 1 less that where it is 0, or `slope`, the least-squares slope; null where it is not defined."""
+    flag = xy / F.nullif(x, F.lit(0.0)) - (y - xy) / F.nullif(n - x, F.lit(0.0))
+    spread = xx - x * x / n
+    # what is left of equal numbers after rounding is no spread
+    slope = (xy - x * y / n) / F.when(spread > 1e-12 * F.greatest(xx, F.lit(1e-300)), spread)
+    value = F.when(kind == "flag", flag).otherwise(slope)
+    return F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value)
+
+
+def cluster_effects(rows: DataFrame, groups: list[str], flags: list[str], slopes: list[str], outcome: str, iterations: int, seed: int) -> DataFrame:
+    """(groups, kind, field, estimate, low, high, n_valid): effects of flags and slopes on an outcome, with intervals over whole datasets.
+
+    Rows are reduced to the sums (n, x, y, xx, xy) of each dataset, which add up whatever datasets are drawn, so a draw
+    costs one row. Draws without a defined effect are left out; fewer than 95 of 100 defined ones are an error. Rows
+    in which the field or the outcome is null do not count.
+    """
+    fields = [(k, f) for k, fs in (("flag", flags), ("slope", slopes)) for f in fs]
+    each = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(f).alias("field"), F.col(f).cast("double").alias("x")) for k, f in fields])
+    d = rows.select(*groups, "dataset", F.col(outcome).cast("double").alias("y"), F.inline(each)).where("x is not null and y is not null")
+    key = [*groups, "kind", "field"]
+    x, y = F.col("x"), F.col("y")
+    sums = {"n": F.count(F.lit(1)).cast("double"), "sx": F.sum(x), "sy": F.sum(y), "sxx": F.sum(x * x), "sxy": F.sum(x * y)}
+    m = d.groupBy(*key, "dataset").agg(*[v.alias(c) for c, v in sums.items()])
+    m = keep(m.withColumn("pos", (F.row_number().over(W.partitionBy(*key).orderBy("dataset")) - 1).cast("long")).withColumn("of", F.count(F.lit(1)).over(W.partitionBy(*key))), "moments")
+    its = rows.sparkSession.range(iterations).withColumnRenamed("id", "it")
+    picks = m.select(*key, "pos", "of").join(F.broadcast(its)).select(*key, "it", draw(seed, F.col("it"), F.col("pos"), F.col("of")).alias("pos")).groupBy(*key, "it", "pos").agg(F.count(F.lit(1)).alias("k"))
+    total = lambda d, weight: d.agg(*[F.sum(weight * F.col(c)).alias(c) for c in sums])
+    value = _effect(F.col("kind"), *[F.col(c) for c in sums]).alias("effect")
+    drawn = total(picks.join(m, [*key, "pos"]).groupBy(*key, "it"), F.col("k")).select(*key, value)
+    got = drawn.groupBy(*key).agg(F.count("effect").alias("n_valid"), F.percentile("effect", F.lit(0.025)).alias("low"), F.percentile("effect", F.lit(0.975)).alias("high"))
+    enough = F.when(F.col("n_valid") >= 0.95 * iterations, F.col("n_valid")).otherwise(F.raise_error(F.concat(F.lit("too few draws have an effect of "), F.col("field"))).cast("long"))
+    point = total(m.groupBy(*key), F.lit(1.0)).select(*key, value).withColumnRenamed("effect", "estimate")
+    return point.join(got, key).select(*key, "estimate", "low", "high", enough.alias("n_valid"))
+
+
 def image_bootstrap(per_image: DataFrame, a: str, b: str, iterations: int, seed: int) -> DataFrame:
     """Paired bootstrap over images: (dataset, it, delta) of pooled f1, both arms scored on the same drawn images.
 

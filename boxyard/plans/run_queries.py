@@ -276,6 +276,52 @@ def a15_cluster_bootstrap(spark, sf_dir):
     return rounded(one.unionByName(ten))
 
 
+@register(
+    "a15_cluster_effects",
+    oracle(
+        f"""with {_ROWS}, f as (select mode, 'flag' as kind, 'flag' as field, dataset, flag::double as x, y from r union all select mode, 'slope', 'category_id', dataset, category_id::double, y from r),
+s as (select mode, kind, field, dataset, count(*)::double as n, sum(x) as sx, sum(y) as sy, sum(x * x) as sxx, sum(x * y) as sxy, row_number() over (partition by mode, kind, field order by dataset) - 1 as i, count(*) over (partition by mode, kind, field) as of from f group by mode, kind, field, dataset),
+dr as (select mode, kind, field, it, ((7 + it*7919 + i*104729) * 48271 % 2147483647) % of as i from s cross join (select unnest(range(0, 1000)) as it)),
+t as (select mode, kind, field, it, sum(n) as n, sum(sx) as sx, sum(sy) as sy, sum(sxx) as sxx, sum(sxy) as sxy from dr join s using (mode, kind, field, i) group by all union all select mode, kind, field, null, sum(n), sum(sx), sum(sy), sum(sxx), sum(sxy) from s group by all),
+e as (select mode, kind, field, it, case kind when 'flag' then sxy / nullif(sx, 0) - (sy - sxy) / nullif(n - sx, 0) else (sxy - sx * sy / n) / nullif(sxx - sx * sx / n, 0) end as effect from t)
+select mode, kind, field, round(any_value(effect) filter (where it is null), 6) as estimate, count(effect) filter (where it is not null) as n_valid, round(quantile_cont(effect, 0.025) filter (where it is not null), 6) as low, round(quantile_cont(effect, 0.975) filter (where it is not null), 6) as high from e group by mode, kind, field""",
+        "det_images", "det_categories", "run_scores", "class_flags", "mode_scores",
+    ),
+)
+def a15_cluster_effects(spark, sf_dir):
+    return rounded(stats.cluster_effects(class_rows(load(spark, sf_dir)), ["mode"], ["flag"], ["category_id"], "y", 1000, 7))
+
+
+#: An answer of every image in each mode: some alike in all modes.
+_ANSWERS = "select dataset, image_id, mode, case when image_id % 4 = 0 then 'nothing here' when image_id % 4 = 1 and mode <> 'ten' then 'a box' else concat(mode, ' ', cast(image_id as string)) end as raw_response from det_images cross join (select 'names' as mode union all select 'one' union all select 'ten') m"
+
+
+@register(
+    "a13_repeat_agreement",
+    oracle(
+        f"""with ans as ({_ANSWERS}), t as (select dataset, image_id, count(distinct raw_response) as texts from ans group by all),
+per as (select dataset, image_id, mode, list([category_id::double, x, y, w, h, score] order by category_id, x, y, w, h, score) as content, count(*) as n, list(category_id order by category_id) as classes from det_predictions group by all),
+img as (select dataset, image_id, 3 - count(*) as bare, count(distinct content) as c, count(distinct n) as k, count(distinct classes) as q from per group by all),
+d as (select t.dataset, t.image_id, texts, coalesce(bare, 3) as bare, coalesce(c, 0) as c, coalesce(k, 0) as k, coalesce(q, 0) as q from t left join img using (dataset, image_id)),
+pairs as (select a.dataset, a.image_id, a.category_id, a.mode as ma, b.mode as mb, a.det_ord as l, b.det_ord as r, {iou_sql("a", "b")} as iou
+  from det_predictions a join det_predictions b on a.dataset = b.dataset and a.image_id = b.image_id and a.category_id = b.category_id and a.mode < b.mode),
+fold as (select dataset, image_id, category_id, ma, mb, list_reduce(list([l, r] order by iou desc, l desc, r desc),
+   lambda a, p: case when list_contains(a[1], p[1]) or list_contains(a[2], p[2]) then a else [list_append(a[1], p[1]), list_append(a[2], p[2])] end, [[], []]::bigint[][]) as m from pairs where iou >= 0.5 group by all),
+taken as (select dataset, image_id, category_id, ma, mb, unnest(m[1]) as l, unnest(m[2]) as r from fold),
+met as (select t.dataset, t.image_id, t.ma, t.mb, count(*) as m, sum(iou) as iou from taken t join pairs using (dataset, image_id, category_id, ma, mb, l, r) group by all),
+f as (select met.dataset, sum(2 * m / (a.n + b.n)::double) as f1, sum(m) as n_matches, sum(iou) as iou from met join per a on a.dataset = met.dataset and a.image_id = met.image_id and a.mode = ma join per b on b.dataset = met.dataset and b.image_id = met.image_id and b.mode = mb group by all)
+select dataset, count(*) as n_images, 3 as n_repeats, round(avg(case when texts = 1 then 1.0 else 0.0 end), 6) as same_answer, round(avg(case when c + (bare > 0)::int = 1 then 1.0 else 0.0 end), 6) as same_content,
+  round(avg(case when k + (bare > 0)::int = 1 then 1.0 else 0.0 end), 6) as same_count, round(avg(case when q + (bare > 0)::int = 1 then 1.0 else 0.0 end), 6) as same_classes, count(*) * 3 as n_pairs,
+  round((coalesce(any_value(f1), 0.0) + sum(bare * (bare - 1) / 2)) / (count(*) * 3), 6) as mean_f1, coalesce(any_value(n_matches), 0)::bigint as n_matches, round(any_value(iou) / nullif(any_value(n_matches), 0), 6) as mean_iou
+from d left join f using (dataset) group by dataset""",
+        "det_images", "det_annotations", "det_predictions",
+    ),
+)
+def a13_repeat_agreement(spark, sf_dir):
+    t = load(spark, sf_dir)
+    return rounded(stats.repeat_agreement(t["det_predictions"], spark.sql(_ANSWERS)))
+
+
 @register(
     "a14_image_bootstrap",
     oracle(

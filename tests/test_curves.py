@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from boxyard.operators import coco, curves, parsing, ranges, stats
@@ -125,3 +126,40 @@ def test_answers_are_parsed_once(spark):
     for x in (d, users, d.where("status = 'ok'").select(F.size("dets"))):
         assert plan_of(x).count("from_json") <= 10
     assert users.toPandas().equals(pd.DataFrame({"status": ["ok"], "label": ["a"], "x1": [1.0], "y1": [2.0]}))
+
+
+def test_repeats_of_different_images_are_an_error(spark):
+    p = spark.createDataFrame([("d", m, 1, 0, 0.0, 0.0, 10.0, 10.0, 1.0, 1) for m in ("a", "b", "c")] + [("d", "a", 2, 0, 0.0, 0.0, 10.0, 10.0, 1.0, 1), ("d", "b", 2, 0, 1.0, 0.0, 10.0, 10.0, 1.0, 1)], PRED)
+    rows = [("d", i, m, "x" if i < 3 else m) for i in (1, 2, 3, 4) for m in ("a", "b", "c")]
+    answers = spark.createDataFrame(rows, "dataset string, image_id long, mode string, raw_response string")
+    r = stats.repeat_agreement(p, answers).collect()[0]
+    # image 1 is alike; of 2 two repeats agree at 9/11 and one found nothing; 3 and 4 are bare
+    assert (r["n_images"], r["n_repeats"], r["n_pairs"], r["n_matches"]) == (4, 3, 12, 4) and r["same_answer"] == 0.5 and r["same_content"] == r["same_count"] == 0.75
+    assert abs(r["mean_f1"] - (3 + 1 + 6) / 12) < 1e-12 and abs(r["mean_iou"] - (3 + 90 / 110) / 4) < 1e-12
+    with pytest.raises(Exception, match="repeats cover different images of d"):
+        stats.repeat_agreement(p, answers.where("not (image_id = 4 and mode = 'c')")).collect()
+
+
+def test_cluster_effects_by_brute_force(spark):
+    r = np.random.default_rng(6)
+    rows = [("m", f"d{k:02}", int(r.integers(0, 2)), float(r.integers(0, 5)), float(r.normal())) for k in range(12) for _ in range(int(r.integers(2, 9)))]
+    d = spark.createDataFrame(rows, "mode string, dataset string, flag int, x double, y double")
+    got = {x["kind"]: x for x in stats.cluster_effects(d, ["mode"], ["flag"], ["x"], "y", 200, 7).collect()}
+    names = sorted({x[1] for x in rows})
+
+    def effects(some):
+        f, x, y = (np.array([v[i] for v in some], float) for i in (2, 3, 4))
+        return y[f == 1].mean() - y[f == 0].mean(), np.polyfit(x, y, 1)[0]
+
+    draws = []
+    for it in range(200):
+        picked = [names[(7 + it * 7919 + pos * 104729) * 48271 % 2147483647 % 12] for pos in range(12)]
+        draws.append(effects([x for n in picked for x in rows if x[1] == n]))
+    for i, kind in enumerate(("flag", "slope")):
+        x = got[kind]
+        assert abs(x["estimate"] - effects(rows)[i]) < 1e-9 and x["n_valid"] == 200
+        assert np.allclose([x["low"], x["high"]], np.percentile([v[i] for v in draws], [2.5, 97.5]))
+    with pytest.raises(Exception, match="too few draws"):
+        stats.cluster_effects(d.withColumn("flag", F.lit(1)), ["mode"], ["flag"], [], "y", 50, 7).collect()
+    with pytest.raises(Exception, match="too few draws"):
+        stats.cluster_effects(d.withColumn("x", F.lit(0.1)), ["mode"], [], ["x"], "y", 50, 7).collect()
