@@ -95,6 +95,9 @@ def oracle(sql: str, *tables: str) -> str:
     sql = sql.strip()
     if not parts:
         return sql
+    if sql.lower().startswith("with recursive "):
+        parts.append(sql[15:].lstrip())
+        return "with recursive " + ",\n".join(parts)
     if sql.lower().startswith("with "):
         parts.append(sql[5:].lstrip())
         return "with " + ",\n".join(parts)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from boxyard.operators.ranges import numbered
 from boxyard.operators.runs import TERMINAL, latest
+from boxyard.sources.tables import keep
 
 
 def task_matrix(images: DataFrame, conditions: DataFrame, categories: DataFrame) -> DataFrame:
@@ -27,6 +31,55 @@ def request_fingerprint(tasks: DataFrame, settings: dict[str, str]) -> DataFrame
     return tasks.withColumn("fingerprint", F.sha2(F.concat_ws("|", "dataset", "task_key", *fixed), 256))
 
 
+def reference_digests(payloads: DataFrame, images: DataFrame, image_col: str = "file_name") -> DataFrame:
+    """(dataset, category_id, references_sha): a hash of what a request about a class shows, and with a null class of what one about all shows.
+
+    A reference image and its text are hashed where they are, once; the hash of a class is over the hashes of its parts, that
+    of all classes over those of the classes. So a payload never travels to the tasks that show it.
+    """
+    files = images.select("dataset", "image_id", F.sha2(F.col(image_col).cast("string"), 256).alias("_image"))
+    p = payloads.join(files, ["dataset", "image_id"]).select("dataset", "category_id", "part", F.concat("_image", F.sha2("payload", 256)).alias("_h"))
+    hashed = lambda order: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "_h"))), lambda x: x["_h"]), ""), 256)
+    one = p.groupBy("dataset", "category_id").agg(hashed("part").alias("_h"))
+    every = one.groupBy("dataset").agg(hashed("category_id").alias("references_sha")).withColumn("category_id", F.lit(None).cast(payloads.schema["category_id"].dataType))
+    return one.select("dataset", "category_id", F.col("_h").alias("references_sha")).unionByName(every)
+
+
+def full_fingerprint(tasks: DataFrame, payloads: DataFrame, images: DataFrame, prompt: str, settings: dict[str, str], image_col: str = "file_name") -> DataFrame:
+    """Adds fingerprint: a hash of the task, the settings, the prompt, the references that its request shows and its image.
+
+    image_col: what tells an image's content, its digest if there is one. Any changed part of a request changes it.
+    """
+    fixed = [F.lit(f"{k}={settings[k]}") for k in sorted(settings)]
+    d = tasks.join(images.select("dataset", "image_id", F.sha2(F.col(image_col).cast("string"), 256).alias("_image")), ["dataset", "image_id"], "left")
+    shown = reference_digests(payloads, images, image_col).withColumnRenamed("dataset", "_d").withColumnRenamed("category_id", "_c")
+    d = d.join(shown, (F.col("dataset") == F.col("_d")) & F.col("category_id").eqNullSafe(F.col("_c")), "left")
+    parts = ["dataset", "task_key", *fixed, F.lit(hashlib.sha256(prompt.encode()).hexdigest()), F.coalesce("references_sha", F.lit("-")), F.coalesce("_image", F.lit("-"))]
+    return d.select(*tasks.columns, F.sha2(F.concat_ws("|", *parts), 256).alias("fingerprint"))
+
+
+def large_set_sha(rows: DataFrame, keys: list[str], cols: list[str], width: int = 1024) -> DataFrame:
+    """(keys, sha) of each group's rows in any order, for groups of any size; rows that occur twice count twice.
+
+    Rows are hashed, put in the order of their hashes by ranges, and folded `width` at a time until one hash of a group is
+    left (every row list is folded at least once), so no group is ever one row or one task.
+    """
+    leaf = F.sha2(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}), 256)
+    d = keep(numbered(rows.select(*keys, leaf.alias("_h")), keys, ["_h"]), "leaves")
+    most = d.agg(F.max("total")).first()[0] or 0
+    d = d.select(*keys, "_h", "pos", F.lit(True).alias("_open"))
+    first = True
+    while first or most > 1:
+        # a group that is one hash already stays as it is
+        up = F.floor(F.col("pos") / width).cast("long")
+        g = d.groupBy(*keys, up.alias("pos")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("pos").alias("p"), "_h"))), lambda x: x["_h"]), "").alias("_all"), F.count(F.lit(1)).alias("_n"), F.first("_open").alias("_open"))
+        d = g.select(*keys, F.when(F.col("_open"), F.sha2("_all", 256)).otherwise(F.col("_all")).alias("_h"), "pos")
+        sizes = d.groupBy(*keys).agg((F.count(F.lit(1)) > 1).alias("_open"))
+        d = keep(d.join(sizes, keys), "folded")
+        first, most = False, -(-most // width)
+    return d.select(*keys, F.col("_h").alias("sha"))
+
+
 def pending_tasks(tasks: DataFrame, records: DataFrame) -> DataFrame:
     """Tasks that no record has ended."""
     return tasks.join(latest(records).where(F.col("status").isin(*TERMINAL)).select("task_key"), "task_key", "left_anti")

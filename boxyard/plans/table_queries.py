@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 
 from pyspark.sql import functions as F
@@ -555,6 +556,53 @@ def request_part_counts(spark, t, images):
     return d.select(F.substring_index("task_key", "/", 1).alias("dataset"), F.substring_index("task_key", "/", -1).alias("task_key"), F.size("parts").alias("n_parts"), F.element_at("parts", -1)["content"].alias("last_content"))
 
 
+_SHOWN = f"""{_RANDOM}, {_MATRIX}, rf as (select rr.*, c.name, width, height from rr join det_categories c using (dataset, category_id) join det_images i using (dataset, image_id) where rank <= 4),
+j as (select dataset, category_id, image_id, rank, concat('{{{{"bbox_2d":[', {_N.format(v="x", s="width")}, ',', {_N.format(v="y", s="height")}, ',', {_N.format(v="(x + w)", s="width")}, ',', {_N.format(v="(y + h)", s="height")}, '],"label":"', name, '"}}}}') as item from rf),
+g as (select dataset, category_id, image_id, min(rank) as f, concat('[', string_agg(item, ',' order by rank), ']') as payload from j group by all),
+one as (select g.dataset, g.category_id, sha256(string_agg(sha256(i.file_name) || sha256(payload), '' order by f)) as sha from g join det_images i using (dataset, image_id) group by g.dataset, g.category_id),
+shown as (select dataset, category_id, sha from one union all select dataset, null, sha256(string_agg(sha, '' order by category_id)) from one group by dataset),
+whole as (select m.task_key, m.dataset, m.image_id, concat_ws('|', m.dataset, m.task_key, 'a=1', 'b=two') as head, coalesce(s.sha, '-') || '|' || sha256(i.file_name) as tail
+  from m join det_images i on i.dataset = m.dataset and i.image_id = m.image_id left join shown s on s.dataset = m.dataset and s.category_id is not distinct from m.category_id)""".replace("{{", "{").replace("}}", "}")
+
+
+def _fingerprints(t, spark, prompt):
+    m = tasks.task_matrix(t["det_images"], conditions_of(spark), t["det_categories"])
+    return tasks.full_fingerprint(m, tasks.reference_payloads(reference_rows(t), 4), t["det_images"], prompt, {"b": "two", "a": "1"})
+
+
+@register("p8_full_fingerprint", oracle(f"with {_SHOWN} select task_key, dataset, sha256(head || '|' || sha256('Find all objects.') || '|' || tail) as fingerprint from whole", "det_images", "det_categories", "det_annotations"))
+def p8_full_fingerprint(spark, sf_dir):
+    return _fingerprints(load(spark, sf_dir), spark, "Find all objects.").select("task_key", "dataset", "fingerprint")
+
+
+@register(
+    "p8_conflicts",
+    oracle(
+        f"""with {_SHOWN} select task_key, sha256(head || '|' || sha256('Find all objects.') || '|' || tail) as fingerprint, sha256(head || '|' || sha256('Find everything.') || '|' || tail) as recorded from whole
+where image_id % 3 = 0 and image_id % 5 <> 0""", "det_images", "det_categories", "det_annotations"),
+)
+def p8_conflicts(spark, sf_dir):
+    """A third of the tasks was recorded with another prompt; those that have not ended are no conflict."""
+    t = load(spark, sf_dir)
+    now = _fingerprints(t, spark, "Find all objects.")
+    then = _fingerprints(t, spark, "Find everything.").where("image_id % 3 = 0").unionByName(now.where("image_id % 3 <> 0"))
+    records = then.select("task_key", "fingerprint", F.when(F.col("image_id") % 5 == 0, "error").otherwise("success").alias("status"))
+    return tasks.conflicts(now, records)
+
+
+@register(
+    "p8_set_sha",
+    oracle(
+        """with recursive leaf as (select dataset, sha256('{"ann_id":' || ann_id || ',"category_id":' || category_id || ',"x":' || cast(x as bigint) || '}') as h from det_annotations),
+n as (select dataset, 0 as level, row_number() over (partition by dataset order by h) - 1 as pos, h from leaf),
+t(dataset, level, pos, h) as (select * from n union all select dataset, any_value(level) + 1, pos // 64, sha256(string_agg(h, '' order by pos)) from (select *, count(*) over (partition by dataset) as c from t) where c > 1 or level = 0 group by dataset, pos // 64)
+select dataset, h as sha from (select *, row_number() over (partition by dataset order by level desc) as rn from t) where rn = 1""", "det_images", "det_annotations"),
+)
+def p8_set_sha(spark, sf_dir):
+    a = load(spark, sf_dir)["det_annotations"].withColumn("x", F.col("x").cast("long"))
+    return tasks.large_set_sha(a, ["dataset"], ["ann_id", "category_id", "x"], 64)
+
+
 # --- merging
 
 
@@ -655,6 +703,29 @@ def t1_stream_progress(spark, sf_dir):
     return streams.progress_table(spark, path).groupBy("mode", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
+@contextlib.contextmanager
+def _rocksdb(spark):
+    """The state store that typed state needs, for one stream."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+@register("t1_stream_counts", oracle(f"with {_LAST} select mode, status, count(*) as n from last group by all", "task_log"))
+def t1_stream_counts(spark, sf_dir):
+    """The log arrives in several batches, each of which changes the counts."""
+    log, root = load(spark, sf_dir)["task_log"], tables.new_folder(spark, "counts")
+    log.repartition(6).write.parquet(f"{root}/in")
+    with _rocksdb(spark):
+        q = streams.stream_counts(spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/in"), f"{root}/out", f"{root}/checkpoint")
+        q.awaitTermination()
+    return streams.counts_table(spark, f"{root}/out")
+
+
 @register(
     "t4_fold_turns",
     oracle("with c as (select conv_id, turn, sum(length(text)) over (partition by conv_id order by turn) as s, length(text) as n, row_number() over (partition by conv_id order by turn) as k from conversations), f as (select *, s - n as before from c) select conv_id, cast(count(*) filter (where before < 500) as int) as n_turns, cast(max(s) filter (where before < 500) as bigint) as chars, coalesce(min(turn) filter (where s >= 500 and before < 500), -1) as stop_turn from f group by conv_id"),
@@ -706,14 +777,9 @@ def t4_adaptive_stream(spark, sf_dir):
     r, root = tables.keep(_rounds(spark, sf_dir), "rounds"), tables.new_folder(spark, "turns")
     for part in ("round_index % 2 = 1", "round_index % 2 = 0", "round_index % 5 = 0"):
         r.where(part).repartition(4).write.mode("append").parquet(f"{root}/in")
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
+    with _rocksdb(spark):
         s = adaptive.stream_rounds(spark.readStream.schema(r.schema).option("maxFilesPerTrigger", 4).parquet(f"{root}/in"), {0: 1, 1: 3, 2: 4})
         # a batch that comes again after a failure takes its own place
         q = s.writeStream.outputMode("update").foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{root}/out/batch={n}")).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
         q.awaitTermination()
-    finally:
-        spark.conf.set(name, before)
     return _told(adaptive.outcome_table(spark.read.schema(s.schema).parquet(f"{root}/out")))

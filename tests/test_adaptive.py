@@ -5,7 +5,7 @@ import time
 import numpy as np
 import pytest
 
-from boxyard.streaming import adaptive
+from boxyard.streaming import adaptive, streams
 
 LIMITS = {0: 1, 1: 2, 2: 4}
 
@@ -108,3 +108,20 @@ def test_an_idle_task_is_told_and_forgotten(spark, tmp_path, rocksdb):
         q.stop()
     got = {(x["task_key"], x["status"]) for x in spark.table("idle_tasks").collect()}
     assert got == {("a", "in_progress"), ("a", "stalled"), ("b", "ready")}
+
+
+def test_counts_by_mode_after_every_batch(spark, tmp_path, rocksdb):
+    """Each batch's version equals a count over all records so far, and only two versions stay."""
+    r = np.random.default_rng(5)
+    rows = [(f"t{int(r.integers(0, 40))}", str(r.choice(["a", "b"])), str(r.choice(["error", "running", "success", "model_failure"], p=[0.4, 0.3, 0.2, 0.1])), f"2024-01-01 00:{int(r.integers(0, 60)):02}:00", i) for i in range(200)]
+    schema = "task_key string, mode string, status string, completed_at string, event_id long"
+    seen = []
+    for k in range(4):
+        spark.createDataFrame(rows[50 * k : 50 * k + 50], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        q = streams.stream_counts(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "ck"))
+        q.awaitTermination()
+        got = {(x["mode"], x["status"]): x["n"] for x in streams.counts_table(spark, str(tmp_path / "out")).collect()}
+        last = streams.latest_state(spark.createDataFrame(rows[: 50 * k + 50], schema)).groupBy("mode", "status").count().collect()
+        assert got == {(x["mode"], x["status"]): x["count"] for x in last}
+        seen.append(sorted(x.name for x in (tmp_path / "out").iterdir()))
+    assert all(len(x) == 2 for x in seen) and seen[-1] != seen[0]

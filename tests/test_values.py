@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from boxyard.functions import geometry, labels
-from boxyard.operators import coco, detections, matching, merge, parsing, references, runs, selection, stats, validate
+from boxyard.operators import coco, detections, matching, merge, parsing, references, runs, selection, stats, tasks, validate
 from boxyard.sources import files
 from boxyard.streaming import streams
 
@@ -389,3 +389,34 @@ def test_conditions_are_read_with_defaults(spark, tmp_path):
         (tmp_path / "none.json").write_text(text)
         with pytest.raises(merge.ContractError, match="at least one"):
             files.read_conditions(spark, str(tmp_path / "none.json"))
+
+
+def test_fingerprints_follow_every_part_of_a_request(spark):
+    images = spark.createDataFrame([("d", 1, "a.jpg"), ("d", 2, "b.jpg"), ("d", 9, "ref.jpg")], "dataset string, image_id long, file_name string")
+    m = spark.createDataFrame([("d", "m", 1, None, "k1"), ("d", "m", 2, 0, "k2"), ("d", "m", 2, 1, "k3")], "dataset string, mode string, image_id long, category_id int, task_key string")
+    shown = [("d", 0, 9, 1, '[{"label":"cat"}]'), ("d", 1, 9, 1, '[{"label":"dog"}]')]
+    kind = "dataset string, category_id int, image_id long, part int, payload string"
+
+    def of(prompt="p", payloads=shown, files=images, settings=None):
+        d = tasks.full_fingerprint(m, spark.createDataFrame(payloads, kind), files, prompt, settings or {"s": "1"})
+        return {x["task_key"]: x["fingerprint"] for x in d.collect()}
+
+    base = of()
+    changed = lambda other: {k for k in base if base[k] != other[k]}
+    assert len(set(base.values())) == 3 and of() == base
+    assert changed(of(prompt="q")) == changed(of(settings={"s": "2"})) == {"k1", "k2", "k3"}
+    assert changed(of(payloads=[shown[0], ("d", 1, 9, 1, '[{"label":"hound"}]')])) == {"k1", "k3"}
+    assert changed(of(files=images.replace("b.jpg", "c.jpg", "file_name"))) == {"k2", "k3"}
+    assert changed(of(files=images.replace("ref.jpg", "other.jpg", "file_name"))) == {"k1", "k2", "k3"}
+    assert changed(of(payloads=shown[:1])) == {"k1", "k3"}
+
+
+def test_large_sets_have_one_hash(spark):
+    rows = [(g, i, None if i % 5 else "x") for g, n in (("a", 1), ("b", 4), ("c", 5), ("d", 70)) for i in range(n)]
+    schema = "g string, i int, s string"
+    sha = lambda x, width=4: {r["g"]: r["sha"] for r in tasks.large_set_sha(spark.createDataFrame(x, schema).repartition(3), ["g"], ["i", "s"], width).collect()}
+    base = sha(rows)
+    assert len(set(base.values())) == 4 and sha(rows[::-1]) == base
+    assert {g for g, v in sha([*rows, ("d", 3, None)]).items() if v != base[g]} == {"d"}
+    assert {g for g, v in sha([("c", 4, "null") if r == ("c", 4, None) else r for r in rows]).items() if v != base[g]} == {"c"}
+    assert {g for g, v in sha(rows, 100).items() if v != base[g]} == {"c", "d"}
