@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from boxyard.functions.labels import normalize_label
+from boxyard.operators.tasks import large_set_sha
+from boxyard.sources.tables import keep
 
 
 def _rule(d: DataFrame, name: str, key: Column) -> DataFrame:
@@ -70,6 +72,39 @@ def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return d.select("dataset", "file_name", change.alias("change")).where(F.col("change").isNotNull())
 
 
+def _object_hashes(images: DataFrame, annotations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(dataset, image_id, sha) over an image's own fields and its annotations, and (dataset, image_id, ann_id, sha) of each annotation."""
+    own = lambda d, keys: F.sha2(F.to_json(F.struct(*sorted(c for c in d.columns if c not in keys)), {"ignoreNullFields": "false"}), 256)
+    a = annotations.select("dataset", "image_id", "ann_id", own(annotations, ("dataset", "image_id", "ann_id")).alias("sha"))
+    per = a.groupBy("dataset", "image_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.col("ann_id").cast("string"), F.lit(":"), "sha"))), ",").alias("_a"))
+    i = images.select("dataset", "image_id", own(images, ("dataset", "image_id")).alias("_own")).join(per, ["dataset", "image_id"], "full")
+    return i.select("dataset", "image_id", F.sha2(F.concat_ws("|", F.coalesce("_own", F.lit("-")), F.coalesce("_a", F.lit("-"))), 256).alias("sha")), a
+
+
+def _changes(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, change): missing, extra or changed, of two tables with a sha for each key."""
+    d = old.select(*keys, F.col("sha").alias("_o")).join(new.select(*keys, F.col("sha").alias("_n")), keys, "full")
+    return d.select(*keys, F.when(F.col("_n").isNull(), "missing").when(F.col("_o").isNull(), "extra").when(F.col("_o") != F.col("_n"), "changed").alias("change")).where(F.col("change").isNotNull())
+
+
+def snapshot_changes(old: tuple[DataFrame, DataFrame], new: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """(level, dataset, image_id, ann_id, change) of two snapshots (images, annotations): level is dataset, image or annotation.
+
+    Every column that is not a key is part of what is compared. Hashes of annotations roll up to images and those to datasets,
+    and only below what has changed on both sides is looked for what it was: equal datasets and equal images are never
+    joined in detail. What is missing or extra as a whole is told once, at its own level.
+    """
+    (old_images, old_objects), (new_images, new_objects) = (tuple(keep(x, "hashes") for x in _object_hashes(*s)) for s in (old, new))
+    whole = keep(_changes(large_set_sha(old_images, ["dataset"], ["image_id", "sha"]), large_set_sha(new_images, ["dataset"], ["image_id", "sha"]), ["dataset"]), "datasets")
+    below = whole.where("change = 'changed'").select("dataset")
+    images = keep(_changes(old_images.join(below, "dataset", "left_semi"), new_images.join(below, "dataset", "left_semi"), ["dataset", "image_id"]), "images")
+    below = images.where("change = 'changed'").select("dataset", "image_id")
+    key = ["dataset", "image_id"]
+    objects = _changes(old_objects.join(below, key, "left_semi"), new_objects.join(below, key, "left_semi"), [*key, "ann_id"])
+    row = lambda level, d: d.select(F.lit(level).alias("level"), "dataset", *[(F.col(c) if c in d.columns else F.lit(None)).cast("long").alias(c) for c in ("image_id", "ann_id")], "change")
+    return row("dataset", whole).unionByName(row("image", images)).unionByName(row("annotation", objects))
+
+
 def run_contract(runs: DataFrame, images: DataFrame, modes: list[str], n_datasets: int) -> DataFrame:
     """(dataset, mode, rule): number of datasets, the exact modes, and one task for each image."""
     n = images.groupBy("dataset").agg(F.count(F.lit(1)).alias("n_images"))

@@ -329,6 +329,37 @@ def v5_snapshot_diff(spark, sf_dir):
     return validate.snapshot_diff(old, new)
 
 
+@register(
+    "v5_snapshot_changes",
+    oracle(
+        """with oi as (select dataset, image_id, file_name, width from det_images where not (dataset < 'ds10' and image_id % 101 = 2) and dataset <> 'ds18'),
+ni as (select dataset, image_id, case when dataset < 'ds10' and image_id % 101 = 1 then concat('new_', file_name) else file_name end as file_name, width from det_images where not (dataset < 'ds10' and image_id % 101 = 0) and dataset <> 'ds17'),
+oa as (select dataset, image_id, ann_id, category_id, x from det_annotations join oi using (dataset, image_id) where ann_id % 211 <> 1),
+na as (select dataset, image_id, ann_id, case when ann_id % 211 = 2 and dataset < 'ds05' then category_id + 1 else category_id end as category_id, x from det_annotations join ni using (dataset, image_id) where ann_id % 211 <> 1 or dataset > 'ds05'),
+x as (select dataset, image_id, ann_id, case when n.ann_id is null then 'missing' when o.ann_id is null then 'extra' else 'changed' end as change from (select *, 1 as k from oa) o full join (select *, 1 as k from na) n using (dataset, image_id, ann_id)
+  where o.k is null or n.k is null or o.category_id <> n.category_id or o.x <> n.x),
+im as (select dataset, image_id, case when n.k is null then 'missing' when o.k is null then 'extra' else 'changed' end as change from (select *, 1 as k from oi) o full join (select *, 1 as k from ni) n using (dataset, image_id)
+  where o.k is null or n.k is null or o.file_name <> n.file_name or (dataset, image_id) in (select (dataset, image_id) from x)),
+ds as (select distinct dataset, case when dataset not in (select dataset from ni) then 'missing' when dataset not in (select dataset from oi) then 'extra' else 'changed' end as change from im)
+select 'dataset' as level, dataset, -1::bigint as image_id, -1::bigint as ann_id, change from ds union all select 'image', dataset, image_id, -1, im.change from im join ds using (dataset) where ds.change = 'changed'
+union all select 'annotation', dataset, x.image_id, ann_id, x.change from x join im using (dataset, image_id) join ds using (dataset) where ds.change = 'changed' and im.change = 'changed'""".replace("when n.ann_id is null then", "when n.k is null then").replace("when o.ann_id is null then", "when o.k is null then"),
+        "det_images", "det_annotations",
+    ),
+)
+def v5_snapshot_changes(spark, sf_dir):
+    """Two downloads: a dataset gone and one new, images gone, new and renamed, annotations new and of another class."""
+    t = load(spark, sf_dir)
+    i, a = t["det_images"].select("dataset", "image_id", "file_name", "width"), t["det_annotations"].select("dataset", "image_id", "ann_id", "category_id", "x")
+    few = F.col("dataset") < "ds10"
+    oi = i.where(~(few & (F.col("image_id") % 101 == 2)) & (F.col("dataset") != "ds18"))
+    ni = i.where(~(few & (F.col("image_id") % 101 == 0)) & (F.col("dataset") != "ds17"))
+    oa = a.join(oi, ["dataset", "image_id"], "left_semi").where("ann_id % 211 <> 1")
+    na = a.join(ni, ["dataset", "image_id"], "left_semi").where("ann_id % 211 <> 1 or dataset > 'ds05'")
+    ni = ni.withColumn("file_name", F.when(few & (F.col("image_id") % 101 == 1), F.concat(F.lit("new_"), "file_name")).otherwise(F.col("file_name")))
+    na = na.withColumn("category_id", F.when((F.col("ann_id") % 211 == 2) & (F.col("dataset") < "ds05"), F.col("category_id") + 1).otherwise(F.col("category_id")))
+    return validate.snapshot_changes((oi, oa), (ni, na)).na.fill(-1, ["image_id", "ann_id"])
+
+
 @register(
     "v6_run_contract",
     oracle("select dataset, mode, 'task_count' as rule from mode_scores s where task_count is distinct from (select count(*) from det_images i where i.dataset = s.dataset) union all select dataset, 'twenty', 'missing_mode' from (select distinct dataset from mode_scores) union all select null, null, 'n_datasets'", "det_images", "run_scores", "mode_scores"),

@@ -420,3 +420,19 @@ def test_large_sets_have_one_hash(spark):
     assert {g for g, v in sha([*rows, ("d", 3, None)]).items() if v != base[g]} == {"d"}
     assert {g for g, v in sha([("c", 4, "null") if r == ("c", 4, None) else r for r in rows]).items() if v != base[g]} == {"c"}
     assert {g for g, v in sha(rows, 100).items() if v != base[g]} == {"c", "d"}
+
+
+def test_snapshot_changes_at_three_levels(spark):
+    images, objects = "dataset string, image_id long, file_name string", "dataset string, image_id long, ann_id long, category_id int, note string"
+    old_i = [("same", 1, "a"), ("gone", 1, "a"), ("d", 1, "a"), ("d", 2, "b"), ("d", 3, "c"), ("d", 4, "e")]
+    new_i = [("same", 1, "a"), ("new", 1, "a"), ("d", 1, "a"), ("d", 2, "b2"), ("d", 3, "c"), ("d", 5, "f")]
+    old_a = [("same", 1, 1, 0, None), ("gone", 1, 2, 0, "x"), ("d", 1, 3, 0, None), ("d", 3, 4, 0, None), ("d", 3, 5, 0, "x"), ("d", 4, 6, 0, "x"), ("d", 3, 8, 1, "same")]
+    new_a = [("same", 1, 1, 0, None), ("d", 1, 3, 0, None), ("d", 3, 4, 0, "null"), ("d", 3, 7, 0, "x"), ("d", 3, 8, 1, "same")]
+    snap = lambda i, a: (spark.createDataFrame(i, images), spark.createDataFrame(a, objects))
+    got = {tuple(x) for x in validate.snapshot_changes(snap(old_i, old_a), snap(new_i, new_a)).collect()}
+    assert got == {
+        ("dataset", "gone", None, None, "missing"), ("dataset", "new", None, None, "extra"), ("dataset", "d", None, None, "changed"),
+        ("image", "d", 2, None, "changed"), ("image", "d", 3, None, "changed"), ("image", "d", 4, None, "missing"), ("image", "d", 5, None, "extra"),
+        ("annotation", "d", 3, 4, "changed"), ("annotation", "d", 3, 5, "missing"), ("annotation", "d", 3, 7, "extra"),
+    }
+    assert validate.snapshot_changes(snap(old_i, old_a), snap(old_i[::-1], old_a[::-1])).count() == 0
