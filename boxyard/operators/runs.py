@@ -142,6 +142,31 @@ def selected_reference_usage(records: DataFrame) -> DataFrame:
     return per.join(n.agg(F.count(F.lit(1)).alias("all_images"))).withColumn("per_image", F.col("total") / F.col("all_images"))
 
 
+def adaptive_summary(outcomes: DataFrame, tasks: DataFrame, categories: DataFrame) -> DataFrame:
+    """(measure, name, value) of a run that chose its references: counts of its tasks and what they chose.
+
+    outcomes: (task_key, status, failure_type, stop_reason, n_references, counts map<category_id, n>), a row for each task
+    that began; tasks: (task_key); categories: (category_id). Measures `status` (with missing), `failure_type`, `stop_reason`,
+    `references` of each class, also of those that nobody chose, and `total`: tasks, references, references per image and per
+    class and image, and zero_shot_images, the tasks that ended without any reference.
+    """
+    o = tasks.select("task_key").distinct().join(outcomes, "task_key", "left")
+    counted = lambda name, value, when: o.where(when).groupBy(value.alias("name")).agg(F.count(F.lit(1)).cast("double").alias("value")).select(F.lit(name).alias("measure"), "name", "value")
+    chosen = o.select(F.explode("counts").alias("category_id", "n")).groupBy("category_id").agg(F.sum("n").alias("n"))
+    per_class = categories.select("category_id").distinct().join(chosen, "category_id", "left")
+    totals = o.agg(F.count(F.lit(1)).cast("double").alias("tasks"), F.coalesce(F.sum("n_references"), F.lit(0)).cast("double").alias("references"), F.count_if((F.col("n_references") == 0) & ~F.col("status").isin("in_progress")).cast("double").alias("zero_shot_images"))
+    totals = totals.join(F.broadcast(categories.agg(F.count_distinct("category_id").alias("_c"))))  # two rows
+    per_image = F.col("references") / F.nullif(F.col("tasks"), F.lit(0.0))
+    totals = totals.withColumns({"references_per_image": per_image, "references_per_class_image": per_image / F.nullif(F.col("_c"), F.lit(0))})
+    names = ("tasks", "references", "zero_shot_images", "references_per_image", "references_per_class_image")
+    flat = totals.select(F.lit("total").alias("measure"), F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("value")) for n in names])))
+    return (
+        counted("status", F.coalesce("status", F.lit("missing")), F.lit(True)).unionByName(counted("failure_type", F.col("failure_type"), F.col("failure_type").isNotNull()))
+        .unionByName(counted("stop_reason", F.col("stop_reason"), F.col("stop_reason").isNotNull())).unionByName(flat)
+        .unionByName(per_class.select(F.lit("references").alias("measure"), F.col("category_id").cast("string").alias("name"), F.coalesce("n", F.lit(0)).cast("double").alias("value")))
+    )
+
+
 def normalize_run_rows(sources: list[DataFrame], image_counts: DataFrame) -> DataFrame:
     """Summaries of different shapes as one table: tokens per image and effective seconds (mean_seconds times calls_per_image)."""
     out = sources[0]

@@ -814,3 +814,24 @@ def t4_adaptive_stream(spark, sf_dir):
         q = s.writeStream.outputMode("update").foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{root}/out/batch={n}")).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
         q.awaitTermination()
     return _told(adaptive.outcome_table(spark.read.schema(s.schema).parquet(f"{root}/out")))
+
+
+@register(
+    "a17_adaptive_summary",
+    oracle(
+        f"""with o as ({_OUTCOME}), rounds as ({_TURNS}), tk as (select distinct task_key from rounds union all select distinct task_key || '_next' from rounds),
+j as (select tk.task_key, o.* exclude (task_key) from tk left join o using (task_key)), k as (select unnest(string_split(counts, ',')) as c from j where counts <> ''), n as (select count(*)::double as tasks, coalesce(sum(n_references), 0)::double as refs from j)
+select 'status' as measure, coalesce(status, 'missing') as name, count(*)::double as value from j group by all union all select 'failure_type', failure_type, count(*) from j where failure_type is not null group by all
+union all select 'stop_reason', stop_reason, count(*) from j where stop_reason is not null group by all
+union all select 'references', c.id::varchar, coalesce((select sum(split_part(k.c, ':', 2)::int) from k where split_part(k.c, ':', 1) = c.id::varchar), 0) from (select unnest([0, 1, 2, 3]) as id) c
+union all select 'total', 'tasks', tasks from n union all select 'total', 'references', refs from n union all select 'total', 'zero_shot_images', count(*) from j where n_references = 0 and status <> 'in_progress'
+union all select 'total', 'references_per_image', round(refs / tasks, 6) from n union all select 'total', 'references_per_class_image', round(refs / tasks / 4, 6) from n""",
+    ),
+)
+def a17_adaptive_summary(spark, sf_dir):
+    """As many tasks again have not begun; class 3 is never asked for."""
+    r = _rounds(spark, sf_dir)
+    available = spark.createDataFrame([(0, 1), (1, 3), (2, 9)], "category_id int, n int")
+    t = r.select("task_key").distinct()
+    t = t.unionByName(t.select(F.concat("task_key", F.lit("_next")).alias("task_key")))
+    return rounded(runs.adaptive_summary(adaptive.fold_rounds(r, available, 4), t, spark.createDataFrame([(0,), (1,), (2,), (3,)], "category_id int")))
