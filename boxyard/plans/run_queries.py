@@ -362,7 +362,8 @@ run as (select d.dataset, mode, category_id, thr, seed, it, tp, k, sum(tp * k) o
         window w as (partition by d.dataset, mode, category_id, thr, seed, it order by score desc, d.image_id, det_ord rows unbounded preceding)),
 env as (select dataset, mode, category_id, thr, seed, it, tps, k, max(tps / (n + 2.220446049250313e-16)) over (partition by dataset, mode, category_id, thr, seed, it order by tps desc) as best from run where tp = 1),
 aps as (select e.dataset, mode, e.category_id, thr, e.seed, e.it, sum(best * len(list_filter(range(0, 101), lambda q: q * 0.01::double <= tps / npig::double and (tps = k or q * 0.01::double > (tps - k) / npig::double)))) / 101 as ap
-        from env e join npig on npig.dataset = e.dataset and npig.category_id = e.category_id and npig.seed is not distinct from e.seed and npig.it is not distinct from e.it group by all),
+        from env e join npig on npig.dataset = e.dataset and npig.category_id = e.category_id and npig.seed is not distinct from e.seed and npig.it is not distinct from e.it
+     where tps = k or floor(tps * 100.0 / npig + 1e-6) <> floor((tps - k) * 100.0 / npig - 1e-6) group by all),  -- only these reach a recall
 ap as (select x.dataset, m.mode, x.seed, x.it, 100 * avg(coalesce(ap, 0.0)) as ap, 100 * avg(coalesce(ap, 0.0)) filter (where t.thr = 0.5) as ap50
        from npig x cross join thrs t join (select distinct dataset, mode from p2) m on m.dataset = x.dataset
        left join aps on aps.dataset = x.dataset and aps.mode = m.mode and aps.category_id = x.category_id and aps.thr = t.thr and aps.seed is not distinct from x.seed and aps.it is not distinct from x.it group by all)"""
