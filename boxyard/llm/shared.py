@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
 
@@ -13,7 +14,14 @@ from pyspark.sql import functions as F
 def folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; where that is unset (one machine, as in tests) a temporary one of the application."""
     got = spark.conf.get("spark.checkpoint.dir", None)
-    return (got or _own(spark.sparkContext.applicationId)).rstrip("/")
+    return (got or _one_machine(spark)).rstrip("/")
+
+
+def _one_machine(spark: SparkSession) -> str:
+    """A folder of this machine, which only an application that runs on it alone may use."""
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+    return _own(spark.sparkContext.applicationId)
 
 
 @functools.cache
