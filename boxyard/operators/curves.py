@@ -11,6 +11,7 @@ stand together at its place in the order. So all samples share one order, and on
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -92,11 +93,22 @@ def range_sums(ranked: DataFrame, cells: int, ranks: tuple[int, ...] = ()) -> Da
     return keep(part.groupBy(*CLASS, "_range", "cell").agg(*[F.sum(c).alias(c) for c in names]), "sums")
 
 
+def _cell_runs(t: pa.Table, order: str) -> tuple[pa.Table, list[tuple[int, int]]]:
+    """Rows by cell and range, and where each cell begins and ends."""
+    t = t.sort_by([("cell", "ascending"), ("_range", order)])
+    cell = t.column("cell").to_numpy()
+    at = [0, *(np.flatnonzero(np.diff(cell)) + 1).tolist(), len(cell)]
+    return t, list(itertools.pairwise(at))
+
+
 def _before(t: pa.Table) -> pa.Table:
-    """Of a class and cell: the sums of all ranges before each."""
-    t = t.sort_by("_range")
+    """Of a class: for each cell the sums of all ranges before each."""
+    t, cells = _cell_runs(t, "ascending")
     tps, n = (np.array(t.column(c).to_pylist()) for c in ("tps", "n"))
-    return t.select([*CLASS, "_range", "cell"]).append_column("tps", _doubles(np.cumsum(tps, axis=0) - tps)).append_column("n", _doubles(np.cumsum(n, axis=0) - n))
+    for x in (tps, n):
+        for lo, hi in cells:
+            x[lo:hi] = np.cumsum(x[lo:hi], axis=0) - x[lo:hi]
+    return t.select([*CLASS, "_range", "cell"]).append_column("tps", _doubles(tps)).append_column("n", _doubles(n))
 
 
 def _reached(key: tuple, rows: pa.Table, offsets: pa.Table) -> pa.Table:
@@ -132,17 +144,19 @@ def _reached(key: tuple, rows: pa.Table, offsets: pa.Table) -> pa.Table:
 
 
 def _areas(t: pa.Table) -> pa.Table:
-    """Of a class and cell: the mean over the recall points of the best precision from there on, for each sample."""
-    t = t.sort_by([("_range", "descending")])
-    later, total = 0.0, 0.0
-    for peak, sample, points, best in zip(*[t.column(c).to_pylist() for c in ("peak", "sample", "points", "best")], strict=True):
-        peak = np.array(peak)
-        got = np.zeros(len(peak))
-        later = later + np.zeros(len(peak))
-        sample = np.array(sample, np.int64)
-        np.add.at(got, sample, np.array(points, float) * np.maximum(np.array(best), later[sample]))
-        total, later = total + got, np.maximum(later, peak)
-    return pa.table(_own_key(t, 1, [*CLASS, "cell"]) | {"ap": _doubles((np.asarray(total) / 101)[None, :])})
+    """Of a class: for each cell the mean over the recall points of the best precision from there on, for each sample."""
+    t, cells = _cell_runs(t, "descending")
+    columns = [t.column(c).to_pylist() for c in ("peak", "sample", "points", "best")]
+    out = []
+    for lo, hi in cells:
+        later = total = np.zeros(len(columns[0][lo]))
+        for peak, sample, points, best in zip(*[c[lo:hi] for c in columns], strict=True):
+            sample = np.array(sample, np.int64)
+            got = np.bincount(sample, np.array(points, float) * np.maximum(np.array(best, float), later[sample]), len(later))
+            total, later = total + got, np.maximum(later, peak)
+        out.append(total / 101)
+    firsts = pa.array([lo for lo, _ in cells])
+    return pa.table({c: t.column(c).take(firsts) for c in (*CLASS, "cell")} | {"ap": _doubles(np.array(out))})
 
 
 def sorted_detections(detections: DataFrame) -> DataFrame:
@@ -164,8 +178,10 @@ def average_precisions(ranked: DataFrame, cells: int, objects: DataFrame, sums:
         sums = rows.groupBy(*CLASS, "_range").applyInArrow(_weighted_sums(cells), f"{own}, _range long, cell int, tps array<double>, n array<double>")
     else:
         sums = (range_sums(ranked, cells) if sums is None else sums).select(*CLASS, "_range", "cell", *[F.array(F.col(c).cast("double")).alias(c) for c in ("tps", "n")])
-    offsets = sums.groupBy(*CLASS, "cell").applyInArrow(_before, f"{own}, _range long, cell int, tps array<double>, n array<double>").join(objects, ["dataset", "category_id", "cell"])
+    # with many samples a class's sums are dealt by cell as well
+    by = [*CLASS, "cell"] if "weights" in ranked.columns else CLASS
+    offsets = sums.groupBy(*by).applyInArrow(_before, f"{own}, _range long, cell int, tps array<double>, n array<double>").join(objects, ["dataset", "category_id", "cell"])
     key = [*CLASS, "_range"]
     told = f"{own}, _range long, cell int, peak array<double>, sample array<long>, points array<long>, best array<double>"
     reached = rows.groupBy(*key).cogroup(offsets.groupBy(*key)).applyInArrow(_reached, told)
-    return reached.groupBy(*CLASS, "cell").applyInArrow(_areas, f"{own}, cell int, ap array<double>")
+    return reached.groupBy(*by).applyInArrow(_areas, f"{own}, cell int, ap array<double>")
