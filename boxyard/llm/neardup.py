@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxyard.llm.batches import Rolling, byte_values, mix, ranges, text_blocks, word_bounds
-from boxyard.llm.shared import keep, keyed, row_keys
+from boxyard.llm.shared import integer, keep, keyed, row_keys
 
 _ROLL = Rolling()
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -205,11 +205,19 @@ def _groups(d: DataFrame, shingle: int, percent: int, size: int, rows: int) -> D
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, size: int = 252, rows: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of docs; kept is true for the least id of a component."""
+    """(doc_id, n_shingles, component_id, kept) of every row of docs; kept is true for the least id of a component.
+
+    Ids that are no integers have the order of their hashes.
+    """
     d = keyed(docs, id_col, text_col)
     out = d.select("doc_id", "_id", "_t").join(_groups(d, shingle, percent, size, rows), ["_id", "_t"])
-    kind = docs.schema[id_col].dataType.simpleString()
-    root_id = F.when(F.col("low").isNotNull(), F.col("low").cast(kind)).otherwise(F.col("doc_id"))
+    if integer(docs, id_col):
+        first = F.col("low").cast(docs.schema[id_col].dataType)
+    else:
+        names = d.select(F.col("_id").alias("low"), F.col("_t").alias("low_t"), F.col("doc_id").alias("_first")).distinct()
+        out = out.join(names, ["low", "low_t"], "left")
+        first = F.col("_first")
+    root_id = F.when(F.col("low").isNotNull(), first).otherwise(F.col("doc_id"))
     return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), root_id.alias("component_id"), F.coalesce(F.col("low").isNull() | (F.col("_id") == F.col("low")), F.lit(True)).alias("kept"))
 
 

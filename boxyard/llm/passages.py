@@ -32,7 +32,7 @@ def estimated_repeated(runs: DataFrame, bits: int = 28) -> DataFrame:
 
     def row(d: DataFrame, cell: Column) -> DataFrame:
         d = d.withColumn("_cell", cell)
-        merged = d.groupBy("_cell").agg(F.count(F.lit(1)).alias("n"))  # each partition's sketch first, then their sum
+        merged = d.groupBy("_cell").agg(F.sum("times").alias("n"))  # each partition's sketch first, then their sum
         return d.join(merged.where(F.col("n") > 1).select("_cell"), "_cell").drop("_cell")
 
     mask = F.lit((1 << bits) - 1)

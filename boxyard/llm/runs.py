@@ -4,6 +4,10 @@ A window is `window` consecutive symbols (bytes or words). Its anchor is the lea
 `part` symbols, the first of equals; equal windows have equal anchors at equal offsets. Windows that follow each other
 mostly share their anchor, so a text falls into runs of windows with one anchor each. A window can only repeat where
 its anchor's hash repeats, and all its copies lie in runs of that hash.
+
+Where a text repeats itself with a short period, the anchor moves once in each period and every run is the one before it
+again. Such runs are one row with the number of `times` it follows itself, so that a text of padding is a few rows, not
+one row a byte; windows of a run that follows itself are repeated by that alone.
 """
 
 from __future__ import annotations
@@ -67,7 +71,17 @@ def runs_of(values: np.ndarray, bounds: np.ndarray, window: int, part: int):
     return tuple(np.concatenate(x) for x in zip(*outs, strict=True))
 
 
-RUNS = "h long, run long, _id long, _t long, at long, n int"
+def folded(text: np.ndarray, at: np.ndarray, n: np.ndarray, h: np.ndarray, run: np.ndarray):
+    """The same columns, runs that follow themselves written once, and how many times each follows."""
+    if not len(text):
+        return text, at, n, h, run, np.zeros(0, np.int64)
+    new = np.ones(len(text), bool)
+    new[1:] = (text[1:] != text[:-1]) | (run[1:] != run[:-1]) | (h[1:] != h[:-1]) | (n[1:] != n[:-1]) | (at[1:] != at[:-1] + n[:-1])
+    i = np.flatnonzero(new)
+    return text[i], at[i], n[i], h[i], run[i], np.diff(np.append(i, len(text)))
+
+
+RUNS = "h long, run long, _id long, _t long, at long, n int, times long"
 
 
 def run_table(docs: DataFrame, symbols: Callable, window: int, part: int) -> DataFrame:
@@ -76,17 +90,17 @@ def run_table(docs: DataFrame, symbols: Callable, window: int, part: int) -> Dat
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, bounds in text_blocks(batches):
             values, b = symbols(data, bounds)
-            text, at, n, h, run = runs_of(values, b, window, part)
+            text, at, n, h, run, times = folded(*runs_of(values, b, window, part))
             if len(text):
                 ids, ts = rows.column("_id").to_numpy(), rows.column("_t").to_numpy()
-                yield pa.record_batch([pa.array(x) for x in (h.view(np.int64), run.view(np.int64), ids[text], ts[text], at, n.astype(np.int32))], ["h", "run", "_id", "_t", "at", "n"])
+                yield pa.record_batch([pa.array(x) for x in (h.view(np.int64), run.view(np.int64), ids[text], ts[text], at, n.astype(np.int32), times)], ["h", "run", "_id", "_t", "at", "n", "times"])
 
     return docs.select("_id", "_t", "text").mapInArrow(find, RUNS)
 
 
 def distinct_runs(runs: DataFrame) -> DataFrame:
     """One row for each (h, run): how often it occurs, and one place that has it."""
-    return runs.groupBy("h", "run").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("_id", "_t", "at", "n")).alias("p")).select("h", "run", "c", "p.*")
+    return runs.groupBy("h", "run").agg(F.sum("times").alias("c"), F.min(F.struct("_id", "_t", "at", "n")).alias("p")).select("h", "run", "c", "p.*")
 
 
 def with_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -98,7 +112,9 @@ def with_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def hits_by_text(runs: DataFrame, found: DataFrame) -> DataFrame:
     """From (h, run, hits) with hits = [from, to, from, to, ...] in windows of a run: all hits of each text."""
-    placed = runs.join(found, ["h", "run"]).select("_id", "_t", F.transform("hits", lambda x: x.cast("long") + F.col("at")).alias("hits"))
+    whole = F.array(F.col("at"), F.col("at") + F.col("n") * F.col("times"))
+    some = F.transform("hits", lambda x: x.cast("long") + F.col("at"))
+    placed = runs.join(found, ["h", "run"]).select("_id", "_t", F.when(F.col("times") > 1, whole).otherwise(some).alias("hits"))
     return placed.groupBy("_id", "_t").agg(F.flatten(F.collect_list("hits")).alias("hits"))
 
 

@@ -46,6 +46,12 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(docs[id_col].alias("doc_id"), a.alias("_id"), b.alias("_t"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
 
 
+def integer(docs: DataFrame, id_col: str) -> bool:
+    """Whether ids are whole numbers, which stand for themselves in row_keys()."""
+    return docs.schema[id_col].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+
+
 def row_keys(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, Column]:
-    """The columns _id and _t of keyed()."""
-    return F.coalesce(docs[id_col].cast("long"), F.lit(-(2**63))), F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
+    """The columns _id and _t of keyed(): integer ids stand for themselves, other ids are hashed, null is the least number."""
+    own = docs[id_col].cast("long") if integer(docs, id_col) else F.when(docs[id_col].isNotNull(), F.xxhash64(docs[id_col].cast("string")))
+    return F.coalesce(own, F.lit(-(2**63))), F.xxhash64(F.coalesce(docs[text_col], F.lit("")))

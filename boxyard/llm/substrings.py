@@ -136,7 +136,7 @@ def _cut(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBa
 def find_repeats(d: DataFrame, window: int, part: int, shard_bytes: int) -> DataFrame:
     """(_id, _t, hits): the repeated windows of each text that has any; d comes from keyed()."""
     runs = R.run_table(d, R.byte_symbols, window, part)
-    again = runs.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1).select("h")
+    again = runs.groupBy("h").agg(F.sum("times").alias("c")).where(F.col("c") > 1).select("h")
     runs = keep(runs.join(again, "h"), "runs")
     texts = R.with_texts(d, R.distinct_runs(runs)).mapInArrow(lambda b: _extract(b, window), "h long, run long, c long, piece binary")
     texts = texts.repartition("h").sortWithinPartitions("h")

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from boxyard.llm.batches import text_blocks
 from boxyard.llm.runs import lists_of
-from boxyard.llm.shared import keep, keyed
+from boxyard.llm.shared import keep, keyed, row_keys
 
 KINDS = ("email", "phone", "ip", "card", "given_m", "given_f", "given_u", "family")
 
@@ -250,7 +250,8 @@ def replace_pii(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: s
     found = keep(d.select("_id", "_t", "text").mapInArrow(_find_rows, "_id long, _t long, lo long, hi long, kind string, value string, norm string"), "found")
     lists = found.join(assign(found, key), ["kind", "norm"]).groupBy("_id", "_t").agg(F.collect_list(F.struct("lo", "hi", "kind", "value", "sur")).alias("found"))
     # keyed() has no nulls: whether a text is missing is asked of the table itself
-    base = docs.select(F.col(id_col).alias("_row"), F.col(text_col).isNull().alias("missing"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    j = base.withColumn("_t", F.xxhash64("text")).join(lists.hint("merge"), ["_id", "_t"], "left").select("_row", "missing", "text", "found")
+    own = row_keys(docs, id_col, text_col)
+    base = docs.select(F.col(id_col).alias("_row"), F.col(text_col).isNull().alias("missing"), own[0].alias("_id"), own[1].alias("_t"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    j = base.join(lists.hint("merge"), ["_id", "_t"], "left").select("_row", "missing", "text", "found")
     kind = docs.schema[id_col].dataType.simpleString()
     return j.mapInArrow(_written, f"_row {kind}, n_email long, n_phone long, n_ip long, n_card long, n_name long, text string").withColumnRenamed("_row", id_col)

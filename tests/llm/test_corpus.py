@@ -109,6 +109,41 @@ def test_repeated_bytes(docs, empty, shard_bytes):
     assert substrings.remove_repeats(empty).count() == 0
 
 
+def test_periodic_texts_are_few_runs(spark):
+    """Padding of 20 MB is a few runs, and every byte or word of it goes."""
+    for text in (b"a" * 300_000, b"ab" * 150_000, b"\n" * 300_000, b"<td></td>" * 30_000):
+        v, b = runs.byte_symbols(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+        _, at, n, _, _, times = runs.folded(*runs.runs_of(v, b, 200, 32))
+        assert len(at) <= 4 and int((n * times).sum()) == len(text) - 199
+    e = np.zeros(0, np.int64)
+    assert all(not len(x) for x in runs.folded(e, e, e, e, e))
+    d = spark.createDataFrame([(1, "x" * 20_000_000), (2, "start " + "ab" * 400 + " end"), (3, "the same " * 2_000_000), (4, "a b " * 30 + "tail")], "doc_id long, text string")
+    start = time.time()
+    got = {r["doc_id"]: r for r in substrings.remove_repeats(d).drop("kept").collect()}
+    assert got[1]["n_removed"] == 20_000_000 and got[2]["n_removed"] == 800 and got[2]["n_spans"] == 1 and got[3]["n_removed"] == 18_000_000 and got[4]["n_removed"] == 0
+    words_ = {r["doc_id"]: r["n_removed"] for r in passages.remove_repeats(d).collect()}
+    assert words_ == {1: 0, 2: 0, 3: 4_000_000, 4: 60}
+    assert time.time() - start < 120
+
+
+def test_text_ids(spark, docs):
+    """Ids of any type give the rows that whole numbers give."""
+    few = docs.select("doc_id", "text").where("doc_id > 1000 or doc_id < 60").distinct()
+    named = few.withColumn("doc_id", F.concat(F.lit("doc-"), "doc_id"))
+    for op in (lambda d: substrings.remove_repeats(d).drop("kept"), lambda d: passages.remove_repeats(d).drop("kept"), lambda d: surrogates.replace_pii(d, b"key")):
+        want = sorted(("doc-" + str(r[0]), *r[1:]) for r in op(few).collect())
+        assert sorted(tuple(r) for r in op(named).collect()) == want
+    groups = []
+    for d in (few, named):
+        rows = neardup.near_duplicates(d, shingle=2).collect()
+        by = collections.defaultdict(set)
+        for r in rows:
+            by[r["component_id"]].add(str(r["doc_id"]).removeprefix("doc-"))
+            assert r["kept"] == (r["doc_id"] == r["component_id"])
+        groups.append(sorted(map(sorted, by.values())))
+    assert groups[0] == groups[1]
+
+
 @pytest.mark.parametrize("bits", [28, 6])
 def test_repeated_passages(docs, empty, bits):
     rows = [(i, words(t)) for i, t in local(docs)]
