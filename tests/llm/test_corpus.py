@@ -254,6 +254,82 @@ def test_surrogates_never_collide(spark):
     assert len(a) == len({r["sur"] for r in a}) == 625 and not {r["sur"] for r in a} & {r["norm"] for r in a}
 
 
+def brute_surrogates(texts, key):
+    """Rounds of draws over all entities in one dictionary; the least (norm, kind) keeps what several draw."""
+    spans = [[(lo, hi, k, t[lo:hi].decode(), surrogates.normal(k, t[lo:hi].decode())) for lo, hi, k in surrogates.parts(t)] for t in texts]
+    todo = {(k, n) for one in spans for _, _, k, _, n in one}
+    taken, given, attempt = {(k.split("_")[0], n) for k, n in todo}, {}, 0
+    while todo:
+        best = {}
+        for k, n in todo:
+            c = (k.split("_")[0], surrogates.surrogate(key, k, n, attempt))
+            if c not in taken:
+                best[c] = min(best.get(c, (n, k)), (n, k))
+        for c, (n, k) in best.items():
+            given[k, n] = c[1]
+            taken.add(c)
+        todo -= set(given)
+        attempt += 1
+    out = []
+    for t, one in zip(texts, spans, strict=True):
+        b, done = [], 0
+        for lo, hi, k, v, n in one:
+            b += [t[done:lo], surrogates.laid_out(k, v, given[k, n]).encode()]
+            done = hi
+        out.append(b"".join(b) + t[done:])
+    return out
+
+
+PEOPLE = [
+    "Herr Jörg Müller <jörg.müller@bücher.example.org>, +49 89 1234 5678, DE89 3704 0044 0532 0130 00 AN",
+    "Maria Lopez wrote to Dr. Maria Curie and Mr Victor Hugo de Paris; 2001:db8::ff00:42:8329 = 2001:0DB8:0:0:0:FF00:42:8329",
+    "+442079460958 is +44 (20) 7946-0958; x@ab.com y@ba.com " + "l" * 300 + "@mail.example.com @ a@b @@ x@y.z1 12:30:45 std::dec::ade 4 + 5 6 7 8 9 10 11",
+    "Г-н Иван Петров, Γιάννης Παπαδόπουλος, Maria " * 3 + "12345678 GB00 NWBK 6016 1331 9268 19",
+    "Mr " + "Orre " * 3000, "我们" * 500 + "a.b@c.io", "",
+]
+
+
+def test_surrogates_by_brute_force(spark, docs):
+    rows = sorted({(i, x or "") for i, x in local(docs)} | {(5000 + i, x) for i, x in enumerate(PEOPLE)})
+    want = dict(zip(rows, brute_surrogates([x.encode() for _, x in rows], b"key"), strict=True))
+    clash = "doc_id long, text string, found string, kind int, norm double, n_email string"
+    d = spark.createDataFrame([(i, x, "x", 1, 0.5, "y") for i, x in rows], clash)
+    got = surrogates.replace_pii(d, b"key").collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == sorted((i, x.decode()) for (i, _), x in want.items())
+    new = {r["doc_id"]: r for r in got if r["doc_id"] >= 5000}
+    assert [(r["n_email"], r["n_phone"], r["n_ip"], r["n_iban"]) for _, r in sorted(new.items())][:4] == [(1, 1, 0, 1), (0, 0, 2, 0), (3, 2, 0, 0), (0, 0, 0, 0)]
+    a = new[5000]["text"]
+    assert not any(x in a for x in ("örg", "ller", "cher", "1234", "3704", "Jö", "jö")) and ".org>, +49 " in a and a.endswith(" AN")
+    iban = re.search(r"DE\d\d(?: \d+)+", a)[0].replace(" ", "")
+    assert surrogates._mod97(iban) == 1 and len(iban) == 22
+    b = new[5001]["text"]
+    ips = re.findall(r"[0-9A-Fa-f:]{12,}", b)
+    assert ips[0] == ips[0].lower() and ips[1] == ips[1].upper() and surrogates.normal("ip6", ips[0]) == surrogates.normal("ip6", ips[1])
+    names = re.match(r"(\w+) \w+ wrote to Dr. (\w+) ", b)
+    assert names[1] == names[2] != "Maria"
+    c = new[5002]["text"]
+    assert "lll" not in c and c.endswith("12:30:45 std::dec::ade 4 + 5 6 7 8 9 10 11") and "7946" not in c
+    assert new[5004]["n_name"] == 3000 and new[5005]["text"].startswith("我们" * 500)
+
+
+def test_surrogates_of_crowded_kinds(spark):
+    """All domains of two letters get different surrogates, and a thousand names keep their gender and script."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    labels = [("label", a + b) for a in letters for b in letters]
+    names = [(f"given_{g}", w + str_) for g in "mf" for w in ("ab", "иб", "λα") for str_ in ("".join(x) for x in itertools.product("абв" if w == "иб" else "αβγ" if w == "λα" else "abc", repeat=5))]
+    r = surrogates.assign(spark.createDataFrame(labels + names, "kind string, norm string"), b"k").collect()
+    assert len(r) == len(labels) + len(names) > 2000
+    got = collections.defaultdict(list)
+    for kind, norm, sur in r:
+        got[kind.split("_")[0]].append(sur)
+        if kind != "label":
+            s = surrogates.script(norm)
+            own = tuple(e.casefold() for e in surrogates.ENDINGS[s, kind[-1]])
+            assert surrogates.script(sur) == s and (sur.endswith(own) or sur in {x.casefold() for x in surrogates.GIVEN[s, kind[-1]]})
+    for kind, out in got.items():
+        assert len(set(out)) == len(out) and not set(out) & {n for k, n in labels + names if k.startswith(kind)}
+
+
 def test_perspectives(spark):
     rows = [(1, 0, "system", "rules"), (1, 1, "ann", "hi <|im_end|>"), (1, 2, "b b", None), (1, 2, "b b", None), (1, 3, None, "x"), (1, 3, "ann", "y"), (1, 3, "ann", "z"), (1, 4, "ann", "word " * 20_000), (2, 0, "system", "alone"), (None, 0, "ann", "lost")]
     d = spark.createDataFrame([(*r, "z") for r in rows], "conv_id long, turn long, role string, text string, perspective string")
