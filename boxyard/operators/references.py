@@ -135,6 +135,16 @@ def leave_image_out_references(references: DataFrame, images: DataFrame, k: int)
     return d.withColumn("new_rank", F.row_number().over(w)).where(F.col("new_rank") <= k).select("dataset", "target_id", "category_id", "new_rank", "ann_id", "image_id")
 
 
+def empty_reference_classes(references: DataFrame, images: DataFrame) -> DataFrame:
+    """(dataset, target_id, category_id) of classes all of whose references are from the target image: leave-image-out leaves them empty.
+
+    Such a class has references from one image alone, so only that image is looked for; no pair of image and reference is made.
+    """
+    one = references.groupBy(*CLASS).agg(F.min("image_id").alias("target_id"), F.max("image_id").alias("_last")).where(F.col("target_id") == F.col("_last"))
+    targets = images.select("dataset", F.col("image_id").alias("target_id"))
+    return one.join(targets, ["dataset", "target_id"]).select("dataset", "target_id", "category_id")
+
+
 def calibration_split(train: DataFrame, references: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(annotations on images that no rank-1 reference uses, (dataset, category_id, n_left) of all classes)."""
     used = references.where("rank = 1").select("dataset", "image_id").distinct()

@@ -16,6 +16,9 @@ TERMINAL = ("success", "model_failure")
 TOKENS = ("prompt_tokens", "cached_tokens", "completion_tokens")
 
 
+#: What a model failure can be called in the reports.
+FAILURE_TYPES = ("timeout", "max_tokens", "invalid_response")
+
 def token_cost(prompt: Column, cached: Column, completion: Column, prices: tuple[float, float, float] = (2.0, 0.25, 6.0)) -> Column:
     """List price per million tokens of uncached, cached and written ones; null where more is cached than sent.
 
@@ -184,3 +187,33 @@ def attempt_rate(log: DataFrame, account: str, period_seconds: int, max_calls: i
     ts = F.unix_micros(F.col("completed_at").cast("timestamp"))
     w = W.partitionBy(account).orderBy(ts).rangeBetween(-period_seconds * 1_000_000, 0)
     return log.withColumn("calls", F.count(F.lit(1)).over(w)).withColumn("over_limit", F.col("calls") > max_calls)
+
+
+def failure_counts(records: DataFrame, known: tuple[str, ...] = FAILURE_TYPES) -> DataFrame:
+    """(dataset, n_completed, n_success, n_error, n_model_failure, n_timeout, n_max_tokens, n_invalid_response, n_other_failure).
+
+    records: (dataset, status, failure_type). Completed are successes and model failures; only the latter have a failure type.
+    """
+    failed = F.col("status") == "model_failure"
+    each = [F.count_if(failed & (F.col("failure_type") == k)).alias(f"n_{k}") for k in known]
+    other = F.count_if(failed & ~F.coalesce(F.col("failure_type").isin(*known), F.lit(False))).alias("n_other_failure")
+    return records.groupBy("dataset").agg(F.count_if(failed | (F.col("status") == "success")).alias("n_completed"), F.count_if(F.col("status") == "success").alias("n_success"), F.count_if(F.col("status") == "error").alias("n_error"), F.count_if(failed).alias("n_model_failure"), *each, other)
+
+
+def candidate_rows(rows: DataFrame, image_counts: DataFrame, datasets: list[str], structure: list[str]) -> DataFrame:
+    """One row for each mode over the given datasets: what they share, the scores of each, means of scores, tokens and seconds per image, sums of failures.
+
+    rows: (dataset, mode, structure, map5095, map50, prompt_tokens, completion_tokens, reasoning_tokens, total_seconds, model_failures, errors).
+    A mode that a dataset lacks or has twice, and a mode whose structure differs between datasets, are errors.
+    """
+    d = rows.where(F.col("dataset").isin(*datasets)).join(image_counts, "dataset")
+    per_image = lambda c: F.avg(F.coalesce(F.col(c), F.lit(0)) / F.col("n_images"))
+    own = [F.max(F.when(F.col("dataset") == x, F.col(c))).alias(f"{x}_{c}") for x in datasets for c in ("map5095", "map50")]
+    g = d.groupBy("mode").agg(
+        *[F.min(c).alias(c) for c in structure], F.count(F.lit(1)).alias("_n"), F.count_distinct("dataset").alias("_d"), F.min(F.struct(*structure)).alias("_low"), F.max(F.struct(*structure)).alias("_high"), *own,
+        F.avg("map5095").alias("macro_map5095"), F.avg("map50").alias("macro_map50"), per_image("prompt_tokens").alias("prompt_tokens_per_image"), per_image("completion_tokens").alias("completion_tokens_per_image"),
+        per_image("reasoning_tokens").alias("reasoning_tokens_per_image"), per_image("total_seconds").alias("seconds_per_image"), F.sum("model_failures").alias("model_failures"), F.sum("errors").alias("errors"),
+    )
+    complete = (F.col("_n") == len(datasets)) & (F.col("_d") == len(datasets))
+    mode = F.when(~complete, F.raise_error(F.concat(F.lit("modes of the datasets differ: "), "mode"))).when(~F.col("_low").eqNullSafe(F.col("_high")), F.raise_error(F.concat(F.lit("structure differs between datasets: "), "mode"))).otherwise(F.col("mode"))
+    return g.withColumn("mode", mode).withColumn("total_tokens_per_image", F.col("prompt_tokens_per_image") + F.col("completion_tokens_per_image")).drop("_n", "_d", "_low", "_high")

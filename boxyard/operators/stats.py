@@ -40,12 +40,32 @@ def repeat_noise(rows: DataFrame, groups: list[str], value: str) -> DataFrame:
 def repeat_ci(runs: DataFrame, baseline: str, score: str = "map5095", groups: tuple[str, ...] = ("dataset", "mode")) -> DataFrame:
     """Paired uplift over repeats with its 95 % interval, by dataset and mode; other numbers of repeats than 3 and 5 are an error."""
     deltas = paired_deltas(runs, baseline, [g for g in groups if g != "mode"] + ["repeat"], score)
-    noise = repeat_noise(deltas, list(groups), "delta")
+    return _interval(deltas, list(groups))
+
+
+def _interval(deltas: DataFrame, groups: list[str]) -> DataFrame:
+    """(groups, n, mean, sd, tie_threshold, low, high) of the column delta, a row for each repeat."""
+    noise = repeat_noise(deltas, groups, "delta")
     t = F.coalesce(*[F.when(F.col("n") == k, F.lit(v)) for k, v in T_CRITICAL.items()], F.raise_error(F.concat(F.lit("no critical value for so many repeats: "), F.col("n").cast("string"))).cast("double"))
     half = t * F.col("sd") / F.sqrt(F.col("n").cast("double"))
     return noise.select(*groups, "n", "mean", "sd", "tie_threshold", (F.col("mean") - half).alias("low"), (F.col("mean") + half).alias("high"))
 
 
+def count_contrasts(runs: DataFrame, pairs: list[tuple[str, str]], score: str = "map5095") -> DataFrame:
+    """(dataset, left, right, n, mean, sd, tie_threshold, low, high): mode left minus mode right over the repeats.
+
+    A row for each dataset and pair, and with dataset `macro` for the means over the datasets inside each repeat. A repeat that one
+    of the two modes lacks in a dataset is an error there, as a contrast over other repeats would not be paired.
+    """
+    sides = runs.sparkSession.createDataFrame(pairs, "left string, right string").select("left", "right", F.explode(F.array(F.struct(F.col("left").alias("mode"), F.lit(1).alias("sign")), F.struct(F.col("right").alias("mode"), F.lit(-1).alias("sign")))).alias("s"))
+    sides = F.broadcast(sides.select("left", "right", "s.mode", "s.sign"))  # two rows a pair
+    macro = runs.groupBy("mode", "repeat").agg(F.avg(score).alias("v")).withColumn("dataset", F.lit("macro"))
+    every = runs.select("dataset", "mode", "repeat", F.col(score).alias("v")).unionByName(macro)
+    both = every.join(sides, "mode").groupBy("dataset", "left", "right", "repeat").agg(F.sum(F.col("sign") * F.col("v")).alias("delta"), F.count(F.lit(1)).alias("k"))
+    paired = F.when(F.col("k") == 2, F.col("delta")).otherwise(F.raise_error(F.concat(F.lit("repeat without a partner in "), "dataset")).cast("double"))
+    return _interval(both.withColumn("delta", paired), ["dataset", "left", "right"])
+
+
 def macro_by_repeat(runs: DataFrame, score: str = "map5095") -> DataFrame:
     """Datasets are averaged inside each repeat, then the repeats are summarised: noise per mode."""
     per = runs.groupBy("mode", "repeat").agg(F.avg(score).alias("macro"))

@@ -180,3 +180,19 @@ def resolve_files(images: DataFrame, files: DataFrame) -> DataFrame:
     d = d.select("dataset", "file_name", F.when(outcome.isin("exact", "by_name"), F.coalesce("path", "only")).alias("path"), outcome.alias("outcome"))
     extra = f.join(d, ["dataset", "path"], "left_anti").select("dataset", F.lit(None).cast("string").alias("file_name"), "path", F.lit("extra").alias("outcome"))
     return d.unionByName(extra)
+
+
+def expected_totals(inventory: DataFrame, expected: dict[str, int]) -> DataFrame:
+    """(measure, expected, actual) of the grand totals that are not as expected. inventory: dataset_inventory(); a missing total is null."""
+    total = inventory.where("dataset = 'total'").select(F.inline(F.array(*[F.struct(F.lit(k).alias("measure"), F.lit(n).cast("long").alias("expected"), F.col(k).cast("long").alias("actual")) for k, n in expected.items()])))
+    return total.where(~F.col("expected").eqNullSafe(F.col("actual")))
+
+
+def token_sums(summary: DataFrame, records: DataFrame, fields: tuple[str, ...] = ("prompt_tokens", "completion_tokens")) -> DataFrame:
+    """(dataset, mode, field, told, summed) where a summary's tokens are not the sums of its records; nulls count as 0, a side that is missing is null."""
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
+    told = summary.select("dataset", "mode", *[zero(c).alias(f"told_{c}") for c in fields])
+    summed = records.groupBy("dataset", "mode").agg(*[F.sum(zero(c)).alias(f"summed_{c}") for c in fields])
+    each = [F.struct(F.lit(c).alias("field"), F.col(f"told_{c}").alias("told"), F.col(f"summed_{c}").alias("summed")) for c in fields]
+    d = told.join(summed, ["dataset", "mode"], "full").select("dataset", "mode", F.inline(F.array(*each)))
+    return d.where(~F.col("told").eqNullSafe(F.col("summed")))

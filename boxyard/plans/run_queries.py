@@ -511,3 +511,52 @@ def w15_route_accuracy(spark, sf_dir):
 )
 def t3_request_rate(spark, sf_dir):
     return runs.attempt_rate(load(spark, sf_dir)["task_log"], "mode", 60, 3).select("event_id", "calls", "over_limit")
+
+
+@register(
+    "a12_count_contrasts",
+    oracle(
+        f"""with r as (select dataset, mode, repeat, map5095 as v from run_scores union all select 'macro', mode, repeat, avg(map5095) from run_scores group by mode, repeat),
+p as (select 'ten' as "left", 'one' as "right" union all select 'ten', 'names' union all select 'one', 'names'),
+d as (select a.dataset, p."left", p."right", a.v - b.v as v from p join r a on a.mode = p."left" join r b on b.mode = p."right" and a.dataset = b.dataset and a.repeat = b.repeat),
+n as (select dataset, "left", "right", {_NOISE} from d group by all having count(*) >= 3), t as (select 3 as n, 4.302652729911275 as t union all select 5, 2.7764451051977987)
+select dataset, "left", "right", n.n, round(mean, 6) as mean, round(sd, 6) as sd, round(greatest(range, 1.96 * sqrt(2.0) * sd), 6) as tie_threshold, round(mean - t * sd / sqrt(n.n), 6) as low, round(mean + t * sd / sqrt(n.n), 6) as high from n join t on n.n = t.n""",
+        "run_scores",
+    ),
+)
+def a12_count_contrasts(spark, sf_dir):
+    return rounded(stats.count_contrasts(load(spark, sf_dir)["run_scores"], [("ten", "one"), ("ten", "names"), ("one", "names")]))
+
+
+@register(
+    "a4_failure_counts",
+    oracle(
+        """with r as (select mode as dataset, status, case event_id % 5 when 0 then 'timeout' when 1 then 'max_tokens' when 2 then 'invalid_response' when 3 then 'provider_request_failure' end as f from task_log)
+select dataset, count(*) filter (where status in ('success', 'model_failure')) as n_completed, count(*) filter (where status = 'success') as n_success, count(*) filter (where status = 'error') as n_error, count(*) filter (where status = 'model_failure') as n_model_failure,
+count(*) filter (where status = 'model_failure' and f = 'timeout') as n_timeout, count(*) filter (where status = 'model_failure' and f = 'max_tokens') as n_max_tokens, count(*) filter (where status = 'model_failure' and f = 'invalid_response') as n_invalid_response,
+count(*) filter (where status = 'model_failure' and (f is null or f = 'provider_request_failure')) as n_other_failure from r group by dataset""", "task_log"),
+)
+def a4_failure_counts(spark, sf_dir):
+    k = F.col("event_id") % 5
+    kind = F.when(k == 0, "timeout").when(k == 1, "max_tokens").when(k == 2, "invalid_response").when(k == 3, "provider_request_failure")
+    return runs.failure_counts(load(spark, sf_dir)["task_log"].select(F.col("mode").alias("dataset"), "status", kind.alias("failure_type")))
+
+
+@register(
+    "a20_candidate_rows",
+    oracle(
+        """with n as (select dataset, count(*) as n_images from det_images group by dataset), s as (select * from mode_scores join n using (dataset) where dataset in ('ds00', 'ds01'))
+select mode, min(case when mode = 'names' then 'class_names' else 'boxes' end) as semantics, cast(min(length(mode)) as int) as box_count, round(max(case when dataset = 'ds00' then map5095 end), 6) as ds00_map5095, round(max(case when dataset = 'ds00' then map50 end), 6) as ds00_map50,
+round(max(case when dataset = 'ds01' then map5095 end), 6) as ds01_map5095, round(max(case when dataset = 'ds01' then map50 end), 6) as ds01_map50, round(avg(map5095), 6) as macro_map5095, round(avg(map50), 6) as macro_map50,
+round(avg(prompt_tokens / n_images::double), 6) as prompt_tokens_per_image, round(avg(completion_tokens / n_images::double), 6) as completion_tokens_per_image, round(avg(cached_tokens / n_images::double), 6) as reasoning_tokens_per_image,
+round(avg(prompt_tokens / n_images::double) + avg(completion_tokens / n_images::double), 6) as total_tokens_per_image, round(avg(task_count / n_images::double), 6) as seconds_per_image, cast(sum(task_count % 7) as bigint) as model_failures, cast(sum(task_count % 3) as bigint) as errors from s group by mode""",
+        "det_images", "run_scores", "mode_scores",
+    ),
+)
+def a20_candidate_rows(spark, sf_dir):
+    t = load(spark, sf_dir)
+    s = t["mode_scores"].withColumnRenamed("cached_tokens", "reasoning_tokens").withColumns(
+        {"semantics": F.when(F.col("mode") == "names", "class_names").otherwise("boxes"), "box_count": F.length("mode"), "total_seconds": F.col("task_count"), "model_failures": F.col("task_count") % 7, "errors": F.col("task_count") % 3}
+    )
+    n = t["det_images"].groupBy("dataset").agg(F.count(F.lit(1)).alias("n_images"))
+    return rounded(runs.candidate_rows(s, n, ["ds00", "ds01"], ["semantics", "box_count"]))

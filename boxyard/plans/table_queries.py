@@ -835,3 +835,33 @@ def a17_adaptive_summary(spark, sf_dir):
     t = r.select("task_key").distinct()
     t = t.unionByName(t.select(F.concat("task_key", F.lit("_next")).alias("task_key")))
     return rounded(runs.adaptive_summary(adaptive.fold_rounds(r, available, 4), t, spark.createDataFrame([(0,), (1,), (2,), (3,)], "category_id int")))
+
+
+@register("v2_expected_totals", oracle("select 'n_images' as measure, 1::bigint as expected, count(*) as actual from det_images union all select 'n_annotations', 3, (select count(*) from det_annotations)", "det_images", "det_categories", "det_annotations"))
+def v2_expected_totals(spark, sf_dir):
+    """Two totals that differ from what is expected, and one that does not: 20 datasets of three classes."""
+    t = load(spark, sf_dir)
+    d = validate.dataset_inventory(t["det_images"], t["det_annotations"], t["det_categories"])
+    return validate.expected_totals(d, {"n_images": 1, "n_annotations": 3, "n_classes": 60})
+
+
+@register(
+    "v6_token_sums",
+    oracle(
+        """with told as (select dataset, mode, prompt_tokens + case when mode = 'ten' then 1 else 0 end as p, completion_tokens as c from mode_scores where dataset <> 'ds03'),
+s as (select dataset, mode, cast(sum(prompt_tokens) as bigint) as p, cast(sum(case when dataset = 'ds05' and repeat = 1 then 0 else completion_tokens end) as bigint) as c from run_scores group by all),
+j as (select dataset, mode, 'prompt_tokens' as field, cast(told.p as bigint) as told, s.p as summed from told full join s using (dataset, mode) union all select dataset, mode, 'completion_tokens', cast(told.c as bigint), s.c from told full join s using (dataset, mode))
+select dataset, mode, field, coalesce(told, -1) as told, coalesce(summed, -1) as summed from j where told is distinct from summed""", "run_scores", "mode_scores"),
+)
+def v6_token_sums(spark, sf_dir):
+    """Summaries one token too high, a dataset without summaries, and records without their completion tokens."""
+    t = load(spark, sf_dir)
+    told = t["mode_scores"].where("dataset <> 'ds03'").withColumn("prompt_tokens", F.col("prompt_tokens") + F.when(F.col("mode") == "ten", 1).otherwise(0))
+    records = t["run_scores"].withColumn("completion_tokens", F.when(~((F.col("dataset") == "ds05") & (F.col("repeat") == 1)), F.col("completion_tokens")))
+    return validate.token_sums(told, records).na.fill(-1, ["told", "summed"])
+
+
+@register("j5_empty_classes", oracle(f"with {_RANDOM}, rf as (select * from rr where rank <= 1) select distinct dataset, image_id as target_id, category_id from rf", *BOXES))
+def j5_empty_classes(spark, sf_dir):
+    t = load(spark, sf_dir)
+    return references.empty_reference_classes(random_references(t, 1), t["det_images"])
