@@ -36,8 +36,45 @@ def fold_greedy(pairs: Column) -> Column:
 def greedy_match(candidates: DataFrame, keys: list[str], threshold: float | None = None) -> DataFrame:
     """One row per taken pair: keys, l, r, iou."""
     c = candidates if threshold is None else candidates.where(F.col("iou") >= threshold)
-    groups = c.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("iou", "l", "r")), asc=False).alias("p"))
-    return groups.select(*keys, F.explode(fold_greedy(F.col("p"))).alias("m")).select(*keys, "m.l", "m.r", "m.iou")
+    groups = c.groupBy(*keys).agg(F.collect_list(F.struct("iou", F.col("l").cast("long").alias("l"), F.col("r").cast("long").alias("r"))).alias("p"))
+    return groups.select(*keys, F.inline(taken_pairs("p"))).select(*keys, "l", "r", "iou")
+
+
+def taken_pairs(pairs: str) -> Column:
+    """From an array of struct(iou, l, r) in any order the pairs that are taken. Only where pairs compete are they sorted and folded."""
+    p = F.col(pairs)
+    alone = lambda side: F.size(F.array_distinct(p[side])) == F.size(p)
+    return F.when(alone("l") & alone("r"), p).otherwise(fold_greedy(F.sort_array(p, asc=False)))
+
+
+#: What an object and a detection have to have in common.
+SAME = ["dataset", "image_id", "category_id"]
+
+
+def _met(gt: DataFrame, predictions: DataFrame) -> DataFrame:
+    """(SAME, g, p): the objects (l, lx, ly, lw, lh) and the detections (mode, r, rx, ry, rw, rh) of each image and class.
+
+    Both sides are grouped in one pass by keys without the mode, so objects are not copied for each mode. Rows with a null
+    among the keys meet nothing.
+    """
+    sides = [("g", gt.select(*SAME, F.struct(F.col("ann_id").cast("long").alias("l"), *[F.col(v).alias(f"l{v}") for v in BOX]).alias("g"))), ("p", predictions.select(*SAME, F.struct("mode", F.col("det_ord").cast("long").alias("r"), *[F.col(v).alias(f"r{v}") for v in BOX]).alias("p")))]
+    kinds = {n: d.schema[n].dataType for n, d in sides}
+    rows = [d.select(*SAME, *[F.col(c) if c == n else F.lit(None).cast(kinds[c]).alias(c) for c in kinds]) for n, d in sides]
+    d = rows[0].unionByName(rows[1]).groupBy(*SAME).agg(F.collect_list("g").alias("g"), F.collect_list("p").alias("p"))
+    lacking = F.greatest(*[F.col(c).isNull() for c in SAME])
+    none = {n: F.filter(n, lambda x: F.lit(False)).alias(n) for n in kinds}
+    apart = F.array(F.struct("g", none["p"]), F.struct(none["g"], "p"))
+    return d.select(*SAME, F.inline(F.when(lacking, apart).otherwise(F.array(F.struct("g", "p")))))
+
+
+def _overlap() -> Column:
+    return iou([F.col(f"l{v}") for v in BOX], [F.col(f"r{v}") for v in BOX])
+
+
+def object_candidates(gt: DataFrame, predictions: DataFrame, iou_min: float) -> DataFrame:
+    """match_candidates() of objects, which have no mode, with the detections of every mode: dataset, mode, image_id, category_id, l, r, iou."""
+    d = _met(gt, predictions).where(F.size("g") > 0).select(*SAME, "g", F.inline("p")).select(*SAME, "mode", "r", *[f"r{v}" for v in BOX], F.inline("g"))
+    return d.select("dataset", "mode", "image_id", "category_id", "l", "r", _overlap().alias("iou")).where(F.col("iou") >= iou_min)
 
 
 #: Thresholds of known-object recall; the ninth is exactly 0.9.
@@ -97,12 +134,17 @@ def detection_agreement(predictions: DataFrame, images: DataFrame, pairs: list[t
 
 def image_f1(gt: DataFrame, predictions: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(dataset, mode, image_id, category_id, n_gt, n_pred, n_matched, f1) wherever there is an object or a prediction."""
-    keys = ["dataset", "mode", "image_id", "category_id"]
-    g = gt.join(predictions.select("dataset", "mode").distinct(), "dataset")
-    m = greedy_match(match_candidates(g, predictions, keys, "ann_id", "det_ord", threshold), keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_matched"))
-    n_gt = g.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_gt"))
-    n_pred = predictions.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_pred"))
-    j = n_gt.join(n_pred, keys, "full").join(m, keys, "left").na.fill(0, ["n_gt", "n_pred", "n_matched"])
+    modes = predictions.select("dataset", "mode").distinct().groupBy("dataset").agg(F.collect_list("mode").alias("modes"))
+    d = _met(gt, predictions).join(F.broadcast(modes), "dataset", "left")  # one row per dataset
+    # modes that detect nothing stand here with a detection that is none
+    bare = F.transform(F.array_except("modes", F.col("p")["mode"]), lambda m: F.struct(m.alias("mode"), F.lit(None).cast("long").alias("r"), *[F.lit(None).cast(gt.schema[v].dataType).alias(f"r{v}") for v in BOX]))
+    d = d.withColumn("p", F.when(F.col("modes").isNotNull() & (F.size("g") > 0), F.concat("p", bare)).otherwise(F.col("p"))).withColumn("n_gt", F.size("g").cast("long"))
+    d = d.select(*SAME, "n_gt", "g", F.inline("p")).select(*SAME, "n_gt", "mode", "r", *[f"r{v}" for v in BOX], F.inline_outer("g"))
+    near = F.when(_overlap() >= threshold, F.struct(_overlap().alias("iou"), "l", "r"))
+    per = d.groupBy("dataset", "mode", "image_id", "category_id", "n_gt").agg(F.count("r").alias("_rows"), F.collect_list(near).alias("_pairs"))
+    # a detection has a row for each object, or one
+    n_pred = F.expr("_rows div greatest(n_gt, 1L)").alias("n_pred")
+    j = per.select("dataset", "mode", "image_id", "category_id", "n_gt", n_pred, F.size(taken_pairs("_pairs")).cast("long").alias("n_matched"))
     total = F.col("n_gt") + F.col("n_pred")
     return j.withColumn("f1", F.when(total == 0, 1.0).otherwise(2 * F.col("n_matched") / total))
 
