@@ -75,10 +75,11 @@ def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:
 def _object_hashes(images: DataFrame, annotations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(dataset, image_id, sha) over an image's own fields and its annotations, and (dataset, image_id, ann_id, sha) of each annotation."""
     own = lambda d, keys: F.sha2(F.to_json(F.struct(*sorted(c for c in d.columns if c not in keys)), {"ignoreNullFields": "false"}), 256)
-    a = annotations.select("dataset", "image_id", "ann_id", own(annotations, ("dataset", "image_id", "ann_id")).alias("sha"))
-    per = a.groupBy("dataset", "image_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.col("ann_id").cast("string"), F.lit(":"), "sha"))), ",").alias("_a"))
+    a = keep(annotations.select("dataset", "image_id", "ann_id", F.unhex(own(annotations, ("dataset", "image_id", "ann_id"))).alias("sha")), "hashes")  # read twice
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("ann_id", "sha"))), lambda x: F.concat(x["ann_id"].cast("string"), F.lit(":"), F.hex(x["sha"])))
+    per = a.groupBy("dataset", "image_id").agg(F.array_join(listed, ",").alias("_a"))
     i = images.select("dataset", "image_id", own(images, ("dataset", "image_id")).alias("_own")).join(per, ["dataset", "image_id"], "full")
-    return i.select("dataset", "image_id", F.sha2(F.concat_ws("|", F.coalesce("_own", F.lit("-")), F.coalesce("_a", F.lit("-"))), 256).alias("sha")), a
+    return keep(i.select("dataset", "image_id", F.sha2(F.concat_ws("|", F.coalesce("_own", F.lit("-")), F.coalesce("_a", F.lit("-"))), 256).alias("sha")), "hashes"), a
 
 
 def _changes(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -94,7 +95,7 @@ def snapshot_changes(old: tuple[DataFrame, DataFrame], new: tuple[DataFrame, Dat
     and only below what has changed on both sides is looked for what it was: equal datasets and equal images are never
     joined in detail. What is missing or extra as a whole is told once, at its own level.
     """
-    (old_images, old_objects), (new_images, new_objects) = (tuple(keep(x, "hashes") for x in _object_hashes(*s)) for s in (old, new))
+    (old_images, old_objects), (new_images, new_objects) = (_object_hashes(*s) for s in (old, new))
     whole = keep(_changes(large_set_sha(old_images, ["dataset"], ["image_id", "sha"]), large_set_sha(new_images, ["dataset"], ["image_id", "sha"]), ["dataset"]), "datasets")
     below = whole.where("change = 'changed'").select("dataset")
     images = keep(_changes(old_images.join(below, "dataset", "left_semi"), new_images.join(below, "dataset", "left_semi"), ["dataset", "image_id"]), "images")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from boxyard.operators import detections, matching, tasks
+from boxyard.operators import detections, matching, tasks, validate
 from boxyard.streaming import streams
 
 
@@ -60,9 +60,27 @@ def test_fingerprints_deal_no_tasks(spark):
     now = make("file_name")
     key = lambda d: {(x["task_key"], x["fingerprint"]) for x in d.collect()}
     assert key(now) == key(make()) and now.count() == 6
-    assert plan_of(make("file_name")).count("SortMergeJoin") <= 1  # of payloads and their images
+    assert plan_of(make("file_name")).count("SortMergeJoin") < plan_of(make()).count("SortMergeJoin")
     records = now.select("task_key", "fingerprint", F.lit("success").alias("status"))
     other = records.withColumn("fingerprint", F.when(F.col("task_key").endswith("all"), "other").otherwise(F.col("fingerprint")))
     found = tasks.conflicts(now, records.unionByName(other).unionByName(other))
     assert sorted((x["task_key"], x["recorded"]) for x in found.collect()) == [("m__image_1__class_all", "other"), ("m__image_2__class_all", "other")]
     assert not [x for x in plan_of(found).splitlines() if "Exchange hashpartitioning" in x and "task_key" in x and "fingerprint" in x]
+
+
+def test_annotations_of_a_snapshot_are_hashed_once(spark, tmp_path):
+    """What the images' hashes and the comparison of annotations read is derived once."""
+    i = spark.createDataFrame([("d", 1, "1.jpg")], "dataset string, image_id long, file_name string")
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(c):
+        def pass_on(batches):
+            for b in batches:
+                seen.add(b.num_rows)
+                yield b
+
+        return spark.createDataFrame([("d", 1, 5, c)], "dataset string, image_id long, ann_id long, category_id int").mapInArrow(pass_on, "dataset string, image_id long, ann_id long, category_id int")
+
+    got = validate.snapshot_changes((i, counted(1)), (i, counted(2))).collect()
+    assert {(x["level"], x["image_id"], x["ann_id"], x["change"]) for x in got} == {("dataset", None, None, "changed"), ("image", 1, None, "changed"), ("annotation", 1, 5, "changed")}
+    assert seen.value == 2
