@@ -277,11 +277,13 @@ def score_toxicity(docs: DataFrame, model: Model, folds: int = 5, id_col: str =
 def drop_toxic(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, folds: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, that a model trained on them and the labels doesn't call toxic."""
     model = train(docs, labels, max_train, folds, id_col, text_col)
-    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+    # rows go to Python as they are, each text once: a batch of long texts is what a worker's memory is made of
+    names = ["text" if c == text_col else f"_{i}" for i, c in enumerate(docs.columns)]
+    whole = docs.select(*[docs[c].alias(n) for c, n in zip(docs.columns, names, strict=True)])
 
     def keep_clean(batches):
         for rows, x in _matched(batches, model.insults):
-            clean = rows.filter(pa.array(model.score(x) < 0.5))
-            yield pa.record_batch([clean.column(0)], ["row"])
+            yield rows.filter(pa.array(model.score(x) < 0.5))
 
-    return whole.mapInArrow(keep_clean, f"row {whole.schema['row'].dataType.simpleString()}").select("row.*")
+    kinds = ", ".join(f"{n} {whole.schema[n].dataType.simpleString()}" for n in names)
+    return whole.mapInArrow(keep_clean, kinds).toDF(*docs.columns)
