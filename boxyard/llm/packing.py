@@ -30,6 +30,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
@@ -40,8 +41,8 @@ from boxyard.llm.shared import keep
 
 _ROLL = Rolling()
 
-#: How the file cuts a text into pieces.
-_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: How the file cuts a text into pieces: 's|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+ so that nothing is tried twice.
+_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 
 
 class ByteBPE:
@@ -114,18 +115,25 @@ class Index:
             data = np.frombuffer(b"\n".join(texts), np.uint8)
             bounds = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
             bounds[-1] = len(data)
-            self.words, self.term, tf, doc, each = bags(data, bounds)
-            n, self.df = len(texts), np.bincount(self.term, minlength=len(self.words))
-            gain = gains(self.df[self.term], tf, each[doc], n, each.mean() if n else 1.0)
+            word, each = word_hashes(data, bounds)
+            n = len(texts)
+            # words are numbered as they come, and (word, text) sorts straight into postings
+            self.term, self.words = pd.factorize(word)
+            key, tf = np.unique(self.term * n + np.repeat(np.arange(n), each), return_counts=True)
+            term, self.doc = np.divmod(key, max(1, n))
+            self.df = np.bincount(term, minlength=len(self.words))
+            self.gain = gains(self.df[term], tf, each[self.doc], n, each.mean() if n else 1.0)
+            self.at = np.append(0, np.cumsum(each))
         else:
             word, doc, gain, n = postings
             self.words, self.term, self.df = np.unique(word, return_inverse=True, return_counts=True)
-        order = np.argsort(self.term, kind="stable")
+            order = np.argsort(self.term, kind="stable")
+            self.doc, self.gain = doc[order], gain[order]
+            self.at = np.searchsorted(doc, np.arange(n + 1))
         self.begin = np.append(0, np.cumsum(self.df))
-        self.doc, self.gain = doc[order], gain[order]
-        self.at = np.searchsorted(doc, np.arange(n + 1))
         self.used = np.zeros(n, bool)
-        self._asked, self._left = 0, n
+        self._asked = 0
+        self._free = np.arange(n)  # the documents that postings tell of, by their number there
 
     def scores(self, words: list[np.ndarray]) -> np.ndarray:
         """What each document scores for each list of distinct words; exact."""
@@ -164,26 +172,28 @@ class Index:
 
     def _forget_used(self) -> None:
         """Drops the postings of used documents."""
-        free = ~self.used[self.doc]
+        left = ~self.used[self._free]
+        free = left[self.doc]
         self.begin = np.append(0, np.cumsum(free))[self.begin]
-        self.doc, self.gain = self.doc[free], self.gain[free]
-        self._left = np.count_nonzero(~self.used)
+        self.doc, self.gain = (np.cumsum(left) - 1)[self.doc[free]], self.gain[free]
+        self._free = self._free[left]
 
     def neighbours(self, seed: int) -> Iterator[int]:
         """Unused documents that share words with the seed, best first."""
         self._asked += 1
-        if self._asked % 64 == 0 and np.count_nonzero(~self.used) < 0.7 * self._left:
+        if self._asked % 32 == 0 and np.count_nonzero(self.used[self._free]) > 0.15 * len(self._free):
             self._forget_used()
-        t = self.term[self.at[seed] : self.at[seed + 1]]
+        t = np.unique(self.term[self.at[seed] : self.at[seed + 1]])
         p = ranges(self.begin[t], self.begin[t + 1] - self.begin[t])
-        score = np.bincount(self.doc[p], self.gain[p], len(self.used))
-        score[self.used] = 0
+        score = np.bincount(self.doc[p], self.gain[p], len(self._free))
+        score[self.used[self._free]] = 0
         most = 64
+        number = self._free
         docs = np.flatnonzero(score)
         while len(docs):
             # the best ones first; few seeds ask for more
             top = docs if len(docs) <= most else docs[score[docs] >= np.partition(score[docs], len(docs) - most)[len(docs) - most]]
-            yield from top[np.argsort(-score[top], kind="stable")].tolist()
+            yield from number[top[np.argsort(-score[top], kind="stable")]].tolist()
             score[top] = 0
             docs, most = np.flatnonzero(score), 16 * most
 
@@ -244,7 +254,7 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, end_id: int, window: int
     end = np.uint32(end_id).tobytes()
     part = TaskContext.get().partitionId() if TaskContext.get() else 0
     n_shard = held = 0
-    ids, texts, tokens = [], [], []
+    ids, texts, tokens, coded = [], [], [], {}
 
     def flush():
         # a sequence's id: partition, shard in it, sequence in that
@@ -258,10 +268,12 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, end_id: int, window: int
             raw = text.as_py()
             if ids and (len(ids) >= shard_docs or held + len(raw) > shard_chars):
                 yield flush()
-                ids, texts, tokens, held, n_shard = [], [], [], 0, n_shard + 1
+                ids, texts, tokens, coded, held, n_shard = [], [], [], {}, 0, n_shard + 1
             ids.append(row)
             texts.append(raw.encode())
-            tokens.append(bpe.encode(raw, marks) + end)
+            if texts[-1] not in coded:  # copies lie in one family
+                coded[texts[-1]] = bpe.encode(raw, marks) + end
+            tokens.append(coded[texts[-1]])
             held += len(raw)
     if ids:
         yield flush()
