@@ -12,7 +12,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from boxyard.functions.geometry import AREAS, box, crowd_iou
-from boxyard.operators.curves import CLASS, average_precisions, bit_of, range_sums, sorted_detections
+from boxyard.functions.rows import bound
+from boxyard.operators.curves import CLASS, average_precisions, range_sums, sorted_detections
+from boxyard.operators.matching import BOX, SAME, meet
 from boxyard.sources.tables import keep
 
 #: linspace(0.5, 0.95, 10), whose ninth value is below 0.9.
@@ -48,6 +50,18 @@ def _fold(pairs: Column) -> Column:
     return F.aggregate(pairs, F.array().cast(kind), take)
 
 
+def _turns(near: Column, lo: Column, hi: Column) -> Column:
+    """Pairs in the form that _fold() takes, for objects of an area range."""
+    return F.transform(
+        near,
+        lambda x: F.struct(
+            (-x["score"]).alias("neg_score"), x["det_ord"].alias("det_ord"),
+            F.when((x["iscrowd"] == 1) | (x["gt_area"] < lo) | (x["gt_area"] > hi), 1).otherwise(0).alias("ig"),
+            (-x["iou"]).alias("neg_iou"), (-x["ann_id"]).alias("neg_ann"), x["ann_id"].alias("ann_id"), x["iscrowd"].alias("crowd"),
+        ),
+    )
+
+
 def _candidates(gt: DataFrame, first: DataFrame, least: float) -> DataFrame:
     """(group, c, plain): the pairs of each image and class from the lowest threshold on; plain: no side is in two of them."""
     g = with_defaults(gt).select("dataset", "image_id", "category_id", "ann_id", "x", "y", "w", "h", F.col("area").alias("gt_area"), "iscrowd").alias("g")
@@ -75,14 +89,7 @@ def _folded(groups: DataFrame, thresholds: list[float], areas: tuple[str, ...])
     e = groups.where(~F.col("plain")).select(*GROUP, "c", F.explode(cells).alias("k")).select(*GROUP, "c", "k.*")
     e = e.withColumn("near", F.filter("c", lambda x: _reaches(x["iou"], F.col("thr")))).where(F.size("near") > 0)
     near = F.col("near")
-    keyed = F.transform(
-        near,
-        lambda x: F.struct(
-            (-x["score"]).alias("neg_score"), x["det_ord"].alias("det_ord"),
-            F.when((x["iscrowd"] == 1) | (x["gt_area"] < F.col("lo")) | (x["gt_area"] > F.col("hi")), 1).otherwise(0).alias("ig"),
-            (-x["iou"]).alias("neg_iou"), (-x["ann_id"]).alias("neg_ann"), x["ann_id"].alias("ann_id"), x["iscrowd"].alias("crowd"),
-        ),
-    )
+    keyed = _turns(near, F.col("lo"), F.col("hi"))
     hits = e.select(*GROUP, "cell", "thr", "area", F.explode(F.when(F.size(near) == 1, _fold(keyed)).otherwise(_fold(F.sort_array(keyed)))).alias("m"))
     return hits.select(*GROUP, "cell", "thr", "area", "m.*")
 
@@ -101,33 +108,87 @@ def coco_match(gt: DataFrame, predictions: DataFrame, thresholds: list[float] =
     return plain.select(*columns).unionByName(_folded(groups, thresholds, areas))
 
 
-def _masks(groups: DataFrame, thresholds: list[float], areas: tuple[str, ...]) -> DataFrame:
-    """(group, det_ord, hit, hit_ig): the cells in which a detection is matched, and those in which with an ignored object, as bits."""
+def _hits(cells: list[tuple[float, str]]) -> Column:
+    """Of c, the pairs of a group: (det_ord, hit, hit_ig) with the cells in which a detection is matched, and those in which with an ignored object, as bits.
+
+    Where no pair competes, each is matched wherever it reaches the threshold; other groups are folded for each cell.
+    """
     nothing = F.lit(0).cast("long")
-    hit, ignored = nothing, nothing
-    for i, (t, a) in enumerate(_cells(thresholds, areas)):
-        here = F.when(_reaches(F.col("iou"), t), F.lit(1 << i)).otherwise(F.lit(0)).cast("long")
-        hit = hit.bitwiseOR(here)
-        ignored = ignored.bitwiseOR(F.when(_outside(a), here).otherwise(nothing))
-    plain = _pairs(groups).select(*GROUP, F.col("det_ord").cast("long").alias("det_ord"), hit.alias("hit"), ignored.alias("hit_ig"))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("cell"))
-    folded = _folded(groups, thresholds, areas).groupBy(*GROUP, "det_ord").agg(F.bit_or(bit).alias("hit"), F.bit_or(F.when(F.col("ig") == 1, bit).otherwise(nothing)).alias("hit_ig"))
-    return plain.unionByName(folded)
+
+    def alone(x: Column) -> Column:
+        hit, ignored = nothing, nothing
+        for i, (t, a) in enumerate(cells):
+            here = F.when(_reaches(x["iou"], t), F.lit(1 << i)).otherwise(F.lit(0)).cast("long")
+            hit = hit.bitwiseOR(here)
+            ignored = ignored.bitwiseOR(F.when((x["iscrowd"] == 1) | (x["gt_area"] < AREAS[a][0]) | (x["gt_area"] > AREAS[a][1]), here).otherwise(nothing))
+        return F.struct(x["det_ord"].cast("long").alias("det_ord"), hit.alias("hit"), ignored.alias("hit_ig"))
+
+    def folded(k: Column) -> Column:
+        near = F.filter("c", lambda x: _reaches(x["iou"], k["thr"]))
+        taken = _fold(F.sort_array(_turns(near, k["lo"], k["hi"])))
+        return F.transform(taken, lambda t: F.struct(t["det_ord"].alias("det_ord"), k["bit"].alias("hit"), F.when(t["ig"] == 1, k["bit"]).otherwise(nothing).alias("hit_ig")))
+
+    every = F.array(*[F.struct(F.lit(1 << i).cast("long").alias("bit"), F.lit(t).alias("thr"), F.lit(AREAS[a][0]).alias("lo"), F.lit(AREAS[a][1]).alias("hi")) for i, (t, a) in enumerate(cells)])
+    once = lambda f: F.size(F.array_distinct(F.transform("c", lambda x: x[f]))) == F.size("c")
+    return F.when(once("det_ord") & once("ann_id"), F.transform("c", alone)).otherwise(F.flatten(F.transform(every, folded)))
+
+
+def matched(gt: DataFrame, predictions: DataFrame, thresholds: list[float], areas: tuple[str, ...], max_dets: int) -> DataFrame:
+    """(dataset, image_id, category_id, mode, npig_<area>..., d): the judged() detections of each group as a list, and the objects that count in each area range.
+
+    Objects and detections meet in one grouping and all else happens inside its rows, so a detection is dealt once. An image's
+    objects are told once, beside the first of its modes, or beside none.
+    """
+    cells = _cells(thresholds, areas)
+    own = [c for c in ("area", "iscrowd") if c in gt.columns]
+    d = meet(gt.select(*SAME, F.struct("ann_id", *BOX, *own).alias("g")), predictions.select(*SAME, F.struct("mode", "score", "det_ord", *BOX).alias("p")))
+    area = lambda o: o["area"] if "area" in own else o["w"] * o["h"]
+    crowd = lambda o: o["iscrowd"] if "iscrowd" in own else F.lit(0)
+    inside = lambda a: lambda o: (crowd(o) == 0) & (area(o) >= AREAS[a][0]) & (area(o) <= AREAS[a][1])
+    d = d.select(*SAME, "g", "p", F.posexplode_outer(F.array_distinct(F.col("p")["mode"])).alias("nth", "mode"))
+    d = d.withColumns({f"npig_{a}": F.when(F.coalesce("nth", F.lit(0)) == 0, F.size(F.filter("g", inside(a)))).otherwise(0).cast("long") for a in areas})
+    listed = F.transform(F.filter("p", lambda x: x["mode"].eqNullSafe(F.col("mode"))), lambda x: F.struct(x["score"].alias("score"), (-x["det_ord"]).alias("neg_ord"), x["det_ord"].alias("det_ord"), *[x[v].alias(v) for v in BOX]))
+    d = bound(d, s=F.slice(F.sort_array(listed, asc=False), 1, max_dets)).drop("p", "nth")
+    sides = lambda x: [x[v] for v in BOX]
+
+    def near(x: Column) -> Column:
+        pairs = F.transform("g", lambda o: F.struct(x["score"].alias("score"), x["det_ord"].alias("det_ord"), crowd_iou(sides(x), sides(o), crowd(o)).alias("iou"), o["ann_id"].alias("ann_id"), area(o).alias("gt_area"), crowd(o).alias("iscrowd")))
+        return F.filter(pairs, lambda y: y["iou"] >= min(thresholds))
+
+    d = bound(d, c=F.flatten(F.transform("s", near))).drop("g")
+    d = bound(d, m=_hits(cells)).drop("c")
+    bits = lambda x, f: F.aggregate("m", F.lit(0).cast("long"), lambda b, y: F.when(y["det_ord"] == x["det_ord"], b.bitwiseOR(y[f])).otherwise(b)).alias(f)
+    d = bound(d, s=F.transform("s", lambda x, i: F.struct(x["score"].alias("score"), x["det_ord"].alias("det_ord"), (i + 1).alias("rank"), (x["w"] * x["h"]).alias("det_area"), bits(x, "hit"), bits(x, "hit_ig")))).drop("m")
+
+    def result(x: Column) -> Column:
+        outside = F.lit(0).cast("long")
+        for a in areas:
+            of_area = sum(1 << i for i, c in enumerate(cells) if c[1] == a)
+            outside = outside.bitwiseOR(F.when((x["det_area"] < AREAS[a][0]) | (x["det_area"] > AREAS[a][1]), F.lit(of_area)).otherwise(F.lit(0)).cast("long"))
+        ignored = x["hit_ig"].bitwiseOR(outside.bitwiseAND(F.bitwise_not(x["hit"])))
+        return F.struct(x["score"].alias("score"), x["det_ord"].alias("det_ord"), x["rank"].alias("rank"), x["hit"].bitwiseAND(F.bitwise_not(x["hit_ig"])).alias("tp"), ignored.alias("ignored"))
+
+    return d.select(*SAME, "mode", *[f"npig_{a}" for a in areas], F.transform("s", result).alias("d"))
+
+
+def _rows(groups: DataFrame) -> DataFrame:
+    """The detections of matched() as rows."""
+    return groups.select(*CLASS, "image_id", F.inline("d")).select(*CLASS, "score", "image_id", "det_ord", "rank", "tp", "ignored")
 
 
 def judged(gt: DataFrame, predictions: DataFrame, thresholds: list[float], areas: tuple[str, ...], max_dets: int) -> DataFrame:
     """Every detection with its rank and one bit for each cell (threshold and area range; at most 62): tp, whether it is a hit, and ignored."""
-    cells = _cells(thresholds, areas)
-    first = keep(ranked(predictions, max_dets), "ranked")  # read twice
-    masks = _masks(_candidates(gt, first, min(thresholds)), thresholds, areas)
-    d = first.select(*GROUP, "det_ord", "score", "rank", (F.col("w") * F.col("h")).alias("det_area")).join(masks, [*GROUP, "det_ord"], "left").na.fill(0, ["hit", "hit_ig"])
-    outside = F.lit(0).cast("long")
-    for a in areas:
-        of_area = sum(1 << i for i, c in enumerate(cells) if c[1] == a)
-        outside = outside.bitwiseOR(F.when((F.col("det_area") < AREAS[a][0]) | (F.col("det_area") > AREAS[a][1]), F.lit(of_area)).otherwise(F.lit(0)).cast("long"))
-    tp = F.col("hit").bitwiseAND(F.bitwise_not("hit_ig"))
-    ignored = F.col("hit_ig").bitwiseOR(outside.bitwiseAND(F.bitwise_not("hit")))
-    return d.select(*CLASS, "score", "image_id", "det_ord", "rank", tp.alias("tp"), ignored.alias("ignored"))
+    return _rows(matched(gt, predictions, thresholds, areas, max_dets))
+
+
+def _found_by(groups: DataFrame) -> DataFrame:
+    """(dataset, mode) that detect anything, of matched()."""
+    return groups.where(F.size("d") > 0).select("dataset", "mode").distinct()
+
+
+def _counted(groups: DataFrame, areas: tuple[str, ...]) -> DataFrame:
+    """(dataset, category_id, npig_<area>...): objects that count in each area range, of matched()."""
+    return groups.groupBy("dataset", "category_id").agg(*[F.sum(f"npig_{a}").alias(f"npig_{a}") for a in areas])
 
 
 def coco_curves(gt: DataFrame, predictions: DataFrame, thresholds: list[float], areas: tuple[str, ...], max_dets: int, few: tuple[int, ...] = ()) -> DataFrame:
@@ -137,26 +198,19 @@ def coco_curves(gt: DataFrame, predictions: DataFrame, thresholds: list[float],
     others follow or not, so one matching serves all.
     """
     cells = _cells(thresholds, areas)
-    g = with_defaults(gt)
-    counted = counted_objects(g, areas)
+    groups = keep(matched(gt, predictions, thresholds, areas, max_dets), "matched")
     rows = F.array(*[F.struct(F.lit(k).alias("cell"), F.lit(t).alias("thr"), F.lit(a).alias("area"), F.col(f"npig_{a}").alias("npig")) for k, (t, a) in enumerate(cells)])
-    objects = counted.select("dataset", "category_id", F.inline(rows)).where("npig > 0")
-    d = sorted_detections(keep(judged(g, predictions, thresholds, areas, max_dets), "judged"))
+    objects = _counted(groups, areas).select("dataset", "category_id", F.inline(rows)).where("npig > 0")
+    d = sorted_detections(_rows(groups))
     sums = range_sums(d, len(cells), (max_dets, *few))
     ap = average_precisions(d, len(cells), objects.select("dataset", "category_id", "cell", F.array(F.col("npig").cast("double")).alias("npig")), sums)
     ap = ap.select(*CLASS, "cell", F.get("ap", F.lit(0)).alias("ap"))
     found = sums.groupBy(*CLASS, "cell").agg(*[F.sum(f"first_{n}").alias(f"ar_{n}") for n in (max_dets, *few)])
-    full = objects.join(predictions.select("dataset", "mode").distinct(), "dataset").join(ap, [*CLASS, "cell"], "left").join(found, [*CLASS, "cell"], "left")
+    full = objects.join(_found_by(groups), "dataset").join(ap, [*CLASS, "cell"], "left").join(found, [*CLASS, "cell"], "left")
     recall = lambda n: F.coalesce(F.col(f"ar_{n}"), F.lit(0)) / F.col("npig")
     return full.select(*CLASS, "thr", "area", "npig", F.coalesce("ap", F.lit(0.0)).alias("ap"), recall(max_dets).alias("ar"), *[recall(n).alias(f"ar_{n}") for n in few])
 
 
-def counted_objects(g: DataFrame, areas: tuple[str, ...]) -> DataFrame:
-    """(dataset, category_id, npig_<area>...): objects that count in each area range."""
-    inside = lambda a: (F.col("iscrowd") == 0) & (F.col("area") >= AREAS[a][0]) & (F.col("area") <= AREAS[a][1])
-    return g.groupBy("dataset", "category_id").agg(*[F.count_if(inside(a)).alias(f"npig_{a}") for a in areas])
-
-
 def _mean(value: str, when: Column) -> Column:
     return F.coalesce(F.avg(F.when(when, F.col(value))), F.lit(-1.0))
 
@@ -183,9 +237,10 @@ def coco_recalls(gt: DataFrame, predictions: DataFrame, max_dets: tuple[int, ...
     """(dataset, mode, ar_<n>...): the recall of the first n detections of each image and class, for every n, from one matching."""
     few = tuple(sorted(max_dets)[:-1])
     most = max(max_dets)
-    g = with_defaults(gt)
-    d = judged(g, predictions, IOU_THRESHOLDS, ("all",), most)
-    cells = range(len(IOU_THRESHOLDS))
-    per = d.groupBy(*CLASS).agg(*[sum((F.sum(F.when(F.col("rank") <= n, bit_of("tp", k))) for k in cells), F.lit(0)).alias(f"n_{n}") for n in (*few, most)])
-    counted = counted_objects(g, ("all",)).where("npig_all > 0").join(predictions.select("dataset", "mode").distinct(), "dataset").join(per, CLASS, "left")
-    return counted.groupBy("dataset", "mode").agg(*[F.avg(F.coalesce(F.col(f"n_{n}"), F.lit(0)) / (F.col("npig_all") * len(cells))).alias(f"ar_{n}") for n in max_dets])
+    # hits of all cells together, added up inside a group's list; what is left is a row for each class, kept as it is read three times
+    hits = lambda n: F.aggregate("d", F.lit(0).cast("long"), lambda a, x: F.when(x["rank"] <= n, a + F.bit_count(x["tp"])).otherwise(a))
+    d = matched(gt, predictions, IOU_THRESHOLDS, ("all",), most)
+    per = keep(d.groupBy(*CLASS).agg(F.sum("npig_all").alias("npig_all"), F.max(F.size("d")).alias("_most"), *[F.sum(hits(n)).alias(f"n_{n}") for n in (*few, most)]), "recalls")
+    modes = per.where("_most > 0").select("dataset", "mode").distinct()
+    counted = per.groupBy("dataset", "category_id").agg(F.sum("npig_all").alias("npig_all")).where("npig_all > 0").join(modes, "dataset").join(per.drop("npig_all"), CLASS, "left")
+    return counted.groupBy("dataset", "mode").agg(*[F.avg(F.coalesce(F.col(f"n_{n}"), F.lit(0)) / (F.col("npig_all") * len(IOU_THRESHOLDS))).alias(f"ar_{n}") for n in max_dets])

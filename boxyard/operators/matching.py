@@ -40,9 +40,9 @@ def greedy_match(candidates: DataFrame, keys: list[str], threshold: float | None
     return groups.select(*keys, F.inline(taken_pairs("p"))).select(*keys, "l", "r", "iou")
 
 
-def taken_pairs(pairs: str) -> Column:
+def taken_pairs(pairs: str | Column) -> Column:
     """From an array of struct(iou, l, r) in any order the pairs that are taken. Only where pairs compete are they sorted and folded."""
-    p = F.col(pairs)
+    p = F.col(pairs) if isinstance(pairs, str) else pairs
     alone = lambda side: F.size(F.array_distinct(p[side])) == F.size(p)
     return F.when(alone("l") & alone("r"), p).otherwise(fold_greedy(F.sort_array(p, asc=False)))
 
@@ -51,22 +51,29 @@ def taken_pairs(pairs: str) -> Column:
 SAME = ["dataset", "image_id", "category_id"]
 
 
-def _met(gt: DataFrame, predictions: DataFrame) -> DataFrame:
-    """(SAME, g, p): the objects (l, lx, ly, lw, lh) and the detections (mode, r, rx, ry, rw, rh) of each image and class.
+def meet(objects: DataFrame, detections: DataFrame) -> DataFrame:
+    """(SAME, g, p) of rows (SAME, g) and (SAME, p): lists of both for each image and class.
 
     Both sides are grouped in one pass by keys without the mode, so objects are not copied for each mode. Rows with a null
     among the keys meet nothing.
     """
-    sides = [("g", gt.select(*SAME, F.struct(F.col("ann_id").cast("long").alias("l"), *[F.col(v).alias(f"l{v}") for v in BOX]).alias("g"))), ("p", predictions.select(*SAME, F.struct("mode", F.col("det_ord").cast("long").alias("r"), *[F.col(v).alias(f"r{v}") for v in BOX]).alias("p")))]
-    kinds = {n: d.schema[n].dataType for n, d in sides}
-    rows = [d.select(*SAME, *[F.col(c) if c == n else F.lit(None).cast(kinds[c]).alias(c) for c in kinds]) for n, d in sides]
-    d = rows[0].unionByName(rows[1]).groupBy(*SAME).agg(F.collect_list("g").alias("g"), F.collect_list("p").alias("p"))
+    sides = {"g": objects, "p": detections}
+    kinds = {n: d.schema[n].dataType for n, d in sides.items()}
+    rows = [d.select(*SAME, *[F.col(c) if c == n else F.lit(None).cast(kinds[c]).alias(c) for c in kinds]) for n, d in sides.items()]
+    # dealt as rows: lists begun before would be larger
+    d = rows[0].unionByName(rows[1]).repartition(*SAME).groupBy(*SAME).agg(F.collect_list("g").alias("g"), F.collect_list("p").alias("p"))
     lacking = F.greatest(*[F.col(c).isNull() for c in SAME])
     none = {n: F.filter(n, lambda x: F.lit(False)).alias(n) for n in kinds}
     apart = F.array(F.struct("g", none["p"]), F.struct(none["g"], "p"))
     return d.select(*SAME, F.inline(F.when(lacking, apart).otherwise(F.array(F.struct("g", "p")))))
 
 
+def _met(gt: DataFrame, predictions: DataFrame) -> DataFrame:
+    """(SAME, g, p): the objects (l, lx, ly, lw, lh) and the detections (mode, r, rx, ry, rw, rh) of each image and class."""
+    g = gt.select(*SAME, F.struct(F.col("ann_id").cast("long").alias("l"), *[F.col(v).alias(f"l{v}") for v in BOX]).alias("g"))
+    return meet(g, predictions.select(*SAME, F.struct("mode", F.col("det_ord").cast("long").alias("r"), *[F.col(v).alias(f"r{v}") for v in BOX]).alias("p")))
+
+
 def _overlap() -> Column:
     return iou([F.col(f"l{v}") for v in BOX], [F.col(f"r{v}") for v in BOX])
 

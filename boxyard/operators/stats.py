@@ -289,7 +289,7 @@ def sampled_scores(gt: DataFrame, predictions: DataFrame, images: DataFrame, ite
     at its place in the order of equal scores, which is that of image ids and of the answer's list.
     """
     weights = draw_weights(images, iterations, seeds)
-    d = coco.judged(coco.with_defaults(gt), predictions, coco.IOU_THRESHOLDS, ("all",), max_dets).join(weights, ["dataset", "image_id"])
+    d = coco.judged(gt, predictions, coco.IOU_THRESHOLDS, ("all",), max_dets).join(weights, ["dataset", "image_id"])
     cells = len(coco.IOU_THRESHOLDS)
     g = coco.with_defaults(gt).where("iscrowd = 0").groupBy("dataset", "category_id", "image_id").agg(F.count(F.lit(1)).alias("n")).join(weights, ["dataset", "image_id"])
     kind = f"dataset string, category_id {gt.schema['category_id'].dataType.simpleString()}"

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from boxyard.operators import detections, matching, tasks, validate
+from boxyard.operators import coco, detections, matching, tasks, validate
 from boxyard.streaming import streams
 
 
@@ -84,3 +84,16 @@ def test_annotations_of_a_snapshot_are_hashed_once(spark, tmp_path):
     got = validate.snapshot_changes((i, counted(1)), (i, counted(2))).collect()
     assert {(x["level"], x["image_id"], x["ann_id"], x["change"]) for x in got} == {("dataset", None, None, "changed"), ("image", 1, None, "changed"), ("annotation", 1, 5, "changed")}
     assert seen.value == 2
+
+
+def test_detections_are_judged_in_one_grouping(spark):
+    """One shuffle and no join from boxes to hits; objects without detections are counted once, null classes meet nothing, ranks follow score and list."""
+    b, far = (0.0, 0.0, 10.0, 10.0), (50.0, 50.0, 10.0, 10.0)
+    g = boxes(spark, [("d", 1, 1, 0, *b), ("d", 2, 1, 0, *b), ("d", 3, 2, None, *b), ("d", 4, 3, 0, *far)], "ann_id long")
+    rows = [("d", "m", 1, 0.5, 1, 0, *b), ("d", "m", 2, 0.9, 1, 0, *far), ("d", "m", 3, 0.9, 1, 0, *b), ("d", "m", 4, 0.1, 1, 0, *b), ("d", "n", 1, 0.5, 1, 0, 0.0, 0.0, 10.0, 6.0), ("d", "n", 2, 0.5, 2, None, *b)]
+    p = spark.createDataFrame(rows, "dataset string, mode string, det_ord int, score double, image_id long, category_id int, x double, y double, w double, h double")
+    d = coco.matched(g, p, [0.5, 0.75], ("all",), 3)
+    got = {(x["mode"], x["image_id"], x["category_id"], x["det_ord"]): (x["rank"], x["tp"], x["ignored"]) for x in coco.judged(g, p, [0.5, 0.75], ("all",), 3).collect()}
+    assert got == {("m", 1, 0, 2): (1, 0, 0), ("m", 1, 0, 3): (2, 3, 0), ("m", 1, 0, 1): (3, 3, 0), ("n", 1, 0, 1): (1, 1, 0), ("n", 2, None, 2): (1, 0, 0)}
+    assert sum(x["npig_all"] for x in d.collect()) == 4
+    assert plan_of(d).count("Exchange") == 1 and "Join" not in plan_of(d)
