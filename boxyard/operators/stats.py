@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from boxyard.functions.geometry import iou
+from boxyard.functions.rows import bound
 from boxyard.operators import coco, curves, matching
 from boxyard.operators.ranges import numbered
 from boxyard.sources.tables import keep
@@ -140,33 +141,51 @@ def repeat_agreement(predictions: DataFrame, answers: DataFrame, threshold: floa
     repeat; over all images and pairs of repeats n_pairs, mean_f1 (1 where neither found anything), and n_matches and
     mean_iou of boxes matched one to one in a class. Repeats that cover different images are an error.
     """
-    a = answers.groupBy("dataset", "image_id").agg(F.count_distinct(repeats).alias("_seen"), F.count_distinct(F.coalesce(F.sha2("raw_response", 256), F.lit(""))).alias("_texts"))
-    n = answers.groupBy("dataset").agg(F.count_distinct(repeats).alias("n_repeats"))
-    p = predictions.select("dataset", "image_id", F.col(repeats).alias("_r"), "category_id", "det_ord", "x", "y", "w", "h", "score").join(answers.select("dataset", "image_id", F.col(repeats).alias("_r")).distinct(), ["dataset", "image_id", "_r"])
-    box = F.struct("category_id", "x", "y", "w", "h", "score")
-    per = p.groupBy("dataset", "image_id", "_r").agg(F.sha2(F.to_json(F.array_sort(F.collect_list(box))), 256).alias("content"), F.count(F.lit(1)).alias("n"), F.to_json(F.array_sort(F.collect_list("category_id"))).alias("classes"))
-    images = per.groupBy("dataset", "image_id").agg(F.count(F.lit(1)).alias("_some"), *[F.count_distinct(c).alias(f"_{c}") for c in ("content", "n", "classes")])
-    d = a.join(n, "dataset").join(images, ["dataset", "image_id"], "left").na.fill(0, ["_some", "_content", "_n", "_classes"])
-    bare = F.col("n_repeats") - F.col("_some")  # repeats that found nothing in the image
-    alike = lambda c: F.avg((F.col(f"_{c}") + (bare > 0).cast("int") == 1).cast("double")).alias
-    uneven = F.max((F.col("_seen") != F.col("n_repeats")).cast("int")) == 1
-    shares = d.groupBy("dataset").agg(
-        F.when(uneven, F.raise_error(F.concat(F.lit("repeats cover different images of "), F.first("dataset"))).cast("long")).otherwise(F.count(F.lit(1))).alias("n_images"), F.first("n_repeats").alias("n_repeats"),
-        F.avg((F.col("_texts") == 1).cast("double")).alias("same_answer"), alike("content")("same_content"), alike("n")("same_count"), alike("classes")("same_classes"),
-        F.sum(F.col("n_repeats") * (F.col("n_repeats") - 1) / 2).cast("long").alias("n_pairs"), F.sum(bare * (bare - 1) / 2).alias("_both_bare"),
+    image = ["dataset", "image_id"]
+    told = answers.select(*image, F.struct(F.col(repeats).alias("r"), F.unhex(F.sha2("raw_response", 256)).alias("t")).alias("a"))
+    boxes = predictions.select(*image, F.struct(F.col(repeats).alias("r"), "category_id", F.col("det_ord").cast("long").alias("o"), *matching.BOX, "score").alias("p"))
+    none = lambda d, c: F.lit(None).cast(d.schema[c].dataType).alias(c)
+    both = told.select(*image, "a", none(boxes, "p")).unionByName(boxes.select(*image, none(told, "a"), "p"))
+    # an image's answers and boxes meet once, and all that is told of it is worked out in its row
+    d = both.repartition(*image).groupBy(*image).agg(F.collect_list("a").alias("a"), F.collect_list("p").alias("p")).where((F.size("a") > 0) & F.col("dataset").isNotNull())
+    d = bound(d, rs=F.array_sort(F.array_distinct(F.filter(F.col("a")["r"], lambda r: r.isNotNull()))), texts=F.size(F.array_distinct(F.transform("a", lambda x: F.coalesce(x["t"], F.lit(b""))))))
+    d = bound(d, p=F.filter("p", lambda x: F.col("image_id").isNotNull() & F.array_contains("rs", x["r"]))).drop("a")
+    d = bound(d, by=F.transform(F.array_distinct(F.col("p")["r"]), lambda r: F.struct(r.alias("r"), F.filter("p", lambda x: x["r"] == r).alias("b")))).drop("p")
+    box = lambda x: F.struct(*[x[c].alias(c) for c in ("category_id", *matching.BOX, "score")])
+    unlike = lambda f: F.size(F.array_distinct(F.transform("by", lambda g: f(g["b"]))))
+    d = d.withColumns({"some": F.size("by"), "content": unlike(lambda b: F.to_json(F.array_sort(F.transform(b, box)))), "n": unlike(F.size), "classes": unlike(lambda b: F.to_json(F.array_sort(F.transform(b, lambda x: x["category_id"]))))})
+    d = bound(d, pairs=F.flatten(F.transform("by", lambda x: F.transform(F.filter("by", lambda y: x["r"] < y["r"]), lambda y: F.struct(x["b"].alias("a"), y["b"].alias("b"))))))
+    sides = lambda x: [x[v] for v in matching.BOX]
+
+    def near(k: Column) -> Column:
+        c = F.flatten(F.transform(k["a"], lambda x: F.transform(F.filter(k["b"], lambda y: x["category_id"] == y["category_id"]), lambda y: F.struct(x["category_id"].alias("k"), iou(sides(x), sides(y)).alias("iou"), x["o"].alias("l"), y["o"].alias("r")))))
+        return F.struct((F.size(k["a"]) + F.size(k["b"])).alias("n"), F.filter(c, lambda x: x["iou"] >= threshold).alias("c"))
+
+    def taken(k: Column) -> Column:
+        of_class = F.transform(F.array_distinct(k["c"]["k"]), lambda q: F.transform(F.filter(k["c"], lambda x: x["k"] == q), lambda x: F.struct(x["iou"].alias("iou"), x["l"].alias("l"), x["r"].alias("r"))))
+        return F.struct(k["n"].alias("n"), F.flatten(F.transform(of_class, matching.taken_pairs)).alias("m"))
+
+    d = bound(d, met=F.transform(F.transform("pairs", near), taken))
+    total = lambda f, zero: F.aggregate("met", F.lit(zero), lambda s, k: s + f(k))
+    f1, n_matches = total(lambda k: 2 * F.size(k["m"]) / k["n"], 0.0), total(lambda k: F.size(k["m"]), 0)
+    overlap = total(lambda k: F.aggregate(k["m"], F.lit(0.0), lambda s, x: s + x["iou"]), 0.0)
+    # what images have in common is few rows
+    kind = ["dataset", "rs", "texts", "some", "content", "n", "classes"]
+    per = keep(d.groupBy(*kind).agg(F.count(F.lit(1)).alias("images"), F.sum(f1).alias("f1"), F.sum(n_matches).alias("n_matches"), F.sum(overlap).alias("iou")), "agreement")
+    n = per.select("dataset", F.explode("rs").alias("r")).groupBy("dataset").agg(F.count_distinct("r").alias("n_repeats"))
+    j = per.join(n, "dataset", "left").na.fill(0, ["n_repeats"])
+    bare = F.col("n_repeats") - F.col("some")  # repeats that found nothing in the image
+    share = lambda when: F.sum(F.when(when, F.col("images")).otherwise(0)) / F.sum("images")
+    alike = lambda c: share(F.col(c) + (bare > 0).cast("int") == 1).alias(f"same_{c}")
+    uneven = F.max((F.size("rs") != F.col("n_repeats")).cast("int")) == 1
+    out = j.groupBy("dataset").agg(
+        F.when(uneven, F.raise_error(F.concat(F.lit("repeats cover different images of "), F.first("dataset"))).cast("long")).otherwise(F.sum("images")).alias("n_images"), F.first("n_repeats").alias("n_repeats"),
+        share(F.col("texts") == 1).alias("same_answer"), alike("content"), alike("n").alias("same_count"), alike("classes"),
+        F.sum(F.col("images") * F.col("n_repeats") * (F.col("n_repeats") - 1) / 2).cast("long").alias("n_pairs"), F.sum(F.col("images") * bare * (bare - 1) / 2).alias("_bare"),
+        F.sum("f1").alias("_f1"), F.sum("n_matches").alias("n_matches"), F.sum("iou").alias("_iou"),
     )
-    keys = ["dataset", "image_id", "category_id", "_a", "_b"]
-    left, right = (p.select("dataset", "image_id", "category_id", F.col("_r").alias(c), F.col("det_ord").cast("long").alias(o), *[F.col(v).alias(f"{v}{c}") for v in matching.BOX]) for c, o in (("_a", "l"), ("_b", "r")))
-    pairs = left.join(right, ["dataset", "image_id", "category_id"]).where("_a < _b")
-    overlap = iou([F.col(f"{v}_a") for v in matching.BOX], [F.col(f"{v}_b") for v in matching.BOX])
-    pairs = pairs.select(*keys, "l", "r", overlap.alias("iou")).where(F.col("iou") >= threshold)
-    met = matching.greedy_match(pairs, keys).groupBy("dataset", "image_id", "_a", "_b").agg(F.count(F.lit(1)).alias("m"), F.sum("iou").alias("iou"))
-    for c in ("_a", "_b"):
-        met = met.join(per.select("dataset", "image_id", F.col("_r").alias(c), F.col("n").alias(f"n{c}")), ["dataset", "image_id", c])
-    met = met.groupBy("dataset").agg(F.sum(2 * F.col("m") / (F.col("n_a") + F.col("n_b"))).alias("_f1"), F.sum("m").alias("n_matches"), F.sum("iou").alias("_iou"))
-    out = shares.join(met, "dataset", "left").na.fill(0, ["n_matches"])
-    f1 = (F.coalesce("_f1", F.lit(0.0)) + F.col("_both_bare")) / F.nullif(F.col("n_pairs"), F.lit(0))
-    return out.select("dataset", "n_images", "n_repeats", "same_answer", "same_content", "same_count", "same_classes", "n_pairs", f1.alias("mean_f1"), "n_matches", (F.col("_iou") / F.nullif(F.col("n_matches"), F.lit(0))).alias("mean_iou"))
+    mean = lambda v, c: v / F.nullif(F.col(c), F.lit(0))
+    return out.select("dataset", "n_images", "n_repeats", "same_answer", "same_content", "same_count", "same_classes", "n_pairs", mean(F.col("_f1") + F.col("_bare"), "n_pairs").alias("mean_f1"), "n_matches", mean(F.col("_iou"), "n_matches").alias("mean_iou"))
 
 
 def cluster_bootstrap(rows: DataFrame, flag: str, outcome: str, iterations: int, seed: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from boxyard.operators import coco, detections, matching, tasks, validate
+from boxyard.operators import coco, detections, matching, stats, tasks, validate
 from boxyard.streaming import streams
 
 
@@ -97,3 +97,17 @@ def test_detections_are_judged_in_one_grouping(spark):
     assert got == {("m", 1, 0, 2): (1, 0, 0), ("m", 1, 0, 3): (2, 3, 0), ("m", 1, 0, 1): (3, 3, 0), ("n", 1, 0, 1): (1, 1, 0), ("n", 2, None, 2): (1, 0, 0)}
     assert sum(x["npig_all"] for x in d.collect()) == 4
     assert plan_of(d).count("Exchange") == 1 and "Join" not in plan_of(d)
+
+
+def test_repeats_meet_in_one_grouping(spark, monkeypatch):
+    """Answers and boxes are dealt once; boxes without an answer or a class do not match, and what is left of images is few rows."""
+    b = (0.0, 0.0, 10.0, 10.0)
+    kept = []
+    monkeypatch.setattr(stats, "keep", lambda d, name: kept.append(d) or d)
+    a = spark.createDataFrame([("d", i, m, t) for i in (1, 2, 3) for m, t in (("x", "same"), ("y", "same" if i < 3 else None))], "dataset string, image_id long, mode string, raw_response string")
+    rows = [("d", "x", 1, 1, 0, *b), ("d", "y", 1, 1, 0, *b), ("d", "x", 1, 2, 0, *b), ("d", "y", 1, 2, None, *b), ("d", "z", 1, 2, 0, *b)]
+    p = spark.createDataFrame([(*r, 0.5) for r in rows], "dataset string, mode string, det_ord int, image_id long, category_id int, x double, y double, w double, h double, score double")
+    x = stats.repeat_agreement(p, a).collect()[0]
+    assert (x["n_images"], x["n_repeats"], x["n_pairs"], x["n_matches"], x["mean_iou"]) == (3, 2, 3, 1, 1.0)
+    assert [round(x[c], 6) for c in ("same_answer", "same_content", "same_count", "same_classes", "mean_f1")] == [0.666667, 0.666667, 1.0, 0.666667, 0.666667]
+    assert plan_of(kept[0]).count("Exchange") == 2 and "Join" not in plan_of(kept[0])
