@@ -12,9 +12,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from boxyard.functions.geometry import AREAS, box, crowd_iou
-from boxyard.functions.rows import bound
 from boxyard.operators.curves import CLASS, average_precisions, range_sums, sorted_detections
-from boxyard.operators.matching import BOX, SAME, meet
+from boxyard.operators.judging import judge
+from boxyard.operators.matching import BOX, SAME
 from boxyard.sources.tables import keep
 
 #: linspace(0.5, 0.95, 10), whose ninth value is below 0.9.
@@ -108,77 +108,34 @@ def coco_match(gt: DataFrame, predictions: DataFrame, thresholds: list[float] =
     return plain.select(*columns).unionByName(_folded(groups, thresholds, areas))
 
 
-def _hits(cells: list[tuple[float, str]]) -> Column:
-    """Of c, the pairs of a group: (det_ord, hit, hit_ig) with the cells in which a detection is matched, and those in which with an ignored object, as bits.
-
-    Where no pair competes, each is matched wherever it reaches the threshold; other groups are folded for each cell.
-    """
-    nothing = F.lit(0).cast("long")
-
-    def alone(x: Column) -> Column:
-        hit, ignored = nothing, nothing
-        for i, (t, a) in enumerate(cells):
-            here = F.when(_reaches(x["iou"], t), F.lit(1 << i)).otherwise(F.lit(0)).cast("long")
-            hit = hit.bitwiseOR(here)
-            ignored = ignored.bitwiseOR(F.when((x["iscrowd"] == 1) | (x["gt_area"] < AREAS[a][0]) | (x["gt_area"] > AREAS[a][1]), here).otherwise(nothing))
-        return F.struct(x["det_ord"].cast("long").alias("det_ord"), hit.alias("hit"), ignored.alias("hit_ig"))
-
-    def folded(k: Column) -> Column:
-        near = F.filter("c", lambda x: _reaches(x["iou"], k["thr"]))
-        taken = _fold(F.sort_array(_turns(near, k["lo"], k["hi"])))
-        return F.transform(taken, lambda t: F.struct(t["det_ord"].alias("det_ord"), k["bit"].alias("hit"), F.when(t["ig"] == 1, k["bit"]).otherwise(nothing).alias("hit_ig")))
-
-    every = F.array(*[F.struct(F.lit(1 << i).cast("long").alias("bit"), F.lit(t).alias("thr"), F.lit(AREAS[a][0]).alias("lo"), F.lit(AREAS[a][1]).alias("hi")) for i, (t, a) in enumerate(cells)])
-    once = lambda f: F.size(F.array_distinct(F.transform("c", lambda x: x[f]))) == F.size("c")
-    return F.when(once("det_ord") & once("ann_id"), F.transform("c", alone)).otherwise(F.flatten(F.transform(every, folded)))
-
-
 def matched(gt: DataFrame, predictions: DataFrame, thresholds: list[float], areas: tuple[str, ...], max_dets: int) -> DataFrame:
     """(dataset, image_id, category_id, mode, npig_<area>..., d): the judged() detections of each group as a list, and the objects that count in each area range.
 
-    Objects and detections meet in one grouping and all else happens inside its rows, so a detection is dealt once. An image's
-    objects are told once, beside the first of its modes, or beside none.
+    Objects and detections are dealt once, by image and class, and judged where they stand together. An image's objects are
+    told once, beside the first of its modes, or beside none. Rows with a null among the keys meet nothing.
     """
-    cells = _cells(thresholds, areas)
-    own = [c for c in ("area", "iscrowd") if c in gt.columns]
-    d = meet(gt.select(*SAME, F.struct("ann_id", *BOX, *own).alias("g")), predictions.select(*SAME, F.struct("mode", "score", "det_ord", *BOX).alias("p")))
-    area = lambda o: o["area"] if "area" in own else o["w"] * o["h"]
-    crowd = lambda o: o["iscrowd"] if "iscrowd" in own else F.lit(0)
-    inside = lambda a: lambda o: (crowd(o) == 0) & (area(o) >= AREAS[a][0]) & (area(o) <= AREAS[a][1])
-    d = d.select(*SAME, "g", "p", F.posexplode_outer(F.array_distinct(F.col("p")["mode"])).alias("nth", "mode"))
-    d = d.withColumns({f"npig_{a}": F.when(F.coalesce("nth", F.lit(0)) == 0, F.size(F.filter("g", inside(a)))).otherwise(0).cast("long") for a in areas})
-    listed = F.transform(F.filter("p", lambda x: x["mode"].eqNullSafe(F.col("mode"))), lambda x: F.struct(x["score"].alias("score"), (-x["det_ord"]).alias("neg_ord"), x["det_ord"].alias("det_ord"), *[x[v].alias(v) for v in BOX]))
-    d = bound(d, s=F.slice(F.sort_array(listed, asc=False), 1, max_dets)).drop("p", "nth")
-    sides = lambda x: [x[v] for v in BOX]
-
-    def near(x: Column) -> Column:
-        pairs = F.transform("g", lambda o: F.struct(x["score"].alias("score"), x["det_ord"].alias("det_ord"), crowd_iou(sides(x), sides(o), crowd(o)).alias("iou"), o["ann_id"].alias("ann_id"), area(o).alias("gt_area"), crowd(o).alias("iscrowd")))
-        return F.filter(pairs, lambda y: y["iou"] >= min(thresholds))
-
-    d = bound(d, c=F.flatten(F.transform("s", near))).drop("g")
-    d = bound(d, m=_hits(cells)).drop("c")
-    bits = lambda x, f: F.aggregate("m", F.lit(0).cast("long"), lambda b, y: F.when(y["det_ord"] == x["det_ord"], b.bitwiseOR(y[f])).otherwise(b)).alias(f)
-    d = bound(d, s=F.transform("s", lambda x, i: F.struct(x["score"].alias("score"), x["det_ord"].alias("det_ord"), (i + 1).alias("rank"), (x["w"] * x["h"]).alias("det_area"), bits(x, "hit"), bits(x, "hit_ig")))).drop("m")
-
-    def result(x: Column) -> Column:
-        outside = F.lit(0).cast("long")
-        for a in areas:
-            of_area = sum(1 << i for i, c in enumerate(cells) if c[1] == a)
-            outside = outside.bitwiseOR(F.when((x["det_area"] < AREAS[a][0]) | (x["det_area"] > AREAS[a][1]), F.lit(of_area)).otherwise(F.lit(0)).cast("long"))
-        ignored = x["hit_ig"].bitwiseOR(outside.bitwiseAND(F.bitwise_not(x["hit"])))
-        return F.struct(x["score"].alias("score"), x["det_ord"].alias("det_ord"), x["rank"].alias("rank"), x["hit"].bitwiseAND(F.bitwise_not(x["hit_ig"])).alias("tp"), ignored.alias("ignored"))
-
-    return d.select(*SAME, "mode", *[f"npig_{a}" for a in areas], F.transform("s", result).alias("d"))
-
-
-def _rows(groups: DataFrame) -> DataFrame:
-    """The detections of matched() as rows."""
-    return groups.select(*CLASS, "image_id", F.inline("d")).select(*CLASS, "score", "image_id", "det_ord", "rank", "tp", "ignored")
+    nothing = lambda t, *names: [F.lit(None).cast(t.schema[c].dataType).alias(c) for c in names]
+    sides = [F.col(v).cast("double").alias(v) for v in BOX]
+    g = with_defaults(gt)
+    rows = g.select(*SAME, F.lit(True).alias("is_object"), *sides, "ann_id", F.col("area").cast("double").alias("area"), F.col("iscrowd").cast("int").alias("iscrowd"), *nothing(predictions, "mode", "score", "det_ord"))
+    rows = rows.unionByName(predictions.select(*SAME, F.lit(False).alias("is_object"), *sides, *nothing(g, "ann_id"), F.lit(None).cast("double").alias("area"), F.lit(None).cast("int").alias("iscrowd"), "mode", "score", "det_ord"))
+    keys = ["image_id", "dataset", "category_id"]
+    d = rows.repartition(*SAME).sortWithinPartitions(*keys)
+    kind = lambda c: rows.schema[c].dataType.simpleString()
+    columns = [f"{c} {kind(c)}" for c in (*keys, "mode")] + [f"npig_{a} long" for a in areas]
+    schema = ", ".join([*columns, f"d array<struct<score:{kind('score')},det_ord:{kind('det_ord')},rank:int,tp:bigint,ignored:bigint>>"])
+    limits = [AREAS[a] for a in areas]
+    return d.mapInArrow(lambda b: judge(b, keys, thresholds, limits, max_dets), schema)
+
+
+def rows_of(groups: DataFrame, *carried: str) -> DataFrame:
+    """The detections of matched() as rows, with further columns of their group."""
+    return groups.select(*CLASS, "image_id", *carried, F.inline("d")).select(*CLASS, "score", "image_id", "det_ord", "rank", "tp", "ignored", *carried)
 
 
 def judged(gt: DataFrame, predictions: DataFrame, thresholds: list[float], areas: tuple[str, ...], max_dets: int) -> DataFrame:
     """Every detection with its rank and one bit for each cell (threshold and area range; at most 62): tp, whether it is a hit, and ignored."""
-    return _rows(matched(gt, predictions, thresholds, areas, max_dets))
+    return rows_of(matched(gt, predictions, thresholds, areas, max_dets))
 
 
 def _found_by(groups: DataFrame) -> DataFrame:
@@ -201,7 +158,7 @@ def coco_curves(gt: DataFrame, predictions: DataFrame, thresholds: list[float],
     groups = keep(matched(gt, predictions, thresholds, areas, max_dets), "matched")
     rows = F.array(*[F.struct(F.lit(k).alias("cell"), F.lit(t).alias("thr"), F.lit(a).alias("area"), F.col(f"npig_{a}").alias("npig")) for k, (t, a) in enumerate(cells)])
     objects = _counted(groups, areas).select("dataset", "category_id", F.inline(rows)).where("npig > 0")
-    d = sorted_detections(_rows(groups))
+    d = sorted_detections(rows_of(groups))
     sums = range_sums(d, len(cells), (max_dets, *few))
     ap = average_precisions(d, len(cells), objects.select("dataset", "category_id", "cell", F.array(F.col("npig").cast("double")).alias("npig")), sums)
     ap = ap.select(*CLASS, "cell", F.get("ap", F.lit(0)).alias("ap"))

@@ -40,10 +40,10 @@ def _bits(t: pa.Table, name: str, cells: np.ndarray) -> np.ndarray:
 
 
 def _weights(t: pa.Table) -> np.ndarray:
-    """How often each row counts in each sample."""
+    """How often each row counts in each sample, as 16-bit numbers."""
     if "weights" not in t.column_names:
-        return np.ones((len(t), 1))
-    return np.frombuffer(b"".join(t.column("weights").to_pylist()), np.uint16).reshape(len(t), -1).astype(float)
+        return np.ones((len(t), 1), np.uint16)
+    return np.frombuffer(b"".join(t.column("weights").to_pylist()), np.uint16).reshape(len(t), -1)
 
 
 def _own_key(t: pa.Table, n: int, names: list[str]) -> dict[str, pa.Array]:
@@ -54,25 +54,21 @@ def _doubles(x: np.ndarray) -> pa.Array:
     return pa.array(x.tolist(), pa.list_(pa.float64()))
 
 
-def _weighted_sums(cells: int):
-    def of(t: pa.Table) -> pa.Table:
-        w, every = _weights(t), np.arange(cells)
-        hit, counted = _bits(t, "tp", every).astype(float), 1.0 - _bits(t, "ignored", every)
-        return pa.table(_own_key(t, cells, [*CLASS, "_range"]) | {"cell": pa.array(every, pa.int32()), "tps": _doubles(hit.T @ w), "n": _doubles(counted.T @ w)})
-
-    return of
+def _runs(t: pa.RecordBatch) -> np.ndarray:
+    """Where runs of rows of one class and range begin."""
+    new = np.ones(len(t), bool)
+    new[1:] = False
+    for c in (*CLASS, "_range"):
+        x = t.column(c)
+        new[1:] |= pc.fill_null(pc.not_equal(x.slice(1), x.slice(0, len(t) - 1)), True).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(new)
 
 
 def _partial_sums(batches: Iterator[pa.RecordBatch], cells: int, ranks: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
     """Of each run of rows of one class and range: hits and counted detections of every cell, and the hits among the first of an image."""
     keys, every = [*CLASS, "_range"], np.arange(cells)
     for t in batches:
-        new = np.ones(len(t), bool)
-        new[1:] = False
-        for c in keys:
-            x = t.column(c)
-            new[1:] |= pc.fill_null(pc.not_equal(x.slice(1), x.slice(0, len(t) - 1)), True).to_numpy(zero_copy_only=False)
-        at = np.flatnonzero(new)
+        at = _runs(t)
         hit, counted = _bits(t, "tp", every), 1 - _bits(t, "ignored", every)
         rank = t.column("rank").to_numpy() if ranks else None
         values = [hit, counted, *[hit * (rank <= r)[:, None] for r in ranks]]
@@ -81,6 +77,19 @@ def _partial_sums(batches: Iterator[pa.RecordBatch], cells: int, ranks: tuple[in
         yield pa.record_batch([*[t.column(c).take(first) for c in keys], pa.array(np.tile(every, len(at)), pa.int32()), *sums], [*keys, "cell", "tps", "n", *[f"first_{r}" for r in ranks]])
 
 
+def _weighted_sums(batches: Iterator[pa.RecordBatch], cells: int) -> Iterator[pa.RecordBatch]:
+    """The same of hits and counted detections, for every sample."""
+    keys, every = [*CLASS, "_range"], np.arange(cells)
+    for t in batches:
+        if not len(t):
+            continue
+        at, w = _runs(t), _weights(t).astype(float)
+        hit, counted = _bits(t, "tp", every).astype(float), 1.0 - _bits(t, "ignored", every)
+        first = pa.array(np.repeat(at, cells))
+        sums = [_doubles(np.concatenate([v[lo:hi].T @ w[lo:hi] for lo, hi in itertools.pairwise([*at.tolist(), len(t)])])) for v in (hit, counted)]
+        yield pa.record_batch([*[t.column(c).take(first) for c in keys], pa.array(np.tile(every, len(at)), pa.int32()), *sums], [*keys, "cell", "tps", "n"])
+
+
 def _own(ranked: DataFrame) -> str:
     return ", ".join(f"{c} {ranked.schema[c].dataType.simpleString()}" for c in CLASS)
 
@@ -93,6 +102,19 @@ def range_sums(ranked: DataFrame, cells: int, ranks: tuple[int, ...] = ()) -> Da
     return keep(part.groupBy(*CLASS, "_range", "cell").agg(*[F.sum(c).alias(c) for c in names]), "sums")
 
 
+def _matrix(lists: pa.ChunkedArray) -> np.ndarray:
+    """Lists of one length, as rows."""
+    return pc.list_flatten(lists).to_numpy().reshape(len(lists), -1)
+
+
+def _thresholds(objects: np.ndarray) -> np.ndarray:
+    """For each sample the hits from which each recall point is reached (at least one), a row for each point."""
+    least = np.ceil(_POINTS[:, None] * objects)
+    # as the quotient of two doubles tells it
+    least = np.where((least - 1) / objects >= _POINTS[:, None], least - 1, least)
+    return np.maximum(np.where(least / objects >= _POINTS[:, None], least, least + 1), 1)
+
+
 def _cell_runs(t: pa.Table, order: str) -> tuple[pa.Table, list[tuple[int, int]]]:
     """Rows by cell and range, and where each cell begins and ends."""
     t = t.sort_by([("cell", "ascending"), ("_range", order)])
@@ -102,9 +124,12 @@ def _cell_runs(t: pa.Table, order: str) -> tuple[pa.Table, list[tuple[int, int]]
 
 
 def _before(t: pa.Table) -> pa.Table:
-    """Of a class: for each cell the sums of all ranges before each."""
-    t, cells = _cell_runs(t, "ascending")
-    tps, n = (np.array(t.column(c).to_pylist()) for c in ("tps", "n"))
+    """Of a class: for each cell the sums of all ranges before each; the sums of a range may be in parts."""
+    t, _ = _cell_runs(t, "ascending")
+    cell, part = t.column("cell").to_numpy(), t.column("_range").to_numpy()
+    own = np.flatnonzero(np.r_[True, (np.diff(cell) != 0) | (np.diff(part) != 0)])
+    tps, n = (np.add.reduceat(_matrix(t.column(c)), own, axis=0) for c in ("tps", "n"))
+    t, cells = _cell_runs(t.take(pa.array(own)), "ascending")
     for x in (tps, n):
         for lo, hi in cells:
             x[lo:hi] = np.cumsum(x[lo:hi], axis=0) - x[lo:hi]
@@ -115,32 +140,39 @@ def _reached(key: tuple, rows: pa.Table, offsets: pa.Table) -> pa.Table:
     """Of a range of a class, for each cell: its best precision, and the recall points reached with the best from there on."""
     rows = rows.sort_by("_at")
     w = _weights(rows)
-    out: dict[str, list] = {"cell": [], "peak": [], "sample": [], "points": [], "best": []}
-    for o in offsets.to_pylist():
-        k, objects = o["cell"], np.maximum(np.array(o["npig"], float), 1)
-        hit = (rows.column("tp").to_numpy() >> k) & 1 == 1
-        counted = (rows.column("ignored").to_numpy() >> k) & 1 == 0
-        at = np.flatnonzero(hit)  # precision only rises where a hit is
-        peak, found = np.zeros(w.shape[1]), []
-        step = max(1, _ROOM // max(1, len(rows)))
-        for lo in range(0, w.shape[1] if len(at) else 0, step):
-            some = slice(lo, lo + step)
-            x = w[:, some]
-            tps = np.array(o["tps"][some]) + np.cumsum(x[at], axis=0)
-            n = np.array(o["n"][some]) + np.cumsum(x * counted[:, None], axis=0)[at]
-            best = np.maximum.accumulate((tps / (n + _ULP))[::-1], axis=0)[::-1]
-            peak[some] = best[0]
-            start = tps - x[at]
-            before = np.where(start > 0, np.searchsorted(_POINTS, start / objects[some], "right"), 0)  # the first hit reaches recall 0 as well
-            gained = np.searchsorted(_POINTS, tps / objects[some], "right") - before
-            i, j = np.nonzero(gained * (x[at] > 0))
-            found.append((j + lo, gained[i, j], best[i, j]))
-        parts = [np.concatenate(p) for p in zip(*found, strict=True)] if found else [np.zeros(0)] * 3
-        for name, v in zip(out, (k, peak, *parts), strict=True):
-            out[name].append(v if name == "cell" else v.tolist())
+    n_samples, all_tp, all_ignored = w.shape[1], rows.column("tp").to_numpy(), rows.column("ignored").to_numpy()
+    told = offsets.to_pylist()
+    out: dict[str, list] = {"cell": [o["cell"] for o in told], "peak": [np.zeros(n_samples) for _ in told], "sample": [[] for _ in told], "points": [[] for _ in told], "best": [[] for _ in told]}
+    points = [_thresholds(np.maximum(np.array(o["npig"], float), 1)) for o in told]
+    step = max(1, _ROOM // max(1, len(rows)))
+    for lo in range(0, n_samples, step):
+        some = slice(lo, lo + step)
+        x = w[:, some].astype(float)
+        all_n = np.cumsum(x, axis=0)
+        for i, o in enumerate(told):
+            at = np.flatnonzero((all_tp >> o["cell"]) & 1)  # precision only rises where a hit is
+            if not len(at):
+                continue
+            out_of = (all_ignored >> o["cell"]) & 1
+            n = (np.cumsum(x * (1 - out_of)[:, None], axis=0) if out_of.any() else all_n)[at]
+            n += np.array(o["n"][some]) + _ULP
+            before = np.array(o["tps"][some])
+            tps = np.cumsum(x[at], axis=0)
+            tps += before
+            best = np.maximum.accumulate((tps / n)[::-1], axis=0)[::-1]
+            out["peak"][i][some] = best[0]
+            for k in range(tps.shape[1]):
+                # the points that earlier ranges have not reached, and the hit that reaches each
+                need = points[i][:, lo + k]
+                place = np.searchsorted(tps[:, k], need[(need > before[k]) & (need <= tps[-1, k])])
+                place, gained = np.unique(place, return_counts=True)
+                out["sample"][i] += [lo + k] * len(place)
+                out["points"][i] += gained.tolist()
+                out["best"][i] += best[place, k].tolist()
+    out["peak"] = [x.tolist() for x in out["peak"]]
     kinds = {"cell": pa.int32(), "peak": pa.list_(pa.float64()), "sample": pa.list_(pa.int64()), "points": pa.list_(pa.int64()), "best": pa.list_(pa.float64())}
     n = len(out["cell"])
-    return pa.table(_own_key(offsets, n, [*CLASS, "_range"]) | {c: pa.array([[int(y) for y in v] if c in ("sample", "points") else v for v in out[c]], kind) for c, kind in kinds.items()})
+    return pa.table(_own_key(offsets, n, [*CLASS, "_range"]) | {c: pa.array(out[c], kind) for c, kind in kinds.items()})
 
 
 def _areas(t: pa.Table) -> pa.Table:
@@ -175,7 +207,7 @@ def average_precisions(ranked: DataFrame, cells: int, objects: DataFrame, sums:
     rows = ranked.select(*CLASS, *kept)
     own = _own(ranked)
     if "weights" in ranked.columns:
-        sums = rows.groupBy(*CLASS, "_range").applyInArrow(_weighted_sums(cells), f"{own}, _range long, cell int, tps array<double>, n array<double>")
+        sums = rows.mapInArrow(lambda b: _weighted_sums(b, cells), f"{own}, _range long, cell int, tps array<double>, n array<double>")
     else:
         sums = (range_sums(ranked, cells) if sums is None else sums).select(*CLASS, "_range", "cell", *[F.array(F.col(c).cast("double")).alias(c) for c in ("tps", "n")])
     # with many samples a class's sums are dealt by cell as well

@@ -308,17 +308,20 @@ def sampled_scores(gt: DataFrame, predictions: DataFrame, images: DataFrame, ite
     at its place in the order of equal scores, which is that of image ids and of the answer's list.
     """
     weights = draw_weights(images, iterations, seeds)
-    d = coco.judged(gt, predictions, coco.IOU_THRESHOLDS, ("all",), max_dets).join(weights, ["dataset", "image_id"])
+    # objects are counted where detections are judged, so the tables are derived once
+    groups = keep(coco.matched(gt, predictions, coco.IOU_THRESHOLDS, ("all",), max_dets).join(weights, ["dataset", "image_id"], "left"), "judged")
+    drawn = groups.where("weights is not null")
+    d = coco.rows_of(drawn, "weights")
     cells = len(coco.IOU_THRESHOLDS)
-    g = coco.with_defaults(gt).where("iscrowd = 0").groupBy("dataset", "category_id", "image_id").agg(F.count(F.lit(1)).alias("n")).join(weights, ["dataset", "image_id"])
+    g = drawn.where("npig_all > 0").withColumnRenamed("npig_all", "n")
     kind = f"dataset string, category_id {gt.schema['category_id'].dataType.simpleString()}"
     part = g.withColumn("part", F.pmod(F.xxhash64("image_id"), F.lit(64)).cast("int")).select("dataset", "category_id", "part", "n", "weights")
     npig = part.groupBy("dataset", "category_id", "part").applyInArrow(_objects_drawn, f"{kind}, part int, npig array<double>").groupBy("dataset", "category_id").applyInArrow(_added_up, f"{kind}, npig array<double>")
     objects = npig.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
     # ranges are found by reading their rows twice
-    ap = curves.average_precisions(curves.sorted_detections(keep(d, "judged")), cells, objects)
+    ap = curves.average_precisions(curves.sorted_detections(d), cells, objects)
     # classes that a mode detects nothing of count as well
-    full = objects.join(predictions.select("dataset", "mode").distinct(), "dataset").join(ap, [*curves.CLASS, "cell"], "left")
+    full = objects.join(groups.where(F.size("d") > 0).select("dataset", "mode").distinct(), "dataset").join(ap, [*curves.CLASS, "cell"], "left")
     samples = F.arrays_zip("npig", F.coalesce("ap", F.array_repeat(F.lit(0.0), F.size("npig"))).alias("ap"))
     rows = full.select("dataset", "mode", "cell", F.posexplode(samples).alias("k", "x")).where("x.npig > 0")
     score = lambda when: 100 * F.coalesce(F.avg(F.when(when, F.col("x.ap"))), F.lit(-1.0))

@@ -1,7 +1,9 @@
 """Steps that cost too much on larger tables: what their plans may not hold, and that their results stay."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from boxyard.functions.geometry import AREAS
 from boxyard.operators import coco, detections, matching, stats, tasks, validate
 from boxyard.streaming import streams
 
@@ -111,3 +113,49 @@ def test_repeats_meet_in_one_grouping(spark, monkeypatch):
     assert (x["n_images"], x["n_repeats"], x["n_pairs"], x["n_matches"], x["mean_iou"]) == (3, 2, 3, 1, 1.0)
     assert [round(x[c], 6) for c in ("same_answer", "same_content", "same_count", "same_classes", "mean_f1")] == [0.666667, 0.666667, 1.0, 0.666667, 0.666667]
     assert plan_of(kept[0]).count("Exchange") == 2 and "Join" not in plan_of(kept[0])
+
+
+def test_judging_follows_the_turns(spark):
+    """Crowded groups with ties, crowds, area ranges and many modes against a fold by hand, whatever the batches; no fold for each threshold in the plan."""
+    r = np.random.default_rng(11)
+    g, p = [], []
+    for image in range(30):
+        for c in (0, 1):
+            g += [("d", 1000 * image + 10 * k + c, image, c, *map(float, r.integers(0, 12, 2)), float(r.integers(20, 60)), float(r.integers(20, 60)), int(r.random() < 0.15)) for k in range(int(r.integers(0, 7)))]
+            p += [("d", "ab"[k % 2], 100 * c + k, float(r.integers(0, 4)), image, c, *map(float, r.integers(0, 12, 2)), float(r.integers(20, 60)), float(r.integers(20, 60))) for k in range(int(r.integers(0, 14)))]
+    gt = spark.createDataFrame(g, "dataset string, ann_id long, image_id long, category_id int, x double, y double, w double, h double, iscrowd int")
+    pred = spark.createDataFrame(p, "dataset string, mode string, det_ord int, score double, image_id long, category_id int, x double, y double, w double, h double")
+    areas, most = ("all", "small", "medium"), 5
+
+    def iou(a, b, crowd):
+        inter = max(0.0, min(a[0] + a[2], b[0] + b[2]) - max(a[0], b[0])) * max(0.0, min(a[1] + a[3], b[1] + b[3]) - max(a[1], b[1]))
+        union = a[2] * a[3] if crowd else a[2] * a[3] + b[2] * b[3] - inter
+        return inter / union if union > 0 else 0.0
+
+    want = {}
+    for key in {(x[1], x[4], x[5]) for x in p}:
+        objects = [x for x in g if x[2:4] == key[1:]]
+        dets = sorted((x for x in p if (x[1], x[4], x[5]) == key), key=lambda x: (-x[3], x[2]))[:most]
+        bits = {x[2]: [0, 0] for x in dets}
+        for cell, (t, a) in enumerate((t, a) for t in coco.IOU_THRESHOLDS for a in areas):
+            lo, hi = AREAS[a]
+            out = lambda w, h: w * h < lo or w * h > hi  # noqa: E731, B023
+            free = set(range(len(objects)))
+            for x in dets:
+                near = [(o[8] == 1 or out(o[6], o[7]), -v, -o[1], k) for k, o in enumerate(objects) if k in free and (v := iou(x[6:], o[4:8], o[8] == 1)) >= t]
+                if near:
+                    ignored, _, _, k = min(near)
+                    bits[x[2]][ignored] |= 1 << cell
+                    free -= {k} if objects[k][8] == 0 else set()
+                elif out(x[8], x[9]):
+                    bits[x[2]][1] |= 1 << cell
+        want |= {(*key, o): (n, *b) for n, (o, b) in enumerate(bits.items(), 1)}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        d = coco.matched(gt, pred, coco.IOU_THRESHOLDS, areas, most)
+        got = {(x["mode"], x["image_id"], x["category_id"], x["det_ord"]): (x["rank"], x["tp"], x["ignored"]) for x in coco.judged(gt, pred, coco.IOU_THRESHOLDS, areas, most).collect()}
+        npig = d.agg(F.sum("npig_all")).first()[0]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want and npig == sum(x[8] == 0 for x in g)
+    assert "aggregate(" not in plan_of(d)
