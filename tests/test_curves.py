@@ -163,3 +163,27 @@ def test_cluster_effects_by_brute_force(spark):
         stats.cluster_effects(d.withColumn("flag", F.lit(1)), ["mode"], ["flag"], [], "y", 50, 7).collect()
     with pytest.raises(Exception, match="too few draws"):
         stats.cluster_effects(d.withColumn("x", F.lit(0.1)), ["mode"], [], ["x"], "y", 50, 7).collect()
+
+
+def test_cut_lists_are_read_without_the_helper(spark, monkeypatch):
+    """What expressions read of lists that break off is what the helper reads, for every place to cut and odd forms; only odd forms need it."""
+    b = lambda x, label="a", key="bbox_2d", name="label": f'{{"{key}":[{x},2,3,4],"{name}":"{label}"}}'
+    whole = [f"[{b(1)},{b(5, 'b')},{b(1)}, {b(7)} ,{b(7)}]", f'{{"objects": [{b(1)},\n{b(2, key="bbox", name="class")},{b(1)}]}}', f'[{{"bbox":[1.5,2.25,3.0,4.0],"label":"x"}},{{"bbox":[1.50,2.25,3.0,4.0],"label":"x"}},']
+    texts = [w[:n] for w in whole for n in range(1, len(w) + 1)]
+    odd = [f"[{b(1)},{b('1.0')},{{", f"[{b('-0')},{b(0)},", f"[{b('01')},", f"[{b(1)},[", f"[{b(1)}] {{", f"[{b(1)},\x0b{{", f'[{{"bbox":[1,2,3,4],"label":"}}"}},', f"[{b(1)},{{'a':{b(2)}", f"[{b(1)},{{\"x\":[1]],", f"[{','.join(b(i % 300) for i in range(700))},{{", f"```[{b(1)},{{```", f"<think>[</think>[{b(1)},{b(2)},{{\"bbox_2d\":"]
+    texts += odd
+    d = spark.createDataFrame(list(enumerate(texts)), "i int, raw_response string")
+    got = {x["i"]: (x["status"], [(list(v["bbox"]), v["label"]) for v in x["dets"]]) for x in parsing.parse_responses(d).collect()}
+    for i, text in enumerate(texts):
+        status, dets = parsing.salvage(text)
+        assert got[i] == (status, [(list(box), label) for box, label in dets]), text
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(some):
+        seen.add(int(some.notna().sum()))
+        return pd.DataFrame({"status": ["helper"] * len(some), "dets": [[] for _ in some]})
+
+    counted.__annotations__ = {"some": pd.Series, "return": pd.DataFrame}
+    monkeypatch.setattr(parsing, "parse_salvage", counted)
+    r = spark.createDataFrame([(f"[{b(k)},{b(k + 1)},{{\"bbox_2d\":[1,2",) for k in range(50)], "raw_response string")
+    assert {x["status"] for x in parsing.parse_responses(r).collect()} == {"salvaged"} and seen.value == 0
