@@ -184,8 +184,13 @@ class Index:
         if self._asked % 32 == 0 and np.count_nonzero(self.used[self._free]) > 0.15 * len(self._free):
             self._forget_used()
         t = np.unique(self.term[self.at[seed] : self.at[seed + 1]])
-        p = ranges(self.begin[t], self.begin[t + 1] - self.begin[t])
-        score = np.bincount(self.doc[p], self.gain[p], len(self._free))
+        first, n = self.begin[t], self.begin[t + 1] - self.begin[t]
+        # long postings are added as they lie, which costs less than picking their elements; gains are whole numbers, so any order adds up alike
+        long = n >= 512
+        p = ranges(first[~long], n[~long])
+        lists = list(zip(first[long].tolist(), (first[long] + n[long]).tolist(), strict=True))
+        doc, gain = (np.concatenate([x[p], *[x[i:j] for i, j in lists]]) for x in (self.doc, self.gain))
+        score = np.bincount(doc, gain, len(self._free))
         score[self.used[self._free]] = 0
         most = 64
         number = self._free
@@ -340,9 +345,8 @@ def _as_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([got.column(0), *cols], ["_k", "words", "gains"])
 
 
-def topic_vectors(data: np.ndarray, bounds: np.ndarray, dims: int) -> np.ndarray:
-    """For each text of a block, how often its words fall into each of `dims` cells, as a vector of length one; a text's length tells nothing."""
-    word, each = word_hashes(data, bounds)
+def topic_vectors(word: np.ndarray, each: np.ndarray, dims: int) -> np.ndarray:
+    """For each text of word_hashes(), how often its words fall into each of `dims` cells, as a vector of length one; a text's length tells nothing."""
     cell = (word % np.uint64(dims)).astype(np.int64)
     text = np.repeat(np.arange(len(each)), each)
     v = np.bincount(text * dims + cell, minlength=len(each) * dims).reshape(len(each), dims).astype(np.float32)
@@ -357,7 +361,7 @@ def fit_topics(texts: DataFrame, topics: int = 16, sample: int = 2000, dims: int
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for got, data, bounds in text_blocks(batches):
-            v = topic_vectors(data, bounds, dims)
+            v = topic_vectors(*word_hashes(data, bounds), dims)
             yield pa.record_batch([got.column(0), pa.array([x.tobytes() for x in v], pa.binary())], ["_k", "v"])
 
     rows = texts.where(F.col("_k") <= last).mapInArrow(vectors, "_k long, v binary").groupBy("_k").agg(F.min("v").alias("v")).orderBy("_k").collect()
@@ -371,9 +375,8 @@ def fit_topics(texts: DataFrame, topics: int = 16, sample: int = 2000, dims: int
     return centers / np.maximum(np.linalg.norm(centers, axis=1, keepdims=True), 1e-9)
 
 
-def least_hashes(data: np.ndarray, bounds: np.ndarray, shingle: int, keys: int) -> np.ndarray:
-    """For each text of a block the least of its word runs under each of `keys` orders; of a shorter text the whole is the run."""
-    words, each = word_hashes(data, bounds)
+def least_hashes(words: np.ndarray, each: np.ndarray, shingle: int, keys: int) -> np.ndarray:
+    """For each text of word_hashes() the least of its word runs under each of `keys` orders; of a shorter text the whole is the run."""
     first = np.cumsum(each) - each
     n = np.maximum(np.minimum(each, 1), each - shingle + 1)
     at = ranges(first, n)
@@ -392,8 +395,9 @@ def routes(texts: DataFrame, centers: np.ndarray, shingle: int = 4, keys: int =
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for got, data, bounds in text_blocks(batches):
-            topic = (topic_vectors(data, bounds, centers.shape[1]) @ centers.T).argmax(axis=1)
-            least = least_hashes(data, bounds, shingle, keys).view(np.int64)
+            words = word_hashes(data, bounds)
+            topic = (topic_vectors(*words, centers.shape[1]) @ centers.T).argmax(axis=1)
+            least = least_hashes(*words, shingle, keys).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, least.size + 1, keys, dtype=np.int32)), pa.array(least.ravel()))
             yield pa.record_batch([got.column(0), pa.array(topic.astype(np.int32)), lists], ["_r", "topic", "keys"])
 

@@ -57,3 +57,28 @@ def test_neighbours_are_the_same_after_documents_go():
     assert len(a.doc) < len(b.doc) and len(a._free) == 80
     for seed in range(200):
         assert list(a.neighbours(seed)) == list(b.neighbours(seed))
+
+
+def test_routes_hash_words_once(monkeypatch):
+    """Topics and families of a block come from one pass over its bytes, and long postings add up like short ones."""
+    import numpy as np
+
+    from boxyard.llm import packing
+
+    r = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in r.zipf(1.3, 40) if x < 500).encode() for _ in range(1500)]
+    index = packing.Index(texts)
+    assert index.df.max() > 512
+    dense = np.zeros((len(index.df), len(texts)))
+    dense[np.repeat(np.arange(len(index.df)), index.df), index.doc] = index.gain
+    for seed in (0, 700, 1499):
+        index.used[:] = False
+        index.used[seed] = True
+        want = dense[np.unique(index.term[index.at[seed] : index.at[seed + 1]])].sum(axis=0)
+        want[seed] = 0
+        order = list(index.neighbours(seed))
+        assert len(order) == np.count_nonzero(want) and want[order].tolist() == sorted(want[want > 0].tolist(), reverse=True)
+    data = np.frombuffer(b"\n".join(texts), np.uint8)
+    words = packing.word_hashes(data, np.append(0, np.cumsum([len(t) + 1 for t in texts])) - np.append(np.zeros(len(texts), int), 1))
+    monkeypatch.setattr(packing, "word_hashes", None)
+    assert packing.topic_vectors(*words, 64).shape == (1500, 64) and packing.least_hashes(*words, 4, 6).shape == (1500, 6)
