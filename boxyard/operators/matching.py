@@ -51,17 +51,30 @@ def taken_pairs(pairs: str | Column) -> Column:
 SAME = ["dataset", "image_id", "category_id"]
 
 
+#: Their names in side_by_side().
+PLACE = [f"_{c}" for c in SAME]
+
+
+def side_by_side(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The rows of both, with the columns of SAME as PLACE.
+
+    Spark sees that a union's sides are dealt alike only if their keys have the same names and no table's name before them,
+    which new names give.
+    """
+    of = lambda d: d.select(*[F.col(c).alias(p) for p, c in zip(PLACE, SAME, strict=True)], *[c for c in d.columns if c not in SAME])
+    return of(a).unionByName(of(b))
+
+
 def meet(objects: DataFrame, detections: DataFrame) -> DataFrame:
     """(SAME, g, p) of rows (SAME, g) and (SAME, p): lists of both for each image and class.
 
-    Both sides are grouped in one pass by keys without the mode, so objects are not copied for each mode. Rows with a null
-    among the keys meet nothing.
+    Both sides are grouped in one pass by keys without the mode, so objects are not copied for each mode. Sides that are dealt
+    by image already are not dealt again. Rows with a null among the keys meet nothing.
     """
     sides = {"g": objects, "p": detections}
     kinds = {n: d.schema[n].dataType for n, d in sides.items()}
-    rows = [d.select(*SAME, *[F.col(c) if c == n else F.lit(None).cast(kinds[c]).alias(c) for c in kinds]) for n, d in sides.items()]
-    # dealt as rows: lists begun before would be larger
-    d = rows[0].unionByName(rows[1]).repartition(*SAME).groupBy(*SAME).agg(F.collect_list("g").alias("g"), F.collect_list("p").alias("p"))
+    d = side_by_side(*[d.select(*SAME, *[F.col(c) if c == n else F.lit(None).cast(kinds[c]).alias(c) for c in kinds]) for n, d in sides.items()])
+    d = d.groupBy(*PLACE).agg(F.collect_list("g").alias("g"), F.collect_list("p").alias("p")).select(*[F.col(p).alias(c) for p, c in zip(PLACE, SAME, strict=True)], "g", "p")
     lacking = F.greatest(*[F.col(c).isNull() for c in SAME])
     none = {n: F.filter(n, lambda x: F.lit(False)).alias(n) for n in kinds}
     apart = F.array(F.struct("g", none["p"]), F.struct(none["g"], "p"))
