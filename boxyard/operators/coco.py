@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from boxyard.functions.geometry import AREAS, box, crowd_iou
 from boxyard.operators.curves import CLASS, average_precisions, range_sums, sorted_detections
 from boxyard.operators.judging import judge
-from boxyard.operators.matching import BOX, SAME
+from boxyard.operators.matching import BOX, SAME, side_by_side
 from boxyard.sources.tables import keep
 
 #: linspace(0.5, 0.95, 10), whose ninth value is below 0.9.
@@ -111,18 +111,19 @@ def coco_match(gt: DataFrame, predictions: DataFrame, thresholds: list[float] =
 def matched(gt: DataFrame, predictions: DataFrame, thresholds: list[float], areas: tuple[str, ...], max_dets: int) -> DataFrame:
     """(dataset, image_id, category_id, mode, npig_<area>..., d): the judged() detections of each group as a list, and the objects that count in each area range.
 
-    Objects and detections are dealt once, by image and class, and judged where they stand together. An image's objects are
-    told once, beside the first of its modes, or beside none. Rows with a null among the keys meet nothing.
+    Objects and detections are judged where they stand together; they are dealt for that, by image and class, only if they
+    are not dealt by image already. An image's objects are told once, beside the first of its modes, or beside none. Rows with a null among the keys meet nothing.
     """
     nothing = lambda t, *names: [F.lit(None).cast(t.schema[c].dataType).alias(c) for c in names]
     sides = [F.col(v).cast("double").alias(v) for v in BOX]
     g = with_defaults(gt)
     rows = g.select(*SAME, F.lit(True).alias("is_object"), *sides, "ann_id", F.col("area").cast("double").alias("area"), F.col("iscrowd").cast("int").alias("iscrowd"), *nothing(predictions, "mode", "score", "det_ord"))
-    rows = rows.unionByName(predictions.select(*SAME, F.lit(False).alias("is_object"), *sides, *nothing(g, "ann_id"), F.lit(None).cast("double").alias("area"), F.lit(None).cast("int").alias("iscrowd"), "mode", "score", "det_ord"))
-    keys = ["image_id", "dataset", "category_id"]
-    d = rows.repartition(*SAME).sortWithinPartitions(*keys)
+    rows = side_by_side(rows, predictions.select(*SAME, F.lit(False).alias("is_object"), *sides, *nothing(g, "ann_id"), F.lit(None).cast("double").alias("area"), F.lit(None).cast("int").alias("iscrowd"), "mode", "score", "det_ord"))
+    keys = ["_image_id", "_dataset", "_category_id"]
+    # a window asks for rows of a group to stand together, in whatever way they are dealt; a repartition would deal them again
+    d = rows.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy("is_object")))
     kind = lambda c: rows.schema[c].dataType.simpleString()
-    columns = [f"{c} {kind(c)}" for c in (*keys, "mode")] + [f"npig_{a} long" for a in areas]
+    columns = [f"{c.removeprefix('_')} {kind(c)}" for c in (*keys, "mode")] + [f"npig_{a} long" for a in areas]
     schema = ", ".join([*columns, f"d array<struct<score:{kind('score')},det_ord:{kind('det_ord')},rank:int,tp:bigint,ignored:bigint>>"])
     limits = [AREAS[a] for a in areas]
     return d.mapInArrow(lambda b: judge(b, keys, thresholds, limits, max_dets), schema)
