@@ -242,21 +242,33 @@ def cluster_effects(rows: DataFrame, groups: list[str], flags: list[str], slopes
     return point.join(got, key).select(*key, "estimate", "low", "high", enough.alias("n_valid"))
 
 
+_SUMS = [f"{c}_{side}" for side in "ab" for c in "gpm"]
+
+
+def _drawn_sums(t: pa.Table) -> pa.Table:
+    """Of a part of a dataset: the sums of every column of _SUMS over its images, as often as each was drawn, for every sample."""
+    w = np.frombuffer(b"".join(t.column("weights").to_pylist()), np.uint16).reshape(len(t), -1).astype(np.int64)
+    sums = {c: pa.array((w * t.column(c).to_numpy()[:, None]).sum(axis=0)) for c in _SUMS}
+    n = w.shape[1]
+    return pa.table({"dataset": pa.array(t.column("dataset")[:1].to_pylist() * n, pa.string()), "it": pa.array(np.arange(n) - 1)} | sums)
+
+
 def image_bootstrap(per_image: DataFrame, a: str, b: str, iterations: int, seed: int) -> DataFrame:
     """Paired bootstrap over images: (dataset, it, delta) of pooled f1, both arms scored on the same drawn images.
 
     per_image: (dataset, mode, image_id, n_gt, n_pred, n_matched). Matching is by image, so drawing images draws matches: an
-    image drawn k times counts k times. Images are numbered in the order of their ids.
+    image drawn k times counts k times. Images are numbered in the order of their ids. How often each is drawn is counted
+    for all iterations at once, so no row is made for a draw; images are a small table, kept as they are read several times.
     """
-    w = per_image.groupBy("dataset", "image_id").pivot("mode", [a, b]).agg(F.sum("n_gt").alias("g"), F.sum("n_pred").alias("p"), F.sum("n_matched").alias("m")).na.fill(0)
-    order = w.groupBy("dataset").agg(F.array_sort(F.collect_list("image_id")).alias("ids"))
-    numbered = order.select("dataset", F.posexplode("ids").alias("pos", "image_id"), F.size("ids").alias("n"))
-    its = per_image.sparkSession.range(iterations).withColumnRenamed("id", "it")
-    # an iteration's draws follow from positions alone: they are counted before they meet the images
-    draws = numbered.select("dataset", "pos", "n").join(F.broadcast(its)).select("dataset", "it", draw(seed, F.col("it"), F.col("pos").cast("long"), F.col("n")).alias("pick")).groupBy("dataset", "it", "pick").agg(F.count(F.lit(1)).alias("k"))
-    rows = draws.join(numbered.select("dataset", F.col("pos").cast("long").alias("pick"), "image_id"), ["dataset", "pick"]).join(w, ["dataset", "image_id"])
-    f1 = lambda m: 2 * F.sum(F.col("k") * F.col(f"{m}_m")) / F.sum(F.col("k") * (F.col(f"{m}_g") + F.col(f"{m}_p")))
-    return rows.groupBy("dataset", "it").agg((f1(b) - f1(a)).alias("delta"))
+    of = lambda c, m: F.coalesce(F.sum(F.when(F.col("mode") == m, F.col(c))), F.lit(0)).cast("long")
+    sums = [of(c, m).alias(n) for n, (m, c) in zip(_SUMS, [(m, c) for m in (a, b) for c in ("n_gt", "n_pred", "n_matched")], strict=True)]
+    w = keep(per_image.groupBy("dataset", "image_id").agg(*sums), "images")
+    # an image without an id or a dataset has no place in the order and meets no draw
+    w = w.where("dataset is not null and image_id is not null")
+    rows = w.join(draw_weights(w, iterations, (seed,)), ["dataset", "image_id"]).withColumn("_part", F.pmod(F.xxhash64("image_id"), F.lit(256)).cast("int"))
+    drawn = rows.groupBy("dataset", "_part").applyInArrow(_drawn_sums, "dataset string, it long, " + ", ".join(f"{c} long" for c in _SUMS))
+    f1 = lambda side: 2 * F.sum(f"m_{side}") / F.sum(F.col(f"g_{side}") + F.col(f"p_{side}"))
+    return drawn.where("it >= 0").groupBy("dataset", "it").agg((f1("b") - f1("a")).alias("delta"))
 
 
 #: Images of a dataset whose draws one task counts.
