@@ -31,8 +31,11 @@ def first_reference(with_area: DataFrame, strategy: str = "largest") -> DataFram
 def seeded_random_references(with_area: DataFrame, k: int, seed: int) -> DataFrame:
     """k references per class: the largest, then the others by a hash of seed, dataset, class and id; longer lists begin with shorter ones."""
     key = F.sha2(F.concat_ws("\u0000", F.lit(str(seed)), "dataset", F.col("category_id").cast("string"), F.col("ann_id").cast("string")), 256)
-    top = first_reference(with_area).select(*CLASS, F.col("ann_id").alias("_top"))
-    d = with_area.join(top, CLASS)
+    # the first one is found by aggregation, a row for each class, and meets the boxes where they are
+    rel = F.col("rel_area")  # falling: numbers that are none first, nulls last
+    best = F.struct(rel.isNull().cast("int"), (~F.isnan(rel)).cast("int"), -rel, "file_name", "ann_id")
+    top = with_area.groupBy(*CLASS).agg(F.min_by(F.struct("ann_id"), best).alias("_t")).select(*CLASS, F.col("_t.ann_id").alias("_top"))
+    d = with_area.join(F.broadcast(top), CLASS)
     w = W.partitionBy(*CLASS).orderBy((F.col("ann_id") != F.col("_top")).cast("int"), key, "ann_id")
     return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("_top")
 
