@@ -20,6 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from boxyard.functions.counts import unpacked
 from boxyard.operators.ranges import in_ranges
 from boxyard.sources.tables import keep
 
@@ -40,10 +41,10 @@ def _bits(t: pa.Table, name: str, cells: np.ndarray) -> np.ndarray:
 
 
 def _weights(t: pa.Table) -> np.ndarray:
-    """How often each row counts in each sample, as 16-bit numbers."""
+    """How often each row counts in each sample: packed() numbers."""
     if "weights" not in t.column_names:
         return np.ones((len(t), 1), np.uint16)
-    return np.frombuffer(b"".join(t.column("weights").to_pylist()), np.uint16).reshape(len(t), -1)
+    return unpacked(t.column("weights").to_pylist())
 
 
 def _own_key(t: pa.Table, n: int, names: list[str]) -> dict[str, pa.Array]:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from boxyard.functions.counts import packed, unpacked
 from boxyard.functions.geometry import iou
 from boxyard.functions.rows import bound
 from boxyard.operators import coco, curves, matching
@@ -247,7 +248,7 @@ _SUMS = [f"{c}_{side}" for side in "ab" for c in "gpm"]
 
 def _drawn_sums(t: pa.Table) -> pa.Table:
     """Of a part of a dataset: the sums of every column of _SUMS over its images, as often as each was drawn, for every sample."""
-    w = np.frombuffer(b"".join(t.column("weights").to_pylist()), np.uint16).reshape(len(t), -1).astype(np.int64)
+    w = unpacked(t.column("weights").to_pylist()).astype(np.int64)
     sums = {c: pa.array((w * t.column(c).to_numpy()[:, None]).sum(axis=0)) for c in _SUMS}
     n = w.shape[1]
     return pa.table({"dataset": pa.array(t.column("dataset")[:1].to_pylist() * n, pa.string()), "it": pa.array(np.arange(n) - 1)} | sums)
@@ -290,19 +291,26 @@ def _counted_draws(t: pa.Table, iterations: int, seeds: tuple[int, ...]) -> pa.T
     return pa.table({"dataset": t.column("dataset"), "image_id": t.column("image_id"), "weights": pa.array([rows[i].tobytes() for i in range(m)], pa.binary())})
 
 
+def _packed_draws(t: pa.Table) -> pa.Table:
+    """The same with weights as packed() bytes: most images are drawn less than three times, and weights go where detections go."""
+    raw = t.column("weights").to_pylist()
+    rows = np.frombuffer(b"".join(raw), np.uint16).reshape(len(raw), -1)
+    return t.set_column(t.column_names.index("weights"), "weights", pa.array(packed(rows), pa.binary()))
+
+
 def draw_weights(images: DataFrame, iterations: int, seeds: tuple[int, ...]) -> DataFrame:
-    """(dataset, image_id, weights): how often each image is drawn in each sample of its dataset, as 16-bit numbers.
+    """(dataset, image_id, weights): how often each image is drawn in each sample of its dataset, as packed() numbers.
 
     The first sample is the dataset itself. A sample draws as many images as the dataset has, numbered in the order of their
     ids. A task counts the draws of a bounded range of images, so no row is made for a draw.
     """
     d = numbered(images.select("dataset", "image_id").distinct(), ["dataset"], ["image_id"]).withColumn("_part", F.floor(F.col("pos") / _IMAGES).cast("long"))
     schema = f"dataset string, image_id {images.schema['image_id'].dataType.simpleString()}, weights binary"
-    return d.groupBy("dataset", "_part").applyInArrow(lambda t: _counted_draws(t, iterations, seeds), schema)
+    return d.groupBy("dataset", "_part").applyInArrow(lambda t: _packed_draws(_counted_draws(t, iterations, seeds)), schema)
 
 
 def _objects_drawn(t: pa.Table) -> pa.Table:
-    w = np.frombuffer(b"".join(t.column("weights").to_pylist()), np.uint16).reshape(len(t), -1)
+    w = unpacked(t.column("weights").to_pylist())
     total = (w * t.column("n").to_numpy()[:, None].astype(float)).sum(axis=0)
     return pa.table({"dataset": t.column("dataset")[:1], "category_id": t.column("category_id")[:1], "part": t.column("part")[:1], "npig": pa.array([total.tolist()], pa.list_(pa.float64()))})
 
